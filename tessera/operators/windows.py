@@ -98,10 +98,14 @@ def quantile_edges(df: DataFrame, value_col: str, n_bins: int = 5) -> DataFrame:
     return vc.agg(F.array_distinct(F.percentile(F.col(value_col), probs, F.col("_n"))).alias("edges"))
 
 
-def quantile_bin(value_col: str, edges_col: str = "edges") -> Column:
-    """W12 bin code: right-closed intervals over the edges; the minimum falls in bin 0."""
+def quantile_bin(value_col: str, edges="edges") -> Column:
+    """W12 bin code: right-closed intervals over the edges; the minimum falls in bin 0.
+
+    ``edges`` is a column name or a Column (e.g. the scalar subquery of ``quantile_edges``).
+    """
     v = F.col(value_col)
-    below = F.size(F.filter(F.col(edges_col), lambda e: e < v))
+    e = F.col(edges) if isinstance(edges, str) else edges
+    below = F.size(F.filter(e, lambda x: x < v))
     return F.when(v.isNotNull(), F.greatest(below - 1, F.lit(0)))
 
 

@@ -295,3 +295,176 @@ SELECT spine.region_code, spine.region_name, supply.financial_year,
   round((CASE WHEN fv <> 0 THEN lv / fv END - 1.0) * 100.0, 4) AS growth_pct
 FROM spine LEFT JOIN supply USING (region_code) LEFT JOIN pop USING (region_code) LEFT JOIN abc USING (region_code)
   LEFT JOIN g ON spine.region_name = g.region_name"""
+
+FUEL = """fuel AS (
+  SELECT lk.lad_code, lk.lad_name, '2a' AS table_id, CAST(NULL AS VARCHAR) AS dwelling_class, l_returnflag AS fuel_or_method, CAST(count(*) AS DOUBLE) AS value
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN lk ON s_nationkey = lk.nationkey GROUP BY ALL
+  UNION ALL
+  SELECT lk.lad_code, lk.lad_name, '2b', CASE WHEN l_linestatus = 'F' THEN 'Existing' ELSE 'New' END, 'all', CAST(count(*) AS DOUBLE)
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN lk ON s_nationkey = lk.nationkey GROUP BY ALL)"""
+
+SQL["supply_fuel_join"] = f"""
+WITH {LK}, {LA}, {FUEL}
+SELECT la.lad_code, la.lad_name, la.financial_year, la.measure, round(la.dwellings, 2) AS dwellings,
+  fuel.lad_name AS lad_name_mf, fuel.table_id, fuel.dwelling_class, fuel.fuel_or_method, round(fuel.value, 2) AS value
+FROM la LEFT JOIN fuel ON la.lad_code = fuel.lad_code"""
+
+SQL["join_report"] = f"""
+WITH {LK}, {LA}, {FUEL}
+SELECT 'supply_codes' AS metric, CAST(count(DISTINCT lad_code) AS BIGINT) AS value FROM la
+UNION ALL SELECT 'fuel_codes', count(DISTINCT lad_code) FROM fuel
+UNION ALL SELECT 'supply_codes_without_fuel', count(*) FROM (SELECT DISTINCT lad_code FROM la WHERE lad_code NOT IN (SELECT lad_code FROM fuel))
+UNION ALL SELECT 'fuel_codes_without_supply', count(*) FROM (SELECT DISTINCT lad_code FROM fuel WHERE lad_code NOT IN (SELECT lad_code FROM la))
+UNION ALL SELECT 'joined_rows', count(*) FROM la LEFT JOIN fuel ON la.lad_code = fuel.lad_code"""
+
+
+def _fam_price(year_expr: str) -> str:
+    return f"""fa AS (SELECT lk.lad_code, {year_expr} AS year, quantile_cont(o_totalprice, 0.5) AS price, quantile_cont(o_totalprice, 0.25) AS lq_price
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN lk ON c_nationkey = lk.nationkey GROUP BY ALL)"""
+
+
+def _fam_earn(where: str = "") -> str:
+    return f"""fb AS (SELECT lk.lad_code, CAST(year(l_shipdate) AS INTEGER) AS year, avg(l_extendedprice) AS earnings
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN lk ON s_nationkey = lk.nationkey {where} GROUP BY ALL)"""
+
+
+FAM_RATIO = f"""fc AS (SELECT lk.lad_code, {_fy_start('o_orderdate')} AS year, sum(o_totalprice) / count(DISTINCT o_custkey) AS ratio
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN lk ON c_nationkey = lk.nationkey GROUP BY ALL)"""
+
+SQL["ratio_common_year"] = f"""
+WITH {LK}, {_fam_price('CAST(year(o_orderdate) AS INTEGER)')}, {_fam_earn("WHERE l_shipdate < TIMESTAMP '2001-01-01'")}, {FAM_RATIO},
+y AS (SELECT max(year) AS y FROM (SELECT year FROM fa INTERSECT SELECT year FROM fb INTERSECT SELECT year FROM fc)),
+a AS (SELECT lad_code, price FROM fa WHERE year = (SELECT y FROM y)),
+b AS (SELECT lad_code, earnings FROM fb WHERE year = (SELECT y FROM y)),
+c AS (SELECT lad_code, ratio FROM fc WHERE year = (SELECT y FROM y)),
+j AS (SELECT coalesce(a.lad_code, b.lad_code, c.lad_code) AS lad_code, price, earnings, ratio
+      FROM a FULL JOIN b ON a.lad_code = b.lad_code FULL JOIN c ON coalesce(a.lad_code, b.lad_code) = c.lad_code)
+SELECT j.lad_code, lk.lad_name, CAST((SELECT y FROM y) AS INTEGER) AS year, round(price, 2) AS price, round(earnings, 4) AS earnings,
+  round(ratio, 4) AS ratio_published, round(CASE WHEN earnings > 0 THEN price / earnings END, 4) AS ratio_computed
+FROM j LEFT JOIN lk ON j.lad_code = lk.lad_code"""
+
+HORIZON = f"""{_fam_price('CAST(year(o_orderdate) AS INTEGER)')}, {_fam_earn()},
+fc AS (SELECT fa.lad_code, fa.year, CASE WHEN earnings > 0 THEN price / earnings END AS ratio FROM fa JOIN fb ON fa.lad_code = fb.lad_code AND fa.year = fb.year),
+yrs AS (SELECT year FROM fa INTERSECT SELECT year FROM fb INTERSECT SELECT year FROM fc),
+bounds AS (SELECT
+   CASE WHEN (SELECT count(*) FROM yrs WHERE year IN (1996, 2000)) = 2 THEN 1996
+        ELSE (SELECT min(year) FROM (SELECT year FROM yrs ORDER BY year DESC LIMIT 5)) END AS y_min,
+   CASE WHEN (SELECT count(*) FROM yrs WHERE year IN (1996, 2000)) = 2 THEN 2000 ELSE (SELECT max(year) FROM yrs) END AS y_max),
+dp AS (SELECT lad_code, min(price) FILTER (WHERE year = (SELECT y_max FROM bounds)) - min(price) FILTER (WHERE year = (SELECT y_min FROM bounds)) AS delta_median_price,
+              min(lq_price) FILTER (WHERE year = (SELECT y_max FROM bounds)) - min(lq_price) FILTER (WHERE year = (SELECT y_min FROM bounds)) AS d_lq
+       FROM fa GROUP BY lad_code),
+de AS (SELECT lad_code, min(earnings) FILTER (WHERE year = (SELECT y_max FROM bounds)) - min(earnings) FILTER (WHERE year = (SELECT y_min FROM bounds)) AS delta_earnings
+       FROM fb GROUP BY lad_code),
+dr AS (SELECT lad_code, min(ratio) FILTER (WHERE year = (SELECT y_max FROM bounds)) - min(ratio) FILTER (WHERE year = (SELECT y_min FROM bounds)) AS delta_ratio
+       FROM fc GROUP BY lad_code)"""
+
+SQL["horizon_deltas"] = f"""
+WITH {LK}, {HORIZON}
+SELECT lk.lad_code, lk.lad_name, lk.region_name, CAST((SELECT y_min FROM bounds) AS INTEGER) AS y_min, CAST((SELECT y_max FROM bounds) AS INTEGER) AS y_max,
+  round(delta_median_price, 2) AS delta_median_price, round(delta_earnings, 4) AS delta_earnings, round(delta_ratio, 6) AS delta_ratio
+FROM lk JOIN dp ON lk.lad_code = dp.lad_code JOIN de ON lk.lad_code = de.lad_code JOIN dr ON lk.lad_code = dr.lad_code
+WHERE delta_median_price IS NOT NULL AND delta_earnings IS NOT NULL AND delta_ratio IS NOT NULL"""
+
+SQL["entry_pressure"] = f"""
+WITH {LK}, {HORIZON},
+x AS (SELECT lk.region_name, dp.delta_median_price AS d_median, dp.d_lq, dr.delta_ratio
+      FROM dp JOIN dr ON dp.lad_code = dr.lad_code JOIN lk ON dp.lad_code = lk.lad_code
+      WHERE dp.delta_median_price IS NOT NULL AND dp.d_lq IS NOT NULL AND dr.delta_ratio IS NOT NULL)
+SELECT region_name, count(*) AS n_las, count(*) FILTER (WHERE d_lq > d_median) AS n_entry_pressure,
+  round(quantile_cont(delta_ratio, 0.5), 6) AS median_delta_ratio
+FROM x GROUP BY region_name"""
+
+SQL["region_change_top"] = f"""
+WITH {LK}, {LA}, {REG},
+fys AS (SELECT DISTINCT financial_year, fy_start FROM reg),
+b AS (SELECT CASE WHEN (SELECT count(*) FROM fys WHERE financial_year IN ('1996-97', '2000-01')) = 2 THEN '1996-97'
+                  ELSE (SELECT arg_min(financial_year, fy_start) FROM (SELECT * FROM fys ORDER BY fy_start DESC LIMIT 5)) END AS fy0,
+             CASE WHEN (SELECT count(*) FROM fys WHERE financial_year IN ('1996-97', '2000-01')) = 2 THEN '2000-01'
+                  ELSE (SELECT arg_max(financial_year, fy_start) FROM fys) END AS fy1),
+g AS (SELECT measure, region_name,
+        coalesce(sum(dwellings) FILTER (WHERE financial_year = (SELECT fy0 FROM b)), 0) AS total0,
+        coalesce(sum(dwellings) FILTER (WHERE financial_year = (SELECT fy1 FROM b)), 0) AS total1
+      FROM reg GROUP BY ALL),
+g2 AS (SELECT *, total1 - total0 AS delta, row_number() OVER (PARTITION BY measure ORDER BY total1 - total0 DESC, region_name) AS rn FROM g)
+SELECT measure, region_name, (SELECT fy0 FROM b) AS fy0, (SELECT fy1 FROM b) AS fy1, round(total0, 2) AS total0, round(total1, 2) AS total1,
+  round(delta, 2) AS delta, rn = 1 AS is_top
+FROM g2"""
+
+TWO = f"""{PRICE_SERIES}, {RENT_SERIES},
+both_s AS (SELECT ps.geography, ps.month, ps.value AS hpi, rs.value AS rent FROM ps JOIN rs ON ps.geography = rs.geography AND ps.month = rs.month)"""
+
+SQL["index_rebased"] = f"""
+WITH {LK}, {TWO},
+base AS (SELECT geography, arg_min(hpi, month) AS h0, arg_min(rent, month) AS r0 FROM both_s GROUP BY geography),
+hb AS (SELECT geography, max(value) AS b FROM ps WHERE month = DATE '{'1996-01-01'}' GROUP BY geography),
+x AS (SELECT both_s.geography, both_s.month, CASE WHEN h0 <> 0 THEN hpi / h0 END * 100.0 AS hpi_index,
+        CASE WHEN r0 <> 0 THEN rent / r0 END * 100.0 AS rent_index,
+        CASE WHEN hb.b <> 0 THEN hpi / hb.b END * 100.0 AS hpi_index_base
+      FROM both_s JOIN base ON both_s.geography = base.geography LEFT JOIN hb ON both_s.geography = hb.geography)
+SELECT geography AS region_name, strftime(month, '%Y-%m-%d') AS month, round(hpi_index_base, 4) AS hpi_index_base,
+  round(hpi_index, 4) AS hpi_index, round(rent_index, 4) AS rent_index, round(hpi_index - rent_index, 4) AS spread,
+  round(hpi_index / rent_index, 6) AS ratio
+FROM x"""
+
+SQL["overlap_growth"] = f"""
+WITH {LK}, {TWO},
+g AS (SELECT geography, arg_min(hpi, month) AS h0, arg_max(hpi, month) AS h1, arg_min(rent, month) AS r0, arg_max(rent, month) AS r1,
+        min(month) AS m0, max(month) AS m1, count(*) AS n FROM both_s GROUP BY geography HAVING count(*) >= 2),
+x AS (SELECT *, (CASE WHEN h0 <> 0 THEN h1 / h0 END - 1.0) * 100.0 AS hg, (CASE WHEN r0 <> 0 THEN r1 / r0 END - 1.0) * 100.0 AS rg FROM g)
+SELECT geography AS region_name, strftime(m0, '%Y-%m-%d') AS first_month, strftime(m1, '%Y-%m-%d') AS last_month, n AS n_points,
+  round(hg, 4) AS hpi_growth, round(rg, 4) AS rent_growth, round(hg - rg, 4) AS growth_gap
+FROM x"""
+
+SQL["spread_12m"] = f"""
+WITH {LK}, {TWO},
+x AS (SELECT geography, month,
+   (hpi / nullif(lag(hpi, 12) OVER w, 0) - 1.0) * 100.0 AS hy,
+   (rent / nullif(lag(rent, 12) OVER w, 0) - 1.0) * 100.0 AS ry
+  FROM both_s WINDOW w AS (PARTITION BY geography ORDER BY month))
+SELECT geography AS region_name, strftime(month, '%Y-%m-%d') AS month, round(hy, 4) AS hpi_yoy, round(ry, 4) AS rent_yoy, round(hy - ry, 4) AS spread
+FROM x"""
+
+SQL["rates_per_1000"] = f"""
+WITH {LK}, {LA}, {POP},
+w AS (SELECT lad_code, coalesce(sum(dwellings) FILTER (WHERE measure = 'O'), 0) AS starts,
+        coalesce(sum(dwellings) FILTER (WHERE measure = 'F'), 0) AS completions FROM la GROUP BY lad_code),
+las AS (SELECT w.lad_code, lk.lad_name, lk.region_code, lk.region_name, starts, completions, pop.population
+        FROM w LEFT JOIN pop ON w.lad_code = pop.lad_code JOIN lk ON w.lad_code = lk.lad_code),
+rows_ AS (
+  SELECT 'la' AS geography_level, lad_code AS code, lad_name AS name, starts, completions, population FROM las
+  UNION ALL
+  SELECT 'region', region_code, region_name, coalesce(sum(starts), 0), coalesce(sum(completions), 0), sum(population) FROM las GROUP BY ALL),
+r AS (SELECT *, CASE WHEN population > 0 THEN starts / population * 1000.0 END AS spk,
+             CASE WHEN population > 0 THEN completions / population * 1000.0 END AS cpk FROM rows_)
+SELECT geography_level, code, name, round(starts, 2) AS starts, round(completions, 2) AS completions, CAST(population AS BIGINT) AS population,
+  round(spk, 4) AS starts_per_1000, round(cpk, 4) AS completions_per_1000,
+  round((SELECT quantile_cont(spk, 0.5) FROM r WHERE geography_level = 'la'), 4) AS median_la_starts_per_1000
+FROM r"""
+
+SQL["supply_balance"] = f"""
+WITH {LK}, {LA}, {REG},
+x AS (SELECT region_name, financial_year, sum(dwellings) FILTER (WHERE measure = 'O') AS starts, sum(dwellings) FILTER (WHERE measure = 'F') AS completions
+      FROM reg WHERE financial_year = (SELECT arg_max(financial_year, fy_start) FROM reg) GROUP BY ALL),
+y AS (SELECT *, CASE WHEN starts > 0 THEN completions / starts END AS balance FROM x)
+SELECT region_name, financial_year, round(starts, 2) AS starts, round(completions, 2) AS completions, round(balance, 6) AS balance,
+  balance = (SELECT max(balance) FROM y) AS is_max
+FROM y"""
+
+SQL["quantile_bins"] = """
+WITH e AS (SELECT list_sort(list_distinct(quantile_cont(c_acctbal, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS edges FROM customer WHERE c_acctbal IS NOT NULL)
+SELECT c_custkey, c_acctbal,
+  CAST(CASE WHEN c_acctbal IS NOT NULL THEN greatest(len(list_filter((SELECT edges FROM e), lambda x: x < c_acctbal)) - 1, 0) END AS INTEGER) AS bin
+FROM customer"""
+
+SQL["metric_kpis"] = """
+SELECT count(*) AS n, count(DISTINCT c_nationkey) AS n_nations, round(avg(c_acctbal), 4) AS mean, round(max(c_acctbal), 2) AS max,
+  count(*) FILTER (WHERE c_acctbal > 5000) AS n_above_5000,
+  round(quantile_cont(c_acctbal, 0.5), 4) AS median, round(quantile_cont(c_acctbal, 0.1), 4) AS p10, round(quantile_cont(c_acctbal, 0.9), 4) AS p90
+FROM customer"""
+
+SQL["top_bottom"] = f"""
+WITH {LK}, {LA},
+t AS (SELECT lad_code, lad_name, sum(dwellings) AS total FROM la GROUP BY ALL)
+(SELECT 'top' AS side, lad_code, lad_name, round(total, 2) AS total FROM t WHERE total IS NOT NULL ORDER BY total DESC, lad_code LIMIT 5)
+UNION ALL
+(SELECT 'bottom', lad_code, lad_name, round(total, 2) FROM t WHERE total IS NOT NULL ORDER BY total ASC, lad_code LIMIT 5)"""

@@ -426,3 +426,335 @@ def market_snapshot_region(spark: SparkSession, d: str) -> DataFrame:
         *[F.round(f"supply_{m.lower()}", 2).alias(f"supply_{m.lower()}") for m in MEASURES],
         "population", F.round("abc_share", 4).alias("abc_share"), F.round("growth_pct", 4).alias("growth_pct"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Joins of families, common periods, horizon deltas
+# ---------------------------------------------------------------------------
+
+
+def _fuel_tables(spark: SparkSession, d: str, lk: DataFrame) -> DataFrame:
+    """Main-fuel analogue: 2a counts by return flag, 2b by line status with a dwelling class (K5 union)."""
+    li = read(spark, d, "lineitem", "l_suppkey", "l_returnflag", "l_linestatus")
+    s = read(spark, d, "supplier", "s_suppkey", "s_nationkey")
+    x = li.join(J.bounded_broadcast(s), li.l_suppkey == s.s_suppkey)
+    t2a = x.groupBy("s_nationkey", F.col("l_returnflag").alias("fuel_or_method")).agg(
+        F.count(F.lit(1)).cast("double").alias("value")
+    ).withColumn("table_id", F.lit("2a"))
+    cls = F.when(F.col("l_linestatus") == "F", F.lit("Existing")).otherwise(F.lit("New"))
+    t2b = x.groupBy("s_nationkey", cls.alias("dwelling_class")).agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn(
+        "table_id", F.lit("2b")
+    ).withColumn("fuel_or_method", F.lit("all"))
+    fuel = T.union_all([t2a, t2b])
+    return fuel.join(lk, fuel.s_nationkey == lk.nationkey).select(
+        "lad_code", "lad_name", "table_id", "dwelling_class", "fuel_or_method", "value"
+    )
+
+
+@query
+def supply_fuel_join(spark: SparkSession, d: str) -> DataFrame:
+    lk = la_lookup(spark, d)
+    la = la_supply(spark, d, lk).select("lad_code", "lad_name", "financial_year", "measure", "dwellings")
+    x = J.join_suffixed(la, _fuel_tables(spark, d, lk), ["lad_code"], "left", "_mf")
+    return x.select(
+        "lad_code", "lad_name", "financial_year", "measure", F.round("dwellings", 2).alias("dwellings"),
+        "lad_name_mf", "table_id", "dwelling_class", "fuel_or_method", F.round("value", 2).alias("value"),
+    )
+
+
+@query
+def join_report(spark: SparkSession, d: str) -> DataFrame:
+    lk = la_lookup(spark, d)
+    la = la_supply(spark, d, lk)
+    fuel = _fuel_tables(spark, d, lk)
+    joined = la.join(fuel, "lad_code", "left")
+    parts = [
+        la.agg(F.countDistinct("lad_code").alias("value")).withColumn("metric", F.lit("supply_codes")),
+        fuel.agg(F.countDistinct("lad_code").alias("value")).withColumn("metric", F.lit("fuel_codes")),
+        J.missing_keys_count(la, fuel, "lad_code").withColumnRenamed("n_missing", "value").withColumn("metric", F.lit("supply_codes_without_fuel")),
+        J.missing_keys_count(fuel, la, "lad_code").withColumnRenamed("n_missing", "value").withColumn("metric", F.lit("fuel_codes_without_supply")),
+        joined.agg(F.count(F.lit(1)).alias("value")).withColumn("metric", F.lit("joined_rows")),
+    ]
+    return T.union_all(parts).select("metric", F.col("value").cast("bigint").alias("value"))
+
+
+def _family_price(spark, d, lk, year_expr) -> DataFrame:
+    """Median order price per customer LA and year (price family, 5a analogue)."""
+    o = read(spark, d, "orders", "o_custkey", "o_totalprice", "o_orderdate")
+    c = read(spark, d, "customer", "c_custkey", "c_nationkey")
+    x = o.join(c, o.o_custkey == c.c_custkey).select("c_nationkey", year_expr.alias("year"), "o_totalprice")
+    med = A.exact_quantiles(x, ["c_nationkey", "year"], "o_totalprice", {"price": 0.5, "lq_price": 0.25})
+    return med.join(lk, med.c_nationkey == lk.nationkey).select("lad_code", "year", "price", "lq_price")
+
+
+def _family_earnings(spark, d, lk, until: str | None = None) -> DataFrame:
+    """Average line price per supplier LA and ship year (earnings family, 5b analogue)."""
+    li = read(spark, d, "lineitem", "l_suppkey", "l_extendedprice", "l_shipdate")
+    if until:
+        li = li.where(F.col("l_shipdate") < F.lit(until).cast("timestamp"))
+    s = read(spark, d, "supplier", "s_suppkey", "s_nationkey")
+    g = li.join(J.bounded_broadcast(s), li.l_suppkey == s.s_suppkey).groupBy("s_nationkey", F.year("l_shipdate").alias("year")).agg(
+        F.avg("l_extendedprice").alias("earnings")
+    )
+    return g.join(lk, g.s_nationkey == lk.nationkey).select("lad_code", "year", "earnings")
+
+
+def _family_ratio(spark, d, lk) -> DataFrame:
+    """Published-ratio analogue: order value per distinct customer, by LA and financial-year start."""
+    o = read(spark, d, "orders", "o_custkey", "o_totalprice", "o_orderdate")
+    c = read(spark, d, "customer", "c_custkey", "c_nationkey")
+    g = o.join(c, o.o_custkey == c.c_custkey).groupBy("c_nationkey", P.fy_start_year("o_orderdate").alias("year")).agg(
+        (F.sum("o_totalprice") / F.countDistinct("o_custkey")).alias("ratio")
+    )
+    return g.join(lk, g.c_nationkey == lk.nationkey).select("lad_code", "year", "ratio")
+
+
+def _common_year_set(*frames: DataFrame) -> DataFrame:
+    """K6: INTERSECT of the distinct years of each family."""
+    out = frames[0].select(F.col("year").cast("int").alias("year"))
+    for f in frames[1:]:
+        out = out.intersect(f.select(F.col("year").cast("int").alias("year")))
+    return out
+
+
+@query
+def ratio_common_year(spark: SparkSession, d: str) -> DataFrame:
+    lk = la_lookup(spark, d)
+    a = _family_price(spark, d, lk, F.year("o_orderdate"))
+    b = _family_earnings(spark, d, lk, until="2001-01-01")
+    c = _family_ratio(spark, d, lk)
+    y = _common_year_set(a, b, c).agg(F.max("year")).scalar()
+    at = lambda f: f.where(F.col("year") == y).drop("year")
+    # Full outer join on the code; B7: names from the lookup.
+    x = at(a).join(at(b), "lad_code", "full").join(at(c), "lad_code", "full")
+    x = x.join(lk.select("lad_code", "lad_name"), "lad_code", "left").withColumn("year", y.cast("int"))
+    return x.select(
+        "lad_code", "lad_name", "year",
+        F.round("price", 2).alias("price"), F.round("earnings", 4).alias("earnings"),
+        F.round("ratio", 4).alias("ratio_published"),
+        F.round(X.safe_ratio("price", "earnings"), 4).alias("ratio_computed"),
+    )
+
+
+# Anchor window of the briefing when both years are present (else the last five common years).
+ANCHOR_YEARS = (1996, 2000)
+HORIZON_YEARS = 5
+
+
+def _horizon_frames(spark: SparkSession, d: str):
+    lk = la_lookup(spark, d)
+    a = _family_price(spark, d, lk, F.year("o_orderdate"))
+    b = _family_earnings(spark, d, lk)
+    c = a.join(b, ["lad_code", "year"]).select("lad_code", "year", X.safe_ratio("price", "earnings").alias("ratio"))
+    bounds = P.anchor_bounds(_common_year_set(a, b, c), "year", ANCHOR_YEARS, HORIZON_YEARS)
+    y0 = bounds.select("y_min").scalar()
+    y1 = bounds.select("y_max").scalar()
+    return lk, a, b, c, y0, y1
+
+
+@query
+def horizon_deltas(spark: SparkSession, d: str) -> DataFrame:
+    lk, a, b, c, y0, y1 = _horizon_frames(spark, d)
+    dp = A.endpoint_delta(a, "lad_code", "year", "price", y0, y1, "delta_median_price")
+    de = A.endpoint_delta(b, "lad_code", "year", "earnings", y0, y1, "delta_earnings")
+    dr = A.endpoint_delta(c, "lad_code", "year", "ratio", y0, y1, "delta_ratio")
+    meta = lk.select("lad_code", "lad_name", "region_name")
+    x = meta.join(dp, "lad_code").join(de, "lad_code").join(dr, "lad_code")
+    return x.select(
+        "lad_code", "lad_name", "region_name", y0.cast("int").alias("y_min"), y1.cast("int").alias("y_max"),
+        F.round("delta_median_price", 2).alias("delta_median_price"),
+        F.round("delta_earnings", 4).alias("delta_earnings"),
+        F.round("delta_ratio", 6).alias("delta_ratio"),
+    )
+
+
+@query
+def entry_pressure(spark: SparkSession, d: str) -> DataFrame:
+    lk, a, b, c, y0, y1 = _horizon_frames(spark, d)
+    dm = A.endpoint_delta(a, "lad_code", "year", "price", y0, y1, "d_median")
+    dl = A.endpoint_delta(a, "lad_code", "year", "lq_price", y0, y1, "d_lq")
+    dr = A.endpoint_delta(c, "lad_code", "year", "ratio", y0, y1, "delta_ratio")
+    x = dm.join(dl, "lad_code").join(dr, "lad_code").join(lk.select("lad_code", "region_name"), "lad_code")
+    counts = x.groupBy("region_name").agg(
+        F.count(F.lit(1)).alias("n_las"), F.count_if(F.col("d_lq") > F.col("d_median")).alias("n_entry_pressure")
+    )
+    med = A.exact_median(x, ["region_name"], "delta_ratio", "median_delta_ratio")
+    return counts.join(med, "region_name").select(
+        "region_name", "n_las", "n_entry_pressure", F.round("median_delta_ratio", 6).alias("median_delta_ratio")
+    )
+
+
+ANCHOR_FYS = ("1996-97", "2000-01")
+
+
+def _label_bounds(df: DataFrame, col: str, anchors: tuple[str, str], n: int):
+    """P14 on labels: anchors if both present, else the first and last of the last n labels in P1 order."""
+    arr = df.agg(F.array_sort(F.collect_set(F.struct(P.period_sort_key(col).alias("k"), F.col(col).alias("p")))).alias("a"))
+    labels = F.transform("a", lambda e: e["p"])
+    both = F.array_contains(labels, anchors[0]) & F.array_contains(labels, anchors[1])
+    lo = F.when(both, F.lit(anchors[0])).otherwise(F.element_at(labels, -F.least(F.size(labels), F.lit(n))))
+    hi = F.when(both, F.lit(anchors[1])).otherwise(F.element_at(labels, -1))
+    return arr.select(lo).scalar(), arr.select(hi).scalar()
+
+
+@query
+def region_change_top(spark: SparkSession, d: str) -> DataFrame:
+    lk = la_lookup(spark, d)
+    reg = _region_totals(la_supply(spark, d, lk), lk)
+    fy0, fy1 = _label_bounds(reg, "financial_year", ANCHOR_FYS, 5)
+    g = reg.groupBy("measure", "region_name").agg(
+        F.coalesce(F.sum(F.when(F.col("financial_year") == fy0, F.col("dwellings"))), F.lit(0.0)).alias("total0"),
+        F.coalesce(F.sum(F.when(F.col("financial_year") == fy1, F.col("dwellings"))), F.lit(0.0)).alias("total1"),
+    ).withColumn("delta", F.col("total1") - F.col("total0"))
+    best = g.groupBy("measure").agg(F.min_by("region_name", F.struct(-F.col("delta"), F.col("region_name"))).alias("_top"))
+    x = g.join(best, "measure").withColumn("is_top", F.col("region_name") == F.col("_top"))
+    return x.select(
+        "measure", "region_name", fy0.alias("fy0"), fy1.alias("fy1"),
+        F.round("total0", 2).alias("total0"), F.round("total1", 2).alias("total1"),
+        F.round("delta", 2).alias("delta"), "is_top",
+    )
+
+
+# ---------------------------------------------------------------------------
+# Two monthly indices per region: rebasing, overlap growth, 12-month spread
+# ---------------------------------------------------------------------------
+
+BASE_MONTH = "1996-01-01"
+
+
+def _two_series(spark: SparkSession, d: str) -> DataFrame:
+    lk = la_lookup(spark, d)
+    hpi = price_series(spark, d, lk).withColumnRenamed("value", "hpi")
+    rent = rent_series(spark, d, lk).withColumn("geography", X.canonical_name("geography")).withColumnRenamed("value", "rent")
+    # Inner join on (canonical region name, month).
+    return hpi.withColumn("geography", X.canonical_name("geography")).join(rent, ["geography", "month"])
+
+
+@query
+def index_rebased(spark: SparkSession, d: str) -> DataFrame:
+    lk = la_lookup(spark, d)
+    hpi = W.rebase(price_series(spark, d, lk), ["geography"], "month", "value", F.lit(BASE_MONTH).cast("date"), "hpi_index_base")
+    both = _two_series(spark, d)
+    base = both.groupBy("geography").agg(F.min_by("hpi", "month").alias("_h0"), F.min_by("rent", "month").alias("_r0"))
+    x = both.join(base, "geography").select(
+        "geography", "month",
+        (F.try_divide("hpi", F.when(F.col("_h0") != 0, F.col("_h0"))) * 100.0).alias("hpi_index"),
+        (F.try_divide("rent", F.when(F.col("_r0") != 0, F.col("_r0"))) * 100.0).alias("rent_index"),
+    )
+    x = x.join(hpi.select("geography", "month", "hpi_index_base"), ["geography", "month"], "left")
+    return x.select(
+        F.col("geography").alias("region_name"), ymd("month").alias("month"),
+        F.round("hpi_index_base", 4).alias("hpi_index_base"),
+        F.round("hpi_index", 4).alias("hpi_index"), F.round("rent_index", 4).alias("rent_index"),
+        F.round(F.col("hpi_index") - F.col("rent_index"), 4).alias("spread"),
+        F.round(F.try_divide("hpi_index", "rent_index"), 6).alias("ratio"),
+    )
+
+
+@query
+def overlap_growth(spark: SparkSession, d: str) -> DataFrame:
+    both = _two_series(spark, d)
+    h = W.first_last_growth(both, ["geography"], "month", "hpi").select(
+        "geography", "first_period", "last_period", "n_points", F.col("growth_pct").alias("hpi_growth")
+    )
+    r = W.first_last_growth(both, ["geography"], "month", "rent").select("geography", F.col("growth_pct").alias("rent_growth"))
+    x = h.join(r, "geography")
+    return x.select(
+        F.col("geography").alias("region_name"), ymd("first_period").alias("first_month"), ymd("last_period").alias("last_month"),
+        "n_points", F.round("hpi_growth", 4).alias("hpi_growth"), F.round("rent_growth", 4).alias("rent_growth"),
+        F.round(F.col("hpi_growth") - F.col("rent_growth"), 4).alias("growth_gap"),
+    )
+
+
+@query
+def spread_12m(spark: SparkSession, d: str) -> DataFrame:
+    both = _two_series(spark, d)
+    x = W.pct_change_lag(both, ["geography"], "month", "hpi", 12, "hpi_yoy")
+    x = W.pct_change_lag(x, ["geography"], "month", "rent", 12, "rent_yoy")
+    return x.select(
+        F.col("geography").alias("region_name"), ymd("month").alias("month"),
+        F.round("hpi_yoy", 4).alias("hpi_yoy"), F.round("rent_yoy", 4).alias("rent_yoy"),
+        F.round(F.col("hpi_yoy") - F.col("rent_yoy"), 4).alias("spread"),
+    )
+
+
+# ---------------------------------------------------------------------------
+# Rates per 1 000, balance, bins, KPIs, top/bottom
+# ---------------------------------------------------------------------------
+
+
+@query
+def rates_per_1000(spark: SparkSession, d: str) -> DataFrame:
+    lk = la_lookup(spark, d)
+    la = la_supply(spark, d, lk)
+    wide = T.pivot_sum(la, ["lad_code"], "measure", "dwellings", ["O", "F"], prefix="m_").withColumnsRenamed(
+        {"m_o": "starts", "m_f": "completions"}
+    )
+    pop = population(spark, d, lk).select("lad_code", "population")
+    las = wide.join(pop, "lad_code", "left").join(lk.select("lad_code", "lad_name", "region_code", "region_name"), "lad_code")
+    regions = las.groupBy("region_code", "region_name").agg(
+        A.sum_or_zero("starts").alias("starts"), A.sum_or_zero("completions").alias("completions"),
+        F.sum("population").alias("population"),
+    )
+    rows = T.union_all([
+        las.select(F.lit("la").alias("geography_level"), F.col("lad_code").alias("code"), F.col("lad_name").alias("name"), "starts", "completions", "population"),
+        regions.select(F.lit("region").alias("geography_level"), F.col("region_code").alias("code"), F.col("region_name").alias("name"), "starts", "completions", "population"),
+    ])
+    rows = rows.withColumn("starts_per_1000", X.per_1000("starts", "population")).withColumn(
+        "completions_per_1000", X.per_1000("completions", "population")
+    )
+    la_rates = rows.where(F.col("geography_level") == "la")
+    med = A.exact_median(la_rates, [], "starts_per_1000", "m").scalar()
+    return rows.select(
+        "geography_level", "code", "name", F.round("starts", 2).alias("starts"), F.round("completions", 2).alias("completions"),
+        "population", F.round("starts_per_1000", 4).alias("starts_per_1000"),
+        F.round("completions_per_1000", 4).alias("completions_per_1000"),
+        F.round(med, 4).alias("median_la_starts_per_1000"),
+    )
+
+
+@query
+def supply_balance(spark: SparkSession, d: str) -> DataFrame:
+    lk = la_lookup(spark, d)
+    reg = _region_totals(la_supply(spark, d, lk), lk)
+    latest = W.latest_rows(reg, P.period_sort_key("financial_year"), "financial_year")
+    x = latest.groupBy("region_name", "financial_year").agg(
+        F.sum(F.when(F.col("measure") == "O", F.col("dwellings"))).alias("starts"),
+        F.sum(F.when(F.col("measure") == "F", F.col("dwellings"))).alias("completions"),
+    ).withColumn("balance", X.safe_ratio("completions", "starts"))
+    top = x.agg(F.max("balance")).scalar()
+    return x.select(
+        "region_name", "financial_year", F.round("starts", 2).alias("starts"), F.round("completions", 2).alias("completions"),
+        F.round("balance", 6).alias("balance"), (F.col("balance") == top).alias("is_max"),
+    )
+
+
+@query
+def quantile_bins(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer", "c_custkey", "c_acctbal")
+    edges = W.quantile_edges(c, "c_acctbal", 5).scalar()
+    return c.select("c_custkey", "c_acctbal", W.quantile_bin("c_acctbal", edges).cast("int").alias("bin"))
+
+
+@query
+def metric_kpis(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal")
+    q = A.exact_quantiles(c, [], "c_acctbal", {"median": 0.5, "p10": 0.1, "p90": 0.9})
+    k = c.agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("c_nationkey").alias("n_nations"),
+        F.avg("c_acctbal").alias("mean"), F.max("c_acctbal").alias("max"),
+        F.count_if(F.col("c_acctbal") > 5000).alias("n_above_5000"),
+    )
+    x = k.select("*", *[q.select(name).scalar().alias(name) for name in ("median", "p10", "p90")])
+    return x.select(
+        "n", "n_nations", F.round("mean", 4).alias("mean"), F.round("max", 2).alias("max"), "n_above_5000",
+        F.round("median", 4).alias("median"), F.round("p10", 4).alias("p10"), F.round("p90", 4).alias("p90"),
+    )
+
+
+@query
+def top_bottom(spark: SparkSession, d: str) -> DataFrame:
+    lk = la_lookup(spark, d)
+    tot = la_supply(spark, d, lk).groupBy("lad_code", "lad_name").agg(F.sum("dwellings").alias("total"))
+    tb = A.top_and_bottom(tot, "total", 5, ["lad_code"])
+    return tb.select("side", "lad_code", "lad_name", F.round("total", 2).alias("total"))
