@@ -98,14 +98,19 @@ def quantile_edges(df: DataFrame, value_col: str, n_bins: int = 5) -> DataFrame:
     return vc.agg(F.array_distinct(F.percentile(F.col(value_col), probs, F.col("_n"))).alias("edges"))
 
 
-def quantile_bin(value_col: str, edges="edges") -> Column:
+def quantile_bin(value_col: str, edges="edges", n_bins: int = 5) -> Column:
     """W12 bin code: right-closed intervals over the edges; the minimum falls in bin 0.
 
-    ``edges`` is a column name or a Column (e.g. the scalar subquery of ``quantile_edges``).
+    ``edges`` is a column name or a Column (e.g. the scalar subquery of
+    ``quantile_edges``).  The edge count is at most ``n_bins + 1``, so the
+    count of edges below the value is an unrolled sum of comparisons.
     """
     v = F.col(value_col)
     e = F.col(edges) if isinstance(edges, str) else edges
-    below = F.size(F.filter(e, lambda x: x < v))
+    below = sum(
+        (F.coalesce((F.try_element_at(e, F.lit(i)) < v).cast("int"), F.lit(0)) for i in range(1, n_bins + 2)),
+        F.lit(0),
+    )
     return F.when(v.isNotNull(), F.greatest(below - 1, F.lit(0)))
 
 

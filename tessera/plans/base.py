@@ -95,11 +95,11 @@ def price_series(spark: SparkSession, sf_dir: str, lookup: DataFrame | None = No
     s = read(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     x = li.join(bounded_broadcast(s), li.l_suppkey == s.s_suppkey)
     g = x.groupBy("s_nationkey", month_start("l_shipdate").alias("month")).agg(
-        F.sum("l_extendedprice").alias("_s"), F.count(F.lit(1)).alias("_n")
+        F.sum(cents("l_extendedprice")).alias("_s"), F.count(F.lit(1)).alias("_n")
     )
     g = g.join(lookup, g.s_nationkey == lookup.nationkey)
     name = "region_name" if grain == "region" else "lad_code"
-    return g.groupBy(F.col(name).alias("geography"), "month").agg((F.sum("_s") / F.sum("_n")).alias("value"))
+    return g.groupBy(F.col(name).alias("geography"), "month").agg(money_mean(F.sum("_s"), F.sum("_n")).alias("value"))
 
 
 def rent_series(spark: SparkSession, sf_dir: str, lookup: DataFrame | None = None) -> DataFrame:
@@ -108,10 +108,20 @@ def rent_series(spark: SparkSession, sf_dir: str, lookup: DataFrame | None = Non
     o = read(spark, sf_dir, "orders", "o_custkey", "o_totalprice", "o_orderdate")
     c = read(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     g = o.join(c, o.o_custkey == c.c_custkey).groupBy("c_nationkey", month_start("o_orderdate").alias("month")).agg(
-        F.sum("o_totalprice").alias("_s"), F.count(F.lit(1)).alias("_n")
+        F.sum(cents("o_totalprice")).alias("_s"), F.count(F.lit(1)).alias("_n")
     )
     g = g.join(lookup, g.c_nationkey == lookup.nationkey)
-    return g.groupBy(F.col("region_name").alias("geography"), "month").agg((F.sum("_s") / F.sum("_n")).alias("value"))
+    return g.groupBy(F.col("region_name").alias("geography"), "month").agg(money_mean(F.sum("_s"), F.sum("_n")).alias("value"))
+
+
+def cents(col) -> F.Column:
+    """Money in whole pence: integer sums are exact, so means do not depend on summation order."""
+    return F.round(F.col(col) * 100).cast("bigint")
+
+
+def money_mean(sum_cents, n) -> F.Column:
+    """Mean of a money column from its exact pence total and count."""
+    return sum_cents.cast("double") / n / F.lit(100.0)
 
 
 def ymd(col) -> F.Column:

@@ -43,11 +43,13 @@ POP = """pop AS (
   FROM customer JOIN lk ON c_nationkey = lk.nationkey GROUP BY ALL)"""
 
 PRICE_SERIES = """ps AS (
-  SELECT lk.region_name AS geography, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, avg(l_extendedprice) AS value
+  SELECT lk.region_name AS geography, CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
+         CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100.0 AS value
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN lk ON s_nationkey = lk.nationkey GROUP BY ALL)"""
 
 RENT_SERIES = """rs AS (
-  SELECT lk.region_name AS geography, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, avg(o_totalprice) AS value
+  SELECT lk.region_name AS geography, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
+         CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100.0 AS value
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN lk ON c_nationkey = lk.nationkey GROUP BY ALL)"""
 
 # P1 sort key pieces on a label column ``s``.
@@ -324,7 +326,8 @@ def _fam_price(year_expr: str) -> str:
 
 
 def _fam_earn(where: str = "") -> str:
-    return f"""fb AS (SELECT lk.lad_code, CAST(year(l_shipdate) AS INTEGER) AS year, avg(l_extendedprice) AS earnings
+    return f"""fb AS (SELECT lk.lad_code, CAST(year(l_shipdate) AS INTEGER) AS year,
+  CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100.0 AS earnings
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN lk ON s_nationkey = lk.nationkey {where} GROUP BY ALL)"""
 
 
@@ -468,3 +471,185 @@ t AS (SELECT lad_code, lad_name, sum(dwellings) AS total FROM la GROUP BY ALL)
 (SELECT 'top' AS side, lad_code, lad_name, round(total, 2) AS total FROM t WHERE total IS NOT NULL ORDER BY total DESC, lad_code LIMIT 5)
 UNION ALL
 (SELECT 'bottom', lad_code, lad_name, round(total, 2) FROM t WHERE total IS NOT NULL ORDER BY total ASC, lad_code LIMIT 5)"""
+
+SQL["paged_filtered_read"] = """
+WITH f AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_quantity, l_extendedprice FROM lineitem
+           WHERE lower(l_returnflag) IN ('a', 'r'))
+SELECT *, (SELECT count(*) FROM f) AS total_rows FROM f ORDER BY l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_quantity, l_extendedprice LIMIT 500 OFFSET 100"""
+
+SQL["semi_filter"] = """
+SELECT lang, source, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars_total FROM documents
+WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY ALL"""
+
+SQL["missing_inputs"] = """
+WITH req AS (SELECT list_sort(list(DISTINCT source)) AS r FROM documents),
+p AS (SELECT lang, list(DISTINCT source) AS present, count(*) AS n_docs FROM documents GROUP BY lang),
+u AS (SELECT lang, count(*) AS n_unlabelled FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang)
+SELECT p.lang, p.n_docs, coalesce(u.n_unlabelled, 0) AS n_unlabelled,
+  array_to_string(list_sort(list_filter((SELECT r FROM req), lambda s: NOT list_contains(p.present, s))), ',') AS missing_sources
+FROM p LEFT JOIN u ON p.lang = u.lang"""
+
+SQL["json_props"] = """
+WITH e AS (SELECT event_type, value, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+SELECT event_type, count(*) AS n_events, CAST(sum(k) AS BIGINT) AS sum_k, max(k) AS max_k, round(avg(value), 4) AS avg_value,
+  count(*) FILTER (WHERE k IS NULL) AS n_missing_k
+FROM e GROUP BY event_type"""
+
+_SIZE_BAND = "['A','B','C','D','E','F','G'][CAST(least(floor((p_size - 1) / 7), 6) AS INTEGER) + 1]"
+
+
+def _ext(s: str, pat: str, i: int) -> str:
+    return f"nullif(regexp_extract({s}, '{pat}', {i}), '')"
+
+
+ROLL_RE = r"^(.*)\s(Q2 \d{4} to Q1 \d{4})$"
+SQL["header_split_family"] = f"""
+WITH l AS (
+  SELECT p_partkey,
+    'Band ' || {_SIZE_BAND} AS l_band,
+    upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) || ' - Band ' || {_SIZE_BAND} AS l_dim,
+    p_name || ' Q2 ' || CAST(1995 + p_size % 5 AS VARCHAR) || ' to Q1 ' || CAST(2000 + p_size % 5 AS VARCHAR) AS l_roll,
+    CASE WHEN p_size % 2 = 0 THEN 'Existing ' ELSE 'New ' END || p_name AS l_fuel,
+    p_name || ' ' || lower(p_type) AS l_prop,
+    p_type || ' / ' || p_brand AS l_slug,
+    ['5a','5b','5c','6a'][CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) % 4 + 1] AS table_id
+  FROM part)
+SELECT p_partkey,
+  {_ext('l_band', '^Band ([A-G])$', 1)} AS epc_band,
+  {_ext('l_dim', '^(.*) - Band ([A-G])$', 1)} AS dimension, {_ext('l_dim', '^(.*) - Band ([A-G])$', 2)} AS dim_band,
+  {_ext('l_roll', ROLL_RE, 1)} AS breakdown, {_ext('l_roll', ROLL_RE, 2)} AS rolling_period,
+  {_ext('l_fuel', '^(Existing|New)\\s+(.+)$', 1)} AS dwelling_class, {_ext('l_fuel', '^(Existing|New)\\s+(.+)$', 2)} AS fuel,
+  {_ext('l_prop', '^(small ring|blue anvil|small|blue|cold|red|hot)\\s+(.+)$', 1)} AS property_type,
+  {_ext('l_prop', '^(small ring|blue anvil|small|blue|cold|red|hot)\\s+(.+)$', 2)} AS property_rest,
+  regexp_replace(regexp_replace(lower(trim(l_slug)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS type_slug,
+  table_id,
+  'local_authority' AS geography_level,
+  CASE table_id WHEN '6a' THEN 'lower_quartile' ELSE 'median' END AS percentile,
+  CASE table_id WHEN '5b' THEN 'earnings' WHEN '5c' THEN 'ratio' ELSE 'price' END AS component
+FROM l"""
+
+SQL["year_columns_melt"] = f"""
+WITH {LK}
+SELECT lk.lad_code, lk.region_code, CAST(year(o_orderdate) AS INTEGER) AS year, round(sum(o_totalprice), 2) AS value
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN lk ON c_nationkey = lk.nationkey
+WHERE regexp_matches(CAST(year(o_orderdate) AS VARCHAR), '^20\\d{{2}}$') AND lk.region_code IS NOT NULL
+GROUP BY ALL"""
+
+SQL["metric_melt"] = f"""
+WITH {LK},
+x AS (SELECT lk.lad_code, o_orderstatus, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey JOIN lk ON c_nationkey = lk.nationkey),
+u AS (
+  SELECT lad_code, 'vacant' AS dwelling_group, CAST(NULL AS VARCHAR) AS breakdown_type, CAST(NULL AS VARCHAR) AS breakdown_label,
+         count(*) FILTER (WHERE o_orderstatus = 'O') AS value FROM x GROUP BY lad_code
+  UNION ALL
+  SELECT lad_code, 'second_home', NULL, NULL, count(*) FILTER (WHERE o_orderstatus = 'P') FROM x GROUP BY lad_code
+  UNION ALL
+  SELECT lad_code, 'vacant', 'priority', regexp_replace(regexp_replace(lower(trim(o_orderpriority)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), count(*)
+  FROM x GROUP BY lad_code, o_orderpriority)
+SELECT lad_code, dwelling_group, breakdown_type, breakdown_label, value, value AS dwellings FROM u"""
+
+SQL["fills_and_filters"] = f"""
+WITH {LK},
+g AS (SELECT lk.region_name, CAST(year(o_orderdate) AS INTEGER) AS year, sum(o_totalprice) AS total
+      FROM orders JOIN customer ON o_custkey = c_custkey JOIN lk ON c_nationkey = lk.nationkey
+      WHERE trim(o_orderpriority) = '1-URGENT' AND lk.region_name IN ('AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST')
+        AND lk.region_name NOT IN ('MIDDLE EAST')
+      GROUP BY ALL HAVING sum(o_totalprice) IS NOT NULL),
+p AS (SELECT *, (total / nullif(lag(total) OVER (PARTITION BY region_name ORDER BY year), 0) - 1.0) * 100.0 AS pct_change FROM g)
+SELECT upper(substr(region_name, 1, 1)) || lower(substr(region_name, 2)) AS region_label, year, round(total, 2) AS total,
+  '£' || format('{{:,}}', CAST(round(total, 0) AS BIGINT)) AS total_label,
+  round(pct_change, 4) AS pct_change,
+  CASE WHEN year - 1994 <= 1 THEN 1 WHEN year - 1994 <= 3 THEN 3 WHEN year - 1994 <= 6 THEN 6 WHEN year - 1994 <= 12 THEN 12 ELSE 24 END AS horizon_bucket,
+  CASE WHEN pct_change / 100.0 > 0.1 THEN 'rising' WHEN pct_change / 100.0 < -0.1 THEN 'falling' ELSE 'stable' END AS delta_class,
+  round(1.0 / (1.0 + exp(-(pct_change / 100.0))), 6) AS logistic_change,
+  round(least(greatest(pct_change / 100.0, 0.0), 1.0), 4) AS clamped_change,
+  contains(lower(region_name), 'eu') AS has_eu,
+  CASE WHEN year % 2 = 0 THEN 12 ELSE 4 END AS season_length
+FROM p"""
+
+SQL["aggregate_family"] = f"""
+WITH {LK},
+x AS (SELECT lk.lad_code, o_orderkey, o_totalprice, o_orderdate, o_orderstatus, o_orderpriority
+      FROM orders JOIN customer ON o_custkey = c_custkey JOIN lk ON c_nationkey = lk.nationkey),
+m AS (SELECT lad_code, first(o_orderpriority ORDER BY n DESC, o_orderpriority) AS mode_priority
+      FROM (SELECT lad_code, o_orderpriority, count(*) AS n FROM x GROUP BY ALL) GROUP BY lad_code),
+g AS (SELECT lad_code, count(*) AS n_orders, sum(o_totalprice) AS total,
+        coalesce(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'P'), 0) AS total_p,
+        first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_orderkey,
+        avg(o_totalprice) AS mean_price, max(o_totalprice) AS max_price,
+        first(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS argmax_orderkey
+      FROM x GROUP BY lad_code),
+s AS (SELECT min(total) AS lo, max(total) AS hi, avg(total) AS mu, stddev_pop(total) AS sd FROM g)
+SELECT g.lad_code, n_orders, round(total, 2) AS total, round(total_p, 2) AS total_p, first_orderkey,
+  round(total / (SELECT count(DISTINCT year(o_orderdate)) FROM orders), 4) AS mean_per_year,
+  round(mean_price, 4) AS mean_price,
+  CASE WHEN mean_price IS NOT NULL THEN rank() OVER (ORDER BY mean_price DESC NULLS LAST) END AS rank_mean_price,
+  round(max_price, 2) AS max_price, argmax_orderkey, m.mode_priority,
+  round(CASE WHEN (SELECT sd FROM s) > 0 THEN (total - (SELECT mu FROM s)) / (SELECT sd FROM s) END, 6) AS total_z,
+  CAST(CASE WHEN (SELECT hi - lo FROM s) = 0 THEN 1
+       ELSE least(floor((total - (SELECT lo FROM s)) / (SELECT hi - lo FROM s) * 10) + 1, 10) END AS INTEGER) AS hist_bin
+FROM g JOIN m ON g.lad_code = m.lad_code"""
+
+SQL["latest_rows"] = """
+SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey,
+  strftime(max(o_orderdate), '%Y-%m-%d') AS o_orderdate,
+  arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice
+FROM orders GROUP BY o_custkey"""
+
+SQL["latest_period_rows"] = f"""
+WITH {LK}, {LA}
+SELECT lad_code, lad_name, financial_year, measure, round(dwellings, 2) AS dwellings FROM la
+WHERE financial_year = (SELECT arg_max(financial_year, fy_start) FROM la)"""
+
+SQL["dedup_first"] = """
+WITH f AS (SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(event_type, (ts, event_id)) AS event_type,
+             arg_min(value, (ts, event_id)) AS value, min(ts) AS ts FROM events GROUP BY user_id),
+lk AS (SELECT event_type, arg_min(user_id, event_id) AS first_user FROM f GROUP BY event_type)
+SELECT f.user_id, f.event_id, f.event_type, f.value, strftime(f.ts, '%Y-%m-%d %H:%M:%S') AS first_ts,
+  lk.first_user = f.user_id AS is_type_first_user
+FROM f LEFT JOIN lk ON f.event_type = lk.event_type"""
+
+SQL["lag_family"] = f"""
+WITH {LK}, {PRICE_SERIES},
+x AS (SELECT geography, month, value,
+  lag(value, 1) OVER w AS lag_1, lag(value, 2) OVER w AS lag_2, lag(value, 3) OVER w AS lag_3, lag(value, 12) OVER w AS lag_12,
+  lead(value, 1) OVER w AS lead_1, value - lag(value, 1) OVER w AS diff_1,
+  row_number() OVER w <= floor(count(*) OVER (PARTITION BY geography) * 0.8) AS is_train
+  FROM ps WINDOW w AS (PARTITION BY geography ORDER BY month))
+SELECT geography AS region_name, strftime(month, '%Y-%m-%d') AS month, round(value, 4) AS value, round(lag_1, 4) AS lag_1,
+  round(lag_2, 4) AS lag_2, round(lag_3, 4) AS lag_3, round(lag_12, 4) AS lag_12, round(lead_1, 4) AS lead_1,
+  round(diff_1, 4) AS diff_1, is_train
+FROM x"""
+
+SQL["yoy_last_two"] = f"""
+WITH {LK}, {LA}, {REG},
+t AS (SELECT region_name, financial_year, fy_start, sum(dwellings) AS v FROM reg GROUP BY ALL),
+fys AS (SELECT DISTINCT financial_year, fy_start FROM t ORDER BY fy_start DESC LIMIT 2),
+b AS (SELECT arg_max(financial_year, fy_start) AS fy_last, arg_min(financial_year, fy_start) AS fy_prev FROM fys),
+g AS (SELECT region_name, max(v) FILTER (WHERE financial_year = (SELECT fy_last FROM b)) AS v_last,
+        max(v) FILTER (WHERE financial_year = (SELECT fy_prev FROM b)) AS v_prev FROM t GROUP BY region_name)
+SELECT region_name, (SELECT fy_last FROM b) AS fy_last, (SELECT fy_prev FROM b) AS fy_prev, round(v_last, 2) AS v_last, round(v_prev, 2) AS v_prev,
+  round((v_last / nullif(v_prev, 0) - 1.0) * 100.0, 4) AS yoy_pct
+FROM g"""
+
+SQL["leaders_trend"] = f"""
+WITH {LK}, {LA},
+o AS (SELECT * FROM la WHERE measure = 'O'),
+leaders AS (SELECT lad_code FROM o WHERE financial_year = (SELECT arg_max(financial_year, fy_start) FROM o)
+            ORDER BY dwellings DESC NULLS LAST, lad_code LIMIT 3)
+SELECT lad_code, lad_name, financial_year, round(dwellings, 2) AS dwellings FROM o WHERE lad_code IN (SELECT lad_code FROM leaders)"""
+
+SQL["line_by_year"] = f"""
+WITH {LK}, {LA},
+fy AS (SELECT DISTINCT financial_year FROM la), ms AS (SELECT DISTINCT measure FROM la WHERE measure IS NOT NULL),
+t AS (SELECT financial_year, measure, sum(dwellings) AS d FROM la GROUP BY ALL)
+SELECT fy.financial_year, ms.measure, round(t.d, 2) AS dwellings
+FROM fy CROSS JOIN ms LEFT JOIN t ON fy.financial_year = t.financial_year AND ms.measure = t.measure"""
+
+SQL["distinct_dims"] = """
+WITH x AS (
+  SELECT DISTINCT 'priority' AS dimension, o_orderpriority AS value FROM orders
+  UNION ALL SELECT DISTINCT 'status', o_orderstatus FROM orders
+  UNION ALL SELECT DISTINCT 'segment', c_mktsegment FROM customer
+  UNION ALL SELECT DISTINCT 'part_type', p_type FROM part)
+SELECT dimension, value, row_number() OVER (PARTITION BY dimension ORDER BY value) AS position FROM x"""

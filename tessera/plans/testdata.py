@@ -17,7 +17,7 @@ from ..operators import aggregate as A
 from ..operators import joins as J
 from ..operators import tidy as T
 from ..operators import windows as W
-from .base import MEASURES, gss, la_lookup, la_supply, month_start, population, price_series, read, rent_series, ymd
+from .base import MEASURES, cents, gss, money_mean, la_lookup, la_supply, month_start, population, price_series, read, rent_series, ymd
 
 Q = {}
 
@@ -494,7 +494,7 @@ def _family_earnings(spark, d, lk, until: str | None = None) -> DataFrame:
         li = li.where(F.col("l_shipdate") < F.lit(until).cast("timestamp"))
     s = read(spark, d, "supplier", "s_suppkey", "s_nationkey")
     g = li.join(J.bounded_broadcast(s), li.l_suppkey == s.s_suppkey).groupBy("s_nationkey", F.year("l_shipdate").alias("year")).agg(
-        F.avg("l_extendedprice").alias("earnings")
+        money_mean(F.sum(cents("l_extendedprice")), F.count(F.lit(1))).alias("earnings")
     )
     return g.join(lk, g.s_nationkey == lk.nationkey).select("lad_code", "year", "earnings")
 
@@ -758,3 +758,307 @@ def top_bottom(spark: SparkSession, d: str) -> DataFrame:
     tot = la_supply(spark, d, lk).groupBy("lad_code", "lad_name").agg(F.sum("dwellings").alias("total"))
     tb = A.top_and_bottom(tot, "total", 5, ["lad_code"])
     return tb.select("side", "lad_code", "lad_name", F.round("total", 2).alias("total"))
+
+
+# ---------------------------------------------------------------------------
+# Catalog reads, input checks, JSON, header grammars
+# ---------------------------------------------------------------------------
+
+
+@query
+def paged_filtered_read(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.catalog import Dataset, read_page
+
+    ds = Dataset(
+        "lineitem", f"{d}/lineitem.parquet", family="lines",
+        # (order, line) repeats in this table, so the page order spans every projected column.
+        order_by=["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice"],
+        filter_columns={"flag": "l_returnflag", "status": "l_linestatus"}, case_insensitive={"flag"},
+    )
+    cols = ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice"]
+    return read_page(spark, ds, cols, {"flag": ["a", "r"], "status": []}, offset=100, limit=500)
+
+
+@query
+def semi_filter(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents", "doc_id", "lang", "source", "n_chars")
+    labels = read(spark, d, "labels", "doc_id")
+    kept = J.keep_keys(docs, labels, "doc_id")
+    return kept.groupBy("lang", "source").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars_total")
+    )
+
+
+@query
+def missing_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Per language, sources never seen and documents not yet labelled."""
+    docs = read(spark, d, "documents", "doc_id", "lang", "source")
+    labels = read(spark, d, "labels", "doc_id")
+    required = docs.agg(F.sort_array(F.collect_set("source"))).scalar()
+    present = docs.groupBy("lang").agg(F.collect_set("source").alias("present"), F.count(F.lit(1)).alias("n_docs"))
+    unlabelled = docs.join(labels, "doc_id", "left_anti").groupBy("lang").agg(F.count(F.lit(1)).alias("n_unlabelled"))
+    x = present.join(unlabelled, "lang", "left")
+    return x.select(
+        "lang", "n_docs", F.coalesce("n_unlabelled", F.lit(0)).alias("n_unlabelled"),
+        F.array_join(F.sort_array(F.array_except(required, F.col("present"))), ",").alias("missing_sources"),
+    )
+
+
+@query
+def json_props(spark: SparkSession, d: str) -> DataFrame:
+    ev = read(spark, d, "events", "event_type", "value", "props")
+    k = F.from_json("props", "k INT").getField("k")
+    x = ev.select("event_type", "value", k.alias("k"))
+    return x.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n_events"), F.sum("k").cast("bigint").alias("sum_k"), F.max("k").alias("max_k"),
+        F.round(F.avg("value"), 4).alias("avg_value"), F.count_if(F.col("k").isNull()).alias("n_missing_k"),
+    )
+
+
+# Property types of the main-fuel sheets tried longest first (T10) and the
+# meaning of the price/earnings table ids.
+PROPERTY_PREFIXES = ["blue", "blue anvil", "cold", "hot", "red", "small", "small ring"]
+TABLE_META = [
+    ("5a", "local_authority", "median", "price"),
+    ("5b", "local_authority", "median", "earnings"),
+    ("5c", "local_authority", "median", "ratio"),
+    ("6a", "local_authority", "lower_quartile", "price"),
+]
+
+
+@query
+def header_split_family(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    band = size_band("p_size")
+    roll_y = (F.lit(1995) + F.col("p_size") % 5).cast("int")
+    labels = p.select(
+        "p_partkey",
+        F.concat(F.lit("Band "), band).alias("l_band"),
+        F.concat(X.capitalise("p_type"), F.lit(" - Band "), band).alias("l_dim"),
+        F.concat(F.col("p_name"), F.lit(" "), P.rolling_window_label(roll_y)).alias("l_roll"),
+        F.concat(F.when(F.col("p_size") % 2 == 0, F.lit("Existing ")).otherwise(F.lit("New ")), F.col("p_name")).alias("l_fuel"),
+        F.concat(F.col("p_name"), F.lit(" "), F.lower("p_type")).alias("l_prop"),
+        F.concat(F.col("p_type"), F.lit(" / "), F.col("p_brand")).alias("l_slug"),
+        F.element_at(F.array(*[F.lit(t[0]) for t in TABLE_META]), (F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int") % len(TABLE_META)) + 1).alias("table_id"),
+    )
+    meta = spark.createDataFrame(TABLE_META, "table_id string, geography_level string, percentile string, component string")
+    x = T.attach_meta(labels, meta, "table_id")
+    return x.select(
+        "p_partkey",
+        *T.split_label("l_band", T.BAND_RE, ["epc_band"]),
+        *T.split_label("l_dim", T.DIM_BAND_RE, ["dimension", "dim_band"]),
+        *T.split_label("l_roll", T.ROLLING_RE, ["breakdown", "rolling_period"]),
+        *T.split_label("l_fuel", T.EXISTING_NEW_RE, ["dwelling_class", "fuel"]),
+        *[c.alias(n) for c, n in zip(T.split_by_prefix("l_prop", PROPERTY_PREFIXES), ["property_type", "property_rest"])],
+        X.snake("l_slug").alias("type_slug"),
+        "table_id", "geography_level", "percentile", "component",
+    )
+
+
+@query
+def year_columns_melt(spark: SparkSession, d: str) -> DataFrame:
+    """A wide sheet with year columns and note columns; keep ``20yy`` columns, drop rows without a region code."""
+    lk = la_lookup(spark, d)
+    o = read(spark, d, "orders", "o_custkey", "o_totalprice", "o_orderdate")
+    c = read(spark, d, "customer", "c_custkey", "c_nationkey")
+    x = o.join(c, o.o_custkey == c.c_custkey).withColumn("yr", F.year("o_orderdate").cast("string"))
+    years = T.pivot_values(x, "yr")
+    wide = x.groupBy("c_nationkey").pivot("yr", years).agg(F.sum("o_totalprice"))
+    wide = wide.join(lk, wide.c_nationkey == lk.nationkey).withColumn("Notes", F.lit("provisional"))
+    keep = T.year_columns(wide)
+    wide = wide.where(F.col("region_code").isNotNull())
+    long = T.melt_numeric(wide, ["lad_code", "region_code"], keep, "year", "value").where(F.col("value").isNotNull())
+    return long.select("lad_code", "region_code", F.col("year").cast("int").alias("year"), F.round("value", 2).alias("value"))
+
+
+@query
+def metric_melt(spark: SparkSession, d: str) -> DataFrame:
+    """T20 headline pair, T21 breakdown, T27 wide->long, T28 absent columns, T29 aliases."""
+    lk = la_lookup(spark, d)
+    o = read(spark, d, "orders", "o_custkey", "o_orderstatus", "o_orderpriority")
+    c = read(spark, d, "customer", "c_custkey", "c_nationkey")
+    x = o.join(c, o.o_custkey == c.c_custkey).join(lk, F.col("c_nationkey") == lk.nationkey)
+    head = x.groupBy("lad_code").agg(
+        F.count_if(F.col("o_orderstatus") == "O").alias("Vacant dwellings"),
+        F.count_if(F.col("o_orderstatus") == "P").alias("Second homes (with no usual residents)"),
+    )
+    pair = T.melt(head, ["lad_code"], None, "label", "v").select(
+        "lad_code",
+        F.when(F.col("label") == "Vacant dwellings", F.lit("vacant")).otherwise(F.lit("second_home")).alias("dwelling_group"),
+        F.col("v").cast("bigint").alias("value"),
+    )
+    pair = T.ensure_columns(pair, {"breakdown_type": "string", "breakdown_label": "string"})
+    brk = x.groupBy("lad_code", "o_orderpriority").agg(F.count(F.lit(1)).alias("value")).select(
+        "lad_code", F.lit("vacant").alias("dwelling_group"), F.lit("priority").alias("breakdown_type"),
+        X.snake("o_orderpriority").alias("breakdown_label"), "value",
+    )
+    out = T.union_all([pair, brk])
+    out = T.alias_columns(out, {"dwellings": "value"})
+    return out.select("lad_code", "dwelling_group", "breakdown_type", "breakdown_label", "value", "dwellings")
+
+
+# ---------------------------------------------------------------------------
+# Filters, formatting, aggregate family
+# ---------------------------------------------------------------------------
+
+# Region preset and the aggregate rows excluded from regional views.
+REGION_PRESET = ["AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+EXCLUDED_AGGREGATES = ["MIDDLE EAST"]
+
+
+@query
+def fills_and_filters(spark: SparkSession, d: str) -> DataFrame:
+    lk = la_lookup(spark, d)
+    o = read(spark, d, "orders", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    c = read(spark, d, "customer", "c_custkey", "c_nationkey")
+    x = o.where(F.trim("o_orderpriority") == "1-URGENT").join(c, o.o_custkey == c.c_custkey).join(
+        lk, F.col("c_nationkey") == lk.nationkey
+    )
+    x = x.where(F.col("region_name").isin(REGION_PRESET) & ~F.col("region_name").isin(EXCLUDED_AGGREGATES))
+    g = x.groupBy("region_name", F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("total")).na.drop(subset=["total"])
+    w = Window.partitionBy("region_name").orderBy("year")
+    g = g.withColumn("pct_change", X.pct_change(F.lag("total").over(w), F.col("total")))
+    frac = F.col("pct_change") / 100.0
+    freq = F.when(F.col("year") % 2 == 0, F.lit("Monthly")).otherwise(F.lit("Quarterly"))
+    return g.select(
+        X.capitalise("region_name").alias("region_label"), F.col("year").cast("int").alias("year"),
+        F.round("total", 2).alias("total"), X.fmt_gbp(F.round("total", 0)).alias("total_label"),
+        F.round("pct_change", 4).alias("pct_change"),
+        X.horizon_bucket(F.col("year") - 1994).cast("int").alias("horizon_bucket"),
+        X.delta_class(frac).alias("delta_class"), F.round(X.logistic(frac), 6).alias("logistic_change"),
+        F.round(X.clamp(frac), 4).alias("clamped_change"), X.contains_ci("region_name", "Eu").alias("has_eu"),
+        P.season_length(freq).cast("int").alias("season_length"),
+    )
+
+
+@query
+def aggregate_family(spark: SparkSession, d: str) -> DataFrame:
+    lk = la_lookup(spark, d)
+    o = read(spark, d, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    c = read(spark, d, "customer", "c_custkey", "c_nationkey")
+    x = o.join(c, o.o_custkey == c.c_custkey).join(lk, F.col("c_nationkey") == lk.nationkey)
+    n_years = o.agg(F.countDistinct(F.year("o_orderdate"))).scalar()
+    g = x.groupBy("lad_code").agg(
+        F.count(F.lit(1)).alias("n_orders"),
+        F.sum("o_totalprice").alias("total"),
+        A.sum_or_zero(F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice"))).alias("total_p"),
+        F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first_orderkey"),
+        F.avg("o_totalprice").alias("mean_price"),
+        F.max("o_totalprice").alias("max_price"),
+        F.max_by("o_orderkey", F.struct(F.col("o_totalprice"), -F.col("o_orderkey"))).alias("argmax_orderkey"),
+        A.mode_label("o_orderpriority").alias("mode_priority"),
+    )
+    g = g.withColumn("mean_per_year", F.col("total") / n_years.cast("double"))
+    g = g.withColumn("rank_mean_price", W.rank_desc("mean_price").cast("bigint"))
+    g = A.zscore(g, ["total"])
+    lo, hi = g.agg(F.min("total")).scalar(), g.agg(F.max("total")).scalar()
+    g = g.withColumn("hist_bin", A.equal_width_bucket("total", lo, hi, 10))
+    return g.select(
+        "lad_code", "n_orders", F.round("total", 2).alias("total"), F.round("total_p", 2).alias("total_p"),
+        "first_orderkey", F.round("mean_per_year", 4).alias("mean_per_year"), F.round("mean_price", 4).alias("mean_price"),
+        "rank_mean_price", F.round("max_price", 2).alias("max_price"), "argmax_orderkey", "mode_priority",
+        F.round("total_z", 6).alias("total_z"), "hist_bin",
+    )
+
+
+# ---------------------------------------------------------------------------
+# Latest rows, dedup, lags, leaders
+# ---------------------------------------------------------------------------
+
+
+@query
+def latest_rows(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    last = W.first_per_key(o, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], last=True)
+    return last.select("o_custkey", "o_orderkey", ymd("o_orderdate").alias("o_orderdate"), "o_totalprice")
+
+
+@query
+def latest_period_rows(spark: SparkSession, d: str) -> DataFrame:
+    lk = la_lookup(spark, d)
+    la = la_supply(spark, d, lk)
+    latest = W.latest_rows(la, P.period_sort_key("financial_year"), "financial_year")
+    return latest.select("lad_code", "lad_name", "financial_year", "measure", F.round("dwellings", 2).alias("dwellings"))
+
+
+@query
+def dedup_first(spark: SparkSession, d: str) -> DataFrame:
+    ev = read(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value")
+    first = W.first_per_key(ev, ["user_id"], [F.col("ts"), F.col("event_id")])
+    # Lookup built from the fact table, first user per event type.
+    lookup = J.lookup_from_fact(first, "event_type", ["user_id"], "event_id").withColumnRenamed("user_id", "first_user")
+    x = first.join(lookup, "event_type", "left")
+    return x.select(
+        "user_id", "event_id", "event_type", "value",
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("first_ts"),
+        (F.col("first_user") == F.col("user_id")).alias("is_type_first_user"),
+    )
+
+
+@query
+def lag_family(spark: SparkSession, d: str) -> DataFrame:
+    s = price_series(spark, d)
+    x = W.lag_features(s, ["geography"], "month", "value", [1, 2, 3, 12], lead=1)
+    x = x.withColumn("is_train", W.chrono_split_flag(["geography"], "month", 0.8))
+    r = lambda c: F.round(c, 4).alias(c)
+    return x.select(
+        F.col("geography").alias("region_name"), ymd("month").alias("month"), r("value"),
+        r("lag_1"), r("lag_2"), r("lag_3"), r("lag_12"), r("lead_1"), r("diff_1"), "is_train",
+    )
+
+
+@query
+def yoy_last_two(spark: SparkSession, d: str) -> DataFrame:
+    lk = la_lookup(spark, d)
+    reg = _region_totals(la_supply(spark, d, lk), lk)
+    tot = reg.groupBy("region_name", "financial_year").agg(F.sum("dwellings").alias("v"))
+    arr = tot.agg(F.array_sort(F.collect_set(F.struct(P.period_sort_key("financial_year").alias("k"), F.col("financial_year").alias("p")))).alias("a"))
+    last = arr.select(F.element_at("a", -1).getField("p")).scalar()
+    prev = arr.select(F.element_at("a", -2).getField("p")).scalar()
+    g = tot.groupBy("region_name").agg(
+        F.max(F.when(F.col("financial_year") == last, F.col("v"))).alias("v_last"),
+        F.max(F.when(F.col("financial_year") == prev, F.col("v"))).alias("v_prev"),
+    )
+    return g.select(
+        "region_name", last.alias("fy_last"), prev.alias("fy_prev"), F.round("v_last", 2).alias("v_last"),
+        F.round("v_prev", 2).alias("v_prev"), F.round(X.pct_change("v_prev", "v_last"), 4).alias("yoy_pct"),
+    )
+
+
+@query
+def leaders_trend(spark: SparkSession, d: str) -> DataFrame:
+    """The three LAs leading the latest year's starts, and their whole series."""
+    lk = la_lookup(spark, d)
+    la = la_supply(spark, d, lk).where(F.col("measure") == "O")
+    latest = W.latest_rows(la, P.period_sort_key("financial_year"), "financial_year")
+    leaders = A.top_k(latest, "dwellings", 3, ["lad_code"]).select("lad_code")
+    trend = J.keep_keys(la, leaders, "lad_code")
+    return trend.select("lad_code", "lad_name", "financial_year", F.round("dwellings", 2).alias("dwellings"))
+
+
+@query
+def line_by_year(spark: SparkSession, d: str) -> DataFrame:
+    """Financial year x measure totals with absent categories kept as NULL rows."""
+    lk = la_lookup(spark, d)
+    la = la_supply(spark, d, lk)
+    measures = T.pivot_values(la, "measure")
+    wide = la.groupBy("financial_year").pivot("measure", measures).agg(F.sum("dwellings"))
+    long = wide.unpivot(["financial_year"], measures, "measure", "dwellings")
+    return long.select("financial_year", "measure", F.round("dwellings", 2).alias("dwellings"))
+
+
+@query
+def distinct_dims(spark: SparkSession, d: str) -> DataFrame:
+    """Sorted distinct values of each dimension with their position."""
+    o = read(spark, d, "orders", "o_orderpriority", "o_orderstatus")
+    c = read(spark, d, "customer", "c_mktsegment")
+    p = read(spark, d, "part", "p_type")
+    parts = [
+        o.select(F.lit("priority").alias("dimension"), F.col("o_orderpriority").alias("value")).distinct(),
+        o.select(F.lit("status").alias("dimension"), F.col("o_orderstatus").alias("value")).distinct(),
+        c.select(F.lit("segment").alias("dimension"), F.col("c_mktsegment").alias("value")).distinct(),
+        p.select(F.lit("part_type").alias("dimension"), F.col("p_type").alias("value")).distinct(),
+    ]
+    x = T.union_all(parts)
+    w = Window.partitionBy("dimension").orderBy("value")
+    return x.select("dimension", "value", F.row_number().over(w).cast("bigint").alias("position"))
