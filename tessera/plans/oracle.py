@@ -331,7 +331,8 @@ def _fam_earn(where: str = "") -> str:
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN lk ON s_nationkey = lk.nationkey {where} GROUP BY ALL)"""
 
 
-FAM_RATIO = f"""fc AS (SELECT lk.lad_code, {_fy_start('o_orderdate')} AS year, sum(o_totalprice) / count(DISTINCT o_custkey) AS ratio
+FAM_RATIO = f"""fc AS (SELECT lk.lad_code, {_fy_start('o_orderdate')} AS year,
+  CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(DISTINCT o_custkey) / 100.0 AS ratio
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN lk ON c_nationkey = lk.nationkey GROUP BY ALL)"""
 
 SQL["ratio_common_year"] = f"""
@@ -653,3 +654,214 @@ WITH x AS (
   UNION ALL SELECT DISTINCT 'segment', c_mktsegment FROM customer
   UNION ALL SELECT DISTINCT 'part_type', p_type FROM part)
 SELECT dimension, value, row_number() OVER (PARTITION BY dimension ORDER BY value) AS position FROM x"""
+
+_Y = "CAST(year(o_orderdate) AS INTEGER)"
+
+SQL["region_context_joins"] = f"""
+WITH {LK}, {RENT_SERIES}, {BANDS},
+tot AS (SELECT lk.region_name, {_Y} AS year, sum(o_totalprice) AS total
+        FROM orders JOIN customer ON o_custkey = c_custkey JOIN lk ON c_nationkey = lk.nationkey GROUP BY ALL),
+base AS (SELECT region_name, arg_min(total, year) AS b FROM tot GROUP BY region_name),
+rent AS (SELECT geography AS region_name, CAST(year(month) AS INTEGER) AS year, avg(value) AS rent_mean FROM rs GROUP BY ALL),
+abc AS (SELECT region_code, sum(pct) FILTER (WHERE band IN ('A','B','C')) AS abc_share FROM bs GROUP BY region_code),
+ctx AS (SELECT region_name, first(region_code) AS region_code FROM lk GROUP BY region_name),
+nl AS (SELECT region_name, count(*) AS n_las FROM lk GROUP BY region_name)
+SELECT ctx.region_code, tot.region_name, tot.year, round(total, 2) AS total,
+  round(CASE WHEN b > 0 THEN total / b END * 100.0, 4) AS index_to_base, round(rent.rent_mean, 4) AS rent_mean,
+  round(abc.abc_share, 4) AS abc_share, nl.n_las
+FROM tot JOIN base ON tot.region_name = base.region_name
+  JOIN rent ON tot.region_name = rent.region_name AND tot.year = rent.year
+  LEFT JOIN ctx ON tot.region_name = ctx.region_name
+  JOIN abc ON ctx.region_code = abc.region_code
+  LEFT JOIN nl ON tot.region_name = nl.region_name"""
+
+_PE_YEAR = "CAST(coalesce(nullif(regexp_extract(period_label, '^Year ending Sep (\\d{4})', 1), ''), nullif(regexp_extract(period_label, '^(\\d{4})$', 1), '')) AS INTEGER)"
+_SORT_DATE = """CASE WHEN period_label = '5-Year Average' THEN '2099-12-31'
+  WHEN regexp_matches(period_label, '^Year ending Sep (\\d{4})') THEN strftime(make_date(CAST(regexp_extract(period_label, '^Year ending Sep (\\d{4})', 1) AS INTEGER), 9, 30), '%Y-%m-%d')
+  WHEN regexp_matches(period_label, '^(\\d{4})$') THEN strftime(make_date(CAST(period_label AS INTEGER), 6, 15), '%Y-%m-%d') END"""
+
+SQL["affordability_compare"] = f"""
+WITH {LK}, {_fam_price(_Y)}, {_fam_earn()}, {FAM_RATIO},
+fams0 AS (SELECT 'price' AS family, lad_code, 'Year ending Sep ' || CAST(year AS VARCHAR) AS period_label, price AS value FROM fa
+  UNION ALL SELECT 'earnings', lad_code, CAST(year AS VARCHAR), earnings FROM fb
+  UNION ALL SELECT 'ratio', lad_code, CAST(year AS VARCHAR), ratio FROM fc),
+fams AS (SELECT *, {_PE_YEAR} AS pe_year FROM fams0),
+common AS (SELECT pe_year FROM fams WHERE family = 'price' INTERSECT SELECT pe_year FROM fams WHERE family = 'earnings'
+           INTERSECT SELECT pe_year FROM fams WHERE family = 'ratio')
+SELECT family, lad_code, period_label, pe_year, {_SORT_DATE} AS sort_date, round(value, 4) AS value
+FROM fams WHERE pe_year IN (SELECT pe_year FROM common)"""
+
+SQL["population_by_la"] = f"""
+WITH {LK}
+SELECT lk.lad_code, lk.lad_name, CAST(coalesce(sum(observation), 0) AS BIGINT) AS population, 2021 AS year
+FROM (SELECT c_nationkey, c_mktsegment, count(*) AS observation FROM customer GROUP BY ALL) c JOIN lk ON c.c_nationkey = lk.nationkey
+GROUP BY ALL"""
+
+SQL["mapped_metric"] = f"""
+WITH {LK}, {LA}, {POP},
+t AS (SELECT lad_code, lad_name, sum(dwellings) AS supply FROM la WHERE financial_year = (SELECT arg_max(financial_year, fy_start) FROM la) GROUP BY ALL),
+m AS (SELECT t.lad_code, t.lad_name, CASE WHEN pop.population > 0 THEN t.supply / pop.population END * 1000.0 AS metric
+      FROM t LEFT JOIN pop ON t.lad_code = pop.lad_code),
+e AS (SELECT list_sort(list_distinct(quantile_cont(metric, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS edges FROM m WHERE metric IS NOT NULL),
+top AS (SELECT lad_code, 'top' AS side FROM m WHERE metric IS NOT NULL ORDER BY metric DESC, lad_code LIMIT 5),
+bot AS (SELECT lad_code, 'bottom' AS side FROM m WHERE metric IS NOT NULL ORDER BY metric ASC, lad_code LIMIT 5),
+sides AS (SELECT * FROM top UNION ALL SELECT * FROM bot)
+SELECT m.lad_code, m.lad_name, round(metric, 4) AS metric,
+  CAST(CASE WHEN metric IS NOT NULL THEN greatest(len(list_filter((SELECT edges FROM e), lambda x: x < metric)) - 1, 0) END AS INTEGER) AS bin,
+  round((SELECT quantile_cont(metric, 0.5) FROM m), 4) AS median_metric, sides.side
+FROM m LEFT JOIN sides ON m.lad_code = sides.lad_code"""
+
+SQL["findings"] = f"""
+WITH f1 AS (
+  SELECT 1 AS finding_id, printf('%s leads new supply in %s with %.2f', r.region_name, r.financial_year, round(r.dwellings, 2)) AS text
+  FROM (SELECT * FROM ({SQL['region_supply_by_fy']}) x WHERE measure = 'O'
+          AND financial_year = (SELECT arg_max(financial_year, CAST(left(financial_year, 4) AS INTEGER)) FROM ({SQL['region_supply_by_fy']}) y WHERE measure = 'O')
+        ORDER BY dwellings DESC, region_name DESC LIMIT 1) r),
+f2 AS (SELECT 2 AS finding_id, printf('%s had the largest change in new supply between %s and %s: %.2f', region_name, fy0, fy1, delta) AS text
+       FROM ({SQL['region_change_top']}) z WHERE measure = 'O' AND is_top),
+f3 AS (SELECT 3 AS finding_id, printf('%s: price index grew %.2f%% against rents %.2f%%', region_name, round(hpi_growth, 2), round(rent_growth, 2)) AS text
+       FROM (SELECT * FROM ({SQL['overlap_growth']}) g ORDER BY growth_gap DESC, region_name DESC LIMIT 1)),
+f4 AS (SELECT 4 AS finding_id, printf('%d of %d authorities have a price to earnings ratio above 30, the highest is %.2f',
+         count(*) FILTER (WHERE price_earnings_ratio > 30), count(*), round(max(price_earnings_ratio), 2)) AS text
+       FROM ({SQL['market_snapshot_la']}) s)
+SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3 UNION ALL SELECT * FROM f4"""
+
+SQL["summary_numbers"] = f"""
+WITH {LK}, {LA}, {REG},
+lt AS (SELECT lad_code, sum(dwellings) AS t FROM la GROUP BY lad_code),
+rt AS (SELECT region_name, sum(dwellings) AS t FROM reg GROUP BY region_name),
+lf AS (SELECT arg_max(financial_year, fy_start) AS fy FROM la)
+SELECT round(sum(dwellings), 2) AS total_supply, count(DISTINCT lad_code) AS n_las, (SELECT fy FROM lf) AS latest_fy,
+  round(sum(dwellings) FILTER (WHERE financial_year = (SELECT fy FROM lf)), 2) AS latest_fy_total,
+  (SELECT count(DISTINCT region_name) FROM rt) AS n_regions,
+  round((SELECT quantile_cont(t, 0.5) FROM lt), 2) AS median_la_total,
+  round((SELECT max(t) FROM rt) / sum(dwellings) * 100.0, 4) AS top_region_share_pct,
+  (SELECT count(*) FROM lt WHERE t > (SELECT avg(t) FROM lt)) AS n_las_above_mean
+FROM la"""
+
+PS_LA = """psl AS (
+  SELECT lk.lad_code AS geography, CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
+         CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100.0 AS value
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN lk ON s_nationkey = lk.nationkey GROUP BY ALL)"""
+
+SERIES = f"""{PRICE_SERIES}, {PS_LA},
+sq AS (SELECT lk.region_name, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS ts, sum(o_totalprice) AS value
+       FROM orders JOIN customer ON o_custkey = c_custkey JOIN lk ON c_nationkey = lk.nationkey GROUP BY ALL),
+s AS (SELECT 'price:' || geography AS series_id, 'region' AS level, 'monthly' AS frequency, month AS ts, value FROM ps
+  UNION ALL SELECT 'price:' || geography, 'la', 'monthly', month, value FROM psl
+  UNION ALL SELECT 'supply:' || region_name, 'region', 'quarterly', ts, value FROM sq),
+cat AS (SELECT series_id, level, frequency, count(*) AS n_points, min(ts) AS first_ts, max(ts) AS last_ts,
+          CAST(CASE WHEN lower(frequency) LIKE '%month%' THEN 12 WHEN lower(frequency) LIKE '%quarter%' THEN 4
+               WHEN lower(frequency) LIKE '%financial%' OR lower(frequency) LIKE '%calendar%' OR lower(frequency) LIKE '%annual%' THEN 1 ELSE 4 END AS INTEGER) AS season_length,
+          CAST(CASE WHEN lower(frequency) LIKE '%annual%' THEN
+                 CASE WHEN count(*) - 1 < 1 THEN 1 WHEN count(*) - 1 >= 5 THEN least(15, greatest(5, count(*) - 1)) ELSE count(*) - 1 END
+               ELSE 36 END AS INTEGER) AS min_train
+        FROM s WHERE value IS NOT NULL GROUP BY series_id, level, frequency)"""
+
+SQL["series_catalog"] = f"""
+WITH {LK}, {SERIES}
+SELECT series_id, level, frequency, n_points, strftime(first_ts, '%Y-%m-%d') AS first_ts, strftime(last_ts, '%Y-%m-%d') AS last_ts,
+  season_length, min_train FROM cat"""
+
+SQL["backtest_plan"] = f"""
+WITH {LK}, {SERIES}
+SELECT series_id, CAST(h.horizon AS INTEGER) AS horizon, m.model,
+  CASE m.model WHEN 'seasonal_naive' THEN 'sql' WHEN 'drift' THEN 'sql' WHEN 'ets' THEN 'grouped_pandas'
+    WHEN 'sarima' THEN 'grouped_pandas' WHEN 'lagged_gbt' THEN 'spark_ml' ELSE 'unknown' END AS engine,
+  CAST(greatest(n_points - h.horizon - min_train + 1, 0) AS BIGINT) AS n_origins,
+  CAST(CASE WHEN h.horizon <= 1 THEN 1 WHEN h.horizon <= 3 THEN 3 WHEN h.horizon <= 6 THEN 6 WHEN h.horizon <= 12 THEN 12 ELSE 24 END AS INTEGER) AS horizon_bucket
+FROM cat CROSS JOIN (VALUES (1), (3), (6), (12)) h(horizon)
+  CROSS JOIN (VALUES ('seasonal_naive'), ('drift'), ('ets'), ('sarima'), ('lagged_gbt')) m(model)"""
+
+_Z10 = "1.2815515655446004"
+_Z95 = "1.959963984540054"
+
+
+def _sigma(length: str) -> str:
+    nd = f"(CASE WHEN {length} > 12 THEN {length} - 12 ELSE {length} - 1 END)"
+    s = f"(CASE WHEN {length} > 12 THEN sds ELSE sd1 END)"
+    ss = f"(CASE WHEN {length} > 12 THEN sdds ELSE sdd1 END)"
+    sd = f"sqrt(greatest({ss} / CAST({nd} AS DOUBLE) - ({s} / CAST({nd} AS DOUBLE)) * ({s} / CAST({nd} AS DOUBLE)), 0.0))"
+    fb = f"greatest(sqrt(greatest(syy / CAST({length} AS DOUBLE) - (sy / CAST({length} AS DOUBLE)) * (sy / CAST({length} AS DOUBLE)), 0.0)), 1e-6)"
+    return f"CASE WHEN {length} >= 6 AND {nd} >= 3 AND {sd} > 1e-12 THEN {sd} ELSE {fb} END"
+
+
+PTS = """pts AS (SELECT series_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS INTEGER) AS t, value AS y
+             FROM s WHERE level = 'region' AND frequency = 'monthly' AND value IS NOT NULL),
+n AS (SELECT series_id, count(*) AS n FROM pts GROUP BY series_id),
+st AS (SELECT series_id, t, y,
+         sum(y) OVER run AS sy, sum(y * y) OVER run AS syy, sum(ds) OVER run AS sds, sum(ds * ds) OVER run AS sdds,
+         sum(d1) OVER run AS sd1, sum(d1 * d1) OVER run AS sdd1
+       FROM (SELECT *, y - lag(y, 12) OVER (PARTITION BY series_id ORDER BY t) AS ds, y - lag(y, 1) OVER (PARTITION BY series_id ORDER BY t) AS d1 FROM pts)
+       WINDOW run AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+SQL["seasonal_naive_backtest"] = f"""
+WITH {LK}, {SERIES}, {PTS},
+orig AS (SELECT series_id, unnest(generate_series(36, n - 3)) AS o FROM n WHERE n - 3 >= 36),
+og AS (SELECT orig.series_id, orig.o, st.y AS y_last, {_sigma('orig.o')} AS sigma, p.y AS y_prev
+       FROM orig JOIN st ON st.series_id = orig.series_id AND st.t = orig.o - 1
+       LEFT JOIN pts p ON p.series_id = orig.series_id AND p.t = orig.o - 2),
+cells AS (SELECT og.*, unnest(generate_series(1, 3)) AS k FROM og),
+x AS (SELECT c.*, a.y, sn.y AS y_sn, rep.y AS y_rep FROM cells c
+      JOIN pts a ON a.series_id = c.series_id AND a.t = c.o + c.k - 1
+      LEFT JOIN pts sn ON sn.series_id = c.series_id AND sn.t = c.o - 12 + c.k - 1
+      LEFT JOIN pts rep ON rep.series_id = c.series_id AND rep.t = c.o - 12 + (c.k - 1) % 12),
+preds AS (
+  SELECT series_id, o, k, y, sigma, CASE WHEN o >= 15 THEN y_sn END AS naive, 'seasonal_naive' AS model, CASE WHEN o >= 15 THEN y_sn END AS pred FROM x
+  UNION ALL SELECT series_id, o, k, y, sigma, CASE WHEN o >= 15 THEN y_sn END, 'seasonal_repeat',
+    CASE WHEN o >= 12 THEN CASE WHEN o - 12 + (k - 1) % 12 < o THEN y_rep ELSE y_last END END FROM x
+  UNION ALL SELECT series_id, o, k, y, sigma, CASE WHEN o >= 15 THEN y_sn END, 'drift', CASE WHEN o >= 2 THEN y_last + k * (y_last - y_prev) END FROM x),
+b AS (SELECT *, pred - {_Z10} * (sigma * sqrt(CAST(k AS DOUBLE))) AS p10, pred AS p50, pred + {_Z10} * (sigma * sqrt(CAST(k AS DOUBLE))) AS p90 FROM preds),
+w AS (SELECT series_id, model, o,
+        avg(abs(pred - y)) AS mae, sqrt(avg((pred - y) * (pred - y))) AS rmse,
+        avg(CASE WHEN abs(y) >= 1e-9 THEN abs((pred - y) / y) END) * 100.0 AS mape,
+        avg(CASE WHEN naive IS NOT NULL THEN abs(pred - y) END) / greatest(avg(CASE WHEN naive IS NOT NULL THEN abs(y - naive) END), 1e-12) AS mase,
+        avg(CASE WHEN y >= p10 AND y <= p90 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS coverage_p10_p90,
+        avg(greatest(0.1 * (y - p10), (0.1 - 1.0) * (y - p10))) AS pinball_p10,
+        avg(greatest(0.5 * (y - p50), (0.5 - 1.0) * (y - p50))) AS pinball_p50,
+        avg(greatest(0.9 * (y - p90), (0.9 - 1.0) * (y - p90))) AS pinball_p90
+      FROM b GROUP BY series_id, model, o HAVING count(pred) = 3),
+sm AS (SELECT series_id, model, count(*) AS n_windows, avg(mae) AS mae, avg(rmse) AS rmse, avg(mape) AS mape, avg(mase) AS mase,
+         avg(coverage_p10_p90) AS coverage_p10_p90, avg(pinball_p10) AS pinball_p10, avg(pinball_p50) AS pinball_p50, avg(pinball_p90) AS pinball_p90
+       FROM w GROUP BY series_id, model),
+best AS (SELECT series_id, arg_min(model, (mae, model)) AS best FROM sm WHERE mae IS NOT NULL GROUP BY series_id)
+SELECT sm.series_id, model, n_windows, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(mape, 4) AS mape, round(mase, 4) AS mase,
+  round(coverage_p10_p90, 6) AS coverage_p10_p90, round(pinball_p10, 4) AS pinball_p10, round(pinball_p50, 4) AS pinball_p50,
+  round(pinball_p90, 4) AS pinball_p90, coalesce(model = best.best, FALSE) AS is_best
+FROM sm LEFT JOIN best ON sm.series_id = best.series_id"""
+
+SQL["prob_bands"] = f"""
+WITH {LK}, {SERIES}, {PTS},
+nn AS (SELECT * FROM n WHERE n >= 12 + 6),
+og AS (SELECT nn.series_id, nn.n, st.y AS last_value, {_sigma('nn.n')} AS sigma FROM nn JOIN st ON st.series_id = nn.series_id AND st.t = nn.n - 1),
+cells AS (SELECT og.*, unnest(generate_series(1, 6)) AS h FROM og),
+x AS (SELECT cells.*, p.y AS point FROM cells JOIN pts p ON p.series_id = cells.series_id AND p.t = cells.n - 12 + cells.h - 1)
+SELECT series_id, CAST(h AS INTEGER) AS h, round(point, 4) AS point,
+  round(point - {_Z10} * (sigma * sqrt(CAST(h AS DOUBLE))), 4) AS p10, round(point, 4) AS p50,
+  round(point + {_Z10} * (sigma * sqrt(CAST(h AS DOUBLE))), 4) AS p90,
+  round(point - {_Z95} * (sigma * sqrt(CAST(h AS DOUBLE))), 4) AS lower,
+  round(point + {_Z95} * (sigma * sqrt(CAST(h AS DOUBLE))), 4) AS upper,
+  round(last_value, 4) AS last_value, round((point / nullif(last_value, 0) - 1.0) * 100.0, 4) AS pct_vs_last
+FROM x"""
+
+_BIN = """
+  SELECT {keys}, count(*) AS n, avg(CAST(y AS DOUBLE)) AS positive_rate, avg((score - y) * (score - y)) AS brier,
+    count(*) FILTER (WHERE score >= 0.5 AND y = 1) AS tp, count(*) FILTER (WHERE score >= 0.5 AND y = 0) AS fp,
+    count(*) FILTER (WHERE score < 0.5 AND y = 1) AS fn, CAST(sum(y) AS DOUBLE) AS pos
+  FROM long GROUP BY {keys}"""
+
+SQL["classifier_metrics"] = f"""
+WITH x AS (SELECT d.doc_id, round(1.0 / (1.0 + exp(-(CAST(n_chars - 2400 AS DOUBLE) / 1500.0))), 3) AS score, quality, toxic
+           FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+long AS (SELECT doc_id, score, 'quality' AS target, quality AS y, CAST(doc_id % 5 AS INTEGER) AS fold FROM x
+         UNION ALL SELECT doc_id, score, 'toxic', toxic, CAST(doc_id % 5 AS INTEGER) FROM x),
+base AS ({_BIN.format(keys='target')}),
+fb AS (SELECT target, avg(brier) AS mean_fold_brier FROM ({_BIN.format(keys='target, fold')}) GROUP BY target),
+lv AS (SELECT target, score, CAST(sum(y) AS DOUBLE) AS lp, CAST(sum(1 - y) AS DOUBLE) AS ln FROM long GROUP BY target, score),
+lb AS (SELECT *, coalesce(sum(ln) OVER (PARTITION BY target ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM lv),
+auc AS (SELECT target, sum(lp * (below + 0.5 * ln)) AS num FROM lb GROUP BY target)
+SELECT base.target, n, round(positive_rate, 6) AS positive_rate, round(brier, 6) AS brier,
+  round(CASE WHEN pos > 0 AND n - pos > 0 THEN num / (pos * (n - pos)) END, 6) AS auc,
+  round(CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END, 6) AS f1,
+  round(mean_fold_brier, 6) AS mean_fold_brier
+FROM base JOIN auc ON base.target = auc.target JOIN fb ON base.target = fb.target"""

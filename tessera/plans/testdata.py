@@ -504,7 +504,7 @@ def _family_ratio(spark, d, lk) -> DataFrame:
     o = read(spark, d, "orders", "o_custkey", "o_totalprice", "o_orderdate")
     c = read(spark, d, "customer", "c_custkey", "c_nationkey")
     g = o.join(c, o.o_custkey == c.c_custkey).groupBy("c_nationkey", P.fy_start_year("o_orderdate").alias("year")).agg(
-        (F.sum("o_totalprice") / F.countDistinct("o_custkey")).alias("ratio")
+        money_mean(F.sum(cents("o_totalprice")), F.countDistinct("o_custkey")).alias("ratio")
     )
     return g.join(lk, g.c_nationkey == lk.nationkey).select("lad_code", "year", "ratio")
 
@@ -1062,3 +1062,251 @@ def distinct_dims(spark: SparkSession, d: str) -> DataFrame:
     x = T.union_all(parts)
     w = Window.partitionBy("dimension").orderBy("value")
     return x.select("dimension", "value", F.row_number().over(w).cast("bigint").alias("position"))
+
+
+# ---------------------------------------------------------------------------
+# Context joins, affordability, population, mapped metric, findings
+# ---------------------------------------------------------------------------
+
+
+def _region_year_totals(spark: SparkSession, d: str, lk: DataFrame) -> DataFrame:
+    o = read(spark, d, "orders", "o_custkey", "o_totalprice", "o_orderdate")
+    c = read(spark, d, "customer", "c_custkey", "c_nationkey")
+    g = o.join(c, o.o_custkey == c.c_custkey).groupBy("c_nationkey", F.year("o_orderdate").cast("int").alias("year")).agg(
+        F.sum("o_totalprice").alias("total")
+    )
+    return g.join(lk, g.c_nationkey == lk.nationkey).groupBy("region_name", "year").agg(F.sum("total").alias("total"))
+
+
+@query
+def region_context_joins(spark: SparkSession, d: str) -> DataFrame:
+    lk = la_lookup(spark, d)
+    tot = _region_year_totals(spark, d, lk)
+    # Index to the first year's value of each region.
+    base = tot.groupBy("region_name").agg(F.min_by("total", "year").alias("_base"))
+    x = tot.join(base, "region_name").withColumn("index_to_base", X.safe_ratio("total", "_base") * 100.0)
+    # P12 + J6: yearly mean of the monthly rents series, inner join on (region, year).
+    rent = rent_series(spark, d, lk).groupBy(F.col("geography").alias("region_name"), F.year("month").cast("int").alias("year")).agg(
+        F.avg("value").alias("rent_mean")
+    )
+    x = x.join(rent, ["region_name", "year"])
+    # Only context columns not already present, context deduplicated.
+    x = J.add_missing_context(x, lk.select("region_name", "region_code"), "region_name")
+    # Region shares joined by code, both sides one row per code.
+    abc = _band_shares(spark, d, lk).groupBy("region_code").agg(
+        F.sum(F.when(F.col("band").isin("A", "B", "C"), F.col("pct"))).alias("abc_share")
+    )
+    x = x.join(abc, "region_code")
+    # LA counts per region joined by name.
+    n_las = lk.groupBy("region_name").agg(F.count(F.lit(1)).alias("n_las"))
+    x = x.join(n_las, "region_name", "left")
+    return x.select(
+        "region_code", "region_name", "year", F.round("total", 2).alias("total"),
+        F.round("index_to_base", 4).alias("index_to_base"), F.round("rent_mean", 4).alias("rent_mean"),
+        F.round("abc_share", 4).alias("abc_share"), "n_las",
+    )
+
+
+@query
+def affordability_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Three ratio families on their own period labels, aligned on the common years."""
+    lk = la_lookup(spark, d)
+    a = _family_price(spark, d, lk, F.year("o_orderdate")).select(
+        F.lit("price").alias("family"), "lad_code", F.concat(F.lit("Year ending Sep "), F.col("year").cast("string")).alias("period_label"),
+        F.col("price").alias("value"),
+    )
+    b = _family_earnings(spark, d, lk).select(
+        F.lit("earnings").alias("family"), "lad_code", F.col("year").cast("string").alias("period_label"), F.col("earnings").alias("value")
+    )
+    c = _family_ratio(spark, d, lk).select(
+        F.lit("ratio").alias("family"), "lad_code", F.col("year").cast("string").alias("period_label"), F.col("ratio").alias("value")
+    )
+    fams = [f.withColumn("pe_year", P.pe_year("period_label")) for f in (a, b, c)]
+    common = _common_year_set(*[f.withColumnRenamed("pe_year", "year") for f in fams]).withColumnRenamed("year", "pe_year")
+    x = T.union_all(fams).join(common, "pe_year", "left_semi")
+    return x.select(
+        "family", "lad_code", "period_label", "pe_year", ymd(P.period_sort_date("period_label")).alias("sort_date"),
+        F.round("value", 4).alias("value"),
+    )
+
+
+@query
+def population_by_la(spark: SparkSession, d: str) -> DataFrame:
+    """B1: population per LA as the sum over a category (segment), zero if all NULL."""
+    lk = la_lookup(spark, d)
+    c = read(spark, d, "customer", "c_nationkey", "c_mktsegment")
+    by_cat = c.groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("observation"))
+    pop = by_cat.groupBy("c_nationkey").agg(F.coalesce(F.sum("observation"), F.lit(0)).cast("bigint").alias("population"))
+    return pop.join(lk, pop.c_nationkey == lk.nationkey).select("lad_code", "lad_name", "population", F.lit(2021).alias("year"))
+
+
+@query
+def mapped_metric(spark: SparkSession, d: str) -> DataFrame:
+    """One metric per LA with quantile bins, the median KPI and top/bottom five."""
+    lk = la_lookup(spark, d)
+    la = la_supply(spark, d, lk)
+    latest = W.latest_rows(la, P.period_sort_key("financial_year"), "financial_year")
+    tot = latest.groupBy("lad_code", "lad_name").agg(F.sum("dwellings").alias("supply"))
+    pop = population(spark, d, lk).select("lad_code", "population")
+    m = tot.join(pop, "lad_code", "left").withColumn("metric", X.per_1000("supply", "population"))
+    edges = W.quantile_edges(m, "metric", 5).scalar()
+    med = A.exact_median(m, [], "metric", "m").scalar()
+    top = A.top_k(m.where(F.col("metric").isNotNull()), "metric", 5, ["lad_code"]).select("lad_code", F.lit("top").alias("side"))
+    bottom = A.top_k(m.where(F.col("metric").isNotNull()), "metric", 5, ["lad_code"], ascending=True).select(
+        "lad_code", F.lit("bottom").alias("side")
+    )
+    x = m.join(T.union_all([top, bottom]), "lad_code", "left")
+    return x.select(
+        "lad_code", "lad_name", F.round("metric", 4).alias("metric"), W.quantile_bin("metric", edges, 5).cast("int").alias("bin"),
+        F.round(med, 4).alias("median_metric"), "side",
+    )
+
+
+@query
+def findings(spark: SparkSession, d: str) -> DataFrame:
+    """Deterministic sentences built from the arg-max rows of the product tables."""
+    lead = region_supply_by_fy(spark, d).where(F.col("measure") == "O")
+    lead = W.latest_rows(lead, P.period_sort_key("financial_year"), "financial_year")
+    lead = lead.agg(F.max_by(F.struct("region_name", "financial_year", "dwellings"), F.struct(F.col("dwellings"), F.col("region_name"))).alias("r"))
+    f1 = lead.select(
+        F.lit(1).alias("finding_id"),
+        F.format_string("%s leads new supply in %s with %.2f", "r.region_name", "r.financial_year", F.round("r.dwellings", 2)).alias("text"),
+    )
+    change = region_change_top(spark, d).where((F.col("measure") == "O") & F.col("is_top"))
+    f2 = change.select(
+        F.lit(2).alias("finding_id"),
+        F.format_string("%s had the largest change in new supply between %s and %s: %.2f", "region_name", "fy0", "fy1", "delta").alias("text"),
+    )
+    gap = overlap_growth(spark, d).agg(
+        F.max_by(F.struct("region_name", "hpi_growth", "rent_growth"), F.struct(F.col("growth_gap"), F.col("region_name"))).alias("r")
+    )
+    f3 = gap.select(
+        F.lit(3).alias("finding_id"),
+        F.format_string("%s: price index grew %.2f%% against rents %.2f%%", "r.region_name", F.round("r.hpi_growth", 2), F.round("r.rent_growth", 2)).alias("text"),
+    )
+    snap = market_snapshot_la(spark, d)
+    f4 = snap.agg(
+        F.count_if(F.col("price_earnings_ratio") > 30).alias("k"), F.count(F.lit(1)).alias("n"), F.max("price_earnings_ratio").alias("mx")
+    ).select(
+        F.lit(4).alias("finding_id"),
+        F.format_string("%d of %d authorities have a price to earnings ratio above 30, the highest is %.2f", "k", "n", F.round("mx", 2)).alias("text"),
+    )
+    return T.union_all([f1, f2, f3, f4])
+
+
+@query
+def summary_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Headline numbers of the summary page, one row."""
+    lk = la_lookup(spark, d)
+    la = la_supply(spark, d, lk)
+    la_tot = la.groupBy("lad_code").agg(F.sum("dwellings").alias("t"))
+    reg = _region_totals(la, lk).groupBy("region_name").agg(F.sum("dwellings").alias("t"))
+    latest_fy = la.agg(F.max(F.struct(P.period_sort_key("financial_year").alias("k"), F.col("financial_year").alias("p"))).getField("p")).scalar()
+    total = la.agg(F.sum("dwellings")).scalar()
+    mean_la = la_tot.agg(F.avg("t")).scalar()
+    one = la.agg(
+        F.round(F.sum("dwellings"), 2).alias("total_supply"),
+        F.countDistinct("lad_code").alias("n_las"),
+        F.round(F.sum(F.when(F.col("financial_year") == latest_fy, F.col("dwellings"))), 2).alias("latest_fy_total"),
+    )
+    return one.select(
+        "total_supply", "n_las", latest_fy.alias("latest_fy"), "latest_fy_total",
+        reg.agg(F.countDistinct("region_name")).scalar().alias("n_regions"),
+        F.round(A.exact_median(la_tot, [], "t", "m").scalar(), 2).alias("median_la_total"),
+        F.round(reg.agg(F.max("t")).scalar() / total * 100.0, 4).alias("top_region_share_pct"),
+        la_tot.agg(F.count_if(F.col("t") > mean_la)).scalar().alias("n_las_above_mean"),
+    )
+
+
+# ---------------------------------------------------------------------------
+# Series catalog, backtest plan, SQL-side baselines, bands, classifier metrics
+# ---------------------------------------------------------------------------
+
+from ..operators import forecast as Y  # noqa: E402
+
+HORIZONS = [1, 3, 6, 12]
+MODELS = ["seasonal_naive", "drift", "ets", "sarima", "lagged_gbt"]
+
+
+def _series(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly price series per region and per LA, plus a quarterly supply series per region."""
+    lk = la_lookup(spark, d)
+    reg = price_series(spark, d, lk).select(
+        F.concat(F.lit("price:"), F.col("geography")).alias("series_id"), F.lit("region").alias("level"),
+        F.lit("monthly").alias("frequency"), F.col("month").alias("ts"), "value",
+    )
+    la = price_series(spark, d, lk, grain="la").select(
+        F.concat(F.lit("price:"), F.col("geography")).alias("series_id"), F.lit("la").alias("level"),
+        F.lit("monthly").alias("frequency"), F.col("month").alias("ts"), "value",
+    )
+    o = read(spark, d, "orders", "o_custkey", "o_totalprice", "o_orderdate")
+    c = read(spark, d, "customer", "c_custkey", "c_nationkey")
+    q = o.join(c, o.o_custkey == c.c_custkey).groupBy("c_nationkey", F.trunc("o_orderdate", "quarter").cast("date").alias("ts")).agg(
+        F.sum("o_totalprice").alias("v")
+    )
+    q = q.join(lk, q.c_nationkey == lk.nationkey).groupBy("region_name", "ts").agg(F.sum("v").alias("value")).select(
+        F.concat(F.lit("supply:"), F.col("region_name")).alias("series_id"), F.lit("region").alias("level"),
+        F.lit("quarterly").alias("frequency"), "ts", "value",
+    )
+    return T.union_all([reg, la, q])
+
+
+@query
+def series_catalog(spark: SparkSession, d: str) -> DataFrame:
+    cat = Y.series_catalog(_series(spark, d))
+    return cat.select(
+        "series_id", "level", "frequency", "n_points", ymd("first_ts").alias("first_ts"), ymd("last_ts").alias("last_ts"),
+        "season_length", "min_train",
+    )
+
+
+@query
+def backtest_plan(spark: SparkSession, d: str) -> DataFrame:
+    cat = Y.series_catalog(_series(spark, d))
+    plan = Y.backtest_plan(cat, HORIZONS, MODELS)
+    return plan.select("series_id", "horizon", "model", "engine", "n_origins", "horizon_bucket")
+
+
+BACKTEST_H = 3
+
+
+@query
+def seasonal_naive_backtest(spark: SparkSession, d: str) -> DataFrame:
+    s = _series(spark, d).where((F.col("level") == "region") & (F.col("frequency") == "monthly"))
+    pts = Y.index_points(s)
+    windows = Y.baseline_backtest(pts, horizon=BACKTEST_H, season=12, min_train=36)
+    summ = Y.summarise_backtest(windows)
+    r = lambda c, n=4: F.round(c, n).alias(c)
+    return summ.select(
+        "series_id", "model", "n_windows", r("mae"), r("rmse"), r("mape"), r("mase"), r("coverage_p10_p90", 6),
+        r("pinball_p10"), r("pinball_p50"), r("pinball_p90"), "is_best",
+    )
+
+
+@query
+def prob_bands(spark: SparkSession, d: str) -> DataFrame:
+    s = _series(spark, d).where((F.col("level") == "region") & (F.col("frequency") == "monthly"))
+    fc = Y.forward_seasonal_naive(Y.index_points(s), horizon=6, season=12)
+    r = lambda c: F.round(c, 4).alias(c)
+    return fc.select("series_id", "h", r("point"), r("p10"), r("p50"), r("p90"), r("lower"), r("upper"), r("last_value"), r("pct_vs_last"))
+
+
+@query
+def classifier_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Brier, AUC (average ranks), F1 and mean fold Brier of a deterministic document score."""
+    from ..operators import models as M
+
+    docs = read(spark, d, "documents", "doc_id", "n_chars")
+    labels = read(spark, d, "labels", "doc_id", "quality", "toxic")
+    x = docs.join(labels, "doc_id").select(
+        "doc_id", F.round(X.logistic((F.col("n_chars") - 2400) / 1500.0), 3).alias("score"), "quality", "toxic"
+    )
+    long = x.unpivot(["doc_id", "score"], ["quality", "toxic"], "target", "y")
+    long = long.withColumn("fold", (F.col("doc_id") % 5).cast("int"))
+    met = M.binary_metrics(long, ["target"], "score", "y", threshold=0.5)
+    folds = M.binary_metrics(long, ["target", "fold"], "score", "y", threshold=0.5).groupBy("target").agg(
+        F.avg("brier").alias("mean_fold_brier")
+    )
+    out = met.join(folds, "target")
+    r = lambda c: F.round(c, 6).alias(c)
+    return out.select("target", "n", r("positive_rate"), r("brier"), r("auc"), r("f1"), r("mean_fold_brier"))
