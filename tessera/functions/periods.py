@@ -43,18 +43,26 @@ def _extract(s: Column, pattern: str, idx: int) -> Column:
 
 
 def period_sort_key(col) -> Column:
-    """struct(bucket, y, q, txt) — quarters < financial years < calendar years < other text."""
+    """struct(bucket, y, q, txt) — quarters < financial years < calendar years < other text.
+
+    The label kind is tested with ``rlike``; year and quarter come from fixed
+    positions of the matched layouts.  This keeps the expression small (no
+    repeated extract-and-null-check trees), which matters because the key is
+    used inside aggregates, comparisons and sorts.
+    """
     s = F.trim(_c(col).cast("string"))
-    q_month = _extract(s, QUARTER_RE, 1)
-    q_year = _extract(s, QUARTER_RE, 2).cast("int")
-    fy_a = _extract(s, FY_RE, 1).cast("int")
-    fy_b = _extract(s, FY_RE, 2).cast("int")
-    cy = _extract(s, CY_RE, 1).cast("int")
-    q_idx = (F.array_position(F.array(*[F.lit(m) for m in QUARTER_START_MONTHS]), q_month) - 1).cast("int")
-    bucket = F.when(q_year.isNotNull(), 0).when(fy_a.isNotNull(), 1).when(cy.isNotNull(), 2).otherwise(3)
-    y = F.when(q_year.isNotNull(), q_year).when(fy_a.isNotNull(), fy_a).when(cy.isNotNull(), cy).otherwise(0)
-    q = F.when(q_year.isNotNull(), q_idx).when(fy_a.isNotNull(), fy_b).otherwise(0)
-    txt = F.when(bucket == 3, s).otherwise(F.lit(""))
+    is_q = s.rlike(QUARTER_RE)
+    is_fy = s.rlike(FY_RE)
+    is_cy = s.rlike(CY_RE)
+    qstarts = F.array(*[F.lit(m) for m in QUARTER_START_MONTHS])
+    bucket = F.when(is_q, 0).when(is_fy, 1).when(is_cy, 2).otherwise(3)
+    y = F.when(is_q, F.substring(s, -4, 4).cast("int")).when(is_fy | is_cy, F.substring(s, 1, 4).cast("int")).otherwise(0)
+    q = (
+        F.when(is_q, (F.array_position(qstarts, F.substring(s, 1, 3)) - 1).cast("int"))
+        .when(is_fy, F.substring(s, 6, 2).cast("int"))
+        .otherwise(0)
+    )
+    txt = F.when(is_q | is_fy | is_cy, F.lit("")).otherwise(s)
     return F.struct(bucket.alias("bucket"), y.alias("y"), q.alias("q"), txt.alias("txt"))
 
 
@@ -163,16 +171,28 @@ def season_length(freq_col) -> Column:
 
 
 def ordered_periods(df: DataFrame, period_col: str) -> DataFrame:
-    """Distinct labels with their sort key and 1-based chronological position."""
+    """One row per distinct label with its sort key and 1-based chronological position.
+
+    Other columns of ``df`` are kept when ``df`` already holds one row per
+    label (e.g. label counts); the global window runs over labels, not rows.
+    """
     from pyspark.sql import Window
 
-    d = df.select(F.col(period_col).alias("period")).where(F.col("period").isNotNull()).distinct()
-    d = d.withColumn("period_key", period_sort_key("period"))
-    # One global order over a set of distinct labels: small by construction (labels, not rows).
+    d = df.where(F.col(period_col).isNotNull())
+    if d.columns == [period_col]:
+        d = d.distinct()
+    d = d.withColumn("period_key", period_sort_key(period_col))
     w = Window.orderBy("period_key")
     return d.withColumn("period_pos", F.row_number().over(w))
 
 
+def in_period_range(key: Column, lo: str, hi: str) -> Column:
+    """P10 as a predicate on a P1 key column; bounds are swapped if given reversed."""
+    k_lo = period_sort_key(F.lit(lo))
+    k_hi = period_sort_key(F.lit(hi))
+    return (key >= F.least(k_lo, k_hi)) & (key <= F.greatest(k_lo, k_hi))
+
+
 def latest_period(df: DataFrame, period_col: str) -> DataFrame:
     """One-row DataFrame holding the last label in P1 order."""
     key = period_sort_key(period_col)
@@ -183,12 +203,7 @@ def latest_period(df: DataFrame, period_col: str) -> DataFrame:
 
 def filter_period_range(df: DataFrame, period_col: str, lo: str, hi: str) -> DataFrame:
     """P10: rows with lo <= period <= hi in P1 order; bounds are swapped if given reversed."""
-    key = period_sort_key(period_col)
-    k_lo = period_sort_key(F.lit(lo))
-    k_hi = period_sort_key(F.lit(hi))
-    a = F.least(k_lo, k_hi)
-    b = F.greatest(k_lo, k_hi)
-    return df.where((key >= a) & (key <= b))
+    return df.withColumn("_pk", period_sort_key(period_col)).where(in_period_range(F.col("_pk"), lo, hi)).drop("_pk")
 
 
 def annualise(df: DataFrame, keys: list[str], date_col: str, value_col: str, how: str = "last") -> DataFrame:

@@ -16,15 +16,25 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 200_000
 
 
+_SIZE_CHECKS: dict[tuple, bool] = {}
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``df`` only if it has at most ``max_rows`` rows.
 
     The check reads at most ``max_rows + 1`` rows (``limit`` stops the scan),
     so it stays cheap however large the input turns out to be.  Above the
-    bound the frame is returned unhinted and joins as a shuffle join.
+    bound the frame is returned unhinted and joins as a shuffle join (which
+    adaptive execution may still broadcast from measured sizes).  The answer
+    is remembered per session for the same logical plan (``semanticHash``),
+    so a lookup shared by many queries is counted once.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    key = (id(df.sparkSession), df.semanticHash(), max_rows)
+    small = _SIZE_CHECKS.get(key)
+    if small is None:
+        small = df.limit(max_rows + 1).count() <= max_rows
+        _SIZE_CHECKS[key] = small
+    return F.broadcast(df) if small else df
 
 
 def left_chain(spine: DataFrame, key: str, sides: list[DataFrame | None], broadcast_small: bool = True) -> DataFrame:

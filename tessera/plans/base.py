@@ -13,6 +13,7 @@ the needed Parquet columns are scanned.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +25,40 @@ REGION_PREFIX = "E12"
 MEASURES = ["F", "O", "P"]
 
 
+def tidy(df: DataFrame) -> DataFrame:
+    """Keep a small aggregated tidy table for reuse within a job.
+
+    Tidy tables here are aggregates at (authority or region) x period grain,
+    bounded by the number of areas and periods, not by the input volume.
+    Persisted blocks that are lost with an executor are rebuilt from lineage.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+_HANDLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Scan of one driver table with a column projection.
+
+    The reader handle (file listing and Parquet footer schema) is kept per
+    session and path, so products that touch a table many times plan it once;
+    the projection is applied per use, so every scan still reads only the
+    columns it needs.  ``refresh_tables`` forgets the handles after files change.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    key = (id(spark), path)
+    df = _HANDLES.get(key)
+    if df is None:
+        df = spark.read.parquet(path)
+        _HANDLES[key] = df
     return df.select(*cols) if cols else df
 
 
+def refresh_tables() -> None:
+    _HANDLES.clear()
+
+
 def gss(prefix: str, key) -> F.Column:
     k = F.col(key) if isinstance(key, str) else key
     return F.concat(F.lit(prefix), F.lpad(k.cast("string"), 6, "0"))
@@ -69,9 +99,9 @@ def la_supply(spark: SparkSession, sf_dir: str, lookup: DataFrame | None = None)
         )
         .agg(F.sum("o_totalprice").alias("dwellings"))
     )
-    return agg.join(lookup, agg.c_nationkey == lookup.nationkey).select(
+    return tidy(agg.join(lookup, agg.c_nationkey == lookup.nationkey).select(
         "lad_code", "lad_name", "financial_year", "fy_start", "measure", "dwellings"
-    )
+    ))
 
 
 def population(spark: SparkSession, sf_dir: str, lookup: DataFrame | None = None) -> DataFrame:
@@ -99,7 +129,7 @@ def price_series(spark: SparkSession, sf_dir: str, lookup: DataFrame | None = No
     )
     g = g.join(lookup, g.s_nationkey == lookup.nationkey)
     name = "region_name" if grain == "region" else "lad_code"
-    return g.groupBy(F.col(name).alias("geography"), "month").agg(money_mean(F.sum("_s"), F.sum("_n")).alias("value"))
+    return tidy(g.groupBy(F.col(name).alias("geography"), "month").agg(money_mean(F.sum("_s"), F.sum("_n")).alias("value")))
 
 
 def rent_series(spark: SparkSession, sf_dir: str, lookup: DataFrame | None = None) -> DataFrame:
@@ -111,7 +141,7 @@ def rent_series(spark: SparkSession, sf_dir: str, lookup: DataFrame | None = Non
         F.sum(cents("o_totalprice")).alias("_s"), F.count(F.lit(1)).alias("_n")
     )
     g = g.join(lookup, g.c_nationkey == lookup.nationkey)
-    return g.groupBy(F.col("region_name").alias("geography"), "month").agg(money_mean(F.sum("_s"), F.sum("_n")).alias("value"))
+    return tidy(g.groupBy(F.col("region_name").alias("geography"), "month").agg(money_mean(F.sum("_s"), F.sum("_n")).alias("value")))
 
 
 def cents(col) -> F.Column:

@@ -17,7 +17,7 @@ from ..operators import aggregate as A
 from ..operators import joins as J
 from ..operators import tidy as T
 from ..operators import windows as W
-from .base import MEASURES, cents, gss, money_mean, la_lookup, la_supply, month_start, population, price_series, read, rent_series, ymd
+from .base import MEASURES, cents, gss, tidy, money_mean, la_lookup, la_supply, month_start, population, price_series, read, rent_series, ymd
 
 Q = {}
 
@@ -138,16 +138,12 @@ def period_labels_sorted(spark: SparkSession, d: str) -> DataFrame:
     labels = _order_period_labels(o)
     counts = labels.groupBy("period").agg(F.count(F.lit(1)).alias("n_orders"))
     ordered = P.ordered_periods(counts, "period")
-    in_range = P.filter_period_range(counts, "period", "1998-99", "Jan - Mar 1996").select(
-        "period", F.lit(True).alias("in_range")
-    )
-    out = ordered.join(counts, "period").join(in_range, "period", "left")
-    return out.select(
+    return ordered.select(
         "period",
         F.col("period_key.bucket").alias("bucket"),
         F.col("period_pos").cast("bigint").alias("period_pos"),
         "n_orders",
-        F.coalesce("in_range", F.lit(False)).alias("in_range"),
+        P.in_period_range(F.col("period_key"), "1998-99", "Jan - Mar 1996").alias("in_range"),
     )
 
 
@@ -300,7 +296,7 @@ def _band_shares(spark: SparkSession, d: str, lk: DataFrame) -> DataFrame:
     cnt = x.groupBy("s_nationkey", size_band("p_size").alias("band")).agg(F.count(F.lit(1)).alias("n"))
     cnt = cnt.join(lk, cnt.s_nationkey == lk.nationkey).groupBy("region_code", "region_name", "band").agg(F.sum("n").alias("n"))
     tot = cnt.groupBy("region_code").agg(F.sum("n").alias("tot"))
-    return cnt.join(tot, "region_code").select("region_code", "region_name", "band", (F.col("n") * 100.0 / F.col("tot")).alias("pct"))
+    return tidy(cnt.join(tot, "region_code").select("region_code", "region_name", "band", (F.col("n") * 100.0 / F.col("tot")).alias("pct")))
 
 
 @query
@@ -484,7 +480,7 @@ def _family_price(spark, d, lk, year_expr) -> DataFrame:
     c = read(spark, d, "customer", "c_custkey", "c_nationkey")
     x = o.join(c, o.o_custkey == c.c_custkey).select("c_nationkey", year_expr.alias("year"), "o_totalprice")
     med = A.exact_quantiles(x, ["c_nationkey", "year"], "o_totalprice", {"price": 0.5, "lq_price": 0.25})
-    return med.join(lk, med.c_nationkey == lk.nationkey).select("lad_code", "year", "price", "lq_price")
+    return tidy(med.join(lk, med.c_nationkey == lk.nationkey).select("lad_code", "year", "price", "lq_price"))
 
 
 def _family_earnings(spark, d, lk, until: str | None = None) -> DataFrame:
@@ -496,7 +492,7 @@ def _family_earnings(spark, d, lk, until: str | None = None) -> DataFrame:
     g = li.join(J.bounded_broadcast(s), li.l_suppkey == s.s_suppkey).groupBy("s_nationkey", F.year("l_shipdate").alias("year")).agg(
         money_mean(F.sum(cents("l_extendedprice")), F.count(F.lit(1))).alias("earnings")
     )
-    return g.join(lk, g.s_nationkey == lk.nationkey).select("lad_code", "year", "earnings")
+    return tidy(g.join(lk, g.s_nationkey == lk.nationkey).select("lad_code", "year", "earnings"))
 
 
 def _family_ratio(spark, d, lk) -> DataFrame:
@@ -506,7 +502,7 @@ def _family_ratio(spark, d, lk) -> DataFrame:
     g = o.join(c, o.o_custkey == c.c_custkey).groupBy("c_nationkey", P.fy_start_year("o_orderdate").alias("year")).agg(
         money_mean(F.sum(cents("o_totalprice")), F.countDistinct("o_custkey")).alias("ratio")
     )
-    return g.join(lk, g.c_nationkey == lk.nationkey).select("lad_code", "year", "ratio")
+    return tidy(g.join(lk, g.c_nationkey == lk.nationkey).select("lad_code", "year", "ratio"))
 
 
 def _common_year_set(*frames: DataFrame) -> DataFrame:
