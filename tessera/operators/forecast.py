@@ -171,6 +171,24 @@ def baseline_backtest(pts: DataFrame, horizon: int, season: int, min_train: int)
     return window_metrics(preds, horizon)
 
 
+def score_predictions(preds: DataFrame, pts: DataFrame, horizon: int, season: int) -> DataFrame:
+    """Y11-Y13 for model predictions (series_id, o, model, k, pred): actuals, naive benchmark, bands, metrics."""
+    stats = history_stats(pts, season).alias("st")
+    og = preds.select("series_id", "o").distinct()
+    og = og.join(stats, (og.series_id == F.col("st.series_id")) & (F.col("st.t") == og.o - 1)).select(
+        og.series_id, og.o, residual_scale(og.o, season).alias("sigma")
+    )
+    x = preds.join(og, ["series_id", "o"]).withColumn("ti", F.col("o") + F.col("k") - 1).withColumn(
+        "tsn", F.col("o") - season + F.col("k") - 1
+    )
+    ya = pts.select("series_id", F.col("t").alias("ti"), F.col("y"))
+    ysn = pts.select("series_id", F.col("t").alias("tsn"), F.col("y").alias("y_sn"))
+    x = x.join(ya, ["series_id", "ti"]).join(ysn, ["series_id", "tsn"], "left")
+    x = x.withColumn("naive", F.when(F.col("o") >= season + horizon, F.col("y_sn")))
+    x = x.select("series_id", "o", "k", "y", "sigma", "naive", "model", "pred", *_bands(F.col("pred"), F.col("sigma"), F.col("k")))
+    return window_metrics(x, horizon)
+
+
 def window_metrics(preds: DataFrame, horizon: int) -> DataFrame:
     """MAE, RMSE, MAPE, MASE vs naive, P10-P90 coverage and pinball losses per (series, model, origin)."""
     e = F.col("pred") - F.col("y")

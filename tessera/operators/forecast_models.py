@@ -1,0 +1,325 @@
+"""Fitted forecasters (Y5-Y8) run inside Spark tasks.
+
+Layout of the job: the history of each series is one array row
+(``collect_list`` over one row per period, so bounded by the series length);
+the plan table (series, origin) is joined to it by ``series_id`` and
+repartitioned by (series, origin), and ``mapInPandas`` fits one model per
+row on ``y[:origin]``.  Work therefore spreads over (series x origin) cells,
+and no history is paired with itself row by row.
+
+Fits are plain numpy: additive Holt / Holt-Winters by a vectorised parameter
+grid, and SARIMA(p,1,q)(P,1,Q)s by conditional sum of squares with a small
+Nelder-Mead search.  They are close to, not equal to, a state-space library's
+maximum-likelihood estimates.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Minimum points: ETS needs 8 (seasonal form 2s+2); SARIMA needs 10 (seasonal form 2s+5).
+ETS_MIN_POINTS = 8
+SARIMA_MIN_POINTS = 10
+# Orders tried by the order search (non-seasonal x seasonal), smallest AIC wins.
+ORDER_GRID = [(0, 1, 1), (1, 1, 0), (1, 1, 1), (2, 1, 1)]
+SEASONAL_GRID = [(0, 1, 1), (1, 1, 1), (1, 1, 0)]
+
+_ALPHAS = np.array([0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9])
+_BETAS = np.array([0.01, 0.05, 0.1, 0.2, 0.4])
+_GAMMAS = np.array([0.01, 0.05, 0.1, 0.2, 0.4])
+
+
+# ---------------------------------------------------------------------------
+# Exponential smoothing
+# ---------------------------------------------------------------------------
+
+
+def holt_winters(y: np.ndarray, season: int, horizon: int) -> np.ndarray | None:
+    """Additive trend, additive season when there are at least 2s+2 points; grid-fitted by SSE."""
+    y = np.asarray(y, dtype=float)
+    y = y[np.isfinite(y)]
+    n = len(y)
+    if n < ETS_MIN_POINTS:
+        return None
+    seasonal = season > 1 and n >= 2 * season + 2
+    grid = np.array(np.meshgrid(_ALPHAS, _BETAS, _GAMMAS if seasonal else np.array([0.0]), indexing="ij")).reshape(3, -1)
+    a, b, g = grid
+    m = a.shape[0]
+    if seasonal:
+        s = season
+        level = np.full(m, y[:s].mean())
+        trend = np.full(m, (y[s:2 * s].mean() - y[:s].mean()) / s)
+        seas = np.tile(y[:s] - y[:s].mean(), (m, 1))
+        start = s
+    else:
+        s = 1
+        level = np.full(m, y[0])
+        trend = np.full(m, y[1] - y[0])
+        seas = np.zeros((m, 1))
+        start = 1
+    sse = np.zeros(m)
+    for t in range(start, n):
+        idx = t % s
+        st = seas[:, idx]
+        pred = level + trend + st
+        err = y[t] - pred
+        sse += err * err
+        new_level = a * (y[t] - st) + (1 - a) * (level + trend)
+        trend = b * (new_level - level) + (1 - b) * trend
+        if seasonal:
+            seas[:, idx] = g * (y[t] - new_level) + (1 - g) * st
+        level = new_level
+    best = int(np.argmin(sse))
+    steps = np.arange(1, horizon + 1)
+    fc = level[best] + steps * trend[best]
+    if seasonal:
+        fc = fc + np.array([seas[best, (n + h - 1) % s] for h in steps])
+    return fc if np.all(np.isfinite(fc)) else None
+
+
+# ---------------------------------------------------------------------------
+# SARIMA by conditional sum of squares
+# ---------------------------------------------------------------------------
+
+
+def _nelder_mead(f, x0: np.ndarray, iters: int = 200, step: float = 0.3) -> tuple[np.ndarray, float]:
+    k = len(x0)
+    simplex = [x0] + [x0 + step * np.eye(k)[i] for i in range(k)]
+    vals = [f(x) for x in simplex]
+    for _ in range(iters):
+        order = np.argsort(vals)
+        simplex = [simplex[i] for i in order]
+        vals = [vals[i] for i in order]
+        centroid = np.mean(simplex[:-1], axis=0)
+        xr = centroid + (centroid - simplex[-1])
+        fr = f(xr)
+        if fr < vals[0]:
+            xe = centroid + 2 * (centroid - simplex[-1])
+            fe = f(xe)
+            simplex[-1], vals[-1] = (xe, fe) if fe < fr else (xr, fr)
+        elif fr < vals[-2]:
+            simplex[-1], vals[-1] = xr, fr
+        else:
+            xc = centroid + 0.5 * (simplex[-1] - centroid)
+            fc = f(xc)
+            if fc < vals[-1]:
+                simplex[-1], vals[-1] = xc, fc
+            else:
+                best = simplex[0]
+                simplex = [best + 0.5 * (x - best) for x in simplex]
+                vals = [f(x) for x in simplex]
+        if abs(vals[-1] - vals[0]) < 1e-10 * (1 + abs(vals[0])):
+            break
+    i = int(np.argmin(vals))
+    return simplex[i], vals[i]
+
+
+def _poly(coefs: list[float], lag: int, sign: float) -> np.ndarray:
+    """Lag polynomial 1 + sign*(c1 B^lag + c2 B^2lag ...) as an array indexed by power of B."""
+    out = np.zeros(lag * len(coefs) + 1)
+    out[0] = 1.0
+    for i, c in enumerate(coefs, start=1):
+        out[i * lag] = sign * c
+    return out
+
+
+def _sarima_parts(params, order, sorder, s):
+    p, _, q = order
+    P, _, Q = sorder
+    th = np.tanh(params)  # keeps every coefficient inside (-1, 1)
+    phi, theta = th[:p], th[p:p + q]
+    Phi, Theta = th[p + q:p + q + P], th[p + q + P:p + q + P + Q]
+    ar = np.convolve(_poly(list(phi), 1, -1.0), _poly(list(Phi), s, -1.0))
+    ma = np.convolve(_poly(list(theta), 1, 1.0), _poly(list(Theta), s, 1.0))
+    return ar, ma
+
+
+def _css_residuals(w: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
+    """Residuals e_t = ar(B) w_t - (ma(B) - 1) e_t, from t = len(ar) - 1 on (pre-sample e = 0)."""
+    n = len(w)
+    start = len(ar) - 1
+    if n <= start:
+        return np.zeros(0)
+    v = np.convolve(w, ar)[start:n]  # AR part, vectorised
+    taps = [(j, float(ma[j])) for j in range(1, len(ma)) if ma[j] != 0.0]
+    if not taps:
+        return v
+    e = np.zeros(len(v))
+    for t in range(len(v)):  # MA part is recursive; only the non-zero lags are visited
+        acc = v[t]
+        for j, c in taps:
+            if t >= j:
+                acc -= c * e[t - j]
+        e[t] = acc
+    return e
+
+
+def _difference(y: np.ndarray, s: int) -> np.ndarray:
+    w = np.diff(y)
+    return w[s:] - w[:-s] if s > 1 else np.diff(w)
+
+
+def sarima_fit(y: np.ndarray, order=(1, 1, 1), sorder=(1, 1, 1), season: int = 12):
+    """Returns (params, sse, n_eff) or None when too short."""
+    y = np.asarray(y, dtype=float)
+    y = y[np.isfinite(y)]
+    s = season if season > 1 else 1
+    need = max(SARIMA_MIN_POINTS, 2 * s + 5) if s > 1 else SARIMA_MIN_POINTS
+    if len(y) < need:
+        return None
+    w = _difference(y, s)
+    k = order[0] + order[2] + sorder[0] + sorder[2]
+    if k == 0:
+        e = w
+        return np.zeros(0), float(np.sum(e * e)), len(e)
+
+    def obj(x):
+        ar, ma = _sarima_parts(x, order, sorder, s)
+        e = _css_residuals(w, ar, ma)
+        v = float(np.sum(e * e))
+        return v if math.isfinite(v) else 1e300
+
+    x, sse = _nelder_mead(obj, np.zeros(k), iters=60 * k)
+    ar, ma = _sarima_parts(x, order, sorder, s)
+    return x, sse, len(_css_residuals(w, ar, ma))
+
+
+def sarima_forecast(y: np.ndarray, fit, order, sorder, season: int, horizon: int) -> np.ndarray | None:
+    if fit is None:
+        return None
+    x, _, _ = fit
+    y = np.asarray(y, dtype=float)
+    y = y[np.isfinite(y)]
+    s = season if season > 1 else 1
+    ar, ma = _sarima_parts(x, order, sorder, s) if len(x) else (np.array([1.0]), np.array([1.0]))
+    w = list(_difference(y, s))
+    e = list(_css_residuals(np.array(w), ar, ma)) if len(x) else list(w)
+    e = [0.0] * (len(w) - len(e)) + e
+    for _ in range(horizon):
+        t = len(w)
+        v = -sum(ar[i] * w[t - i] for i in range(1, len(ar)) if t - i >= 0)
+        v += sum(ma[j] * e[t - j] for j in range(1, len(ma)) if t - j >= 0)
+        w.append(v)
+        e.append(0.0)
+    wf = np.array(w[-horizon:])
+    # integrate back: first seasonal then regular difference
+    d1 = list(np.diff(y))
+    for v in wf:
+        d1.append(v + (d1[-s] if s > 1 else d1[-1]))
+    lvl = [y[-1]]
+    for v in d1[-horizon:]:
+        lvl.append(lvl[-1] + v)
+    fc = np.array(lvl[1:])
+    return fc if np.all(np.isfinite(fc)) else None
+
+
+def aic(sse: float, n: int, k: int) -> float:
+    if n <= 0 or sse <= 0:
+        return float("inf")
+    return n * math.log(sse / n) + 2 * (k + 1)
+
+
+def order_search(y: np.ndarray, season: int) -> tuple[tuple, tuple, float] | None:
+    """Smallest-AIC (order, seasonal order) over the grid (at least 20 points)."""
+    if len(y) < 20:
+        return None
+    best = None
+    for order in ORDER_GRID:
+        for sorder in SEASONAL_GRID if season > 1 else [(0, 0, 0)]:
+            fit = sarima_fit(y, order, sorder, season)
+            if fit is None:
+                continue
+            k = order[0] + order[2] + sorder[0] + sorder[2]
+            a = aic(fit[1], fit[2], k)
+            if best is None or a < best[2]:
+                best = (order, sorder, a)
+    return best
+
+
+def forecast_model(y: np.ndarray, model: str, season: int, horizon: int) -> np.ndarray | None:
+    """Y10 for the fitted models; None when the model cannot be fitted (too short, non-finite)."""
+    if model == "ets":
+        return holt_winters(y, season, horizon)
+    if model == "sarima":
+        fit = sarima_fit(y, (1, 1, 1), (1, 1, 1), season)
+        return sarima_forecast(y, fit, (1, 1, 1), (1, 1, 1), season, horizon)
+    if model == "ensemble":
+        members = [forecast_model(y, m, season, horizon) for m in ("ets", "sarima")]
+        members = [m for m in members if m is not None and np.all(np.isfinite(m))]
+        return np.mean(members, axis=0) if members else None  # Y8
+    raise ValueError(f"unknown model {model!r}")
+
+
+def member_forecasts(y: np.ndarray, models: list[str], season: int, horizon: int) -> dict[str, np.ndarray]:
+    """Forecasts of the requested models, each member fitted once (the ensemble reuses them)."""
+    base = {m: forecast_model(y, m, season, horizon) for m in ("ets", "sarima") if m in models or "ensemble" in models}
+    out = {m: fc for m, fc in base.items() if m in models and fc is not None and np.all(np.isfinite(fc))}
+    if "ensemble" in models:
+        members = [fc for fc in base.values() if fc is not None and np.all(np.isfinite(fc))]
+        if members:
+            out["ensemble"] = np.mean(members, axis=0)
+    return out
+
+
+# ---------------------------------------------------------------------------
+# Spark wiring
+# ---------------------------------------------------------------------------
+
+PRED_SCHEMA = "series_id string, o int, model string, k int, pred double"
+
+
+def histories(pts: DataFrame) -> DataFrame:
+    """One array of values per series in time order (bounded by the series length)."""
+    return pts.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("t", "y"))).alias("h")).select(
+        "series_id", F.transform("h", lambda e: e["y"]).alias("ys")
+    )
+
+
+def fitted_predictions(pts: DataFrame, horizon: int, season: int, min_train: int, models: list[str], partitions: int | None = None) -> DataFrame:
+    """(series, origin, model, k, pred) for every rolling origin, fitted inside tasks."""
+    n = pts.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+    orig = n.where(F.col("n") - horizon >= min_train).select(
+        "series_id", F.explode(F.sequence(F.lit(min_train), F.col("n") - horizon)).alias("o")
+    )
+    cells = orig.join(histories(pts), "series_id")
+    parts = partitions or pts.sparkSession.sparkContext.defaultParallelism
+    cells = cells.repartition(parts, "series_id", "o")
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for sid, o, ys in zip(b["series_id"], b["o"], b["ys"]):
+                y = np.asarray(ys, dtype=float)[: int(o)]
+                for m, fc in member_forecasts(y, models, season, horizon).items():
+                    for k, v in enumerate(fc, start=1):
+                        rows.append((sid, int(o), m, k, float(v)))
+            yield pd.DataFrame(rows, columns=["series_id", "o", "model", "k", "pred"])
+
+    return cells.mapInPandas(fit, PRED_SCHEMA)
+
+
+def order_search_table(pts: DataFrame, season: int, partitions: int | None = None) -> DataFrame:
+    """Y7 per series: chosen orders, AIC and the number of points."""
+    h = histories(pts)
+    parts = partitions or pts.sparkSession.sparkContext.defaultParallelism
+    h = h.repartition(parts, "series_id")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for sid, ys in zip(b["series_id"], b["ys"]):
+                y = np.asarray(ys, dtype=float)
+                best = order_search(y, season)
+                if best is None:
+                    rows.append((sid, len(y), None, None, None))
+                else:
+                    rows.append((sid, len(y), str(best[0]), str(best[1]), float(best[2])))
+            yield pd.DataFrame(rows, columns=["series_id", "n_points", "order", "seasonal_order", "aic"])
+
+    return h.mapInPandas(search, "series_id string, n_points long, order string, seasonal_order string, aic double")

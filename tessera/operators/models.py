@@ -47,3 +47,227 @@ def binary_metrics(df: DataFrame, keys: list[str], score: str, label: str, thres
         F.try_divide((2 * F.col("_tp")).cast("double"), F.when(f1_den > 0, f1_den)).alias("f1"),
     )
     return res.drop("_all") if drop else res
+
+
+# ---------------------------------------------------------------------------
+# Feature preparation and grouped cross-validation (M1-M4)
+# ---------------------------------------------------------------------------
+
+from pyspark.ml import Pipeline  # noqa: E402
+from pyspark.ml.clustering import BisectingKMeans, KMeans  # noqa: E402
+from pyspark.ml.evaluation import ClusteringEvaluator  # noqa: E402
+from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler  # noqa: E402
+from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
+from pyspark.ml.regression import GBTRegressor, LinearRegression  # noqa: E402
+from pyspark.sql.types import NumericType  # noqa: E402
+
+# The reference's model settings.
+ELASTIC_ALPHA = 0.05
+ELASTIC_L1_RATIO = 0.5
+GBT_PARAMS = {"maxIter": 200, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.9}
+KMEANS_STARTS = 10
+SEED = 42
+
+
+def numeric_features(df: DataFrame, exclude: list[str]) -> list[str]:
+    """numeric columns minus ids, target and a block list."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in set(exclude)]
+
+
+def fold_table(df: DataFrame, group_col: str, k: int) -> DataFrame:
+    """M3: grouped k-fold assignment; groups by size (desc) onto the lightest fold.
+
+    Only (group, size) pairs reach the driver — one row per group (regions,
+    authorities), a bounded list — and the assignment goes back as a small
+    broadcast lookup.
+    """
+    sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(group_col)).collect()
+    n_folds = max(2, min(k, len(sizes)))
+    load = [0] * n_folds
+    rows = []
+    for r in sizes:
+        f = min(range(n_folds), key=lambda i: (load[i], i))
+        load[f] += r["n"]
+        rows.append((r[group_col], f))
+    spark = df.sparkSession
+    schema = f"{group_col} {df.schema[group_col].dataType.simpleString()}, fold int"
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def _prep_stages(features: list[str]):
+    imputed = [f"{c}__imp" for c in features]
+    return [
+        Imputer(inputCols=features, outputCols=imputed, strategy="median"),
+        VectorAssembler(inputCols=imputed, outputCol="_raw", handleInvalid="keep"),
+        StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
+    ]
+
+
+def elastic_net_params(alpha: float, l1_ratio: float, label_std: float) -> tuple[float, float]:
+    """Spark's penalty on y/sd(y) that matches a scikit-learn elastic net on y."""
+    l1 = alpha * l1_ratio / label_std
+    l2 = alpha * (1.0 - l1_ratio)
+    reg = l1 + l2
+    return reg, (l1 / reg if reg > 0 else 0.0)
+
+
+def grouped_cv(
+    df: DataFrame,
+    id_col: str,
+    features: list[str],
+    label: str,
+    group_col: str,
+    k: int = 5,
+    model: str = "elastic_net",
+    log_target: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """M1/M2/M4: out-of-fold predictions and per-fold metrics (r2, MAE, RMSE).
+
+    Each fold is one distributed fit on the other folds' rows; the fold loop is
+    over k (a handful), never over rows.  Returns (predictions, fold metrics);
+    with ``model="gbt"`` the fold metrics also carry mean feature importances.
+    """
+    y = F.log1p(F.col(label)) if log_target else F.col(label).cast("double")
+    data = df.select(id_col, group_col, *features, y.alias("_y")).where(F.col("_y").isNotNull())
+    data = data.join(fold_table(data, group_col, k), group_col).persist()
+    folds = sorted(r["fold"] for r in data.select("fold").distinct().collect())
+    preds, importances = [], []
+    for f in folds:
+        train = data.where(F.col("fold") != f)
+        test = data.where(F.col("fold") == f)
+        if model == "elastic_net":
+            sd = train.agg(F.stddev_samp("_y")).first()[0] or 1.0
+            reg, mix = elastic_net_params(ELASTIC_ALPHA, ELASTIC_L1_RATIO, sd)
+            est = LinearRegression(featuresCol="features", labelCol="_ys", regParam=reg, elasticNetParam=mix, standardization=False)
+            fitted = Pipeline(stages=[*_prep_stages(features), est]).fit(train.withColumn("_ys", F.col("_y") / sd))
+            p = fitted.transform(test).withColumn("prediction", F.col("prediction") * sd)
+        elif model == "gbt":
+            est = GBTRegressor(featuresCol="features", labelCol="_y", seed=SEED, **GBT_PARAMS)
+            fitted = Pipeline(stages=[*_prep_stages(features), est]).fit(train)
+            p = fitted.transform(test)
+            imp = fitted.stages[-1].featureImportances.toArray().tolist()
+            importances.append((f, imp))
+        else:
+            raise ValueError(f"unknown model {model!r}")
+        preds.append(p.select(id_col, group_col, "fold", F.col("_y").alias("actual"), F.col("prediction").alias("predicted")))
+    out = preds[0]
+    for p in preds[1:]:
+        out = out.unionByName(p)
+    if log_target:
+        out = out.withColumn("actual", F.expm1("actual")).withColumn("predicted", F.expm1("predicted"))
+    out = out.withColumn("residual", F.col("actual") - F.col("predicted"))
+    mean_y = F.avg("actual").over(Window.partitionBy("fold"))
+    metrics = (
+        out.withColumn("_m", mean_y)
+        .groupBy("fold")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            (1 - F.sum(F.col("residual") ** 2) / F.sum((F.col("actual") - F.col("_m")) ** 2)).alias("r2"),
+            F.avg(F.abs("residual")).alias("mae"),
+            F.sqrt(F.avg(F.col("residual") ** 2)).alias("rmse"),
+        )
+    )
+    if importances:
+        spark = df.sparkSession
+        imp_df = spark.createDataFrame(
+            [(f, feat, float(v)) for f, vals in importances for feat, v in zip(features, vals)],
+            "fold int, feature string, importance double",
+        )
+        top = imp_df.groupBy("fold").agg(F.max_by("feature", "importance").alias("top_feature"))
+        metrics = metrics.join(top, "fold", "left")
+    data.unpersist()
+    return out, metrics
+
+
+# ---------------------------------------------------------------------------
+# Clustering and projection (M5-M9)
+# ---------------------------------------------------------------------------
+
+
+def scaled_vectors(df: DataFrame, array_col: str) -> DataFrame:
+    """Array column -> dense vector, centred and scaled (Spark's PCA does not centre by itself)."""
+    v = df.withColumn("_raw", array_to_vector(F.col(array_col)))
+    return StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(v).transform(v)
+
+
+def kmeans_best_of(df: DataFrame, k: int, starts: int = KMEANS_STARTS, seed: int = SEED):
+    """M5: k-means from several seeds; the model with the least training cost wins."""
+    best = None
+    for i in range(starts):
+        m = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(df)
+        cost = m.summary.trainingCost
+        if best is None or cost < best[1]:
+            best = (m, cost)
+    return best
+
+
+def silhouette(df: DataFrame, prediction_col: str = "cluster") -> float | None:
+    """M7: silhouette (squared Euclidean) when 1 < k < n."""
+    k = df.select(prediction_col).distinct().count()
+    n = df.count()
+    if not (1 < k < n):
+        return None
+    return ClusteringEvaluator(featuresCol="features", predictionCol=prediction_col).evaluate(df)
+
+
+def bisecting(df: DataFrame, k: int, seed: int = SEED) -> DataFrame:
+    """M6 re-aimed: top-down bisecting k-means (scales; exact Ward linkage is quadratic)."""
+    return BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(df).transform(df)
+
+
+def pca_2d(df: DataFrame) -> tuple[DataFrame, list[float]]:
+    """M8: first two principal components of centred, scaled features and their explained variance."""
+    m = PCA(k=2, inputCol="features", outputCol="_pc").fit(df)
+    out = m.transform(df).withColumn("_pca", vector_to_array("_pc"))
+    return out.withColumn("pc1", F.col("_pca")[0]).withColumn("pc2", F.col("_pca")[1]).drop("_pc", "_pca"), list(
+        m.explainedVariance.toArray()
+    )
+
+
+# ---------------------------------------------------------------------------
+# Scenario table
+# ---------------------------------------------------------------------------
+
+# Driver shocks of the scenario table (x0.9 / x1.1) and which drivers move which way.
+SHOCK = 0.10
+SUPPLY_LIKE = ("supply", "ee_", "epc_", "share")
+PRESSURE_LIKE = ("affordability", "ratio", "vacant", "second_home")
+
+
+def scenario_table(df: DataFrame, id_col: str, features: list[str], target: str, min_target_rows: int = 3) -> DataFrame:
+    """Target (or a z-score proxy), boosted trees (depth 4), scored on base, low and high driver copies."""
+    n_target = df.agg(F.count(target)).first()[0]
+    is_proxy = n_target < min_target_rows
+    if is_proxy:
+        parts = []
+        for c in features:
+            s = df.agg(F.avg(c), F.stddev_pop(c)).first()
+            if s[1] and s[1] > 1e-12:
+                z = (F.col(c) - s[0]) / s[1]
+                parts.append(-z if any(p in c.lower() for p in PRESSURE_LIKE) else z)
+        y = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)) / max(len(parts), 1)
+    else:
+        med = df.agg(F.percentile(target, 0.5)).first()[0]
+        y = F.coalesce(F.col(target).cast("double"), F.lit(med))
+    data = df.withColumn("_y", y)
+    # H2: a feature that is a copy of the target is left out (no leakage).
+    feats = [c for c in features if c != target and data.agg(F.count(c)).first()[0] > 0]
+    est = GBTRegressor(featuresCol="features", labelCol="_y", maxDepth=4, seed=SEED)
+    fitted = Pipeline(stages=[*_prep_stages(feats), est]).fit(data)
+
+    def shocked(factor_supply: float, factor_pressure: float) -> DataFrame:
+        cols = {}
+        for c in feats:
+            lc = c.lower()
+            if any(p in lc for p in SUPPLY_LIKE):
+                cols[c] = F.col(c) * factor_supply
+            elif any(p in lc for p in PRESSURE_LIKE):
+                cols[c] = F.col(c) * factor_pressure
+        return data.withColumns(cols) if cols else data
+
+    base = fitted.transform(data).select(id_col, F.col("prediction").alias("scenario_baseline"))
+    low = fitted.transform(shocked(1 - SHOCK, 1 + SHOCK)).select(id_col, F.col("prediction").alias("scenario_low"))
+    high = fitted.transform(shocked(1 + SHOCK, 1 - SHOCK)).select(id_col, F.col("prediction").alias("scenario_high"))
+    return base.join(low, id_col).join(high, id_col).withColumn("target_metric", F.lit("proxy_driver_score" if is_proxy else target)).withColumn(
+        "target_is_proxy", F.lit(is_proxy)
+    )

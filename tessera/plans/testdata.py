@@ -1306,3 +1306,192 @@ def classifier_metrics(spark: SparkSession, d: str) -> DataFrame:
     out = met.join(folds, "target")
     r = lambda c: F.round(c, 6).alias(c)
     return out.select("target", "n", r("positive_rate"), r("brier"), r("auc"), r("f1"), r("mean_fold_brier"))
+
+
+# ---------------------------------------------------------------------------
+# Fitted models (rows-only checks: no SQL statement exists for a model fit)
+# ---------------------------------------------------------------------------
+
+from ..operators import forecast_models as FM  # noqa: E402
+from . import playbook as PB  # noqa: E402
+
+
+def _monthly_region_points(spark: SparkSession, d: str) -> DataFrame:
+    s = _series(spark, d).where((F.col("level") == "region") & (F.col("frequency") == "monthly"))
+    return Y.index_points(s)
+
+
+@query
+def ets_backtest(spark: SparkSession, d: str) -> DataFrame:
+    """Rolling-origin backtest of ETS, SARIMA and their ensemble."""
+    pts = tidy(_monthly_region_points(spark, d))
+    preds = FM.fitted_predictions(pts, horizon=BACKTEST_H, season=12, min_train=36, models=["ets", "sarima", "ensemble"])
+    summ = Y.summarise_backtest(Y.score_predictions(preds, pts, BACKTEST_H, 12))
+    r = lambda c: F.round(c, 4).alias(c)
+    return summ.select("series_id", "model", "n_windows", r("mae"), r("rmse"), r("mape"), r("mase"), r("coverage_p10_p90"), r("pinball_p50"), "is_best")
+
+
+@query
+def sarima_order_search(spark: SparkSession, d: str) -> DataFrame:
+    """Smallest-AIC orders per monthly series (regions and authorities)."""
+    s = _series(spark, d).where(F.col("frequency") == "monthly")
+    return FM.order_search_table(Y.index_points(s), season=12).select(
+        "series_id", "n_points", "order", "seasonal_order", F.round("aic", 4).alias("aic")
+    )
+
+
+@query
+def lagged_gbt(spark: SparkSession, d: str) -> DataFrame:
+    """One boosted-tree model pooled over all monthly series on lags 1,2,3,12; chronological 80/20 split."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    s = _series(spark, d).where(F.col("frequency") == "monthly").withColumnRenamed("value", "y")
+    x = W.lag_features(s, ["series_id"], "ts", "y", [1, 2, 3, 12]).na.drop(subset=["lag_1", "lag_2", "lag_3", "lag_12"])
+    x = x.withColumn("is_train", W.chrono_split_flag(["series_id"], "ts", 0.8))
+    feats = ["lag_1", "lag_2", "lag_3", "lag_12"]
+    model = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features"), GBTRegressor(featuresCol="features", labelCol="y", maxDepth=5, seed=42)]).fit(
+        x.where("is_train")
+    )
+    pred = model.transform(x.where(~F.col("is_train")))
+    e = F.col("prediction") - F.col("y")
+    n_train = x.where("is_train").groupBy("series_id").agg(F.count(F.lit(1)).alias("n_train"))
+    out = pred.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("n_test"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse")
+    ).join(n_train, "series_id", "left")
+    return out.select("series_id", "n_train", "n_test", F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"))
+
+
+def _customer_features(spark: SparkSession, d: str) -> DataFrame:
+    lk = la_lookup(spark, d)
+    o = read(spark, d, "orders", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    c = read(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal")
+    agg = o.groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("n_orders"), F.avg("o_totalprice").alias("mean_price"), F.max("o_totalprice").alias("max_price"),
+        F.avg((F.col("o_orderpriority") == "1-URGENT").cast("double")).alias("share_urgent"),
+        F.datediff(F.max("o_orderdate"), F.min("o_orderdate")).cast("double").alias("span_days"),
+        F.sum("o_totalprice").alias("total_value"),
+    )
+    x = c.join(agg, c.c_custkey == agg.o_custkey).join(lk, F.col("c_nationkey") == lk.nationkey)
+    return x.select("c_custkey", "region_name", "c_acctbal", "n_orders", "mean_price", "max_price", "share_urgent", "span_days", "total_value")
+
+
+CV_FEATURES = ["c_acctbal", "n_orders", "mean_price", "max_price", "share_urgent", "span_days"]
+
+
+def _cv_query(spark: SparkSession, d: str, model: str) -> DataFrame:
+    from ..operators import models as M
+
+    feats = _customer_features(spark, d)
+    preds, metrics = M.grouped_cv(feats, "c_custkey", CV_FEATURES, "total_value", "region_name", k=5, model=model, log_target=True)
+    out = preds.join(metrics.withColumnsRenamed({"n": "fold_n", "mae": "fold_mae", "rmse": "fold_rmse", "r2": "fold_r2"}), "fold")
+    cols = ["c_custkey", "region_name", "fold", "actual", "predicted", "residual", "fold_n", "fold_r2", "fold_mae", "fold_rmse"]
+    if "top_feature" in out.columns:
+        cols.append("top_feature")
+    return out.select(*cols)
+
+
+@query
+def group_kfold_elastic_net(spark: SparkSession, d: str) -> DataFrame:
+    """M1/M3/M4: elastic net (alpha 0.05, l1 0.5) with median impute and scaling, grouped by region."""
+    return _cv_query(spark, d, "elastic_net")
+
+
+@query
+def group_kfold_gbt(spark: SparkSession, d: str) -> DataFrame:
+    """M2/M3/M4: boosted trees (200 trees, 0.05, depth 6, subsample 0.9) with importances, grouped by region."""
+    return _cv_query(spark, d, "gbt")
+
+
+def _embedding_vectors(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import models as M
+
+    e = read(spark, d, "embeddings", "vec_id", "embedding", "label").where(F.col("embedding").isNotNull())
+    return M.scaled_vectors(e, "embedding")
+
+
+KMEANS_K = 5
+
+
+@query
+def kmeans_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """M5/M7/M9: best of 10 k-means starts, silhouette, labels attached by id."""
+    from ..operators import models as M
+
+    v = _embedding_vectors(spark, d).persist()
+    model, cost = M.kmeans_best_of(v, KMEANS_K)
+    out = model.transform(v)
+    sil = M.silhouette(out)
+    ids = read(spark, d, "embeddings", "vec_id", "label")
+    labelled = J.keep_keys(ids, out, "vec_id").join(out.select("vec_id", "cluster"), "vec_id", "left")
+    return labelled.select(
+        "vec_id", "label", "cluster", F.lit(sil).cast("double").alias("silhouette"), F.lit(float(cost)).alias("training_cost")
+    )
+
+
+@query
+def pca_2d(spark: SparkSession, d: str) -> DataFrame:
+    """M8: two principal components of the centred, scaled embeddings."""
+    from ..operators import models as M
+
+    out, var = M.pca_2d(_embedding_vectors(spark, d))
+    return out.select(
+        "vec_id", "label", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"),
+        F.lit(round(var[0], 6)).alias("explained_1"), F.lit(round(var[1], 6)).alias("explained_2"),
+    )
+
+
+@query
+def bisecting(spark: SparkSession, d: str) -> DataFrame:
+    """M6 (re-aimed): bisecting k-means clusters of the embeddings."""
+    from ..operators import models as M
+
+    return M.bisecting(_embedding_vectors(spark, d), KMEANS_K).select("vec_id", "label", "cluster")
+
+
+SCENARIO_FEATURES = ["supply_f", "supply_o", "supply_p", "population", "median_price", "mean_earnings", "price_earnings_ratio",
+                     "fuel_share_a", "fuel_share_n", "fuel_share_r"]
+
+
+@query
+def scenario_table(spark: SparkSession, d: str) -> DataFrame:
+    """LA snapshot drivers -> growth of the LA price series; base, low and high scenarios."""
+    from ..operators import models as M
+
+    lk = la_lookup(spark, d)
+    snap = market_snapshot_la(spark, d)
+    growth = W.first_last_growth(price_series(spark, d, lk, grain="la"), ["geography"], "month", "value").select(
+        F.col("geography").alias("lad_code"), F.col("growth_pct").alias("hpi_growth")
+    )
+    base = snap.join(growth, "lad_code", "left")
+    out = M.scenario_table(base, "lad_code", SCENARIO_FEATURES, "hpi_growth")
+    r = lambda c: F.round(c, 6).alias(c)
+    return out.select("lad_code", r("scenario_baseline"), r("scenario_low"), r("scenario_high"), "target_metric", "target_is_proxy")
+
+
+@query
+def playbook_scoreboard(spark: SparkSession, d: str) -> DataFrame:
+    """Scoreboard over targets and geographies."""
+    lk = la_lookup(spark, d)
+    pts = _monthly_region_points(spark, d)
+    hpi = PB.hpi_growth_target(pts)
+    _, a, b, c, _, _ = _horizon_frames(spark, d)
+    afford = PB.affordability_target(c, "lad_code", "year", "ratio")
+    spread = spread_12m(spark, d).withColumn("month", F.to_date("month"))
+    div = PB.divergence_target(spread, "region_name", "month", "spread")
+    trend = PB.trend_target(_region_year_totals(spark, d, lk), "region_name", "year", "total", "supply_trend")
+    # Vacancy pressure: change of the open-order share between the last two financial years per LA.
+    la = la_supply(spark, d, lk)
+    fy_last = la.agg(F.max(F.struct(P.period_sort_key("financial_year").alias("k"), F.col("financial_year").alias("p")))).scalar().getField("p")
+    share = la.groupBy("lad_code", "financial_year", "fy_start").agg(
+        (F.sum(F.when(F.col("measure") == "O", F.col("dwellings"))) / F.sum("dwellings")).alias("open_share")
+    )
+    w = Window.partitionBy("lad_code").orderBy("fy_start")
+    share = share.withColumn("delta", (F.col("open_share") - F.lag("open_share").over(w)) * 100.0).where(F.col("financial_year") == fy_last)
+    vac = market_snapshot_la(spark, d).join(share.select("lad_code", "delta"), "lad_code")
+    vacancy = PB.vacancy_class_target(vac, "lad_code", ["population", "median_price", "mean_earnings", "fuel_share_a"], "delta")
+    board = PB.scoreboard([hpi, afford, div, trend, vacancy])
+    r = lambda col: F.round(col, 6).alias(col)
+    return board.select("target", "geography", "model", "metric", r("value"), r("baseline_value"), r("delta_vs_baseline"),
+                        r("estimate"), r("estimate_p10"), r("estimate_p90"), "note")
