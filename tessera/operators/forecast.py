@@ -220,8 +220,9 @@ def summarise_backtest(windows: DataFrame) -> DataFrame:
     s = windows.groupBy("series_id", "model").agg(
         F.count(F.lit(1)).alias("n_windows"), *[F.avg(m).alias(m) for m in METRICS]
     )
+    # Ties at reporting precision (e.g. two baselines with the same predictions) go to the model name.
     best = s.where(F.col("mae").isNotNull()).groupBy("series_id").agg(
-        F.min_by("model", F.struct(F.col("mae"), F.col("model"))).alias("_best")
+        F.min_by("model", F.struct(F.round("mae", 6), F.col("model"))).alias("_best")
     )
     return s.join(best, "series_id", "left").withColumn("is_best", F.coalesce(F.col("model") == F.col("_best"), F.lit(False))).drop("_best")
 

@@ -8,6 +8,8 @@ is a filter per fold over one cached feature table.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,8 +133,8 @@ def grouped_cv(
     data = df.select(id_col, group_col, *features, y.alias("_y")).where(F.col("_y").isNotNull())
     data = data.join(fold_table(data, group_col, k), group_col).persist()
     folds = sorted(r["fold"] for r in data.select("fold").distinct().collect())
-    preds, importances = [], []
-    for f in folds:
+
+    def fit_fold(f: int):
         train = data.where(F.col("fold") != f)
         test = data.where(F.col("fold") == f)
         if model == "elastic_net":
@@ -141,15 +143,22 @@ def grouped_cv(
             est = LinearRegression(featuresCol="features", labelCol="_ys", regParam=reg, elasticNetParam=mix, standardization=False)
             fitted = Pipeline(stages=[*_prep_stages(features), est]).fit(train.withColumn("_ys", F.col("_y") / sd))
             p = fitted.transform(test).withColumn("prediction", F.col("prediction") * sd)
+            imp = None
         elif model == "gbt":
             est = GBTRegressor(featuresCol="features", labelCol="_y", seed=SEED, **GBT_PARAMS)
             fitted = Pipeline(stages=[*_prep_stages(features), est]).fit(train)
             p = fitted.transform(test)
             imp = fitted.stages[-1].featureImportances.toArray().tolist()
-            importances.append((f, imp))
         else:
             raise ValueError(f"unknown model {model!r}")
-        preds.append(p.select(id_col, group_col, "fold", F.col("_y").alias("actual"), F.col("prediction").alias("predicted")))
+        cols = p.select(id_col, group_col, "fold", F.col("_y").alias("actual"), F.col("prediction").alias("predicted"))
+        return cols, (f, imp) if imp is not None else None
+
+    # Folds are independent fits: submit them together so their jobs share the cluster.
+    with ThreadPoolExecutor(max_workers=len(folds)) as pool:
+        results = list(pool.map(fit_fold, folds))
+    preds = [r[0] for r in results]
+    importances = [r[1] for r in results if r[1] is not None]
     out = preds[0]
     for p in preds[1:]:
         out = out.unionByName(p)
@@ -191,14 +200,16 @@ def scaled_vectors(df: DataFrame, array_col: str) -> DataFrame:
 
 
 def kmeans_best_of(df: DataFrame, k: int, starts: int = KMEANS_STARTS, seed: int = SEED):
-    """M5: k-means from several seeds; the model with the least training cost wins."""
-    best = None
-    for i in range(starts):
+    """M5: k-means from several seeds (fitted concurrently); the least training cost wins, ties to the first seed."""
+
+    def fit(i: int):
         m = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(df)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (m, cost)
-    return best
+        return m, m.summary.trainingCost, i
+
+    with ThreadPoolExecutor(max_workers=min(starts, 8)) as pool:
+        fits = list(pool.map(fit, range(starts)))
+    best = min(fits, key=lambda r: (r[1], r[2]))
+    return best[0], best[1]
 
 
 def silhouette(df: DataFrame, prediction_col: str = "cluster") -> float | None:

@@ -184,7 +184,7 @@ SQL["annual_last_and_mean"] = f"""
 WITH {LK}, {PRICE_SERIES}
 SELECT geography AS region_name, CAST(year(month) AS INTEGER) AS year,
   strftime(make_date(CAST(year(month) AS INTEGER), 12, 31), '%Y-%m-%d') AS year_end,
-  round(arg_max(value, month), 4) AS last_value, round(avg(value), 4) AS mean_value
+  arg_max(value, month) AS last_value, round(avg(value), 8) AS mean_value
 FROM ps WHERE value IS NOT NULL GROUP BY geography, year(month)"""
 
 SQL["melt_measures"] = """
@@ -233,7 +233,7 @@ SQL["band_share_abc"] = f"""
 WITH {LK}, {BANDS},
 r AS (SELECT region_code, region_name, sum(pct) FILTER (WHERE band IN ('A','B','C')) AS abc_share,
         sum(pct) FILTER (WHERE band = 'C') AS c_share FROM bs GROUP BY ALL)
-SELECT lk.lad_code, lk.lad_name, r.region_name, round(r.abc_share, 4) AS abc_share, round(r.c_share, 4) AS c_share,
+SELECT lk.lad_code, lk.lad_name, r.region_name, round(r.abc_share, 6) AS abc_share, r.c_share,
   r.c_share = (SELECT max(c_share) FROM r) AS c_share_is_max, TRUE AS is_region_proxy
 FROM lk LEFT JOIN r ON lk.region_code = r.region_code"""
 
@@ -247,7 +247,7 @@ x AS (SELECT sc.*, pop.population,
         CASE WHEN pop.population > 0 THEN sc.starts / pop.population * 1000.0 END AS starts_per_1000
       FROM sc LEFT JOIN pop USING (lad_code))
 SELECT lad_code, lad_name, financial_year, round(starts, 2) AS starts, round(completions, 2) AS completions, population,
-  round(starts_per_1000, 4) AS starts_per_1000,
+  round(starts_per_1000, 6) AS starts_per_1000,
   CASE WHEN starts IS NOT NULL THEN rank() OVER (ORDER BY starts DESC NULLS LAST) END AS rank_starts,
   CASE WHEN starts_per_1000 IS NOT NULL THEN rank() OVER (ORDER BY starts_per_1000 DESC NULLS LAST) END AS rank_starts_per_1000
 FROM x"""
@@ -262,7 +262,8 @@ op AS (SELECT c_nationkey, {_fy_label('o_orderdate')} AS financial_year, {_fy_st
        FROM orders JOIN customer ON o_custkey = c_custkey),
 med AS (SELECT lk.lad_code, quantile_cont(o_totalprice, 0.5) AS median_price FROM op JOIN lk ON c_nationkey = lk.nationkey
         WHERE financial_year = (SELECT arg_max(financial_year, fy_start) FROM op) GROUP BY ALL),
-earn AS (SELECT lk.lad_code, avg(c_acctbal) AS mean_earnings FROM customer JOIN lk ON c_nationkey = lk.nationkey GROUP BY ALL),
+earn AS (SELECT lk.lad_code, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100.0 AS mean_earnings
+         FROM customer JOIN lk ON c_nationkey = lk.nationkey GROUP BY ALL),
 fuel AS (SELECT lk.lad_code,
    count(*) FILTER (WHERE l_returnflag = 'A') * 100.0 / count(*) AS fuel_share_a,
    count(*) FILTER (WHERE l_returnflag = 'N') * 100.0 / count(*) AS fuel_share_n,
@@ -273,9 +274,9 @@ SQL["market_snapshot_la"] = f"""
 WITH {LK}, {LA}, {POP}, {_SNAP_PARTS}
 SELECT lk.lad_code, lk.lad_name, lk.region_name, supply.financial_year,
   round(supply_f, 2) AS supply_f, round(supply_o, 2) AS supply_o, round(supply_p, 2) AS supply_p,
-  pop.population, round(median_price, 2) AS median_price, round(mean_earnings, 4) AS mean_earnings,
-  round(CASE WHEN mean_earnings > 0 THEN median_price / mean_earnings END, 4) AS price_earnings_ratio,
-  round(fuel_share_a, 4) AS fuel_share_a, round(fuel_share_n, 4) AS fuel_share_n, round(fuel_share_r, 4) AS fuel_share_r
+  pop.population, round(median_price, 4) AS median_price, mean_earnings,
+  round(CASE WHEN mean_earnings > 0 THEN median_price / mean_earnings END, 6) AS price_earnings_ratio,
+  fuel_share_a, fuel_share_n, fuel_share_r
 FROM lk LEFT JOIN supply USING (lad_code) LEFT JOIN pop USING (lad_code) LEFT JOIN med USING (lad_code)
   LEFT JOIN earn USING (lad_code) LEFT JOIN fuel USING (lad_code)"""
 
@@ -293,8 +294,8 @@ g AS (SELECT geography AS region_name, arg_min(value, month) AS fv, arg_max(valu
 spine AS (SELECT DISTINCT region_code, region_name FROM lk)
 SELECT spine.region_code, spine.region_name, supply.financial_year,
   round(supply_f, 2) AS supply_f, round(supply_o, 2) AS supply_o, round(supply_p, 2) AS supply_p,
-  pop.population, round(abc.abc_share, 4) AS abc_share,
-  round((CASE WHEN fv <> 0 THEN lv / fv END - 1.0) * 100.0, 4) AS growth_pct
+  pop.population, round(abc.abc_share, 6) AS abc_share,
+  (CASE WHEN fv <> 0 THEN lv / fv END - 1.0) * 100.0 AS growth_pct
 FROM spine LEFT JOIN supply USING (region_code) LEFT JOIN pop USING (region_code) LEFT JOIN abc USING (region_code)
   LEFT JOIN g ON spine.region_name = g.region_name"""
 
@@ -343,8 +344,8 @@ b AS (SELECT lad_code, earnings FROM fb WHERE year = (SELECT y FROM y)),
 c AS (SELECT lad_code, ratio FROM fc WHERE year = (SELECT y FROM y)),
 j AS (SELECT coalesce(a.lad_code, b.lad_code, c.lad_code) AS lad_code, price, earnings, ratio
       FROM a FULL JOIN b ON a.lad_code = b.lad_code FULL JOIN c ON coalesce(a.lad_code, b.lad_code) = c.lad_code)
-SELECT j.lad_code, lk.lad_name, CAST((SELECT y FROM y) AS INTEGER) AS year, round(price, 2) AS price, round(earnings, 4) AS earnings,
-  round(ratio, 4) AS ratio_published, round(CASE WHEN earnings > 0 THEN price / earnings END, 4) AS ratio_computed
+SELECT j.lad_code, lk.lad_name, CAST((SELECT y FROM y) AS INTEGER) AS year, round(price, 4) AS price, earnings,
+  ratio AS ratio_published, round(CASE WHEN earnings > 0 THEN price / earnings END, 6) AS ratio_computed
 FROM j LEFT JOIN lk ON j.lad_code = lk.lad_code"""
 
 HORIZON = f"""{_fam_price('CAST(year(o_orderdate) AS INTEGER)')}, {_fam_earn()},
@@ -365,7 +366,7 @@ dr AS (SELECT lad_code, min(ratio) FILTER (WHERE year = (SELECT y_max FROM bound
 SQL["horizon_deltas"] = f"""
 WITH {LK}, {HORIZON}
 SELECT lk.lad_code, lk.lad_name, lk.region_name, CAST((SELECT y_min FROM bounds) AS INTEGER) AS y_min, CAST((SELECT y_max FROM bounds) AS INTEGER) AS y_max,
-  round(delta_median_price, 2) AS delta_median_price, round(delta_earnings, 4) AS delta_earnings, round(delta_ratio, 6) AS delta_ratio
+  round(delta_median_price, 4) AS delta_median_price, delta_earnings, round(delta_ratio, 6) AS delta_ratio
 FROM lk JOIN dp ON lk.lad_code = dp.lad_code JOIN de ON lk.lad_code = de.lad_code JOIN dr ON lk.lad_code = dr.lad_code
 WHERE delta_median_price IS NOT NULL AND delta_earnings IS NOT NULL AND delta_ratio IS NOT NULL"""
 
@@ -405,9 +406,9 @@ x AS (SELECT both_s.geography, both_s.month, CASE WHEN h0 <> 0 THEN hpi / h0 END
         CASE WHEN r0 <> 0 THEN rent / r0 END * 100.0 AS rent_index,
         CASE WHEN hb.b <> 0 THEN hpi / hb.b END * 100.0 AS hpi_index_base
       FROM both_s JOIN base ON both_s.geography = base.geography LEFT JOIN hb ON both_s.geography = hb.geography)
-SELECT geography AS region_name, strftime(month, '%Y-%m-%d') AS month, round(hpi_index_base, 4) AS hpi_index_base,
-  round(hpi_index, 4) AS hpi_index, round(rent_index, 4) AS rent_index, round(hpi_index - rent_index, 4) AS spread,
-  round(hpi_index / rent_index, 6) AS ratio
+SELECT geography AS region_name, strftime(month, '%Y-%m-%d') AS month, hpi_index_base,
+  hpi_index, rent_index, hpi_index - rent_index AS spread,
+  CASE WHEN rent_index <> 0 THEN hpi_index / rent_index END AS ratio
 FROM x"""
 
 SQL["overlap_growth"] = f"""
@@ -416,7 +417,7 @@ g AS (SELECT geography, arg_min(hpi, month) AS h0, arg_max(hpi, month) AS h1, ar
         min(month) AS m0, max(month) AS m1, count(*) AS n FROM both_s GROUP BY geography HAVING count(*) >= 2),
 x AS (SELECT *, (CASE WHEN h0 <> 0 THEN h1 / h0 END - 1.0) * 100.0 AS hg, (CASE WHEN r0 <> 0 THEN r1 / r0 END - 1.0) * 100.0 AS rg FROM g)
 SELECT geography AS region_name, strftime(m0, '%Y-%m-%d') AS first_month, strftime(m1, '%Y-%m-%d') AS last_month, n AS n_points,
-  round(hg, 4) AS hpi_growth, round(rg, 4) AS rent_growth, round(hg - rg, 4) AS growth_gap
+  hg AS hpi_growth, rg AS rent_growth, hg - rg AS growth_gap
 FROM x"""
 
 SQL["spread_12m"] = f"""
@@ -425,7 +426,7 @@ x AS (SELECT geography, month,
    (hpi / nullif(lag(hpi, 12) OVER w, 0) - 1.0) * 100.0 AS hy,
    (rent / nullif(lag(rent, 12) OVER w, 0) - 1.0) * 100.0 AS ry
   FROM both_s WINDOW w AS (PARTITION BY geography ORDER BY month))
-SELECT geography AS region_name, strftime(month, '%Y-%m-%d') AS month, round(hy, 4) AS hpi_yoy, round(ry, 4) AS rent_yoy, round(hy - ry, 4) AS spread
+SELECT geography AS region_name, strftime(month, '%Y-%m-%d') AS month, hy AS hpi_yoy, ry AS rent_yoy, hy - ry AS spread
 FROM x"""
 
 SQL["rates_per_1000"] = f"""
@@ -551,14 +552,15 @@ SELECT lad_code, dwelling_group, breakdown_type, breakdown_label, value, value A
 
 SQL["fills_and_filters"] = f"""
 WITH {LK},
-g AS (SELECT lk.region_name, CAST(year(o_orderdate) AS INTEGER) AS year, sum(o_totalprice) AS total
+g AS (SELECT lk.region_name, CAST(year(o_orderdate) AS INTEGER) AS year, sum(o_totalprice) AS total,
+             sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS total_pence
       FROM orders JOIN customer ON o_custkey = c_custkey JOIN lk ON c_nationkey = lk.nationkey
       WHERE trim(o_orderpriority) = '1-URGENT' AND lk.region_name IN ('AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST')
         AND lk.region_name NOT IN ('MIDDLE EAST')
       GROUP BY ALL HAVING sum(o_totalprice) IS NOT NULL),
 p AS (SELECT *, (total / nullif(lag(total) OVER (PARTITION BY region_name ORDER BY year), 0) - 1.0) * 100.0 AS pct_change FROM g)
 SELECT upper(substr(region_name, 1, 1)) || lower(substr(region_name, 2)) AS region_label, year, round(total, 2) AS total,
-  '£' || format('{{:,}}', CAST(round(total, 0) AS BIGINT)) AS total_label,
+  '£' || format('{{:,}}', CAST(floor((total_pence + 50) / 100) AS BIGINT)) AS total_label,
   round(pct_change, 4) AS pct_change,
   CASE WHEN year - 1994 <= 1 THEN 1 WHEN year - 1994 <= 3 THEN 3 WHEN year - 1994 <= 6 THEN 6 WHEN year - 1994 <= 12 THEN 12 ELSE 24 END AS horizon_bucket,
   CASE WHEN pct_change / 100.0 > 0.1 THEN 'rising' WHEN pct_change / 100.0 < -0.1 THEN 'falling' ELSE 'stable' END AS delta_class,
@@ -577,13 +579,13 @@ m AS (SELECT lad_code, first(o_orderpriority ORDER BY n DESC, o_orderpriority) A
 g AS (SELECT lad_code, count(*) AS n_orders, sum(o_totalprice) AS total,
         coalesce(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'P'), 0) AS total_p,
         first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_orderkey,
-        avg(o_totalprice) AS mean_price, max(o_totalprice) AS max_price,
+        CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100.0 AS mean_price, max(o_totalprice) AS max_price,
         first(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS argmax_orderkey
       FROM x GROUP BY lad_code),
 s AS (SELECT min(total) AS lo, max(total) AS hi, avg(total) AS mu, stddev_pop(total) AS sd FROM g)
 SELECT g.lad_code, n_orders, round(total, 2) AS total, round(total_p, 2) AS total_p, first_orderkey,
-  round(total / (SELECT count(DISTINCT year(o_orderdate)) FROM orders), 4) AS mean_per_year,
-  round(mean_price, 4) AS mean_price,
+  round(total / (SELECT count(DISTINCT year(o_orderdate)) FROM orders), 6) AS mean_per_year,
+  mean_price,
   CASE WHEN mean_price IS NOT NULL THEN rank() OVER (ORDER BY mean_price DESC NULLS LAST) END AS rank_mean_price,
   round(max_price, 2) AS max_price, argmax_orderkey, m.mode_priority,
   round(CASE WHEN (SELECT sd FROM s) > 0 THEN (total - (SELECT mu FROM s)) / (SELECT sd FROM s) END, 6) AS total_z,
@@ -617,9 +619,7 @@ x AS (SELECT geography, month, value,
   lead(value, 1) OVER w AS lead_1, value - lag(value, 1) OVER w AS diff_1,
   row_number() OVER w <= floor(count(*) OVER (PARTITION BY geography) * 0.8) AS is_train
   FROM ps WINDOW w AS (PARTITION BY geography ORDER BY month))
-SELECT geography AS region_name, strftime(month, '%Y-%m-%d') AS month, round(value, 4) AS value, round(lag_1, 4) AS lag_1,
-  round(lag_2, 4) AS lag_2, round(lag_3, 4) AS lag_3, round(lag_12, 4) AS lag_12, round(lead_1, 4) AS lead_1,
-  round(diff_1, 4) AS diff_1, is_train
+SELECT geography AS region_name, strftime(month, '%Y-%m-%d') AS month, value, lag_1, lag_2, lag_3, lag_12, lead_1, diff_1, is_train
 FROM x"""
 
 SQL["yoy_last_two"] = f"""
@@ -667,8 +667,8 @@ abc AS (SELECT region_code, sum(pct) FILTER (WHERE band IN ('A','B','C')) AS abc
 ctx AS (SELECT region_name, first(region_code) AS region_code FROM lk GROUP BY region_name),
 nl AS (SELECT region_name, count(*) AS n_las FROM lk GROUP BY region_name)
 SELECT ctx.region_code, tot.region_name, tot.year, round(total, 2) AS total,
-  round(CASE WHEN b > 0 THEN total / b END * 100.0, 4) AS index_to_base, round(rent.rent_mean, 4) AS rent_mean,
-  round(abc.abc_share, 4) AS abc_share, nl.n_las
+  round(CASE WHEN b > 0 THEN total / b END * 100.0, 6) AS index_to_base, round(rent.rent_mean, 8) AS rent_mean,
+  round(abc.abc_share, 6) AS abc_share, nl.n_las
 FROM tot JOIN base ON tot.region_name = base.region_name
   JOIN rent ON tot.region_name = rent.region_name AND tot.year = rent.year
   LEFT JOIN ctx ON tot.region_name = ctx.region_name
@@ -682,13 +682,13 @@ _SORT_DATE = """CASE WHEN period_label = '5-Year Average' THEN '2099-12-31'
 
 SQL["affordability_compare"] = f"""
 WITH {LK}, {_fam_price(_Y)}, {_fam_earn()}, {FAM_RATIO},
-fams0 AS (SELECT 'price' AS family, lad_code, 'Year ending Sep ' || CAST(year AS VARCHAR) AS period_label, price AS value FROM fa
+fams0 AS (SELECT 'price' AS family, lad_code, 'Year ending Sep ' || CAST(year AS VARCHAR) AS period_label, round(price, 4) AS value FROM fa
   UNION ALL SELECT 'earnings', lad_code, CAST(year AS VARCHAR), earnings FROM fb
   UNION ALL SELECT 'ratio', lad_code, CAST(year AS VARCHAR), ratio FROM fc),
 fams AS (SELECT *, {_PE_YEAR} AS pe_year FROM fams0),
 common AS (SELECT pe_year FROM fams WHERE family = 'price' INTERSECT SELECT pe_year FROM fams WHERE family = 'earnings'
            INTERSECT SELECT pe_year FROM fams WHERE family = 'ratio')
-SELECT family, lad_code, period_label, pe_year, {_SORT_DATE} AS sort_date, round(value, 4) AS value
+SELECT family, lad_code, period_label, pe_year, {_SORT_DATE} AS sort_date, value
 FROM fams WHERE pe_year IN (SELECT pe_year FROM common)"""
 
 SQL["population_by_la"] = f"""
@@ -824,7 +824,7 @@ w AS (SELECT series_id, model, o,
 sm AS (SELECT series_id, model, count(*) AS n_windows, avg(mae) AS mae, avg(rmse) AS rmse, avg(mape) AS mape, avg(mase) AS mase,
          avg(coverage_p10_p90) AS coverage_p10_p90, avg(pinball_p10) AS pinball_p10, avg(pinball_p50) AS pinball_p50, avg(pinball_p90) AS pinball_p90
        FROM w GROUP BY series_id, model),
-best AS (SELECT series_id, arg_min(model, (mae, model)) AS best FROM sm WHERE mae IS NOT NULL GROUP BY series_id)
+best AS (SELECT series_id, arg_min(model, (round(mae, 6), model)) AS best FROM sm WHERE mae IS NOT NULL GROUP BY series_id)
 SELECT sm.series_id, model, n_windows, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(mape, 4) AS mape, round(mase, 4) AS mase,
   round(coverage_p10_p90, 6) AS coverage_p10_p90, round(pinball_p10, 4) AS pinball_p10, round(pinball_p50, 4) AS pinball_p50,
   round(pinball_p90, 4) AS pinball_p90, coalesce(model = best.best, FALSE) AS is_best

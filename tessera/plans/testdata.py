@@ -198,8 +198,8 @@ def annual_last_and_mean(spark: SparkSession, d: str) -> DataFrame:
         F.col("geography").alias("region_name"),
         F.col("year").cast("int").alias("year"),
         ymd("year_end").alias("year_end"),
-        F.round("last_value", 4).alias("last_value"),
-        F.round("mean_value", 4).alias("mean_value"),
+        F.col("last_value"),
+        F.round("mean_value", 8).alias("mean_value"),
     )
 
 
@@ -313,7 +313,7 @@ def band_share_abc(spark: SparkSession, d: str) -> DataFrame:
     la = lk.select("lad_code", "lad_name", "region_code").join(region, "region_code", "left")
     return la.select(
         "lad_code", "lad_name", "region_name",
-        F.round("abc_share", 4).alias("abc_share"), F.round("c_share", 4).alias("c_share"),
+        F.round("abc_share", 6).alias("abc_share"), "c_share",
         "c_share_is_max", F.lit(True).alias("is_region_proxy"),
     )
 
@@ -342,7 +342,7 @@ def la_rankings(spark: SparkSession, d: str) -> DataFrame:
     return x.select(
         "lad_code", "lad_name", "financial_year",
         F.round("starts", 2).alias("starts"), F.round("completions", 2).alias("completions"),
-        "population", F.round("starts_per_1000", 4).alias("starts_per_1000"),
+        "population", F.round("starts_per_1000", 6).alias("starts_per_1000"),
         "rank_starts", "rank_starts_per_1000",
     )
 
@@ -360,7 +360,7 @@ def _median_price_latest_fy(spark: SparkSession, d: str, lk: DataFrame) -> DataF
 
 def _earnings(spark: SparkSession, d: str, lk: DataFrame) -> DataFrame:
     c = read(spark, d, "customer", "c_nationkey", "c_acctbal")
-    e = c.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("mean_earnings"))
+    e = c.groupBy("c_nationkey").agg(money_mean(F.sum(cents("c_acctbal")), F.count(F.lit(1))).alias("mean_earnings"))
     return e.join(lk, e.c_nationkey == lk.nationkey).select("lad_code", "mean_earnings")
 
 
@@ -392,10 +392,10 @@ def market_snapshot_la(spark: SparkSession, d: str) -> DataFrame:
         "lad_code", "lad_name", "region_name", "financial_year",
         *[F.round(f"supply_{m.lower()}", 2).alias(f"supply_{m.lower()}") for m in MEASURES],
         "population",
-        F.round("median_price", 2).alias("median_price"),
-        F.round("mean_earnings", 4).alias("mean_earnings"),
-        F.round("price_earnings_ratio", 4).alias("price_earnings_ratio"),
-        *[F.round(f"fuel_share_{f}", 4).alias(f"fuel_share_{f}") for f in "anr"],
+        F.round("median_price", 4).alias("median_price"),
+        "mean_earnings",
+        F.round("price_earnings_ratio", 6).alias("price_earnings_ratio"),
+        *[f"fuel_share_{f}" for f in "anr"],
     )
 
 
@@ -420,7 +420,7 @@ def market_snapshot_region(spark: SparkSession, d: str) -> DataFrame:
     return x.select(
         "region_code", "region_name", "financial_year",
         *[F.round(f"supply_{m.lower()}", 2).alias(f"supply_{m.lower()}") for m in MEASURES],
-        "population", F.round("abc_share", 4).alias("abc_share"), F.round("growth_pct", 4).alias("growth_pct"),
+        "population", F.round("abc_share", 6).alias("abc_share"), "growth_pct",
     )
 
 
@@ -526,9 +526,9 @@ def ratio_common_year(spark: SparkSession, d: str) -> DataFrame:
     x = x.join(lk.select("lad_code", "lad_name"), "lad_code", "left").withColumn("year", y.cast("int"))
     return x.select(
         "lad_code", "lad_name", "year",
-        F.round("price", 2).alias("price"), F.round("earnings", 4).alias("earnings"),
-        F.round("ratio", 4).alias("ratio_published"),
-        F.round(X.safe_ratio("price", "earnings"), 4).alias("ratio_computed"),
+        F.round("price", 4).alias("price"), "earnings",
+        F.col("ratio").alias("ratio_published"),
+        F.round(X.safe_ratio("price", "earnings"), 6).alias("ratio_computed"),
     )
 
 
@@ -558,8 +558,8 @@ def horizon_deltas(spark: SparkSession, d: str) -> DataFrame:
     x = meta.join(dp, "lad_code").join(de, "lad_code").join(dr, "lad_code")
     return x.select(
         "lad_code", "lad_name", "region_name", y0.cast("int").alias("y_min"), y1.cast("int").alias("y_max"),
-        F.round("delta_median_price", 2).alias("delta_median_price"),
-        F.round("delta_earnings", 4).alias("delta_earnings"),
+        F.round("delta_median_price", 4).alias("delta_median_price"),
+        "delta_earnings",
         F.round("delta_ratio", 6).alias("delta_ratio"),
     )
 
@@ -640,10 +640,9 @@ def index_rebased(spark: SparkSession, d: str) -> DataFrame:
     x = x.join(hpi.select("geography", "month", "hpi_index_base"), ["geography", "month"], "left")
     return x.select(
         F.col("geography").alias("region_name"), ymd("month").alias("month"),
-        F.round("hpi_index_base", 4).alias("hpi_index_base"),
-        F.round("hpi_index", 4).alias("hpi_index"), F.round("rent_index", 4).alias("rent_index"),
-        F.round(F.col("hpi_index") - F.col("rent_index"), 4).alias("spread"),
-        F.round(F.try_divide("hpi_index", "rent_index"), 6).alias("ratio"),
+        "hpi_index_base", "hpi_index", "rent_index",
+        (F.col("hpi_index") - F.col("rent_index")).alias("spread"),
+        F.try_divide("hpi_index", "rent_index").alias("ratio"),
     )
 
 
@@ -657,8 +656,8 @@ def overlap_growth(spark: SparkSession, d: str) -> DataFrame:
     x = h.join(r, "geography")
     return x.select(
         F.col("geography").alias("region_name"), ymd("first_period").alias("first_month"), ymd("last_period").alias("last_month"),
-        "n_points", F.round("hpi_growth", 4).alias("hpi_growth"), F.round("rent_growth", 4).alias("rent_growth"),
-        F.round(F.col("hpi_growth") - F.col("rent_growth"), 4).alias("growth_gap"),
+        "n_points", "hpi_growth", "rent_growth",
+        (F.col("hpi_growth") - F.col("rent_growth")).alias("growth_gap"),
     )
 
 
@@ -669,8 +668,7 @@ def spread_12m(spark: SparkSession, d: str) -> DataFrame:
     x = W.pct_change_lag(x, ["geography"], "month", "rent", 12, "rent_yoy")
     return x.select(
         F.col("geography").alias("region_name"), ymd("month").alias("month"),
-        F.round("hpi_yoy", 4).alias("hpi_yoy"), F.round("rent_yoy", 4).alias("rent_yoy"),
-        F.round(F.col("hpi_yoy") - F.col("rent_yoy"), 4).alias("spread"),
+        "hpi_yoy", "rent_yoy", (F.col("hpi_yoy") - F.col("rent_yoy")).alias("spread"),
     )
 
 
@@ -911,14 +909,16 @@ def fills_and_filters(spark: SparkSession, d: str) -> DataFrame:
         lk, F.col("c_nationkey") == lk.nationkey
     )
     x = x.where(F.col("region_name").isin(REGION_PRESET) & ~F.col("region_name").isin(EXCLUDED_AGGREGATES))
-    g = x.groupBy("region_name", F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("total")).na.drop(subset=["total"])
+    g = x.groupBy("region_name", F.year("o_orderdate").alias("year")).agg(
+        F.sum("o_totalprice").alias("total"), F.sum(cents("o_totalprice")).alias("total_pence")
+    ).na.drop(subset=["total"])
     w = Window.partitionBy("region_name").orderBy("year")
     g = g.withColumn("pct_change", X.pct_change(F.lag("total").over(w), F.col("total")))
     frac = F.col("pct_change") / 100.0
     freq = F.when(F.col("year") % 2 == 0, F.lit("Monthly")).otherwise(F.lit("Quarterly"))
     return g.select(
         X.capitalise("region_name").alias("region_label"), F.col("year").cast("int").alias("year"),
-        F.round("total", 2).alias("total"), X.fmt_gbp(F.round("total", 0)).alias("total_label"),
+        F.round("total", 2).alias("total"), X.fmt_gbp(F.floor((F.col("total_pence") + 50) / 100)).alias("total_label"),
         F.round("pct_change", 4).alias("pct_change"),
         X.horizon_bucket(F.col("year") - 1994).cast("int").alias("horizon_bucket"),
         X.delta_class(frac).alias("delta_class"), F.round(X.logistic(frac), 6).alias("logistic_change"),
@@ -939,7 +939,7 @@ def aggregate_family(spark: SparkSession, d: str) -> DataFrame:
         F.sum("o_totalprice").alias("total"),
         A.sum_or_zero(F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice"))).alias("total_p"),
         F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first_orderkey"),
-        F.avg("o_totalprice").alias("mean_price"),
+        money_mean(F.sum(cents("o_totalprice")), F.count(F.lit(1))).alias("mean_price"),
         F.max("o_totalprice").alias("max_price"),
         F.max_by("o_orderkey", F.struct(F.col("o_totalprice"), -F.col("o_orderkey"))).alias("argmax_orderkey"),
         A.mode_label("o_orderpriority").alias("mode_priority"),
@@ -951,7 +951,7 @@ def aggregate_family(spark: SparkSession, d: str) -> DataFrame:
     g = g.withColumn("hist_bin", A.equal_width_bucket("total", lo, hi, 10))
     return g.select(
         "lad_code", "n_orders", F.round("total", 2).alias("total"), F.round("total_p", 2).alias("total_p"),
-        "first_orderkey", F.round("mean_per_year", 4).alias("mean_per_year"), F.round("mean_price", 4).alias("mean_price"),
+        "first_orderkey", F.round("mean_per_year", 6).alias("mean_per_year"), "mean_price",
         "rank_mean_price", F.round("max_price", 2).alias("max_price"), "argmax_orderkey", "mode_priority",
         F.round("total_z", 6).alias("total_z"), "hist_bin",
     )
@@ -996,10 +996,9 @@ def lag_family(spark: SparkSession, d: str) -> DataFrame:
     s = price_series(spark, d)
     x = W.lag_features(s, ["geography"], "month", "value", [1, 2, 3, 12], lead=1)
     x = x.withColumn("is_train", W.chrono_split_flag(["geography"], "month", 0.8))
-    r = lambda c: F.round(c, 4).alias(c)
     return x.select(
-        F.col("geography").alias("region_name"), ymd("month").alias("month"), r("value"),
-        r("lag_1"), r("lag_2"), r("lag_3"), r("lag_12"), r("lead_1"), r("diff_1"), "is_train",
+        F.col("geography").alias("region_name"), ymd("month").alias("month"), "value",
+        "lag_1", "lag_2", "lag_3", "lag_12", "lead_1", "diff_1", "is_train",
     )
 
 
@@ -1098,8 +1097,8 @@ def region_context_joins(spark: SparkSession, d: str) -> DataFrame:
     x = x.join(n_las, "region_name", "left")
     return x.select(
         "region_code", "region_name", "year", F.round("total", 2).alias("total"),
-        F.round("index_to_base", 4).alias("index_to_base"), F.round("rent_mean", 4).alias("rent_mean"),
-        F.round("abc_share", 4).alias("abc_share"), "n_las",
+        F.round("index_to_base", 6).alias("index_to_base"), F.round("rent_mean", 8).alias("rent_mean"),
+        F.round("abc_share", 6).alias("abc_share"), "n_las",
     )
 
 
@@ -1109,7 +1108,7 @@ def affordability_compare(spark: SparkSession, d: str) -> DataFrame:
     lk = la_lookup(spark, d)
     a = _family_price(spark, d, lk, F.year("o_orderdate")).select(
         F.lit("price").alias("family"), "lad_code", F.concat(F.lit("Year ending Sep "), F.col("year").cast("string")).alias("period_label"),
-        F.col("price").alias("value"),
+        F.round("price", 4).alias("value"),
     )
     b = _family_earnings(spark, d, lk).select(
         F.lit("earnings").alias("family"), "lad_code", F.col("year").cast("string").alias("period_label"), F.col("earnings").alias("value")
@@ -1121,8 +1120,7 @@ def affordability_compare(spark: SparkSession, d: str) -> DataFrame:
     common = _common_year_set(*[f.withColumnRenamed("pe_year", "year") for f in fams]).withColumnRenamed("year", "pe_year")
     x = T.union_all(fams).join(common, "pe_year", "left_semi")
     return x.select(
-        "family", "lad_code", "period_label", "pe_year", ymd(P.period_sort_date("period_label")).alias("sort_date"),
-        F.round("value", 4).alias("value"),
+        "family", "lad_code", "period_label", "pe_year", ymd(P.period_sort_date("period_label")).alias("sort_date"), "value",
     )
 
 
