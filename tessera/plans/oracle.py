@@ -210,9 +210,9 @@ long AS (SELECT lk.lad_code, l_returnflag AS flag, l_orderkey * 100 + l_linenumb
                 CASE WHEN l_discount > 0 THEN l_quantity END AS v
          FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN lk ON s_nationkey = lk.nationkey),
 f AS (SELECT lad_code,
-        arg_min(v, ord) FILTER (WHERE flag = 'A' AND v IS NOT NULL) AS first_a,
-        arg_min(v, ord) FILTER (WHERE flag = 'N' AND v IS NOT NULL) AS first_n,
-        arg_min(v, ord) FILTER (WHERE flag = 'R' AND v IS NOT NULL) AS first_r
+        arg_min(v, (ord, v)) FILTER (WHERE flag = 'A' AND v IS NOT NULL) AS first_a,
+        arg_min(v, (ord, v)) FILTER (WHERE flag = 'N' AND v IS NOT NULL) AS first_n,
+        arg_min(v, (ord, v)) FILTER (WHERE flag = 'R' AND v IS NOT NULL) AS first_r
       FROM long WHERE v IS NOT NULL GROUP BY lad_code),
 s AS (SELECT lad_code,
         coalesce(sum(v) FILTER (WHERE flag = 'A'), 0) AS sum_a,
