@@ -865,3 +865,45 @@ SELECT base.target, n, round(positive_rate, 6) AS positive_rate, round(brier, 6)
   round(CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END, 6) AS f1,
   round(mean_fold_brier, 6) AS mean_fold_brier
 FROM base JOIN auc ON base.target = auc.target JOIN fb ON base.target = fb.target"""
+
+SQL["buy_vs_rent_spread"] = f"""
+WITH {LK}, {TWO},
+g AS (SELECT geography, arg_min(hpi, month) AS h0, arg_max(hpi, month) AS h1, arg_min(rent, month) AS r0, arg_max(rent, month) AS r1,
+        min(month) AS m0, max(month) AS m1, count(*) AS n FROM both_s GROUP BY geography),
+x AS (SELECT geography, m0, m1, (h1 / h0 * 100.0 - 100.0) - (r1 / r0 * 100.0 - 100.0) AS spread_pp FROM g WHERE n >= 2 AND h0 <> 0 AND r0 <> 0)
+SELECT geography AS region_name, strftime(m0, '%Y-%m-%d') AS first_month, strftime(m1, '%Y-%m-%d') AS last_month, round(spread_pp, 6) AS spread_pp,
+  printf('Buy vs rent (indexed): from first overlapping month to %s (%s), cumulative growth spread (HPI minus PRPI) = %+.1f percentage points (rebased series; not sterling levels).',
+         strftime(m1, '%b %Y'), geography, round(spread_pp, 1)) AS caption
+FROM x"""
+
+SQL["national_ratio_endpoints"] = f"""
+WITH {LK}, {HORIZON},
+p AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, quantile_cont(o_totalprice, 0.5) AS price FROM orders GROUP BY 1),
+e AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100.0 AS earnings FROM lineitem GROUP BY 1),
+r AS (SELECT p.year, CASE WHEN earnings > 0 THEN price / earnings END AS ratio FROM p JOIN e ON p.year = e.year),
+one AS (SELECT max(ratio) FILTER (WHERE year = (SELECT y_min FROM bounds)) AS ratio_start, max(ratio) FILTER (WHERE year = (SELECT y_max FROM bounds)) AS ratio_end FROM r)
+SELECT CAST((SELECT y_min FROM bounds) AS INTEGER) AS y_min, CAST((SELECT y_max FROM bounds) AS INTEGER) AS y_max,
+  round(ratio_start, 6) AS ratio_start, round(ratio_end, 6) AS ratio_end, round(ratio_end - ratio_start, 6) AS change
+FROM one"""
+
+SQL["narrative_panels"] = f"""
+WITH {LK}, {LA}, {REG}, {_SNAP_PARTS},
+p1 AS (SELECT 'supply_by_fy' AS panel, financial_year AS label, round(sum(dwellings), 2) AS value FROM reg
+       WHERE contains(lower(region_name), 'europe') GROUP BY financial_year),
+p2 AS (SELECT 'fuel_top15' AS panel, lad_code AS label, fuel_share_a AS value FROM fuel ORDER BY fuel_share_a DESC NULLS LAST, lad_code LIMIT 15),
+rt AS (SELECT code, name, starts_per_1000 FROM ({SQL['rates_per_1000']}) WHERE geography_level = 'region'),
+sh AS (SELECT DISTINCT region_name, abc_share FROM ({SQL['band_share_abc']})),
+p3 AS (SELECT 'rate_per_share_point' AS panel, rt.name AS label, round(CASE WHEN sh.abc_share > 0 THEN rt.starts_per_1000 / sh.abc_share END, 3) AS value
+       FROM rt JOIN sh ON rt.name = sh.region_name)
+SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3"""
+
+SQL["briefing_sections"] = f"""
+WITH s AS (
+  SELECT 'horizon_deltas' AS section, count(*) AS n_rows FROM ({SQL['horizon_deltas']})
+  UNION ALL SELECT 'entry_pressure', count(*) FROM ({SQL['entry_pressure']})
+  UNION ALL SELECT 'region_change_top', count(*) FROM ({SQL['region_change_top']})
+  UNION ALL SELECT 'index_rebased', count(*) FROM ({SQL['index_rebased']})
+  UNION ALL SELECT 'national_ratio_endpoints', count(*) FROM ({SQL['national_ratio_endpoints']})
+  UNION ALL SELECT 'findings', count(*) FROM ({SQL['findings']})
+  UNION ALL SELECT 'missing_inputs', count(*) FROM ({SQL['missing_inputs']}))
+SELECT section, n_rows, n_rows > 0 AS ready FROM s"""

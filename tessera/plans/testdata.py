@@ -1493,3 +1493,80 @@ def playbook_scoreboard(spark: SparkSession, d: str) -> DataFrame:
     r = lambda col: F.round(col, 6).alias(col)
     return board.select("target", "geography", "model", "metric", r("value"), r("baseline_value"), r("delta_vs_baseline"),
                         r("estimate"), r("estimate_p10"), r("estimate_p90"), "note")
+
+
+# ---------------------------------------------------------------------------
+# Briefing products: buy-vs-rent caption, national endpoints, narrative panels, payload index
+# ---------------------------------------------------------------------------
+
+
+@query
+def buy_vs_rent_spread(spark: SparkSession, d: str) -> DataFrame:
+    """Cumulative growth spread (price index minus rents index) from the first overlapping month, with a caption."""
+    both = _two_series(spark, d)
+    g = both.groupBy("geography").agg(
+        F.min_by("hpi", "month").alias("h0"), F.max_by("hpi", "month").alias("h1"),
+        F.min_by("rent", "month").alias("r0"), F.max_by("rent", "month").alias("r1"),
+        F.min("month").alias("m0"), F.max("month").alias("m1"), F.count(F.lit(1)).alias("n"),
+    ).where((F.col("n") >= 2) & (F.col("h0") != 0) & (F.col("r0") != 0))
+    spread = (F.col("h1") / F.col("h0") * 100.0 - 100.0) - (F.col("r1") / F.col("r0") * 100.0 - 100.0)
+    x = g.select("geography", "m0", "m1", spread.alias("spread_pp"))
+    caption = F.format_string(
+        "Buy vs rent (indexed): from first overlapping month to %s (%s), cumulative growth spread (HPI minus PRPI) = %+.1f percentage points (rebased series; not sterling levels).",
+        F.date_format("m1", "MMM yyyy"), F.col("geography"), F.round("spread_pp", 1),
+    )
+    return x.select(
+        F.col("geography").alias("region_name"), ymd("m0").alias("first_month"), ymd("m1").alias("last_month"),
+        F.round("spread_pp", 6).alias("spread_pp"), caption.alias("caption"),
+    )
+
+
+@query
+def national_ratio_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    """National price-to-earnings ratio (all areas) at the two horizon endpoints."""
+    lk, a, b, c, y0, y1 = _horizon_frames(spark, d)
+    o = read(spark, d, "orders", "o_totalprice", "o_orderdate").select(F.year("o_orderdate").alias("year"), "o_totalprice")
+    price = A.exact_median(o, ["year"], "o_totalprice", "price")
+    li = read(spark, d, "lineitem", "l_extendedprice", "l_shipdate")
+    earn = li.groupBy(F.year("l_shipdate").alias("year")).agg(money_mean(F.sum(cents("l_extendedprice")), F.count(F.lit(1))).alias("earnings"))
+    r = price.join(earn, "year").select("year", X.safe_ratio("price", "earnings").alias("ratio"))
+    one = r.agg(
+        F.max(F.when(F.col("year") == y0, F.col("ratio"))).alias("ratio_start"),
+        F.max(F.when(F.col("year") == y1, F.col("ratio"))).alias("ratio_end"),
+    )
+    return one.select(
+        y0.cast("int").alias("y_min"), y1.cast("int").alias("y_max"), F.round("ratio_start", 6).alias("ratio_start"),
+        F.round("ratio_end", 6).alias("ratio_end"), F.round(F.col("ratio_end") - F.col("ratio_start"), 6).alias("change"),
+    )
+
+
+@query
+def narrative_panels(spark: SparkSession, d: str) -> DataFrame:
+    """Narrative page panels in long form: a region's supply by year (X8), top-15 fuel shares (K1),
+    supply rate against the regional band share (J13)."""
+    lk = la_lookup(spark, d)
+    reg = _region_totals(la_supply(spark, d, lk), lk)
+    p1 = reg.where(X.contains_ci("region_name", "europe")).groupBy("financial_year").agg(F.sum("dwellings").alias("v")).select(
+        F.lit("supply_by_fy").alias("panel"), F.col("financial_year").alias("label"), F.round("v", 2).alias("value")
+    )
+    fuel = _fuel_shares(spark, d, lk)
+    p2 = A.top_k(fuel, "fuel_share_a", 15, ["lad_code"]).select(F.lit("fuel_top15").alias("panel"), F.col("lad_code").alias("label"), F.col("fuel_share_a").alias("value"))
+    rates = rates_per_1000(spark, d).where(F.col("geography_level") == "region").select(F.col("name").alias("region_name"), "starts_per_1000")
+    shares = band_share_abc(spark, d).select("region_name", "abc_share").distinct()
+    p3 = rates.join(shares, "region_name").select(
+        F.lit("rate_per_share_point").alias("panel"), F.col("region_name").alias("label"),
+        F.round(X.safe_ratio("starts_per_1000", "abc_share"), 3).alias("value"),
+    )
+    return T.union_all([p1, p2, p3])
+
+
+@query
+def briefing_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The briefing payload as one index of its sections (rows per section), built from the products."""
+    parts = {
+        "horizon_deltas": horizon_deltas, "entry_pressure": entry_pressure, "region_change_top": region_change_top,
+        "index_rebased": index_rebased, "national_ratio_endpoints": national_ratio_endpoints, "findings": findings,
+        "missing_inputs": missing_inputs,
+    }
+    frames = [fn(spark, d).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("section"), "n_rows") for name, fn in parts.items()]
+    return T.union_all(frames).withColumn("ready", F.col("n_rows") > 0)
