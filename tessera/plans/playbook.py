@@ -189,3 +189,81 @@ def scoreboard(parts: list[DataFrame]) -> DataFrame:
     """UNION ALL by name of every target's rows, with the gain over the baseline."""
     u = T.union_all(parts)
     return u.withColumn("delta_vs_baseline", F.col("value") - F.col("baseline_value"))
+
+
+def price_band_target(panel: DataFrame, geo: str, year: str, value: str) -> DataFrame:
+    """M13 (re-aimed): P10/P50/P90 of next year's value by split conformal prediction.
+
+    Boosted trees give the point (P50); the 10th/90th percentiles of
+    calibration residuals give the band.  Reported: pinball loss at 0.5 and
+    P10-P90 coverage on the test years, against a last-value baseline.
+    """
+    spark = panel.sparkSession
+    w = Window.partitionBy(geo).orderBy(year)
+    x = panel.select(geo, year, value).withColumns({f"lag_{k}": F.lag(value, k).over(w) for k in (1, 2)}).withColumn(
+        "target", F.lead(value, 1).over(w)
+    ).where(F.col("target").isNotNull() & F.col("lag_1").isNotNull())
+    years = [r[0] for r in x.select(year).distinct().orderBy(year).collect()]
+    if len(years) < 3 or x.limit(MIN_ROWS).count() < MIN_ROWS:
+        return _no_rows(spark, "price_band", "too few panel rows")
+    fit_y, cal_y = years[max(0, int(len(years) * 0.6) - 1)], years[max(1, int(len(years) * 0.8)) - 1]
+    train, cal, test = x.where(F.col(year) <= fit_y), x.where((F.col(year) > fit_y) & (F.col(year) <= cal_y)), x.where(F.col(year) > cal_y)
+    if cal.limit(1).count() == 0 or test.limit(1).count() == 0:
+        return _no_rows(spark, "price_band", "empty calibration or test years")
+    feats = [value, "lag_1", "lag_2"]
+    model = Pipeline(stages=[*_assembled(train, feats), GBTRegressor(featuresCol="features", labelCol="target", maxDepth=3, maxIter=50, seed=SEED)]).fit(train)
+    q = model.transform(cal).select((F.col("target") - F.col("prediction")).alias("r")).agg(F.percentile("r", [0.1, 0.9])).first()[0]
+    pred = model.transform(test).withColumn("p10", F.col("prediction") + q[0]).withColumn("p90", F.col("prediction") + q[1])
+    d = F.col("target") - F.col("prediction")
+    s = pred.agg(
+        F.avg(F.greatest(0.5 * d, -0.5 * d)).alias("pinball"),
+        F.avg(F.greatest(0.5 * (F.col("target") - F.col(value)), -0.5 * (F.col("target") - F.col(value)))).alias("base"),
+        F.avg(F.when((F.col("target") >= F.col("p10")) & (F.col("target") <= F.col("p90")), 1.0).otherwise(0.0)).alias("coverage"),
+        F.avg("prediction").alias("est"), F.avg("p10").alias("lo"), F.avg("p90").alias("hi"),
+    )
+    return s.select(
+        F.lit("price_band").alias("target"), F.lit("all").alias("geography"), F.lit("gbt_conformal").alias("model"),
+        F.lit("pinball_p50").alias("metric"), F.col("pinball").alias("value"), F.col("base").alias("baseline_value"),
+        F.col("est").alias("estimate"), F.col("lo").alias("estimate_p10"), F.col("hi").alias("estimate_p90"),
+        F.format_string("p10-p90 coverage %.3f", F.col("coverage")).alias("note"),
+    )
+
+
+def shortfall_target(df: DataFrame, id_col: str, features: list[str], label_col: str, folds: int = 3) -> DataFrame:
+    """Logistic classifier with sigmoid (Platt) calibration fitted on out-of-fold scores; Brier and AUC.
+
+    With a single class in the data the target returns a note row (one-class fallback).
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    from ..operators.models import binary_metrics
+
+    spark = df.sparkSession
+    x = df.where(F.col(label_col).isNotNull()).withColumn("label", F.col(label_col).cast("double"))
+    n_cls = x.select("label").distinct().count()
+    if n_cls < 2 or x.limit(MIN_ROWS).count() < MIN_ROWS:
+        return _no_rows(spark, "supply_shortfall", "one class only or too few rows")
+    x = x.withColumn("fold", (F.abs(F.xxhash64(id_col)) % folds).cast("int"))
+    oof = None
+    for f in range(folds):
+        tr, te = x.where(F.col("fold") != f), x.where(F.col("fold") == f)
+        if tr.select("label").distinct().count() < 2 or te.limit(1).count() == 0:
+            continue
+        m = Pipeline(stages=[*_assembled(tr, features), LogisticRegression(featuresCol="features", labelCol="label")]).fit(tr)
+        p = m.transform(te).select(id_col, "label", "fold", vector_to_array("rawPrediction")[1].alias("margin"))
+        oof = p if oof is None else oof.unionByName(p)
+    if oof is None:
+        return _no_rows(spark, "supply_shortfall", "no usable folds")
+    # Sigmoid calibration: a one-feature logistic on the out-of-fold margins.
+    cal = Pipeline(stages=[VectorAssembler(inputCols=["margin"], outputCol="features"), LogisticRegression(featuresCol="features", labelCol="label")]).fit(oof)
+    scored = cal.transform(oof).withColumn("score", vector_to_array("probability")[1]).withColumn("_all", F.lit("all"))
+    met = binary_metrics(scored, ["_all"], "score", "label")
+    rate = x.agg(F.avg("label")).first()[0]
+    base = scored.agg(F.avg((F.lit(rate) - F.col("label")) ** 2).alias("base"))
+    base_brier = base.first()["base"]
+    return met.select(
+        F.lit("supply_shortfall").alias("target"), F.lit("all").alias("geography"), F.lit("logistic_calibrated").alias("model"),
+        F.lit("brier").alias("metric"), F.col("brier").alias("value"), F.lit(base_brier).alias("baseline_value"),
+        F.col("positive_rate").alias("estimate"), F.lit(None).cast("double").alias("estimate_p10"), F.lit(None).cast("double").alias("estimate_p90"),
+        F.format_string("auc %.3f", F.col("auc")).alias("note"),
+    )

@@ -1489,7 +1489,15 @@ def playbook_scoreboard(spark: SparkSession, d: str) -> DataFrame:
     share = share.withColumn("delta", (F.col("open_share") - F.lag("open_share").over(w)) * 100.0).where(F.col("financial_year") == fy_last)
     vac = market_snapshot_la(spark, d).join(share.select("lad_code", "delta"), "lad_code")
     vacancy = PB.vacancy_class_target(vac, "lad_code", ["population", "median_price", "mean_earnings", "fuel_share_a"], "delta")
-    board = PB.scoreboard([hpi, afford, div, trend, vacancy])
+    band = PB.price_band_target(c, "lad_code", "year", "ratio")
+    # Supply shortfall: completions (status F) below starts (status O) in an authority's financial year.
+    sc = la.groupBy("lad_code", "fy_start").agg(
+        F.sum(F.when(F.col("measure") == "O", F.col("dwellings"))).alias("starts"),
+        F.sum(F.when(F.col("measure") == "F", F.col("dwellings"))).alias("completions"),
+        F.sum(F.when(F.col("measure") == "P", F.col("dwellings"))).alias("pending"),
+    ).withColumn("short", (F.col("completions") < F.col("starts")).cast("int")).withColumn("key", F.concat_ws("-", "lad_code", "fy_start"))
+    shortfall = PB.shortfall_target(sc, "key", ["starts", "pending", "fy_start"], "short")
+    board = PB.scoreboard([hpi, afford, band, div, trend, vacancy, shortfall])
     r = lambda col: F.round(col, 6).alias(col)
     return board.select("target", "geography", "model", "metric", r("value"), r("baseline_value"), r("delta_vs_baseline"),
                         r("estimate"), r("estimate_p10"), r("estimate_p90"), "note")

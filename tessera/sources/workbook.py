@@ -123,4 +123,27 @@ def sheet_frame(cells: DataFrame, sheet: str, header_row: int, header_rows: int
         final.append(base if k == 0 else f"{base}.{k}")
         seen[base] = k + 1
     wide = body.groupBy("path", "row").pivot("col", cols).agg(F.first("text"))
-    return wide.orderBy("path", "row").toDF("path", "row", *final).drop("path", "row")
+    # No global sort: tidy transforms order explicitly where order matters.
+    return wide.toDF("path", "row", *final).drop("path", "row")
+
+
+class SheetSpec:
+    """How to read one sheet of a family: header row(s) and the transform to the tidy schema."""
+
+    def __init__(self, header_row: int, transform, header_rows: int = 1):
+        self.header_row = header_row
+        self.header_rows = header_rows
+        self.transform = transform
+
+
+def workbook_family(cells: DataFrame, specs: dict[str, SheetSpec], edition: str, path: str | None = None) -> DataFrame:
+    """Every listed sheet of a workbook through its layout transform, stacked by name with
+    ``edition`` and ``table_id`` (the sheet id) so the result writes as one partitioned tidy table."""
+    from ..operators.tidy import union_all
+
+    frames = []
+    for sheet, spec in specs.items():
+        wide = sheet_frame(cells, sheet, spec.header_row, spec.header_rows, path)
+        tidy = spec.transform(wide)
+        frames.append(tidy.withColumn("table_id", F.lit(sheet)).withColumn("edition", F.lit(edition)))
+    return union_all(frames)

@@ -155,3 +155,39 @@ def test_incremental_stream_processes_only_new_files(spark, tmpdir_path):
     load_new_releases(spark, src, out, transform, name="t1")
     got = spark.read.parquet(out).groupBy("edition").count().collect()
     assert {(r["edition"], r["count"]) for r in got} == {("e1", 2), ("e2", 2)}
+
+
+def test_workbook_family_stacks_sheets(spark, tmpdir_path):
+    rows = [["title"], ["Country or region code", "Country or region name", "Band A"], ["E92000001", "England", 1.5]]
+    write_xlsx(os.path.join(tmpdir_path, "fam.xlsx"), {"1a": rows, "1b": rows})
+    cells = WB.read_cells(spark, tmpdir_path)
+
+    def t(wide):
+        long = T.melt_numeric(wide, ["Country or region code", "Country or region name"], None, "label", "percentage")
+        return long.select("Country or region name", *T.split_label("label", T.BAND_RE, ["epc_band"]), "percentage")
+
+    out = WB.workbook_family(cells, {"1a": WB.SheetSpec(2, t), "1b": WB.SheetSpec(2, t)}, "march2025")
+    got = sorted((r["table_id"], r["edition"], r["epc_band"], r["percentage"]) for r in out.collect())
+    assert got == [("1a", "march2025", "A", 1.5), ("1b", "march2025", "A", 1.5)]
+
+
+def test_report_browser_and_model_pick(spark, tmpdir_path):
+    from tessera.sources import reports as R
+
+    def rep(name, geo, h, best, maes):
+        doc = {"meta": {"dataset": "uk_hpi_monthly", "geography": geo, "horizon": h, "edition": "e1", "sheet": "1"},
+               "summary": {"best_model_mae": best, "summary_by_model": [{"model": m, "mae": v, "coverage_p10_p90": 0.8, "pinball_p50": v / 2} for m, v in maes.items()]}}
+        with open(os.path.join(tmpdir_path, f"ts_backtest_{name}.json"), "w") as f:
+            json.dump(doc, f)
+
+    rep("a", "London", 3, "ets", {"ets": 1.0, "sarima": 2.0})
+    rep("b", "United Kingdom", 3, "sarima", {"ets": 3.0, "sarima": 2.0})
+    rep("c", "Wales", 12, "ets", {"ets": 4.0})
+    rows = R.report_rows(S.read_reports(spark, tmpdir_path))
+    assert {(r["geography"], r["scope"]) for r in rows.select("geography", "scope").distinct().collect()} == {
+        ("London", "English region"), ("United Kingdom", "UK aggregate"), ("Wales", "Country")}
+    pick = R.pick_models(rows, "e1", "1", 3, ["London", "United Kingdom"]).first()
+    assert pick["models"] == ["ets", "sarima"] and pick["complete"] is True
+    assert R.pick_models(rows, "e1", "1", 3, ["London", "Scotland"]).first()["complete"] is False
+    summ = {(r["horizon_bucket"], r["model"]): r["mae"] for r in R.browser_summary(rows).collect()}
+    assert summ == {(3, "ets"): 1.0, (3, "sarima"): 2.0, (12, "ets"): 4.0}
