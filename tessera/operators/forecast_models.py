@@ -323,3 +323,45 @@ def order_search_table(pts: DataFrame, season: int, partitions: int | None = Non
             yield pd.DataFrame(rows, columns=["series_id", "n_points", "order", "seasonal_order", "aic"])
 
     return h.mapInPandas(search, "series_id string, n_points long, order string, seasonal_order string, aic double")
+
+
+FORWARD_SCHEMA = ("series_id string, model string, horizon int, last_value double, end_level double, "
+                  "pct_change double, p10 double, p90 double, error string")
+
+
+def forward_table(pts: DataFrame, models: list[str], season: int, horizon: int, partitions: int | None = None) -> DataFrame:
+    """Forward forecast from the whole history for every (series, model), one task per series group.
+
+    The end level, its change against the last value and a P10-P90 band
+    (sigma from seasonal differences, sqrt(h) growth) are returned; a model
+    that cannot be fitted stays in the table with an ``error`` text.
+    """
+    from .forecast import Z10
+
+    hist = histories(pts)
+    parts = partitions or pts.sparkSession.sparkContext.defaultParallelism
+    hist = hist.repartition(parts, "series_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for sid, ys in zip(b["series_id"], b["ys"]):
+                y = np.asarray(ys, dtype=float)
+                last = float(y[-1]) if len(y) else None
+                d = y[season:] - y[:-season] if season > 1 and len(y) > season else np.diff(y)
+                sd = float(np.std(d)) if len(y) >= 6 and len(d) >= 3 else None
+                if sd is None or not np.isfinite(sd) or sd <= 1e-12:
+                    sd = max(float(np.std(y)) if len(y) else 0.0, 1e-6)
+                fcs = member_forecasts(y, models, season, horizon)
+                for m in models:
+                    fc = fcs.get(m)
+                    if fc is None:
+                        rows.append((sid, m, horizon, last, None, None, None, None, "model could not be fitted (too short or non-finite)"))
+                        continue
+                    end = float(fc[-1])
+                    band = Z10 * sd * np.sqrt(horizon)
+                    pct = (end / last - 1.0) * 100.0 if last else None
+                    rows.append((sid, m, horizon, last, end, pct, end - band, end + band, None))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FORWARD_SCHEMA.split(", ")])
+
+    return hist.mapInPandas(run, FORWARD_SCHEMA)

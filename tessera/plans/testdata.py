@@ -1578,3 +1578,12 @@ def briefing_sections(spark: SparkSession, d: str) -> DataFrame:
     }
     frames = [fn(spark, d).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("section"), "n_rows") for name, fn in parts.items()]
     return T.union_all(frames).withColumn("ready", F.col("n_rows") > 0)
+
+
+@query
+def forward_forecasts(spark: SparkSession, d: str) -> DataFrame:
+    """12-month forward table over every monthly series (regions and authorities) x fitted models."""
+    s = _series(spark, d).where(F.col("frequency") == "monthly")
+    out = FM.forward_table(Y.index_points(s), ["ets", "sarima", "ensemble"], season=12, horizon=12)
+    r = lambda c: F.round(c, 6).alias(c)
+    return out.select("series_id", "model", "horizon", r("last_value"), r("end_level"), r("pct_change"), r("p10"), r("p90"), "error")
