@@ -519,7 +519,7 @@ def ratio_common_year(spark: SparkSession, d: str) -> DataFrame:
     a = _family_price(spark, d, lk, F.year("o_orderdate"))
     b = _family_earnings(spark, d, lk, until="2001-01-01")
     c = _family_ratio(spark, d, lk)
-    y = _common_year_set(a, b, c).agg(F.max("year")).scalar()
+    y = F.lit(_common_year_set(a, b, c).agg(F.max("year")).first()[0])
     at = lambda f: f.where(F.col("year") == y).drop("year")
     # Full outer join on the code; B7: names from the lookup.
     x = at(a).join(at(b), "lad_code", "full").join(at(c), "lad_code", "full")
@@ -542,9 +542,10 @@ def _horizon_frames(spark: SparkSession, d: str):
     a = _family_price(spark, d, lk, F.year("o_orderdate"))
     b = _family_earnings(spark, d, lk)
     c = a.join(b, ["lad_code", "year"]).select("lad_code", "year", X.safe_ratio("price", "earnings").alias("ratio"))
-    bounds = P.anchor_bounds(_common_year_set(a, b, c), "year", ANCHOR_YEARS, HORIZON_YEARS)
-    y0 = bounds.select("y_min").scalar()
-    y1 = bounds.select("y_max").scalar()
+    # The two endpoint years are parameters of every later filter: read them once (one small
+    # row) and use them as literals, so year predicates push down instead of repeating a subquery.
+    bounds = P.anchor_bounds(_common_year_set(a, b, c), "year", ANCHOR_YEARS, HORIZON_YEARS).first()
+    y0, y1 = F.lit(bounds["y_min"]), F.lit(bounds["y_max"])
     return lk, a, b, c, y0, y1
 
 
