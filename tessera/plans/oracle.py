@@ -222,7 +222,7 @@ s AS (SELECT lad_code,
 SELECT s.lad_code, f.first_a, f.first_n, f.first_r, round(sum_a, 2) AS sum_a, round(sum_n, 2) AS sum_n, round(sum_r, 2) AS sum_r
 FROM s LEFT JOIN f USING (lad_code)"""
 
-_BAND = "['A','B','C','D','E','F','G'][CAST(least(floor((p_size - 1) / 7), 6) AS INTEGER) + 1]"
+_BAND = "CASE WHEN p_size >= 1 THEN ['A','B','C','D','E','F','G'][CAST(least(floor((p_size - 1) / 7), 6) AS INTEGER) + 1] END"
 BANDS = f"""bs AS (
   SELECT region_code, region_name, band, n * 100.0 / sum(n) OVER (PARTITION BY region_code) AS pct FROM (
     SELECT lk.region_code, lk.region_name, {_BAND} AS band, count(*) AS n
@@ -497,7 +497,7 @@ SELECT event_type, count(*) AS n_events, CAST(sum(k) AS BIGINT) AS sum_k, max(k)
   count(*) FILTER (WHERE k IS NULL) AS n_missing_k
 FROM e GROUP BY event_type"""
 
-_SIZE_BAND = "['A','B','C','D','E','F','G'][CAST(least(floor((p_size - 1) / 7), 6) AS INTEGER) + 1]"
+_SIZE_BAND = "CASE WHEN p_size >= 1 THEN ['A','B','C','D','E','F','G'][CAST(least(floor((p_size - 1) / 7), 6) AS INTEGER) + 1] END"
 
 
 def _ext(s: str, pat: str, i: int) -> str:

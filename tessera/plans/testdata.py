@@ -284,7 +284,7 @@ def pivot_measures(spark: SparkSession, d: str) -> DataFrame:
 def size_band(col) -> F.Column:
     """Part size 1..50 -> band A..G in steps of 7 (50 joins G)."""
     idx = F.least(F.floor((F.col(col) - 1) / 7), F.lit(6)).cast("int")
-    return F.element_at(F.array(*[F.lit(b) for b in T.EPC_BANDS]), idx + 1)
+    return F.when(F.col(col) >= 1, F.element_at(F.array(*[F.lit(b) for b in T.EPC_BANDS]), idx + 1))
 
 
 def _band_shares(spark: SparkSession, d: str, lk: DataFrame) -> DataFrame:
@@ -834,7 +834,7 @@ def header_split_family(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.when(F.col("p_size") % 2 == 0, F.lit("Existing ")).otherwise(F.lit("New ")), F.col("p_name")).alias("l_fuel"),
         F.concat(F.col("p_name"), F.lit(" "), F.lower("p_type")).alias("l_prop"),
         F.concat(F.col("p_type"), F.lit(" / "), F.col("p_brand")).alias("l_slug"),
-        F.element_at(F.array(*[F.lit(t[0]) for t in TABLE_META]), (F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int") % len(TABLE_META)) + 1).alias("table_id"),
+        F.element_at(F.array(*[F.lit(t[0]) for t in TABLE_META]), (F.regexp_extract("p_brand", r"(\d+)$", 1).try_cast("int") % len(TABLE_META)) + 1).alias("table_id"),
     )
     meta = spark.createDataFrame(TABLE_META, "table_id string, geography_level string, percentile string, component string")
     x = T.attach_meta(labels, meta, "table_id")
