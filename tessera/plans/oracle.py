@@ -107,7 +107,7 @@ v AS (SELECT *, CASE WHEN lower(trim(stripped)) IN ('c', '') THEN NULL ELSE TRY_
 SELECT o_orderkey, raw_text,
   TRY_CAST(trim(raw_text) AS DOUBLE) AS value_plain,
   TRY_CAST(trim(stripped) AS DOUBLE) AS value_num,
-  CASE WHEN cv = floor(cv) THEN CAST(cv AS BIGINT) END AS value_count
+  CAST(CASE WHEN cv = floor(cv) THEN CAST(cv AS BIGINT) END AS DOUBLE) AS value_count
 FROM v"""
 
 SQL["geo_level_case"] = """
@@ -170,13 +170,13 @@ SELECT month_label, month_dash, pe_label,
   {_month_label_date('month_label')} AS d_label,
   {_month_label_date('month_dash')} AS d_dash,
   {_month_label_date("regexp_replace(trim(year_ending), '^Year ending\\s+', '')")} AS d_year_ending,
-  CAST(coalesce(nullif(regexp_extract(pe_label, '^Year ending Sep (\\d{{4}})', 1), ''), nullif(regexp_extract(pe_label, '^(\\d{{4}})$', 1), '')) AS INTEGER) AS pe_year,
-  CAST(coalesce(nullif(regexp_extract(pe_label, '^Year ending Sep (\\d{{4}})', 1), ''), nullif(regexp_extract(pe_label, '^(\\d{{4}})$', 1), '')) AS INTEGER) AS pe_year_num,
-  CAST(nullif(regexp_extract(pe_label, '^Year ending Dec (\\d{{4}})$', 1), '') AS INTEGER) AS dec_year,
+  CAST(CAST(coalesce(nullif(regexp_extract(pe_label, '^Year ending Sep (\\d{{4}})', 1), ''), nullif(regexp_extract(pe_label, '^(\\d{{4}})$', 1), '')) AS INTEGER) AS DOUBLE) AS pe_year,
+  CAST(CAST(coalesce(nullif(regexp_extract(pe_label, '^Year ending Sep (\\d{{4}})', 1), ''), nullif(regexp_extract(pe_label, '^(\\d{{4}})$', 1), '')) AS INTEGER) AS DOUBLE) AS pe_year_num,
+  CAST(CAST(nullif(regexp_extract(pe_label, '^Year ending Dec (\\d{{4}})$', 1), '') AS INTEGER) AS DOUBLE) AS dec_year,
   CASE WHEN pe_label = '5-Year Average' THEN '2099-12-31'
        WHEN regexp_matches(pe_label, '^Year ending Sep (\\d{{4}})') THEN strftime(make_date(CAST(regexp_extract(pe_label, '^Year ending Sep (\\d{{4}})', 1) AS INTEGER), 9, 30), '%Y-%m-%d')
        WHEN regexp_matches(pe_label, '^(\\d{{4}})$') THEN strftime(make_date(CAST(pe_label AS INTEGER), 6, 15), '%Y-%m-%d') END AS sort_date,
-  CAST(nullif(regexp_extract(pe_label, '^Q2 (\\d{{4}})', 1), '') AS INTEGER) AS rolling_start,
+  CAST(CAST(nullif(regexp_extract(pe_label, '^Q2 (\\d{{4}})', 1), '') AS INTEGER) AS DOUBLE) AS rolling_start,
   n_lines
 FROM x"""
 

@@ -81,7 +81,8 @@ def coerce_suppressed(spark: SparkSession, d: str) -> DataFrame:
         "raw_text",
         X.to_double("raw_text").alias("value_plain"),
         X.to_double_marked("raw_text").alias("value_num"),
-        X.to_count(X.strip_markers("raw_text")).alias("value_count"),
+        # Nullable integers leave as double so every client (rows, pandas, Arrow) shows NULL the same way.
+        X.to_count(X.strip_markers("raw_text")).cast("double").alias("value_count"),
     )
 
 
@@ -179,11 +180,12 @@ def month_label_parse(spark: SparkSession, d: str) -> DataFrame:
         ymd(P.month_label_date("month_label")).alias("d_label"),
         ymd(P.month_label_date("month_dash")).alias("d_dash"),
         ymd(P.year_ending_month_date("year_ending")).alias("d_year_ending"),
-        P.pe_year("pe_label").alias("pe_year"),
-        P.pe_year_numeric("pe_label").alias("pe_year_num"),
-        P.year_ending_dec("pe_label").alias("dec_year"),
+        # Nullable integers leave as double (see coerce_suppressed).
+        P.pe_year("pe_label").cast("double").alias("pe_year"),
+        P.pe_year_numeric("pe_label").cast("double").alias("pe_year_num"),
+        P.year_ending_dec("pe_label").cast("double").alias("dec_year"),
         ymd(P.period_sort_date("pe_label")).alias("sort_date"),
-        P.rolling_start_year("pe_label").alias("rolling_start"),
+        P.rolling_start_year("pe_label").cast("double").alias("rolling_start"),
         "n_lines",
     )
 
