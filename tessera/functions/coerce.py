@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ColumnLike = "str | Column"
 
 
 def _c(col) -> Column:
