@@ -81,3 +81,19 @@ def lookup_from_fact(df: DataFrame, code_col: str, name_cols: list[str], order_c
     return df.where(F.col(code_col).isNotNull()).groupBy(code_col).agg(
         F.min_by(payload, F.col(order_col)).alias("_n")
     ).select(code_col, *[F.col(f"_n.{c}").alias(c) for c in name_cols])
+
+
+def salted_join(big: DataFrame, other: DataFrame, key: str, salts: int = 16, how: str = "inner") -> DataFrame:
+    """Equi-join that spreads a hot key over ``salts`` tasks.
+
+    Rows of ``big`` get a salt from a hash of the whole row; ``other`` is
+    replicated once per salt (``salts`` copies, a fixed bound).  Every match
+    is still produced exactly once, so results are whole.  Use it when one key
+    holds a large share of ``big`` and ``other`` is too large to broadcast;
+    otherwise adaptive skew-join splitting or a bounded broadcast is simpler.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("salted_join supports inner and left joins")
+    b = big.withColumn("_salt", (F.abs(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns])) % salts).cast("int"))
+    o = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return b.join(o, [key, "_salt"], how).drop("_salt")

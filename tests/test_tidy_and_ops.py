@@ -138,3 +138,29 @@ def test_bounded_broadcast_respects_limit(spark):
     big = spark.range(1000)
     assert J.bounded_broadcast(small, 100) is not small  # hinted copy
     assert J.bounded_broadcast(big, 100) is big
+
+
+def test_salted_join_keeps_every_match(spark):
+    big = spark.createDataFrame([("hot", i) for i in range(500)] + [("cold", 1)], "k string, i int")
+    other = spark.createDataFrame([("hot", "H"), ("cold", "C"), ("none", "N")], "k string, v string")
+    out = J.salted_join(big, other, "k", salts=8)
+    assert out.count() == 501
+    assert out.where("k = 'hot'").select("i").distinct().count() == 500
+    left = J.salted_join(big.union(spark.createDataFrame([("x", 9)], "k string, i int")), other, "k", salts=4, how="left")
+    assert left.where("k = 'x'").first()["v"] is None and left.count() == 502
+
+
+def test_bucketed_tables_join_without_exchange(spark, tmpdir_path):
+    from tessera.sources.layout import bucketed_tables
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = spark.range(1000).selectExpr("id % 100 as k", "id as v")
+        b = spark.range(100).selectExpr("id as k", "id * 2 as w")
+        t = bucketed_tables(spark, {"bk_a": a, "bk_b": b}, "k", 8, tmpdir_path)
+        joined = t["bk_a"].join(t["bk_b"], "k")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        assert joined.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
