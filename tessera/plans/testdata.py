@@ -17,6 +17,7 @@ from ..operators import aggregate as A
 from ..operators import joins as J
 from ..operators import tidy as T
 from ..operators import windows as W
+from ..session import cut_lineage
 from .base import MEASURES, cents, gss, tidy, money_mean, la_lookup, la_supply, month_start, population, price_series, read, rent_series, ymd
 
 Q = {}
@@ -1326,7 +1327,7 @@ def _monthly_region_points(spark: SparkSession, d: str) -> DataFrame:
 def ets_backtest(spark: SparkSession, d: str) -> DataFrame:
     """Rolling-origin backtest of ETS, SARIMA and their ensemble."""
     pts = tidy(_monthly_region_points(spark, d))
-    preds = FM.fitted_predictions(pts, horizon=BACKTEST_H, season=12, min_train=36, models=["ets", "sarima", "ensemble"])
+    preds = cut_lineage(FM.fitted_predictions(pts, horizon=BACKTEST_H, season=12, min_train=36, models=["ets", "sarima", "ensemble"]))
     summ = Y.summarise_backtest(Y.score_predictions(preds, pts, BACKTEST_H, 12))
     r = lambda c: F.round(c, 4).alias(c)
     return summ.select("series_id", "model", "n_windows", r("mae"), r("rmse"), r("mape"), r("mase"), r("coverage_p10_p90"), r("pinball_p50"), "is_best")
@@ -1336,7 +1337,7 @@ def ets_backtest(spark: SparkSession, d: str) -> DataFrame:
 def sarima_order_search(spark: SparkSession, d: str) -> DataFrame:
     """Smallest-AIC orders per monthly series (regions and authorities)."""
     s = _series(spark, d).where(F.col("frequency") == "monthly")
-    return FM.order_search_table(Y.index_points(s), season=12).select(
+    return cut_lineage(FM.order_search_table(Y.index_points(s), season=12)).select(
         "series_id", "n_points", "order", "seasonal_order", F.round("aic", 4).alias("aic")
     )
 
@@ -1587,6 +1588,6 @@ def briefing_sections(spark: SparkSession, d: str) -> DataFrame:
 def forward_forecasts(spark: SparkSession, d: str) -> DataFrame:
     """12-month forward table over every monthly series (regions and authorities) x fitted models."""
     s = _series(spark, d).where(F.col("frequency") == "monthly")
-    out = FM.forward_table(Y.index_points(s), ["ets", "sarima", "ensemble"], season=12, horizon=12)
+    out = cut_lineage(FM.forward_table(Y.index_points(s), ["ets", "sarima", "ensemble"], season=12, horizon=12))
     r = lambda c: F.round(c, 6).alias(c)
     return out.select("series_id", "model", "horizon", r("last_value"), r("end_level"), r("pct_change"), r("p10"), r("p90"), "error")

@@ -50,13 +50,30 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a scratch folder only if unset."""
+    """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
+
+    Only a local-mode session (tests, the benchmark) may fall back to a scratch
+    folder; on a cluster the setting is required, because a machine-local
+    folder would not survive the loss of that machine.
+    """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's object store)")
     path = tempfile.mkdtemp(prefix="tessera-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def cut_lineage(df):
+    """Materialise an expensive intermediate (e.g. model fits) in the shared checkpoint folder.
+
+    After this, losing an executor re-reads the checkpoint instead of
+    refitting; the plan of later stages starts from the written data.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
