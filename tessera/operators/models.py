@@ -247,14 +247,17 @@ PRESSURE_LIKE = ("affordability", "ratio", "vacant", "second_home")
 
 def scenario_table(df: DataFrame, id_col: str, features: list[str], target: str, min_target_rows: int = 3) -> DataFrame:
     """Target (or a z-score proxy), boosted trees (depth 4), scored on base, low and high driver copies."""
-    n_target = df.agg(F.count(target)).first()[0]
+    # One pass for all non-null counts (target and every driver).
+    counts = df.agg(F.count(target).alias("__t"), *[F.count(c).alias(c) for c in features]).first()
+    n_target = counts["__t"]
     is_proxy = n_target < min_target_rows
     if is_proxy:
         parts = []
-        for c in features:
-            s = df.agg(F.avg(c), F.stddev_pop(c)).first()
-            if s[1] and s[1] > 1e-12:
-                z = (F.col(c) - s[0]) / s[1]
+        st = df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(features)], *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(features)]).first()
+        for i, c in enumerate(features):
+            mu, sd = st[f"m_{i}"], st[f"s_{i}"]
+            if counts[c] >= min_target_rows and sd and sd > 1e-12:
+                z = (F.col(c) - mu) / sd
                 parts.append(-z if any(p in c.lower() for p in PRESSURE_LIKE) else z)
         y = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)) / max(len(parts), 1)
     else:
@@ -262,7 +265,7 @@ def scenario_table(df: DataFrame, id_col: str, features: list[str], target: str,
         y = F.coalesce(F.col(target).cast("double"), F.lit(med))
     data = df.withColumn("_y", y)
     # H2: a feature that is a copy of the target is left out (no leakage).
-    feats = [c for c in features if c != target and data.agg(F.count(c)).first()[0] > 0]
+    feats = [c for c in features if c != target and counts[c] > 0]
     est = GBTRegressor(featuresCol="features", labelCol="_y", maxDepth=4, seed=SEED)
     fitted = Pipeline(stages=[*_prep_stages(feats), est]).fit(data)
 
