@@ -101,3 +101,18 @@ def test_annualise_last_and_mean(spark):
     last = {r["year"]: r["v"] for r in P.annualise(df, ["g"], "month", "v", "last").collect()}
     mean = {r["year"]: r["v"] for r in P.annualise(df, ["g"], "month", "v", "mean").collect()}
     assert last[2020] == 12.0 and mean[2020] == 6.5 and last[2021] == 100.0
+
+
+def test_number_labels(spark):
+    assert one(spark, X.fmt_thousands, 1234567.0, "double") == "1,234,567"
+    assert one(spark, X.fmt_thousands, None, "double") == "—"
+    assert one(spark, X.fmt_signed, 2.5, "double") == "+2.5"
+    assert one(spark, X.fmt_signed, -2.5, "double") == "-2.5"
+    assert one(spark, X.dash_if_blank, "  ") == "—"
+
+
+def test_numeric_feature_selection(spark):
+    from tessera.operators.models import numeric_features
+
+    df = spark.createDataFrame([("a", 1, 2.0, "x", 3)], "lad_code string, n int, v double, s string, target long")
+    assert numeric_features(df, ["target"]) == ["n", "v"]

@@ -191,3 +191,21 @@ def test_report_browser_and_model_pick(spark, tmpdir_path):
     assert R.pick_models(rows, "e1", "1", 3, ["London", "Scotland"]).first()["complete"] is False
     summ = {(r["horizon_bucket"], r["model"]): r["mae"] for r in R.browser_summary(rows).collect()}
     assert summ == {(3, "ets"): 1.0, (3, "sarima"): 2.0, (12, "ets"): 4.0}
+
+
+def test_snapshot_and_backtest_sinks(spark, tmpdir_path):
+    snap = spark.createDataFrame([("E06000001", 1.0)], "lad_code string, v double")
+    K.write_snapshot(snap, os.path.join(tmpdir_path, "snap"), {"editions": {"supply": "e1"}, "caveat": "x"})
+    assert spark.read.parquet(os.path.join(tmpdir_path, "snap", "data")).count() == 1
+    meta = json.loads(spark.read.text(os.path.join(tmpdir_path, "snap", "meta")).first()[0])
+    assert meta["editions"]["supply"] == "e1"
+    w = spark.createDataFrame([("s", "m", 36, 1.0)], "series_id string, model string, o int, mae double")
+    K.write_backtest(w, w.groupBy("series_id", "model").count(), os.path.join(tmpdir_path, "bt"))
+    assert spark.read.parquet(os.path.join(tmpdir_path, "bt", "backtest_summary")).count() == 1
+
+
+def test_registry_snapshot_marks_availability(spark):
+    reg = spark.createDataFrame([("a.parquet", "A"), ("b.parquet", "B")], "path string, title string")
+    man = spark.createDataFrame([("a.parquet", 10, 0, "abc")], "path string, size_bytes long, mtime long, sha256 string")
+    got = {r["title"]: r["available"] for r in MF.registry_snapshot(reg, man).collect()}
+    assert got == {"A": True, "B": False}
