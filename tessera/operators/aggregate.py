@@ -2,9 +2,9 @@
 
 All of these plan as partial + final hash aggregation, so a hot group is
 combined map-side before the shuffle.  The exact quantiles (A7, A13, W12)
-first collapse rows to (group, value, count) and then run ``percentile`` with
-a frequency column: the final merge of a hot group holds its distinct values,
-not its rows.
+bracket each target rank with a mergeable sketch and then read the exact
+order statistics from the few (value, count) pairs inside the bracket, so no
+group is ever gathered whole into one task.
 """
 
 from __future__ import annotations
@@ -35,12 +35,82 @@ def value_counts(df: DataFrame, keys: list[str], value_col: str) -> DataFrame:
     return df.where(F.col(value_col).isNotNull()).groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolated quantiles per group (pandas ``quantile`` / ``median``)."""
-    vc = value_counts(df, keys, value_col)
-    return vc.groupBy(*keys).agg(
-        *[F.percentile(F.col(value_col), p, F.col("_n")).alias(name) for name, p in probs.items()]
+# Sketch accuracy of the bracketing pass: rank error <= n / ACCURACY, so the exact pass
+# keeps about 4 n / ACCURACY (value, count) pairs of a group of n rows.
+SKETCH_ACCURACY = 100_000
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: dict[str, float],
+                    accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+    """Exact linear-interpolated quantiles per group (pandas ``quantile`` / ``median``).
+
+    No group is ever gathered whole.  Pass 1 is a mergeable quantile sketch
+    per group (bounded memory, partial aggregation) that brackets each target
+    rank.  Pass 2 counts the values below the bracket and keeps only the
+    (value, count) pairs inside it — about ``4 / accuracy`` of the group —
+    from which the exact order statistics are read.  Ties are carried as
+    counts, so a heavily repeated value costs one pair.
+    """
+    v = F.col(value_col).cast("double")
+    base = df.where(F.col(value_col).isNotNull()).select(*keys, v.alias("_v"))
+    # Margin of 3/accuracy: the sketch's rank error (n/accuracy) plus the shift between its rank
+    # convention (p*n) and the interpolation position (p*(n-1)); groups of at most ``accuracy``
+    # rows use their whole value range, which then holds at most ``accuracy`` pairs.
+    delta = 3.0 / accuracy
+    names = list(probs)
+    edge_probs = []
+    for name in names:
+        p = probs[name]
+        edge_probs += [max(0.0, p - delta), min(1.0, p + delta)]
+    sketch = base.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", edge_probs, accuracy).alias("_edges"),
     )
+    # Bracket [lo, hi] of each probability; the extremes are exact.
+    brackets = []
+    for i, name in enumerate(names):
+        p = probs[name]
+        small = F.col("_n") <= accuracy
+        lo = F.col("_min") if p - delta <= 0 else F.when(small, F.col("_min")).otherwise(F.element_at("_edges", 2 * i + 1))
+        hi = F.col("_max") if p + delta >= 1 else F.when(small, F.col("_max")).otherwise(F.element_at("_edges", 2 * i + 2))
+        brackets += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
+    bounds = sketch.select(*keys, "_n", *brackets)
+    los = [F.col(f"_lo{i}") for i in range(len(names))]
+    his = [F.col(f"_hi{i}") for i in range(len(names))]
+    lo_all = los[0] if len(los) == 1 else F.least(*los)
+    hi_all = his[0] if len(his) == 1 else F.greatest(*his)
+    vc = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    x = vc.join(bounds, keys) if keys else vc.join(F.broadcast(bounds), how="inner", on=F.lit(True))
+    aggs = []
+    for i in range(len(names)):
+        aggs.append(F.sum(F.when(F.col("_v") < F.col(f"_lo{i}"), F.col("_c")).otherwise(0)).alias(f"_below{i}"))
+    aggs.append(F.sort_array(F.collect_list(F.when((F.col("_v") >= lo_all) & (F.col("_v") <= hi_all), F.struct(F.col("_v").alias("v"), F.col("_c").alias("c"))))).alias("_win"))
+    aggs += [F.first(f"_lo{i}").alias(f"_lo{i}") for i in range(len(names))]
+    aggs.append(F.first("_n").alias("_n"))
+    g = x.groupBy(*keys).agg(*aggs)
+
+    def at_rank(rank: F.Column, i: int) -> F.Column:
+        # Smallest value whose cumulative count (starting below the bracket) exceeds ``rank``.
+        win = F.filter("_win", lambda e: e["v"] >= F.col(f"_lo{i}"))
+        init = F.struct(F.col(f"_below{i}").cast("long").alias("cum"), F.lit(None).cast("double").alias("val"))
+        return F.aggregate(
+            win, init,
+            lambda acc, e: F.struct(
+                (acc["cum"] + e["c"]).alias("cum"),
+                F.when(acc["val"].isNull() & (acc["cum"] + e["c"] > rank), e["v"]).otherwise(acc["val"]).alias("val"),
+            ),
+        )["val"]
+
+    outs = []
+    for i, name in enumerate(names):
+        pos = F.lit(probs[name]) * (F.col("_n") - 1)
+        r_lo = F.floor(pos).cast("long")
+        r_hi = F.ceil(pos).cast("long")
+        v_lo, v_hi = at_rank(r_lo, i), at_rank(r_hi, i)
+        frac = pos - r_lo
+        outs.append(F.when(r_lo == r_hi, v_lo).otherwise(v_lo + (v_hi - v_lo) * frac).alias(name))
+    return g.select(*keys, *outs)
 
 
 def exact_median(df: DataFrame, keys: list[str], value_col: str, out: str = "median") -> DataFrame:

@@ -92,10 +92,12 @@ def pct_change_lag(df: DataFrame, series: list[str], order_col: str, value_col:
 
 
 def quantile_edges(df: DataFrame, value_col: str, n_bins: int = 5) -> DataFrame:
-    """W12 edges: linear-interpolated quantiles at 0, 1/n, ..., 1 with duplicates dropped (one row)."""
-    probs = [i / n_bins for i in range(n_bins + 1)]
-    vc = df.where(F.col(value_col).isNotNull()).groupBy(value_col).agg(F.count(F.lit(1)).alias("_n"))
-    return vc.agg(F.array_distinct(F.percentile(F.col(value_col), probs, F.col("_n"))).alias("edges"))
+    """W12 edges: exact linear-interpolated quantiles at 0, 1/n, ..., 1 with duplicates dropped (one row)."""
+    from .aggregate import exact_quantiles
+
+    probs = {f"_q{i}": i / n_bins for i in range(n_bins + 1)}
+    q = exact_quantiles(df, [], value_col, probs)
+    return q.select(F.array_distinct(F.array(*[F.col(k) for k in probs])).alias("edges"))
 
 
 def quantile_bin(value_col: str, edges="edges", n_bins: int = 5) -> Column:
