@@ -164,3 +164,19 @@ def test_bucketed_tables_join_without_exchange(spark, tmpdir_path):
         assert joined.count() == 1000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_exact_quantiles_bracket_path_matches_numpy(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    rows = [("big", rng.random() * 100) for _ in range(20000)] + [("small", v) for v in (1.0, 3.0, 3.0, 7.0)] + [("tied", 5.0)] * 3000
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = {"p0": 0.0, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p100": 1.0}
+    got = {r["g"]: r for r in A.exact_quantiles(df, ["g"], "v", probs, accuracy=500).collect()}
+    for g in ("big", "small", "tied"):
+        vals = np.array([v for k, v in rows if k == g])
+        for name, p in probs.items():
+            assert got[g][name] == pytest.approx(float(np.quantile(vals, p)), abs=1e-9), (g, name)
