@@ -52,6 +52,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: dict[
     counts, so a heavily repeated value costs one pair.
     """
     v = F.col(value_col).cast("double")
+    global_q = not keys
+    if global_q:
+        # One group: a constant key keeps every step an equi-join / grouped aggregate.
+        keys = ["_all"]
+        df = df.withColumn("_all", F.lit(0))
     base = df.where(F.col(value_col).isNotNull()).select(*keys, v.alias("_v"))
     # Margin of 3/accuracy: the sketch's rank error (n/accuracy) plus the shift between its rank
     # convention (p*n) and the interpolation position (p*(n-1)); groups of at most ``accuracy``
@@ -81,7 +86,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: dict[
     lo_all = los[0] if len(los) == 1 else F.least(*los)
     hi_all = his[0] if len(his) == 1 else F.greatest(*his)
     vc = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    x = vc.join(bounds, keys) if keys else vc.join(F.broadcast(bounds), how="inner", on=F.lit(True))
+    x = vc.join(F.broadcast(bounds), keys) if global_q else vc.join(bounds, keys)
     aggs = []
     for i in range(len(names)):
         aggs.append(F.sum(F.when(F.col("_v") < F.col(f"_lo{i}"), F.col("_c")).otherwise(0)).alias(f"_below{i}"))
@@ -110,7 +115,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: dict[
         v_lo, v_hi = at_rank(r_lo, i), at_rank(r_hi, i)
         frac = pos - r_lo
         outs.append(F.when(r_lo == r_hi, v_lo).otherwise(v_lo + (v_hi - v_lo) * frac).alias(name))
-    return g.select(*keys, *outs)
+    out = g.select(*keys, *outs)
+    return out.drop("_all") if global_q else out
 
 
 def exact_median(df: DataFrame, keys: list[str], value_col: str, out: str = "median") -> DataFrame:

@@ -701,6 +701,7 @@ def rates_per_1000(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.withColumn("starts_per_1000", X.per_1000("starts", "population")).withColumn(
         "completions_per_1000", X.per_1000("completions", "population")
     )
+    rows = tidy(rows)
     la_rates = rows.where(F.col("geography_level") == "la")
     med = A.exact_median(la_rates, [], "starts_per_1000", "m").scalar()
     return rows.select(
@@ -1146,7 +1147,7 @@ def mapped_metric(spark: SparkSession, d: str) -> DataFrame:
     latest = W.latest_rows(la, P.period_sort_key("financial_year"), "financial_year")
     tot = latest.groupBy("lad_code", "lad_name").agg(F.sum("dwellings").alias("supply"))
     pop = population(spark, d, lk).select("lad_code", "population")
-    m = tot.join(pop, "lad_code", "left").withColumn("metric", X.per_1000("supply", "population"))
+    m = tidy(tot.join(pop, "lad_code", "left").withColumn("metric", X.per_1000("supply", "population")))
     edges = W.quantile_edges(m, "metric", 5).scalar()
     med = A.exact_median(m, [], "metric", "m").scalar()
     top = A.top_k(m.where(F.col("metric").isNotNull()), "metric", 5, ["lad_code"]).select("lad_code", F.lit("top").alias("side"))
