@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, word_bpe
+from . import exact_dedup, packing, prefix_counts, word_bpe
 from .common import read_table
 
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of ``documents`` in windows of 4096 tokens."""
+    pieces = packing.pack(read_table(spark, sf_dir, "documents", "doc_id", "text"), WORD_VOCAB)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of ``documents``: the row with the largest doc_id of equal texts stays."""
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -22,9 +29,16 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode_digests(read_table(spark, sf_dir, "documents", "doc_id", "text"), WORD_VOCAB)
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text from prefix tables, with the longest prefix within 512 tokens."""
+    return prefix_counts.token_counts(read_table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_VOCAB, limit=512)
+
+
 QUERIES = {
+    "op4_packing": op4_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_token_counts": op9_token_counts,
 }
 
 ORACLE_SQL = {
