@@ -6,19 +6,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, prefix_counts, word_bpe
+from . import exact_dedup, packing, prefix_counts, secrets, topk, word_bpe
 from .common import read_table
 
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text: counts and digest of the base patterns, and all spans."""
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = secrets.of_kind(F.col("spans"), *secrets.BASE_KINDS)
+    count = lambda kind: F.size(secrets.of_kind(F.col("spans"), kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, secrets.BASE_KINDS), F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+                        secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of ``documents`` in windows of 4096 tokens."""
     pieces = packing.pack(read_table(spark, sf_dir, "documents", "doc_id", "text"), WORD_VOCAB)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector with all others."""
+    vectors = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    weights = vectors.select("vec_id", topk.quantized(F.col("embedding"), 256).alias("weights"))
+    return topk.top_k(weights, F.pmod("vec_id", F.lit(50)) == 0, 5)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of ``documents``: the row with the largest doc_id of equal texts stays."""
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -35,13 +51,24 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op4_packing": op4_packing,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_token_counts": op9_token_counts,
 }
 
 ORACLE_SQL = {
+    "op5_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+                   WHERE embedding IS NOT NULL
+                     AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), p -> p[1] * p[2])) AS BIGINT) AS score
+                   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+    """,
     "op6_exact_dedup": """
         WITH n AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
                    FROM documents),
