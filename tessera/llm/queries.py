@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, prefix_counts, secrets, topk, word_bpe
-from .common import read_table
+from . import exact_dedup, langid, packing, prefix_counts, secrets, topk, word_bpe
+from .common import crc_mod, read_table
 
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +40,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the documents that are not held out."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.train(docs.filter(crc_mod(F.col("doc_id"), 4) != 2))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "langs", "shares")
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text and their decoding, as digests."""
     return word_bpe.encode_digests(read_table(spark, sf_dir, "documents", "doc_id", "text"), WORD_VOCAB)
@@ -55,6 +63,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_language_id": op7_language_id,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_token_counts": op9_token_counts,
 }
