@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, packing, prefix_counts, secrets, topk, word_bpe
+from . import exact_dedup, langid, near_dedup, packing, prefix_counts, secrets, topk, word_bpe
 from .common import crc_mod, read_table
 
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +58,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.token_counts(read_table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_VOCAB, limit=512)
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near duplicates of every document."""
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op4_packing": op4_packing,
@@ -66,6 +71,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_token_counts": op9_token_counts,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE_SQL = {
