@@ -72,16 +72,15 @@ class Recent:
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        absent = keys - young.keys()
-        if absent:
-            fresh = []
-            for k in absent:
+        fresh = []
+        for k in keys:
+            if k not in young:
                 if k in old:
                     young[k] = old[k]
                 else:
                     fresh.append(k)
-            if fresh:
-                young.update(zip(fresh, self.make(fresh)))
+        if fresh:
+            young.update(zip(fresh, self.make(fresh)))
         return young
 
 

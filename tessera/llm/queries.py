@@ -6,13 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, near_dedup, packing, prefix_counts, secrets, topk, word_bpe
+from . import exact_dedup, langid, near_dedup, packing, prefix_counts, secrets, topk, toxicity, word_bpe
 from .common import crc_mod, read_table
 
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from labelled documents that are not held out."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic").filter(crc_mod(F.col("doc_id"), 5) != 0)
+    model = toxicity.fit(toxicity.labelled_sample(docs, labels))
+    return toxicity.score(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text: counts and digest of the base patterns, and all spans."""
     found = secrets.find_secrets(read_table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -64,6 +72,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
     "op4_packing": op4_packing,
     "op5_exact_top_k": op5_exact_top_k,
