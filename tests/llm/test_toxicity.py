@@ -25,8 +25,7 @@ def test_label_model_finds_rates_and_shares_weight_of_copies():
     rate1, rate0 = np.array([0.6, 0.5, 0.4, 0.5]), np.array([0.05, 0.1, 0.02, 0.05])
     votes = np.where(y[:, None], rng.random((6000, 4)) < rate1, rng.random((6000, 4)) < rate0).astype(float)
     votes = np.column_stack([votes, votes[:, 0]])
-    first1, first0 = np.full(5, 0.4), np.full(5, 0.1)
-    m = toxicity.fit_label_model(votes, np.ones(6000), first1, first0, 0.2)
+    m = toxicity.fit_label_model(votes, np.ones(6000), (np.full(5, 8.0), np.full(5, 3.0)), (20.0, 50.0))
     assert m.correlation[0, 4] > 0.99 and abs(m.weight[0] - 0.5) < 0.1 and m.weight[1] > 0.8
     assert ((m.posterior(votes) > 0.5) == y).mean() > 0.85
 
