@@ -66,10 +66,12 @@ _POWERS = {"up": powers(BASE, 1 << 12), "down": powers(BASE_INVERSE, 1 << 12)}
 
 def word_hashes(text: str) -> np.ndarray:
     """64-bit hash of each word (run without ASCII white space) of the lower-cased text."""
-    data = np.frombuffer(text.lower().encode(), np.uint8)
-    out = []
-    for start, end in segments(data):
-        out.append(segment_hashes(data[start:end]))
+    return byte_word_hashes(np.frombuffer(text.lower().encode(), np.uint8))
+
+
+def byte_word_hashes(data: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of bytes without ASCII white space."""
+    out = [segment_hashes(data[start:end]) for start, end in segments(data)]
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, near_dedup, packing, prefix_counts, secrets, topk, toxicity, word_bpe
+from . import exact_dedup, langid, lm, near_dedup, packing, prefix_counts, secrets, topk, toxicity, word_bpe
 from .common import crc_mod, read_table
 
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and attention model scores of every text, learned from the documents that are not held out."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return lm.score_texts(docs, crc_mod(F.col("doc_id"), 10) == 0, WORD_VOCAB)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of ``documents`` in windows of 4096 tokens."""
     pieces = packing.pack(read_table(spark, sf_dir, "documents", "doc_id", "text"), WORD_VOCAB)
@@ -74,6 +80,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_packing": op4_packing,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_exact_dedup": op6_exact_dedup,
