@@ -3,13 +3,13 @@
 All of these plan as partial + final hash aggregation, so a hot group is
 combined map-side before the shuffle.  The exact quantiles (A7, A13, W12)
 bracket each target rank with a mergeable sketch and then read the exact
-order statistics from the few (value, count) pairs inside the bracket, so no
-group is ever gathered whole into one task.
+order statistics from counts inside the bracket, so no group is ever
+gathered whole into one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import _c
@@ -35,88 +35,73 @@ def value_counts(df: DataFrame, keys: list[str], value_col: str) -> DataFrame:
     return df.where(F.col(value_col).isNotNull()).groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("_n"))
 
 
-# Sketch accuracy of the bracketing pass: rank error <= n / ACCURACY, so the exact pass
-# keeps about 4 n / ACCURACY (value, count) pairs of a group of n rows.
-SKETCH_ACCURACY = 100_000
+# Rank error of the bracketing sketch: at most n / SKETCH_ACCURACY; a bracket holds about six times that.
+SKETCH_ACCURACY = 10_000
+# Equal-width parts that a bracket is counted in before its values are ordered.
+PARTS = 1024
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: dict[str, float],
                     accuracy: int = SKETCH_ACCURACY) -> DataFrame:
     """Exact linear-interpolated quantiles per group (pandas ``quantile`` / ``median``).
 
-    No group is ever gathered whole.  Pass 1 is a mergeable quantile sketch
-    per group (bounded memory, partial aggregation) that brackets each target
-    rank.  Pass 2 counts the values below the bracket and keeps only the
-    (value, count) pairs inside it — about ``4 / accuracy`` of the group —
-    from which the exact order statistics are read.  Ties are carried as
-    counts, so a heavily repeated value costs one pair.
+    The same steps for every size, none of which gathers a group:
+
+    1. a mergeable sketch per group brackets the two ranks of each probability;
+    2. one pass counts, per group and probability, the values below the bracket, the nearest value on either
+       side of it and the values in each of its equal-width parts (partial aggregation, few rows leave a task);
+    3. running counts over the parts tell which part holds each rank;
+    4. only the values of those parts are shuffled, as (value, count), and ordered to read the ranks.
+
+    A rank just outside its bracket is one of the nearest values, so small groups need no other way.  Ties are
+    carried as counts.
     """
+    names = list(probs)
+    grouped = bool(keys)
+    on = keys if grouped else ["_all"]
     v = F.col(value_col).cast("double")
-    global_q = not keys
-    if global_q:
-        # One group: a constant key keeps every step an equi-join / grouped aggregate.
-        keys = ["_all"]
-        df = df.withColumn("_all", F.lit(0))
-    base = df.where(F.col(value_col).isNotNull()).select(*keys, v.alias("_v"))
-    # Margin of 3/accuracy: the sketch's rank error (n/accuracy) plus the shift between its rank
-    # convention (p*n) and the interpolation position (p*(n-1)); groups of at most ``accuracy``
-    # rows use their whole value range, which then holds at most ``accuracy`` pairs.
+    # without keys: a key that is always 0 but no literal, so joins stay equi-joins
+    key_cols = [F.col(k) for k in keys] if grouped else [F.pmod(F.hash(v), F.lit(1)).alias("_all")]
+    base = df.where(F.col(value_col).isNotNull()).select(*key_cols, v.alias("_v"))
     delta = 3.0 / accuracy
-    names = list(probs)
-    edge_probs = []
-    for name in names:
-        p = probs[name]
-        edge_probs += [max(0.0, p - delta), min(1.0, p + delta)]
-    sketch = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", edge_probs, accuracy).alias("_edges"),
-    )
-    # Bracket [lo, hi] of each probability; the extremes are exact.
-    brackets = []
-    for i, name in enumerate(names):
-        p = probs[name]
-        small = F.col("_n") <= accuracy
-        lo = F.col("_min") if p - delta <= 0 else F.when(small, F.col("_min")).otherwise(F.element_at("_edges", 2 * i + 1))
-        hi = F.col("_max") if p + delta >= 1 else F.when(small, F.col("_max")).otherwise(F.element_at("_edges", 2 * i + 2))
-        brackets += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
-    bounds = sketch.select(*keys, "_n", *brackets)
-    los = [F.col(f"_lo{i}") for i in range(len(names))]
-    his = [F.col(f"_hi{i}") for i in range(len(names))]
-    lo_all = los[0] if len(los) == 1 else F.least(*los)
-    hi_all = his[0] if len(his) == 1 else F.greatest(*his)
-    vc = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    x = vc.join(F.broadcast(bounds), keys) if global_q else vc.join(bounds, keys)
-    aggs = []
-    for i in range(len(names)):
-        aggs.append(F.sum(F.when(F.col("_v") < F.col(f"_lo{i}"), F.col("_c")).otherwise(0)).alias(f"_below{i}"))
-    aggs.append(F.sort_array(F.collect_list(F.when((F.col("_v") >= lo_all) & (F.col("_v") <= hi_all), F.struct(F.col("_v").alias("v"), F.col("_c").alias("c"))))).alias("_win"))
-    aggs += [F.first(f"_lo{i}").alias(f"_lo{i}") for i in range(len(names))]
-    aggs.append(F.first("_n").alias("_n"))
-    g = x.groupBy(*keys).agg(*aggs)
-
-    def at_rank(rank: F.Column, i: int) -> F.Column:
-        # Smallest value whose cumulative count (starting below the bracket) exceeds ``rank``.
-        win = F.filter("_win", lambda e: e["v"] >= F.col(f"_lo{i}"))
-        init = F.struct(F.col(f"_below{i}").cast("long").alias("cum"), F.lit(None).cast("double").alias("val"))
-        return F.aggregate(
-            win, init,
-            lambda acc, e: F.struct(
-                (acc["cum"] + e["c"]).alias("cum"),
-                F.when(acc["val"].isNull() & (acc["cum"] + e["c"] > rank), e["v"]).otherwise(acc["val"]).alias("val"),
-            ),
-        )["val"]
-
-    outs = []
-    for i, name in enumerate(names):
-        pos = F.lit(probs[name]) * (F.col("_n") - 1)
-        r_lo = F.floor(pos).cast("long")
-        r_hi = F.ceil(pos).cast("long")
-        v_lo, v_hi = at_rank(r_lo, i), at_rank(r_hi, i)
-        frac = pos - r_lo
-        outs.append(F.when(r_lo == r_hi, v_lo).otherwise(v_lo + (v_hi - v_lo) * frac).alias(name))
-    out = g.select(*keys, *outs)
-    return out.drop("_all") if global_q else out
+    edges = [e for n in names for e in (max(0.0, probs[n] - delta), min(1.0, probs[n] + delta))]
+    sketch = base.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e"))
+    wanted = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.element_at("_e", 2 * i + 1).alias("lo"), F.element_at("_e", 2 * i + 2).alias("hi"),
+                 (F.lit(probs[n]) * (F.col("_n") - 1)).alias("pos"))
+        for i, n in enumerate(names)
+    ])
+    brackets = sketch.select(*on, F.explode(wanted).alias("_b"))
+    brackets = brackets.select(*on, "_b.*").select(
+        *on, "i", "lo", "hi", "pos", F.floor("pos").cast("long").alias("r0"), F.ceil("pos").cast("long").alias("r1"))
+
+    span = F.col("hi") - F.col("lo")
+    part = F.when(F.col("_v") < F.col("lo"), -1).when(F.col("_v") > F.col("hi"), PARTS).otherwise(
+        F.when(span > 0, F.least(F.floor((F.col("_v") - F.col("lo")) / span * PARTS), F.lit(PARTS - 1))).otherwise(0)).cast("int")
+    placed = base.join(brackets, on).withColumn("_part", part)
+    counts = placed.groupBy(*on, "i", "_part").agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.first("r0").alias("r0"), F.first("r1").alias("r1"))
+    so_far = Window.partitionBy(*on, "i").orderBy("_part")  # at most PARTS + 2 rows a group and probability
+    counts = counts.withColumn("_end", F.sum("_c").over(so_far)).withColumn("_start", F.col("_end") - F.col("_c"))
+    holds = lambda r: (F.col("_start") <= F.col(r)) & (F.col(r) < F.col("_end"))
+    chosen = counts.where(holds("r0") | holds("r1"))
+    # outside the bracket the rank is the nearest value; a part of one value needs no order either
+    known = F.when(F.col("_part") == -1, F.col("_max")).when(F.col("_part") == PARTS, F.col("_min")).when(F.col("_min") == F.col("_max"), F.col("_min"))
+    chosen = chosen.withColumn("_known", known)
+    settled = chosen.where(F.col("_known").isNotNull()).select(
+        *on, "i", F.when(holds("r0"), F.col("_known")).alias("v0"), F.when(holds("r1"), F.col("_known")).alias("v1"))
+    open_parts = chosen.where(F.col("_known").isNull()).select(*on, "i", "_part", "_start", "r0", "r1")
+    values = placed.select(*on, "i", "_part", "_v").join(open_parts, [*on, "i", "_part"])
+    values = values.groupBy(*on, "i", "_part", "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_start").alias("_from"), F.first("r0").alias("r0"), F.first("r1").alias("r1"))
+    inside = Window.partitionBy(*on, "i", "_part").orderBy("_v")
+    values = values.withColumn("_end", F.col("_from") + F.sum("_c").over(inside)).withColumn("_start", F.col("_end") - F.col("_c"))
+    read = values.where(holds("r0") | holds("r1")).select(
+        *on, "i", F.when(holds("r0"), F.col("_v")).alias("v0"), F.when(holds("r1"), F.col("_v")).alias("v1"))
+    ranks = settled.unionByName(read).groupBy(*on, "i").agg(F.max("v0").alias("v0"), F.max("v1").alias("v1"))
+    ranks = ranks.join(brackets.select(*on, "i", "pos", "r0"), [*on, "i"])
+    value = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("pos") - F.col("r0"))
+    out = ranks.groupBy(*on).agg(*[F.max(F.when(F.col("i") == i, value)).alias(n) for i, n in enumerate(names)])
+    return out if grouped else out.drop("_all")
 
 
 def exact_median(df: DataFrame, keys: list[str], value_col: str, out: str = "median") -> DataFrame:
@@ -129,22 +114,16 @@ def mean_per_year(total_col, n_years: int) -> Column:
 
 
 def arg_best(df: DataFrame, keys: list[str], value_col: str, tie_col: str, cols: list[str], largest: bool = True) -> DataFrame:
-    """The row with the largest (or smallest) value per group; ties go to the smallest ``tie_col``."""
-    payload = F.struct(*[F.col(c) for c in cols])
-    if largest:
-        order = F.struct(F.col(value_col), -F.col(tie_col)) if _is_numeric_tie(df, tie_col) else F.struct(F.col(value_col))
-        pick = F.max_by(payload, order)
-    else:
-        order = F.struct(F.col(value_col), F.col(tie_col))
-        pick = F.min_by(payload, order)
-    d = df.where(F.col(value_col).isNotNull())
-    return d.groupBy(*keys).agg(pick.alias("_best")).select(*keys, "_best.*")
-
-
-def _is_numeric_tie(df: DataFrame, col: str) -> bool:
-    from pyspark.sql.types import NumericType
+    """The row with the largest (or smallest) value per group; ties go to the smallest ``tie_col``, of any type.
 
-    return isinstance(df.schema[col].dataType, NumericType)
+    Two hash aggregates: the best value, then the smallest tie among the rows that have it.
+    """
+    best = F.max if largest else F.min
+    d = df.where(F.col(value_col).isNotNull())
+    top = d.groupBy(*keys).agg(best(value_col).alias("_top"))
+    hit = d.join(top, keys).where(F.col(value_col) == F.col("_top"))
+    payload = F.struct(*[F.col(c) for c in cols])
+    return hit.groupBy(*keys).agg(F.min_by(payload, tie_col).alias("_best")).select(*keys, "_best.*")
 
 
 def mode_label(col) -> Column:

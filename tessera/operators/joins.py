@@ -1,9 +1,8 @@
 """Join operators.
 
-Join strategy is left to Catalyst and adaptive execution: a side is hinted
-for broadcast only after a bounded row check (``bounded_broadcast``); anything
-larger stays a shuffle join, which AQE may still turn into a broadcast at run
-time from real sizes, and whose skewed partitions it splits.
+Join strategy is left to Catalyst and adaptive execution, which decide by
+bytes: a side known or measured to be small is broadcast, anything else is a
+shuffle join whose skewed partitions are split.
 """
 
 from __future__ import annotations
@@ -11,39 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest lookup (rows) that is hinted for broadcast.  Lookups of the
-# reference are a few hundred rows (authorities, regions, table ids).
-BROADCAST_MAX_ROWS = 200_000
-
-
-_SIZE_CHECKS: dict[tuple, bool] = {}
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (``limit`` stops the scan),
-    so it stays cheap however large the input turns out to be.  Above the
-    bound the frame is returned unhinted and joins as a shuffle join (which
-    adaptive execution may still broadcast from measured sizes).  The answer
-    is remembered per session for the same logical plan (``semanticHash``),
-    so a lookup shared by many queries is counted once.
-    """
-    key = (id(df.sparkSession), df.semanticHash(), max_rows)
-    small = _SIZE_CHECKS.get(key)
-    if small is None:
-        small = df.limit(max_rows + 1).count() <= max_rows
-        _SIZE_CHECKS[key] = small
-    return F.broadcast(df) if small else df
-
-
-def left_chain(spine: DataFrame, key: str, sides: list[DataFrame | None], broadcast_small: bool = True) -> DataFrame:
+def left_chain(spine: DataFrame, key: str, sides: list[DataFrame | None]) -> DataFrame:
     """Spine LEFT JOIN each optional side on ``key``; ``None`` sides are skipped."""
     out = spine
     for side in sides:
         if side is None:
             continue
-        out = out.join(bounded_broadcast(side) if broadcast_small else side, key, "left")
+        out = out.join(side, key, "left")
     return out
 
 

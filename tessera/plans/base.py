@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.periods import financial_year_label, fy_start_year
-from ..operators.joins import bounded_broadcast
 
 LA_PREFIX = "E06"
 REGION_PREFIX = "E12"
@@ -68,14 +67,14 @@ def la_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LA -> region lookup (J8 input): nationkey, lad_code, lad_name, region_code, region_name."""
     n = read(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
     r = read(spark, sf_dir, "region", "r_regionkey", "r_name")
-    lk = n.join(bounded_broadcast(r), n.n_regionkey == r.r_regionkey, "left").select(
+    lk = n.join(r, n.n_regionkey == r.r_regionkey, "left").select(
         F.col("n_nationkey").alias("nationkey"),
         gss(LA_PREFIX, "n_nationkey").alias("lad_code"),
         F.col("n_name").alias("lad_name"),
         gss(REGION_PREFIX, "r_regionkey").alias("region_code"),
         F.col("r_name").alias("region_name"),
     )
-    return bounded_broadcast(lk)
+    return lk
 
 
 def la_supply(spark: SparkSession, sf_dir: str, lookup: DataFrame | None = None) -> DataFrame:
@@ -123,10 +122,8 @@ def price_series(spark: SparkSession, sf_dir: str, lookup: DataFrame | None = No
     lookup = lookup if lookup is not None else la_lookup(spark, sf_dir)
     li = read(spark, sf_dir, "lineitem", "l_suppkey", "l_extendedprice", "l_shipdate")
     s = read(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
-    x = li.join(bounded_broadcast(s), li.l_suppkey == s.s_suppkey)
-    g = x.groupBy("s_nationkey", month_start("l_shipdate").alias("month")).agg(
-        F.sum(cents("l_extendedprice")).alias("_s"), F.count(F.lit(1)).alias("_n")
-    )
+    own = li.groupBy("l_suppkey", month_start("l_shipdate").alias("month")).agg(F.sum(cents("l_extendedprice")).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    g = own.join(s, own.l_suppkey == s.s_suppkey).groupBy("s_nationkey", "month").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
     g = g.join(lookup, g.s_nationkey == lookup.nationkey)
     name = "region_name" if grain == "region" else "lad_code"
     return tidy(g.groupBy(F.col(name).alias("geography"), "month").agg(money_mean(F.sum("_s"), F.sum("_n")).alias("value")))

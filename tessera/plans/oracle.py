@@ -322,22 +322,22 @@ UNION ALL SELECT 'joined_rows', count(*) FROM la LEFT JOIN fuel ON la.lad_code =
 
 
 def _fam_price(year_expr: str) -> str:
-    return f"""fa AS (SELECT lk.lad_code, {year_expr} AS year, quantile_cont(o_totalprice, 0.5) AS price, quantile_cont(o_totalprice, 0.25) AS lq_price
+    return f"""fa AS MATERIALIZED (SELECT lk.lad_code, {year_expr} AS year, quantile_cont(o_totalprice, 0.5) AS price, quantile_cont(o_totalprice, 0.25) AS lq_price
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN lk ON c_nationkey = lk.nationkey GROUP BY ALL)"""
 
 
-def _fam_earn(where: str = "") -> str:
-    return f"""fb AS (SELECT lk.lad_code, CAST(year(l_shipdate) AS INTEGER) AS year,
+def _fam_earn() -> str:
+    return f"""fb AS MATERIALIZED (SELECT lk.lad_code, CAST(year(l_shipdate) AS INTEGER) AS year,
   CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100.0 AS earnings
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN lk ON s_nationkey = lk.nationkey {where} GROUP BY ALL)"""
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN lk ON s_nationkey = lk.nationkey GROUP BY ALL)"""
 
 
-FAM_RATIO = f"""fc AS (SELECT lk.lad_code, {_fy_start('o_orderdate')} AS year,
+FAM_RATIO = f"""fc AS MATERIALIZED (SELECT lk.lad_code, {_fy_start('o_orderdate')} AS year,
   CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(DISTINCT o_custkey) / 100.0 AS ratio
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN lk ON c_nationkey = lk.nationkey GROUP BY ALL)"""
 
 SQL["ratio_common_year"] = f"""
-WITH {LK}, {_fam_price('CAST(year(o_orderdate) AS INTEGER)')}, {_fam_earn("WHERE l_shipdate < TIMESTAMP '2001-01-01'")}, {FAM_RATIO},
+WITH {LK}, {_fam_price('CAST(year(o_orderdate) AS INTEGER)')}, {_fam_earn()}, {FAM_RATIO},
 y AS (SELECT max(year) AS y FROM (SELECT year FROM fa INTERSECT SELECT year FROM fb INTERSECT SELECT year FROM fc)),
 a AS (SELECT lad_code, price FROM fa WHERE year = (SELECT y FROM y)),
 b AS (SELECT lad_code, earnings FROM fb WHERE year = (SELECT y FROM y)),
@@ -682,7 +682,7 @@ _SORT_DATE = """CASE WHEN period_label = '5-Year Average' THEN '2099-12-31'
 
 SQL["affordability_compare"] = f"""
 WITH {LK}, {_fam_price(_Y)}, {_fam_earn()}, {FAM_RATIO},
-fams0 AS (SELECT 'price' AS family, lad_code, 'Year ending Sep ' || CAST(year AS VARCHAR) AS period_label, round(price, 4) AS value FROM fa
+fams0 AS MATERIALIZED (SELECT 'price' AS family, lad_code, 'Year ending Sep ' || CAST(year AS VARCHAR) AS period_label, round(price, 4) AS value FROM fa
   UNION ALL SELECT 'earnings', lad_code, CAST(year AS VARCHAR), earnings FROM fb
   UNION ALL SELECT 'ratio', lad_code, CAST(year AS VARCHAR), ratio FROM fc),
 fams AS (SELECT *, {_PE_YEAR} AS pe_year FROM fams0),

@@ -39,7 +39,7 @@ def region_supply(supply_la: DataFrame, lookup: DataFrame | None = None) -> Data
     lk = lookup if lookup is not None else derived_lookup(supply_la)
     x = supply_la.select(
         X.norm_code("Local Authority Code").alias("lad_code"), "financial_year", canonical_measure("measure").alias("measure"), "dwellings"
-    ).join(J.bounded_broadcast(lk.select("lad_code", "region_name")), "lad_code", "left")
+    ).join(lk.select("lad_code", "region_name"), "lad_code", "left")
     return x.groupBy("region_name", "financial_year", "measure").agg(
         A.sum_or_null("dwellings").alias("dwellings"), F.countDistinct("lad_code").alias("n_la")
     )

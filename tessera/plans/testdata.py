@@ -270,7 +270,7 @@ def pivot_measures(spark: SparkSession, d: str) -> DataFrame:
     lk = la_lookup(spark, d)
     li = read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_quantity", "l_discount")
     s = read(spark, d, "supplier", "s_suppkey", "s_nationkey")
-    x = li.join(J.bounded_broadcast(s), li.l_suppkey == s.s_suppkey).join(lk, F.col("s_nationkey") == lk.nationkey)
+    x = li.join(s, li.l_suppkey == s.s_suppkey).join(lk, F.col("s_nationkey") == lk.nationkey)
     long = x.select(
         "lad_code",
         F.col("l_returnflag").alias("flag"),
@@ -295,7 +295,7 @@ def _band_shares(spark: SparkSession, d: str, lk: DataFrame) -> DataFrame:
     li = read(spark, d, "lineitem", "l_partkey", "l_suppkey")
     p = read(spark, d, "part", "p_partkey", "p_size")
     s = read(spark, d, "supplier", "s_suppkey", "s_nationkey")
-    x = li.join(p, li.l_partkey == p.p_partkey).join(J.bounded_broadcast(s), li.l_suppkey == s.s_suppkey)
+    x = li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey)
     cnt = x.groupBy("s_nationkey", size_band("p_size").alias("band")).agg(F.count(F.lit(1)).alias("n"))
     cnt = cnt.join(lk, cnt.s_nationkey == lk.nationkey).groupBy("region_code", "region_name", "band").agg(F.sum("n").alias("n"))
     tot = cnt.groupBy("region_code").agg(F.sum("n").alias("tot"))
@@ -370,7 +370,7 @@ def _earnings(spark: SparkSession, d: str, lk: DataFrame) -> DataFrame:
 def _fuel_shares(spark: SparkSession, d: str, lk: DataFrame) -> DataFrame:
     li = read(spark, d, "lineitem", "l_suppkey", "l_returnflag")
     s = read(spark, d, "supplier", "s_suppkey", "s_nationkey")
-    cnt = li.join(J.bounded_broadcast(s), li.l_suppkey == s.s_suppkey).groupBy("s_nationkey").pivot(
+    cnt = li.join(s, li.l_suppkey == s.s_suppkey).groupBy("s_nationkey").pivot(
         "l_returnflag", ["A", "N", "R"]
     ).agg(F.count(F.lit(1)))
     tot = F.coalesce(F.col("A"), F.lit(0)) + F.coalesce(F.col("N"), F.lit(0)) + F.coalesce(F.col("R"), F.lit(0))
@@ -389,7 +389,7 @@ def market_snapshot_la(spark: SparkSession, d: str) -> DataFrame:
     med = _median_price_latest_fy(spark, d, lk)
     earn = _earnings(spark, d, lk)
     fuel = _fuel_shares(spark, d, lk)
-    x = J.left_chain(spine, "lad_code", [supply, pop, med, earn, fuel], broadcast_small=False)
+    x = J.left_chain(spine, "lad_code", [supply, pop, med, earn, fuel])
     x = x.withColumn("price_earnings_ratio", X.safe_ratio("median_price", "mean_earnings"))
     return x.select(
         "lad_code", "lad_name", "region_name", "financial_year",
@@ -419,7 +419,7 @@ def market_snapshot_region(spark: SparkSession, d: str) -> DataFrame:
         F.col("geography").alias("region_name"), F.col("growth_pct")
     )
     spine = lk.select("region_code", "region_name").distinct()
-    x = J.left_chain(spine, "region_code", [supply, pop, abc], broadcast_small=False).join(growth, "region_name", "left")
+    x = J.left_chain(spine, "region_code", [supply, pop, abc]).join(growth, "region_name", "left")
     return x.select(
         "region_code", "region_name", "financial_year",
         *[F.round(f"supply_{m.lower()}", 2).alias(f"supply_{m.lower()}") for m in MEASURES],
@@ -436,12 +436,13 @@ def _fuel_tables(spark: SparkSession, d: str, lk: DataFrame) -> DataFrame:
     """Main-fuel analogue: 2a counts by return flag, 2b by line status with a dwelling class (K5 union)."""
     li = read(spark, d, "lineitem", "l_suppkey", "l_returnflag", "l_linestatus")
     s = read(spark, d, "supplier", "s_suppkey", "s_nationkey")
-    x = li.join(J.bounded_broadcast(s), li.l_suppkey == s.s_suppkey)
+    own = li.groupBy("l_suppkey", "l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("_n"))
+    x = own.join(s, own.l_suppkey == s.s_suppkey)
     t2a = x.groupBy("s_nationkey", F.col("l_returnflag").alias("fuel_or_method")).agg(
-        F.count(F.lit(1)).cast("double").alias("value")
+        F.sum("_n").cast("double").alias("value")
     ).withColumn("table_id", F.lit("2a"))
     cls = F.when(F.col("l_linestatus") == "F", F.lit("Existing")).otherwise(F.lit("New"))
-    t2b = x.groupBy("s_nationkey", cls.alias("dwelling_class")).agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn(
+    t2b = x.groupBy("s_nationkey", cls.alias("dwelling_class")).agg(F.sum("_n").cast("double").alias("value")).withColumn(
         "table_id", F.lit("2b")
     ).withColumn("fuel_or_method", F.lit("all"))
     fuel = T.union_all([t2a, t2b])
@@ -486,15 +487,15 @@ def _family_price(spark, d, lk, year_expr) -> DataFrame:
     return tidy(med.join(lk, med.c_nationkey == lk.nationkey).select("lad_code", "year", "price", "lq_price"))
 
 
-def _family_earnings(spark, d, lk, until: str | None = None) -> DataFrame:
-    """Average line price per supplier LA and ship year (earnings family, 5b analogue)."""
+def _family_earnings(spark, d, lk) -> DataFrame:
+    """Average line price per supplier LA and ship year (earnings family, 5b analogue).
+
+    Lines are summed in whole pence per supplier and year before the supplier join.
+    """
     li = read(spark, d, "lineitem", "l_suppkey", "l_extendedprice", "l_shipdate")
-    if until:
-        li = li.where(F.col("l_shipdate") < F.lit(until).cast("timestamp"))
     s = read(spark, d, "supplier", "s_suppkey", "s_nationkey")
-    g = li.join(J.bounded_broadcast(s), li.l_suppkey == s.s_suppkey).groupBy("s_nationkey", F.year("l_shipdate").alias("year")).agg(
-        money_mean(F.sum(cents("l_extendedprice")), F.count(F.lit(1))).alias("earnings")
-    )
+    own = li.groupBy("l_suppkey", F.year("l_shipdate").alias("year")).agg(F.sum(cents("l_extendedprice")).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    g = own.join(s, own.l_suppkey == s.s_suppkey).groupBy("s_nationkey", "year").agg(money_mean(F.sum("_s"), F.sum("_n")).alias("earnings"))
     return tidy(g.join(lk, g.s_nationkey == lk.nationkey).select("lad_code", "year", "earnings"))
 
 
@@ -516,13 +517,30 @@ def _common_year_set(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def _price_years(spark, d, year_expr=None) -> DataFrame:
+    """(nationkey, year) pairs that the price family has, found without its medians."""
+    o = read(spark, d, "orders", "o_custkey", "o_orderdate")
+    c = read(spark, d, "customer", "c_custkey", "c_nationkey")
+    own = o.select("o_custkey", (F.year("o_orderdate") if year_expr is None else year_expr).alias("year")).distinct()
+    return own.join(c, own.o_custkey == c.c_custkey).select(F.col("c_nationkey").alias("nationkey"), "year").distinct()
+
+
+def _earnings_years(spark, d) -> DataFrame:
+    """(nationkey, year) pairs that the earnings family has, found without its means."""
+    li = read(spark, d, "lineitem", "l_suppkey", "l_shipdate")
+    s = read(spark, d, "supplier", "s_suppkey", "s_nationkey")
+    own = li.select("l_suppkey", F.year("l_shipdate").alias("year")).distinct()
+    return own.join(s, own.l_suppkey == s.s_suppkey).select(F.col("s_nationkey").alias("nationkey"), "year").distinct()
+
+
 @query
 def ratio_common_year(spark: SparkSession, d: str) -> DataFrame:
     lk = la_lookup(spark, d)
     a = _family_price(spark, d, lk, F.year("o_orderdate"))
-    b = _family_earnings(spark, d, lk, until="2001-01-01")
+    b = _family_earnings(spark, d, lk)
     c = _family_ratio(spark, d, lk)
-    y = F.lit(_common_year_set(a, b, c).agg(F.max("year")).first()[0])
+    years = _common_year_set(_price_years(spark, d), _earnings_years(spark, d), _price_years(spark, d, P.fy_start_year("o_orderdate")))
+    y = years.agg(F.max("year")).scalar()
     at = lambda f: f.where(F.col("year") == y).drop("year")
     # Full outer join on the code; B7: names from the lookup.
     x = at(a).join(at(b), "lad_code", "full").join(at(c), "lad_code", "full")
@@ -547,7 +565,9 @@ def _horizon_frames(spark: SparkSession, d: str):
     c = a.join(b, ["lad_code", "year"]).select("lad_code", "year", X.safe_ratio("price", "earnings").alias("ratio"))
     # The two endpoint years are parameters of every later filter: read them once (one small
     # row) and use them as literals, so year predicates push down instead of repeating a subquery.
-    bounds = P.anchor_bounds(_common_year_set(a, b, c), "year", ANCHOR_YEARS, HORIZON_YEARS).first()
+    py, ey = _price_years(spark, d), _earnings_years(spark, d)
+    years = _common_year_set(py, ey, py.join(ey, ["nationkey", "year"]))
+    bounds = P.anchor_bounds(years, "year", ANCHOR_YEARS, HORIZON_YEARS).first()
     y0, y1 = F.lit(bounds["y_min"]), F.lit(bounds["y_max"])
     return lk, a, b, c, y0, y1
 

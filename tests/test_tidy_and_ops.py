@@ -133,11 +133,10 @@ def test_top_k_ties_keep_key_order(spark):
     assert {(r["side"], r["k"]) for r in tb} == {("top", "a"), ("bottom", "c")}
 
 
-def test_bounded_broadcast_respects_limit(spark):
-    small = spark.range(10)
-    big = spark.range(1000)
-    assert J.bounded_broadcast(small, 100) is not small  # hinted copy
-    assert J.bounded_broadcast(big, 100) is big
+def test_arg_best_breaks_ties_by_text(spark):
+    df = spark.createDataFrame([("g", 2.0, "z"), ("g", 2.0, "b"), ("g", 1.0, "a"), ("h", None, "c")], "k string, v double, t string")
+    assert [tuple(r) for r in A.arg_best(df, ["k"], "v", "t", ["t"]).collect()] == [("g", "b")]
+    assert [tuple(r) for r in A.arg_best(df, ["k"], "v", "t", ["t"], largest=False).collect()] == [("g", "a")]
 
 
 def test_salted_join_keeps_every_match(spark):
@@ -180,3 +179,24 @@ def test_exact_quantiles_bracket_path_matches_numpy(spark):
         vals = np.array([v for k, v in rows if k == g])
         for name, p in probs.items():
             assert got[g][name] == pytest.approx(float(np.quantile(vals, p)), abs=1e-9), (g, name)
+
+
+def test_exact_quantiles_of_a_million_distinct_values(spark):
+    import numpy as np
+
+    df = spark.range(1_100_000).select((F.pmod(F.xxhash64("id"), F.lit(1 << 52)) / 1e6 + F.exp(F.rand(3) * 20)).alias("v")).cache()
+    probs = {"p0": 0.0, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p100": 1.0}
+    q = A.exact_quantiles(df, [], "v", probs)
+    got = q.first()
+    vals = df.toPandas()["v"].to_numpy()
+    assert len(np.unique(vals)) > 1_000_000
+    for name, p in probs.items():
+        assert got[name] == pytest.approx(float(np.quantile(vals, p)), rel=1e-12), name
+    df.unpersist()
+
+
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_exact_quantiles_plan_gathers_nothing(spark, keys):
+    df = spark.range(100).select((F.col("id") % 3).alias("g"), F.rand(1).alias("v"))
+    plan = A.exact_quantiles(df, keys, "v", {"a": 0.2, "b": 0.5})._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
