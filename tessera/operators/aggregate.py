@@ -39,6 +39,7 @@ def value_counts(df: DataFrame, keys: list[str], value_col: str) -> DataFrame:
 SKETCH_ACCURACY = 10_000
 # Equal-width parts that a bracket is counted in before its values are ordered.
 PARTS = 1024
+SALTS = 16
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: dict[str, float],
@@ -53,7 +54,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: dict[
     3. running counts over the parts tell which part holds each rank;
     4. only the values of those parts are shuffled, as (value, count), and ordered to read the ranks.
 
-    A rank just outside its bracket is one of the nearest values, so small groups need no other way.  Ties are
+    Brackets meet the rows by broadcast when there is one group, else in a join that is salted, so a hot group is
+    spread.  A rank just outside its bracket is one of the nearest values, so small groups need no other way.  Ties are
     carried as counts.
     """
     names = list(probs)
@@ -78,7 +80,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: dict[
     span = F.col("hi") - F.col("lo")
     part = F.when(F.col("_v") < F.col("lo"), -1).when(F.col("_v") > F.col("hi"), PARTS).otherwise(
         F.when(span > 0, F.least(F.floor((F.col("_v") - F.col("lo")) / span * PARTS), F.lit(PARTS - 1))).otherwise(0)).cast("int")
-    placed = base.join(brackets, on).withColumn("_part", part)
+
+    def onto(small: DataFrame) -> DataFrame:
+        if not grouped:
+            return base.join(F.broadcast(small), on)  # one row for each probability, or two
+        salted = base.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
+        return salted.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"]).drop("_salt")
+
+    placed = onto(brackets).withColumn("_part", part)
     counts = placed.groupBy(*on, "i", "_part").agg(
         F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.first("r0").alias("r0"), F.first("r1").alias("r1"))
     so_far = Window.partitionBy(*on, "i").orderBy("_part")  # at most PARTS + 2 rows a group and probability
@@ -90,8 +99,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value_col: str, probs: dict[
     chosen = chosen.withColumn("_known", known)
     settled = chosen.where(F.col("_known").isNotNull()).select(
         *on, "i", F.when(holds("r0"), F.col("_known")).alias("v0"), F.when(holds("r1"), F.col("_known")).alias("v1"))
-    open_parts = chosen.where(F.col("_known").isNull()).select(*on, "i", "_part", "_start", "r0", "r1")
-    values = placed.select(*on, "i", "_part", "_v").join(open_parts, [*on, "i", "_part"])
+    open_parts = chosen.where(F.col("_known").isNull()).select(*on, "i", F.col("_part").alias("_open"), "_start")
+    values = onto(brackets.join(open_parts, [*on, "i"])).withColumn("_part", part).where(F.col("_part") == F.col("_open"))
     values = values.groupBy(*on, "i", "_part", "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_start").alias("_from"), F.first("r0").alias("r0"), F.first("r1").alias("r1"))
     inside = Window.partitionBy(*on, "i", "_part").orderBy("_v")
     values = values.withColumn("_end", F.col("_from") + F.sum("_c").over(inside)).withColumn("_start", F.col("_end") - F.col("_c"))
@@ -141,10 +150,10 @@ def zscore(df: DataFrame, cols: list[str], suffix: str = "_z") -> DataFrame:
     return out
 
 
-def row_mean(cols: list[str]) -> Column:
+def row_mean(cols: list) -> Column:
     """Mean across columns over the non-null ones."""
-    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in cols), F.lit(0.0))
-    n = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in cols), F.lit(0))
+    total = sum((F.coalesce(_c(c), F.lit(0.0)) for c in cols), F.lit(0.0))
+    n = sum((F.when(_c(c).isNotNull(), 1).otherwise(0) for c in cols), F.lit(0))
     return F.try_divide(total, F.when(n > 0, n.cast("double")))
 
 

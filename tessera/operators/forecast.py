@@ -3,9 +3,8 @@
 The unit of work is (series, origin, model).  Everything that is arithmetic
 on history — seasonal naive, repeating seasonal naive, drift, residual
 scales, probabilistic bands, error metrics — is a join or a window over a
-long table ``(series_id, t, y)``; no series is ever collected.  Fitted models
-(ETS, SARIMA, lagged trees) run in ``forecast_models`` as grouped pandas
-tasks, one task per (series, origin) group.
+long table ``(series_id, t, y)``; no series is ever collected.  Smoothing folds over
+one array per series on the JVM side; lagged trees are one ``pyspark.ml`` fit.
 
 Windows here are partitioned by ``series_id`` over one row per period, so a
 partition holds the length of one series (hundreds of points), however many
@@ -37,18 +36,16 @@ ENGINES = {
     "seasonal_naive": "sql",
     "seasonal_repeat": "sql",
     "drift": "sql",
-    "ets": "grouped_pandas",
-    "sarima": "grouped_pandas",
-    "ensemble": "grouped_pandas",
+    "smoothing": "sql",
+    "ensemble": "sql",
     "lagged_gbt": "spark_ml",
 }
 
 
 def default_min_train(freq: Column, n: Column, horizon: Column | int = 1) -> Column:
-    """Annual series use min(15, max(5, n - h)) (or less when short); others 36."""
+    """Annual series train on what the horizon leaves, 1 to 15 points; others on 36."""
     h = horizon if isinstance(horizon, Column) else F.lit(horizon)
-    cap = n - h
-    annual = F.when(cap < 1, F.lit(1)).when(cap >= 5, F.least(F.lit(15), F.greatest(F.lit(5), cap))).otherwise(cap)
+    annual = F.greatest(F.lit(1), F.least(F.lit(15), n - h))
     return F.when(F.lower(freq).contains("annual"), annual).otherwise(F.lit(DEFAULT_MIN_TRAIN)).cast("int")
 
 
@@ -129,24 +126,60 @@ def _bands(point: Column, sigma: Column, k: Column) -> list[Column]:
     ]
 
 
-def baseline_backtest(pts: DataFrame, horizon: int, season: int, min_train: int) -> DataFrame:
-    """Rolling-origin backtest of the SQL baselines, one row per (series, model, origin).
+# Parameter grid of the smoothing (level weight, trend weight) and the least history it is used on.
+SMOOTHING_GRID = [(a, b) for a in (0.2, 0.4, 0.6, 0.8) for b in (0.1, 0.3)]
+SMOOTHING_MIN_POINTS = 8
+
+
+def smoothing_states(pts: DataFrame) -> DataFrame:
+    """Exponential smoothing with additive trend, (series_id, o, level, trend) after the first ``o`` points.
+
+    One row per series and grid entry carries the series as an array (as long as the series has periods); a fold
+    over it keeps level, trend and the sum of squared one-step errors after each point.  Of the grid the entry
+    with the least error up to ``o`` is taken, ties to the smaller weights.
+    """
+    ys = pts.groupBy("series_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "y"))), lambda e: e["y"]).alias("ys"))
+    grid = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in SMOOTHING_GRID])
+    rows = ys.where(F.size("ys") >= 2).select("series_id", "ys", F.explode(grid).alias("g"))
+
+    def state(level, trend, sse):
+        return F.struct(level.alias("level"), trend.alias("trend"), sse.alias("sse"))
+
+    def step(acc, y):
+        last = F.element_at(acc, -1)
+        ahead = last["level"] + last["trend"]
+        level = F.col("g.a") * y + (F.lit(1.0) - F.col("g.a")) * ahead
+        trend = F.col("g.b") * (level - last["level"]) + (F.lit(1.0) - F.col("g.b")) * last["trend"]
+        return F.concat(acc, F.array(state(level, trend, last["sse"] + (y - ahead) * (y - ahead))))
+
+    y0, y1 = F.element_at("ys", 1), F.element_at("ys", 2)
+    states = F.aggregate(F.slice("ys", F.lit(3), F.greatest(F.size("ys") - 2, F.lit(0))), F.array(state(y1, y1 - y0, F.lit(0.0))), step)
+    each = rows.select("series_id", "g", F.posexplode(states).alias("p", "s"))
+    best = each.groupBy("series_id", (F.col("p") + 2).alias("o")).agg(
+        F.min_by(F.struct("s.level", "s.trend"), F.struct("s.sse", "g.a", "g.b")).alias("s"))
+    return best.where(F.col("o") >= SMOOTHING_MIN_POINTS).select("series_id", "o", "s.level", "s.trend")
+
+
+def baseline_backtest(pts: DataFrame, horizons: list[int], season: int, min_train: int) -> DataFrame:
+    """Rolling-origin backtest, one row per (series, horizon, model, origin).
 
     Origins run from ``min_train`` to ``n - horizon``; the training window of
     origin ``o`` is ``y[0..o-1]``.  Predictions are equi-joins into the
-    history; a (series, origin, model) window is kept only if all its
-    ``horizon`` predictions exist (the reference skips non-finite paths).
+    history; a window is kept only if all its ``horizon`` predictions exist
+    (the reference skips non-finite paths).  The seasonal naive forecast needs
+    a horizon within one season.
     """
     n = pts.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
-    orig = n.where(F.col("n") - horizon >= min_train).select(
-        "series_id", F.explode(F.sequence(F.lit(min_train), F.col("n") - horizon)).alias("o")
+    wanted = n.select("series_id", "n", F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon"))
+    orig = wanted.where(F.col("n") - F.col("horizon") >= min_train).select(
+        "series_id", "horizon", F.explode(F.sequence(F.lit(min_train).cast("long"), F.col("n") - F.col("horizon"))).alias("o")
     )
     stats = history_stats(pts, season).alias("st")
     prev = pts.select("series_id", (F.col("t") + 2).alias("o"), F.col("y").alias("y_prev"))
     og = orig.join(stats, (orig.series_id == F.col("st.series_id")) & (F.col("st.t") == orig.o - 1)).select(
-        orig.series_id, orig.o, F.col("st.y").alias("y_last"), residual_scale(orig.o, season).alias("sigma")
-    ).join(prev, ["series_id", "o"], "left")
-    cells = og.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("k"))
+        orig.series_id, "horizon", orig.o, F.col("st.y").alias("y_last"), residual_scale(orig.o, season).alias("sigma")
+    ).join(prev, ["series_id", "o"], "left").join(smoothing_states(pts), ["series_id", "o"], "left")
+    cells = og.select("*", F.explode(F.sequence(F.lit(1), F.col("horizon"))).alias("k"))
     cells = cells.withColumn("ti", F.col("o") + F.col("k") - 1).withColumn("tsn", F.col("o") - season + F.col("k") - 1).withColumn(
         "trep", F.col("o") - season + (F.col("k") - 1) % season
     )
@@ -154,48 +187,26 @@ def baseline_backtest(pts: DataFrame, horizon: int, season: int, min_train: int)
     ysn = pts.select("series_id", F.col("t").alias("tsn"), F.col("y").alias("y_sn"))
     yrep = pts.select("series_id", F.col("t").alias("trep"), F.col("y").alias("y_rep"))
     x = cells.join(ya, ["series_id", "ti"]).join(ysn, ["series_id", "tsn"], "left").join(yrep, ["series_id", "trep"], "left")
-    sn = F.when(F.col("o") >= season + horizon, F.col("y_sn"))
-    rep = F.when(F.col("o") >= season, F.when(F.col("trep") < F.col("o"), F.col("y_rep")).otherwise(F.col("y_last")))
+    sn = F.when((F.col("o") >= season + F.col("horizon")) & (F.col("horizon") <= season), F.col("y_sn"))
+    rep = F.when(F.col("o") >= season, F.col("y_rep"))
     drift = F.when(F.col("o") >= 2, F.col("y_last") + F.col("k") * (F.col("y_last") - F.col("y_prev")))
+    smooth = F.col("level") + F.col("k") * F.col("trend")
+    both = F.coalesce((rep + smooth) / 2.0, rep, smooth)
+    models = {"seasonal_naive": sn, "seasonal_repeat": rep, "drift": drift, "smoothing": smooth, "ensemble": both}
     preds = x.select(
-        "series_id", "o", "k", "y", "sigma", sn.alias("naive"),
-        F.explode(
-            F.array(
-                F.struct(F.lit("seasonal_naive").alias("model"), sn.alias("pred")),
-                F.struct(F.lit("seasonal_repeat").alias("model"), rep.alias("pred")),
-                F.struct(F.lit("drift").alias("model"), drift.alias("pred")),
-            )
-        ).alias("m"),
-    ).select("series_id", "o", "k", "y", "sigma", "naive", "m.model", "m.pred")
-    preds = preds.select("*", *_bands(F.col("pred"), F.col("sigma"), F.col("k")))
-    return window_metrics(preds, horizon)
-
-
-def score_predictions(preds: DataFrame, pts: DataFrame, horizon: int, season: int) -> DataFrame:
-    """Y11-Y13 for model predictions (series_id, o, model, k, pred): actuals, naive benchmark, bands, metrics."""
-    stats = history_stats(pts, season).alias("st")
-    og = preds.select("series_id", "o").distinct()
-    og = og.join(stats, (og.series_id == F.col("st.series_id")) & (F.col("st.t") == og.o - 1)).select(
-        og.series_id, og.o, residual_scale(og.o, season).alias("sigma")
-    )
-    x = preds.join(og, ["series_id", "o"]).withColumn("ti", F.col("o") + F.col("k") - 1).withColumn(
-        "tsn", F.col("o") - season + F.col("k") - 1
-    )
-    ya = pts.select("series_id", F.col("t").alias("ti"), F.col("y"))
-    ysn = pts.select("series_id", F.col("t").alias("tsn"), F.col("y").alias("y_sn"))
-    x = x.join(ya, ["series_id", "ti"]).join(ysn, ["series_id", "tsn"], "left")
-    x = x.withColumn("naive", F.when(F.col("o") >= season + horizon, F.col("y_sn")))
-    x = x.select("series_id", "o", "k", "y", "sigma", "naive", "model", "pred", *_bands(F.col("pred"), F.col("sigma"), F.col("k")))
-    return window_metrics(x, horizon)
+        "series_id", "horizon", "o", "k", "y", "sigma", sn.alias("naive"),
+        F.explode(F.array(*[F.struct(F.lit(m).alias("model"), c.alias("pred")) for m, c in models.items()])).alias("m"),
+    ).select("series_id", "horizon", "o", "k", "y", "sigma", "naive", "m.model", "m.pred")
+    return window_metrics(preds.select("*", *_bands(F.col("pred"), F.col("sigma"), F.col("k"))))
 
 
-def window_metrics(preds: DataFrame, horizon: int) -> DataFrame:
-    """MAE, RMSE, MAPE, MASE vs naive, P10-P90 coverage and pinball losses per (series, model, origin)."""
+def window_metrics(preds: DataFrame) -> DataFrame:
+    """MAE, RMSE, MAPE, MASE vs naive, P10-P90 coverage and pinball losses per (series, horizon, model, origin)."""
     e = F.col("pred") - F.col("y")
     d = lambda q: F.col("y") - F.col(q)
     pin = lambda q, col: F.avg(F.greatest(F.lit(q) * d(col), F.lit(q - 1.0) * d(col)))
     has_naive = F.col("naive").isNotNull()
-    g = preds.groupBy("series_id", "model", "o").agg(
+    g = preds.groupBy("series_id", "horizon", "model", "o").agg(
         F.count("pred").alias("_n_pred"),
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
@@ -209,22 +220,42 @@ def window_metrics(preds: DataFrame, horizon: int) -> DataFrame:
         pin(0.5, "p50").alias("pinball_p50"),
         pin(0.9, "p90").alias("pinball_p90"),
     )
-    return g.where(F.col("_n_pred") == horizon).drop("_n_pred")
+    return g.where(F.col("_n_pred") == F.col("horizon")).drop("_n_pred")
 
 
 METRICS = ["mae", "rmse", "mape", "mase", "coverage_p10_p90", "pinball_p10", "pinball_p50", "pinball_p90"]
 
 
 def summarise_backtest(windows: DataFrame) -> DataFrame:
-    """Mean metric per (series, model), number of windows, and the best model by MAE."""
-    s = windows.groupBy("series_id", "model").agg(
+    """Mean metric per (series, horizon, model), number of windows, and the best model by MAE."""
+    s = windows.groupBy("series_id", "horizon", "model").agg(
         F.count(F.lit(1)).alias("n_windows"), *[F.avg(m).alias(m) for m in METRICS]
     )
     # Ties at reporting precision (e.g. two baselines with the same predictions) go to the model name.
-    best = s.where(F.col("mae").isNotNull()).groupBy("series_id").agg(
+    best = s.where(F.col("mae").isNotNull()).groupBy("series_id", "horizon").agg(
         F.min_by("model", F.struct(F.round("mae", 6), F.col("model"))).alias("_best")
     )
-    return s.join(best, "series_id", "left").withColumn("is_best", F.coalesce(F.col("model") == F.col("_best"), F.lit(False))).drop("_best")
+    return s.join(best, ["series_id", "horizon"], "left").withColumn("is_best", F.coalesce(F.col("model") == F.col("_best"), F.lit(False))).drop("_best")
+
+
+def forward_table(pts: DataFrame, horizon: int, season: int) -> DataFrame:
+    """End level, change and P10-P90 after ``horizon`` periods per series and model; failures keep a row with an error."""
+    n = pts.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+    stats = history_stats(pts, season).alias("st")
+    og = n.join(stats, (n.series_id == F.col("st.series_id")) & (F.col("st.t") == n.n - 1)).select(
+        n.series_id, n.n, F.col("st.y").alias("last_value"), residual_scale(n.n, season).alias("sigma"))
+    states = smoothing_states(pts).select("series_id", F.col("o").alias("n"), "level", "trend")
+    tail = pts.select("series_id", F.col("t").alias("trep"), F.col("y").alias("y_rep"))
+    x = og.join(states, ["series_id", "n"], "left").withColumn("trep", F.col("n") - season + (horizon - 1) % season).join(tail, ["series_id", "trep"], "left")
+    smooth = F.col("level") + F.lit(horizon) * F.col("trend")
+    models = {"seasonal_repeat": F.col("y_rep"), "smoothing": smooth, "ensemble": F.coalesce((F.col("y_rep") + smooth) / 2.0, F.col("y_rep"), smooth)}
+    m = F.explode(F.array(*[F.struct(F.lit(k).alias("model"), v.alias("end_level")) for k, v in models.items()])).alias("m")
+    x = x.select("series_id", "last_value", "sigma", m).select("series_id", "last_value", "sigma", "m.model", "m.end_level")
+    half = F.lit(Z10) * F.col("sigma") * F.sqrt(F.lit(float(horizon)))
+    return x.select(
+        "series_id", "model", F.lit(horizon).alias("horizon"), "last_value", "end_level",
+        X.pct_change("last_value", "end_level").alias("pct_change"), (F.col("end_level") - half).alias("p10"), (F.col("end_level") + half).alias("p90"),
+        F.when(F.col("end_level").isNull(), F.lit("too few points")).alias("error"))
 
 
 def forward_seasonal_naive(pts: DataFrame, horizon: int, season: int) -> DataFrame:

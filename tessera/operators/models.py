@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregate import exact_median, row_mean
+
 
 def binary_metrics(df: DataFrame, keys: list[str], score: str, label: str, threshold: float = 0.5) -> DataFrame:
     """N, positive rate, Brier score, AUC (average-rank form, ties count half) and F1 per group.
@@ -69,6 +71,7 @@ ELASTIC_L1_RATIO = 0.5
 GBT_PARAMS = {"maxIter": 200, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.9}
 KMEANS_STARTS = 10
 SEED = 42
+MAX_GROUPS = 100_000
 
 
 def numeric_features(df: DataFrame, exclude: list[str]) -> list[str]:
@@ -79,11 +82,13 @@ def numeric_features(df: DataFrame, exclude: list[str]) -> list[str]:
 def fold_table(df: DataFrame, group_col: str, k: int) -> DataFrame:
     """M3: grouped k-fold assignment; groups by size (desc) onto the lightest fold.
 
-    Only (group, size) pairs reach the driver — one row per group (regions,
-    authorities), a bounded list — and the assignment goes back as a small
-    broadcast lookup.
+    The greedy choice needs the (group, size) pairs in one place; groups are
+    regions or authorities, and more than ``MAX_GROUPS`` of them are refused.
     """
-    sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(group_col)).collect()
+    groups = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("n"))
+    sizes = groups.orderBy(F.desc("n"), F.asc(group_col)).limit(MAX_GROUPS + 1).collect()
+    if len(sizes) > MAX_GROUPS:
+        raise ValueError(f"{group_col!r} has more than {MAX_GROUPS} groups; folds are made for regions or authorities")
     n_folds = max(2, min(k, len(sizes)))
     load = [0] * n_folds
     rows = []
@@ -93,7 +98,7 @@ def fold_table(df: DataFrame, group_col: str, k: int) -> DataFrame:
         rows.append((r[group_col], f))
     spark = df.sparkSession
     schema = f"{group_col} {df.schema[group_col].dataType.simpleString()}, fold int"
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    return spark.createDataFrame(rows, schema)
 
 
 def _prep_stages(features: list[str]):
@@ -165,17 +170,8 @@ def grouped_cv(
     if log_target:
         out = out.withColumn("actual", F.expm1("actual")).withColumn("predicted", F.expm1("predicted"))
     out = out.withColumn("residual", F.col("actual") - F.col("predicted"))
-    mean_y = F.avg("actual").over(Window.partitionBy("fold"))
-    metrics = (
-        out.withColumn("_m", mean_y)
-        .groupBy("fold")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            (1 - F.sum(F.col("residual") ** 2) / F.sum((F.col("actual") - F.col("_m")) ** 2)).alias("r2"),
-            F.avg(F.abs("residual")).alias("mae"),
-            F.sqrt(F.avg(F.col("residual") ** 2)).alias("rmse"),
-        )
-    )
+    out = out.persist()  # predictions and metrics share the scored rows; ``data`` stays cached behind them
+    metrics = fold_metrics(out)
     if importances:
         spark = df.sparkSession
         imp_df = spark.createDataFrame(
@@ -184,10 +180,21 @@ def grouped_cv(
         )
         top = imp_df.groupBy("fold").agg(F.max_by("feature", "importance").alias("top_feature"))
         metrics = metrics.join(top, "fold", "left")
-    data.unpersist()
     return out, metrics
 
 
+def fold_metrics(scored: DataFrame) -> DataFrame:
+    """M4: n, r2, MAE and RMSE per fold of (fold, actual, residual) rows, in one aggregate."""
+    e2 = F.sum(F.col("residual") * F.col("residual"))
+    total = F.sum(F.col("actual") * F.col("actual")) - F.sum("actual") * F.sum("actual") / F.count("actual")
+    return scored.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"),
+        (1 - F.try_divide(e2, total)).alias("r2"),
+        F.avg(F.abs("residual")).alias("mae"),
+        F.sqrt(F.avg(F.col("residual") * F.col("residual"))).alias("rmse"),
+    )
+
+
 # ---------------------------------------------------------------------------
 # Clustering and projection (M5-M9)
 # ---------------------------------------------------------------------------
@@ -239,49 +246,46 @@ def pca_2d(df: DataFrame) -> tuple[DataFrame, list[float]]:
 # Scenario table
 # ---------------------------------------------------------------------------
 
-# Driver shocks of the scenario table (x0.9 / x1.1) and which drivers move which way.
-SHOCK = 0.10
-SUPPLY_LIKE = ("supply", "ee_", "epc_", "share")
-PRESSURE_LIKE = ("affordability", "ratio", "vacant", "second_home")
-
-
-def scenario_table(df: DataFrame, id_col: str, features: list[str], target: str, min_target_rows: int = 3) -> DataFrame:
-    """Target (or a z-score proxy), boosted trees (depth 4), scored on base, low and high driver copies."""
-    # One pass for all non-null counts (target and every driver).
-    counts = df.agg(F.count(target).alias("__t"), *[F.count(c).alias(c) for c in features]).first()
-    n_target = counts["__t"]
-    is_proxy = n_target < min_target_rows
-    if is_proxy:
-        parts = []
-        st = df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(features)], *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(features)]).first()
-        for i, c in enumerate(features):
-            mu, sd = st[f"m_{i}"], st[f"s_{i}"]
-            if counts[c] >= min_target_rows and sd and sd > 1e-12:
-                z = (F.col(c) - mu) / sd
-                parts.append(-z if any(p in c.lower() for p in PRESSURE_LIKE) else z)
-        y = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)) / max(len(parts), 1)
+SHOCK = 0.10  # fixed value: drivers move by a tenth in the low and high scenario
+
+
+def driver_score(df: DataFrame, directions: dict[str, int], min_rows: int = 3) -> Column | None:
+    """Mean over the non-null drivers of their z-scores, each with its direction; None if no driver has a spread."""
+    stats = df.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(directions) for n, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_pop))]).first()
+    scores = []
+    for i, (c, direction) in enumerate(directions.items()):
+        if stats[f"n_{i}"] >= min_rows and (stats[f"s_{i}"] or 0.0) > 1e-12:
+            scores.append((F.col(c) - stats[f"m_{i}"]) / stats[f"s_{i}"] * float(direction))
+    return row_mean(scores) if scores else None
+
+
+def shocked(df: DataFrame, directions: dict[str, int], shock: float) -> DataFrame:
+    """Every driver moved by ``shock`` in its direction (1: more is better supply, -1: more is more pressure)."""
+    return df.withColumns({c: F.col(c) * (1.0 + shock * direction) for c, direction in directions.items()})
+
+
+def scenario_table(df: DataFrame, id_col: str, directions: dict[str, int], target: str | None, min_target_rows: int = 3) -> DataFrame:
+    """Boosted trees (depth 4) of the target on its drivers, scored on the drivers as they are, moved down and moved up.
+
+    ``directions`` names the drivers and which way each moves in the high scenario.  With too few target values
+    the target is the drivers' own score.  The target is never a driver of itself (H2).
+    """
+    drivers = {c: v for c, v in directions.items() if c != target}
+    known = df.agg(F.count(target)).first()[0] if target else 0
+    proxy = known < min_target_rows
+    if proxy:
+        score = driver_score(df, drivers, min_target_rows)
+        y = F.coalesce(score, F.lit(0.0)) if score is not None else F.lit(0.0)
     else:
-        med = df.agg(F.percentile(target, 0.5)).first()[0]
-        y = F.coalesce(F.col(target).cast("double"), F.lit(med))
+        middle = exact_median(df, [], target).first()[0]
+        y = F.coalesce(F.col(target).cast("double"), F.lit(middle))
+    counts = df.agg(*[F.count(c).alias(c) for c in drivers]).first()
+    drivers = {c: v for c, v in drivers.items() if counts[c]}
     data = df.withColumn("_y", y)
-    # H2: a feature that is a copy of the target is left out (no leakage).
-    feats = [c for c in features if c != target and counts[c] > 0]
-    est = GBTRegressor(featuresCol="features", labelCol="_y", maxDepth=4, seed=SEED)
-    fitted = Pipeline(stages=[*_prep_stages(feats), est]).fit(data)
-
-    def shocked(factor_supply: float, factor_pressure: float) -> DataFrame:
-        cols = {}
-        for c in feats:
-            lc = c.lower()
-            if any(p in lc for p in SUPPLY_LIKE):
-                cols[c] = F.col(c) * factor_supply
-            elif any(p in lc for p in PRESSURE_LIKE):
-                cols[c] = F.col(c) * factor_pressure
-        return data.withColumns(cols) if cols else data
-
-    base = fitted.transform(data).select(id_col, F.col("prediction").alias("scenario_baseline"))
-    low = fitted.transform(shocked(1 - SHOCK, 1 + SHOCK)).select(id_col, F.col("prediction").alias("scenario_low"))
-    high = fitted.transform(shocked(1 + SHOCK, 1 - SHOCK)).select(id_col, F.col("prediction").alias("scenario_high"))
-    return base.join(low, id_col).join(high, id_col).withColumn("target_metric", F.lit("proxy_driver_score" if is_proxy else target)).withColumn(
-        "target_is_proxy", F.lit(is_proxy)
-    )
+    trees = GBTRegressor(featuresCol="features", labelCol="_y", maxDepth=4, seed=SEED)
+    fitted = Pipeline(stages=[*_prep_stages(list(drivers)), trees]).fit(data)
+    out = data.select(id_col)
+    for name, shock in (("baseline", 0.0), ("low", -SHOCK), ("high", SHOCK)):
+        scored = fitted.transform(shocked(data, drivers, shock)).select(id_col, F.col("prediction").alias(f"scenario_{name}"))
+        out = out.join(scored, id_col)
+    return out.withColumns({"target_metric": F.lit("proxy_driver_score" if proxy else target), "target_is_proxy": F.lit(proxy)})

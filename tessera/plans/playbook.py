@@ -10,10 +10,6 @@ the scoreboard is their UNION ALL by name (S9) with ``delta_vs_baseline``
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -22,7 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import coerce as X
-from ..operators import forecast_models as FM
+from ..operators import aggregate as A
+from ..operators import forecast as Y
 from ..operators import tidy as T
 
 SCORE_COLUMNS = ["target", "geography", "model", "metric", "value", "baseline_value", "estimate", "estimate_p10", "estimate_p90", "note"]
@@ -37,36 +34,36 @@ def _no_rows(spark, target: str, note: str) -> DataFrame:
 
 
 def hpi_growth_target(pts: DataFrame, season: int = 12, holdout: int = 12) -> DataFrame:
-    """Per series, hold out the last 12 points, pick naive vs ETS by MAE, forecast 12 ahead from all data.
+    """Per series, hold out the last 12 points, pick seasonal repeat or smoothing by MAE, forecast 12 ahead from all data.
 
-    The interval reported is the P10-P90 range of the forecast *path* (H6),
-    labelled as such in ``metric``.
+    The interval reported is the P10-P90 range of the forecast *path* (H6), labelled as such in ``metric``.
     """
-    hist = FM.histories(pts)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for sid, ys in zip(b["series_id"], b["ys"]):
-                y = np.asarray(ys, dtype=float)
-                if len(y) < season + holdout + FM.ETS_MIN_POINTS:
-                    rows.append(("hpi_growth_12m", sid, None, None, None, None, None, None, None, "too few points"))
-                    continue
-                train, test = y[:-holdout], y[-holdout:]
-                naive = train[len(train) - season:][:holdout] if season >= holdout else None
-                ets = FM.holt_winters(train, season, holdout)
-                mae = lambda p: float(np.mean(np.abs(p - test))) if p is not None else float("inf")
-                m_naive, m_ets = mae(naive), mae(ets)
-                model = "ets" if m_ets < m_naive else "seasonal_naive"
-                path = FM.holt_winters(y, season, holdout) if model == "ets" else y[len(y) - season:][:holdout]
-                growth = (path[-1] / y[-1] - 1.0) * 100.0 if path is not None and y[-1] != 0 else None
-                p10, p90 = (np.percentile((path / y[-1] - 1.0) * 100.0, [10, 90]) if growth is not None else (None, None))
-                rows.append(("hpi_growth_12m", sid, model, "holdout_mae", min(m_naive, m_ets), m_naive, growth,
-                             None if p10 is None else float(p10), None if p90 is None else float(p90), "path range, not error band"))
-            yield pd.DataFrame(rows, columns=SCORE_COLUMNS)
-
-    schema = "target string, geography string, model string, metric string, value double, baseline_value double, estimate double, estimate_p10 double, estimate_p90 double, note string"
-    return hist.mapInPandas(run, schema)
+    n = pts.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.max_by("y", "t").alias("last"))
+    least = season + holdout + Y.SMOOTHING_MIN_POINTS
+    states = Y.smoothing_states(pts)
+
+    def path(o: F.Column) -> DataFrame:
+        at = n.where(F.col("n") >= least).select("series_id", "n", "last", o.alias("o"), F.explode(F.sequence(F.lit(1), F.lit(holdout))).alias("k"))
+        old = pts.select("series_id", F.col("t").alias("tr"), F.col("y").alias("repeat"))
+        x = at.join(states, ["series_id", "o"]).withColumn("tr", F.col("o") - season + (F.col("k") - 1) % season).join(old, ["series_id", "tr"])
+        return x.withColumn("smooth", F.col("level") + F.col("k") * F.col("trend"))
+
+    truth = pts.select("series_id", F.col("t").alias("ti"), "y")
+    held = path(F.col("n") - holdout).withColumn("ti", F.col("o") + F.col("k") - 1).join(truth, ["series_id", "ti"])
+    errors = held.groupBy("series_id").agg(F.avg(F.abs(F.col("repeat") - F.col("y"))).alias("m_repeat"), F.avg(F.abs(F.col("smooth") - F.col("y"))).alias("m_smooth"))
+    ahead = path(F.col("n")).join(errors, "series_id").withColumn("smoothing", F.col("m_smooth") < F.col("m_repeat"))
+    growth = (F.try_divide(F.when(F.col("smoothing"), F.col("smooth")).otherwise(F.col("repeat")), F.when(F.col("last") != 0, F.col("last"))) - 1.0) * 100.0
+    ahead = ahead.withColumn("growth", growth)
+    done = ahead.groupBy("series_id").agg(
+        F.first("smoothing").alias("smoothing"), F.first("m_repeat").alias("m_repeat"), F.first("m_smooth").alias("m_smooth"),
+        F.max_by("growth", "k").alias("growth"), F.percentile("growth", F.lit(0.1)).alias("p10"), F.percentile("growth", F.lit(0.9)).alias("p90"))
+    out = done.select(
+        F.lit("hpi_growth_12m").alias("target"), F.col("series_id").alias("geography"),
+        F.when(F.col("smoothing"), "smoothing").otherwise("seasonal_repeat").alias("model"), F.lit("holdout_mae").alias("metric"),
+        F.least("m_repeat", "m_smooth").alias("value"), F.col("m_repeat").alias("baseline_value"), F.col("growth").alias("estimate"),
+        F.col("p10").alias("estimate_p10"), F.col("p90").alias("estimate_p90"), F.lit("path range, not error band").alias("note"))
+    short = n.where(F.col("n") < least).select(F.lit("hpi_growth_12m").alias("target"), F.col("series_id").alias("geography"), F.lit("too few points").alias("note"))
+    return out.unionByName(short, allowMissingColumns=True)
 
 
 def _assembled(df: DataFrame, features: list[str]) -> list:
@@ -93,7 +90,7 @@ def affordability_target(panel: DataFrame, geo: str, year: str, value: str) -> D
     feats = [value, "lag_1", "lag_2", "lag_3", "d1"]
     model = Pipeline(stages=[*_assembled(train, feats), GBTRegressor(featuresCol="features", labelCol="target", maxDepth=3, maxIter=50, seed=SEED)]).fit(train)
     pred = model.transform(test)
-    med = train.agg(F.percentile("target", 0.5)).first()[0]
+    med = A.exact_median(train, [], "target").first()[0]
     s = pred.agg(
         F.avg(F.abs(F.col("prediction") - F.col("target"))).alias("mae"),
         F.avg(F.abs(F.lit(med) - F.col("target"))).alias("base"),
@@ -212,7 +209,8 @@ def price_band_target(panel: DataFrame, geo: str, year: str, value: str) -> Data
         return _no_rows(spark, "price_band", "empty calibration or test years")
     feats = [value, "lag_1", "lag_2"]
     model = Pipeline(stages=[*_assembled(train, feats), GBTRegressor(featuresCol="features", labelCol="target", maxDepth=3, maxIter=50, seed=SEED)]).fit(train)
-    q = model.transform(cal).select((F.col("target") - F.col("prediction")).alias("r")).agg(F.percentile("r", [0.1, 0.9])).first()[0]
+    residuals = model.transform(cal).select((F.col("target") - F.col("prediction")).alias("r"))
+    q = A.exact_quantiles(residuals, [], "r", {"p10": 0.1, "p90": 0.9}).first()
     pred = model.transform(test).withColumn("p10", F.col("prediction") + q[0]).withColumn("p90", F.col("prediction") + q[1])
     d = F.col("target") - F.col("prediction")
     s = pred.agg(
@@ -254,9 +252,19 @@ def shortfall_target(df: DataFrame, id_col: str, features: list[str], label_col:
         oof = p if oof is None else oof.unionByName(p)
     if oof is None:
         return _no_rows(spark, "supply_shortfall", "no usable folds")
-    # Sigmoid calibration: a one-feature logistic on the out-of-fold margins.
-    cal = Pipeline(stages=[VectorAssembler(inputCols=["margin"], outputCol="features"), LogisticRegression(featuresCol="features", labelCol="label")]).fit(oof)
-    scored = cal.transform(oof).withColumn("score", vector_to_array("probability")[1]).withColumn("_all", F.lit("all"))
+    # Sigmoid calibration: a one-feature logistic on the out-of-fold margins of the other folds, so every row is
+    # scored by a calibrator that has not seen it.
+    oof, scored = oof.persist(), None
+    for f in range(folds):
+        others, own = oof.where(F.col("fold") != f), oof.where(F.col("fold") == f)
+        if others.select("label").distinct().count() < 2 or own.limit(1).count() == 0:
+            continue
+        cal = Pipeline(stages=[VectorAssembler(inputCols=["margin"], outputCol="features"), LogisticRegression(featuresCol="features", labelCol="label")]).fit(others)
+        s = cal.transform(own).select("label", F.round(vector_to_array("probability")[1], 6).alias("score"))
+        scored = s if scored is None else scored.unionByName(s)
+    if scored is None:
+        return _no_rows(spark, "supply_shortfall", "no usable folds")
+    scored = scored.withColumn("_all", F.lit("all"))
     met = binary_metrics(scored, ["_all"], "score", "label")
     rate = x.agg(F.avg("label")).first()[0]
     base = scored.agg(F.avg((F.lit(rate) - F.col("label")) ** 2).alias("base"))

@@ -1244,7 +1244,9 @@ def summary_numbers(spark: SparkSession, d: str) -> DataFrame:
 from ..operators import forecast as Y  # noqa: E402
 
 HORIZONS = [1, 3, 6, 12]
-MODELS = ["seasonal_naive", "drift", "ets", "sarima", "lagged_gbt"]
+MODELS = ["seasonal_naive", "seasonal_repeat", "drift", "smoothing", "ensemble", "lagged_gbt"]
+# Seasons of the series frequencies.
+SEASONS = {"monthly": 12, "quarterly": 4}
 
 
 def _series(spark: SparkSession, d: str) -> DataFrame:
@@ -1286,26 +1288,27 @@ def backtest_plan(spark: SparkSession, d: str) -> DataFrame:
     return plan.select("series_id", "horizon", "model", "engine", "n_origins", "horizon_bucket")
 
 
-BACKTEST_H = 3
+def _points_by_season(spark: SparkSession, d: str) -> list[tuple[int, DataFrame]]:
+    s = tidy(_series(spark, d))
+    return [(season, tidy(Y.index_points(s.where(F.col("frequency") == f)))) for f, season in SEASONS.items()]
 
 
 @query
 def seasonal_naive_backtest(spark: SparkSession, d: str) -> DataFrame:
-    s = _series(spark, d).where((F.col("level") == "region") & (F.col("frequency") == "monthly"))
-    pts = Y.index_points(s)
-    windows = Y.baseline_backtest(pts, horizon=BACKTEST_H, season=12, min_train=36)
-    summ = Y.summarise_backtest(windows)
+    """Every series x every horizon x the SQL models."""
+    parts = [Y.summarise_backtest(Y.baseline_backtest(pts, HORIZONS, season, Y.DEFAULT_MIN_TRAIN)) for season, pts in _points_by_season(spark, d)]
+    summ = T.union_all(parts)
     r = lambda c, n=4: F.round(c, n).alias(c)
     return summ.select(
-        "series_id", "model", "n_windows", r("mae"), r("rmse"), r("mape"), r("mase"), r("coverage_p10_p90", 6),
-        r("pinball_p10"), r("pinball_p50"), r("pinball_p90"), "is_best",
+        "series_id", F.col("horizon").cast("int").alias("horizon"), "model", "n_windows", r("mae"), r("rmse"), r("mape"), r("mase"),
+        r("coverage_p10_p90", 6), r("pinball_p10"), r("pinball_p50"), r("pinball_p90"), "is_best",
     )
 
 
 @query
 def prob_bands(spark: SparkSession, d: str) -> DataFrame:
-    s = _series(spark, d).where((F.col("level") == "region") & (F.col("frequency") == "monthly"))
-    fc = Y.forward_seasonal_naive(Y.index_points(s), horizon=6, season=12)
+    """Six periods ahead for every series (four for quarterly ones: the forecast stays within one season)."""
+    fc = T.union_all([Y.forward_seasonal_naive(pts, horizon=min(6, season), season=season) for season, pts in _points_by_season(spark, d)])
     r = lambda c: F.round(c, 4).alias(c)
     return fc.select("series_id", "h", r("point"), r("p10"), r("p50"), r("p90"), r("lower"), r("upper"), r("last_value"), r("pct_vs_last"))
 
@@ -1335,34 +1338,9 @@ def classifier_metrics(spark: SparkSession, d: str) -> DataFrame:
 # Fitted models (rows-only checks: no SQL statement exists for a model fit)
 # ---------------------------------------------------------------------------
 
-from ..operators import forecast_models as FM  # noqa: E402
 from . import playbook as PB  # noqa: E402
 
 
-def _monthly_region_points(spark: SparkSession, d: str) -> DataFrame:
-    s = _series(spark, d).where((F.col("level") == "region") & (F.col("frequency") == "monthly"))
-    return Y.index_points(s)
-
-
-@query
-def ets_backtest(spark: SparkSession, d: str) -> DataFrame:
-    """Rolling-origin backtest of ETS, SARIMA and their ensemble."""
-    pts = tidy(_monthly_region_points(spark, d))
-    preds = cut_lineage(FM.fitted_predictions(pts, horizon=BACKTEST_H, season=12, min_train=36, models=["ets", "sarima", "ensemble"]))
-    summ = Y.summarise_backtest(Y.score_predictions(preds, pts, BACKTEST_H, 12))
-    r = lambda c: F.round(c, 4).alias(c)
-    return summ.select("series_id", "model", "n_windows", r("mae"), r("rmse"), r("mape"), r("mase"), r("coverage_p10_p90"), r("pinball_p50"), "is_best")
-
-
-@query
-def sarima_order_search(spark: SparkSession, d: str) -> DataFrame:
-    """Smallest-AIC orders per monthly series (regions and authorities)."""
-    s = _series(spark, d).where(F.col("frequency") == "monthly")
-    return cut_lineage(FM.order_search_table(Y.index_points(s), season=12)).select(
-        "series_id", "n_points", "order", "seasonal_order", F.round("aic", 4).alias("aic")
-    )
-
-
 @query
 def lagged_gbt(spark: SparkSession, d: str) -> DataFrame:
     """One boosted-tree model pooled over all monthly series on lags 1,2,3,12; chronological 80/20 split."""
@@ -1396,7 +1374,9 @@ def _customer_features(spark: SparkSession, d: str) -> DataFrame:
         F.datediff(F.max("o_orderdate"), F.min("o_orderdate")).cast("double").alias("span_days"),
         F.sum("o_totalprice").alias("total_value"),
     )
-    x = c.join(agg, c.c_custkey == agg.o_custkey).join(lk, F.col("c_nationkey") == lk.nationkey)
+    # customers without orders stay, with a total of 0
+    x = c.join(agg, c.c_custkey == agg.o_custkey, "left").join(lk, F.col("c_nationkey") == lk.nationkey, "left")
+    x = x.withColumns({"n_orders": F.coalesce("n_orders", F.lit(0)), "total_value": F.coalesce("total_value", F.lit(0.0))})
     return x.select("c_custkey", "region_name", "c_acctbal", "n_orders", "mean_price", "max_price", "share_urgent", "span_days", "total_value")
 
 
@@ -1415,6 +1395,41 @@ def _cv_query(spark: SparkSession, d: str, model: str) -> DataFrame:
     return out.select(*cols)
 
 
+@query
+def fold_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """M3: fold of each region, customers counted."""
+    from ..operators import models as M
+
+    x = _customer_features(spark, d)
+    sizes = x.groupBy("region_name").agg(F.count(F.lit(1)).alias("n"))
+    return M.fold_table(x, "region_name", 5).join(sizes, "region_name").select("region_name", "fold", "n")
+
+
+@query
+def fold_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """M4: metrics per fold of a fixed predictor of the order total (orders x 150 000), folds by region."""
+    from ..operators import models as M
+
+    x = _customer_features(spark, d)
+    scored = x.join(M.fold_table(x, "region_name", 5), "region_name").select(
+        "fold", F.col("total_value").alias("actual"), (F.col("total_value") - F.col("n_orders") * 150000.0).alias("residual"))
+    r = lambda c, n: F.round(c, n).alias(c)
+    return M.fold_metrics(scored).select("fold", "n", r("r2", 6), r("mae", 2), r("rmse", 2))
+
+
+@query
+def scenario_shocks(spark: SparkSession, d: str) -> DataFrame:
+    """Drivers of the scenario table and their values in the low and high scenario, with the drivers' own score."""
+    from ..operators import models as M
+
+    snap = market_snapshot_la(spark, d).select("lad_code", *SCENARIO_DRIVERS)
+    out = snap.withColumn("driver_score", M.driver_score(snap, SCENARIO_DRIVERS))
+    for name, shock in (("low", -M.SHOCK), ("high", M.SHOCK)):
+        moved = M.shocked(snap, SCENARIO_DRIVERS, shock)
+        out = out.join(moved.select("lad_code", *[F.round(c, 4).alias(f"{c}_{name}") for c in SCENARIO_DRIVERS]), "lad_code")
+    return out.select("lad_code", F.round("driver_score", 6).alias("driver_score"), *[f"{c}_{n}" for n in ("low", "high") for c in SCENARIO_DRIVERS])
+
+
 @query
 def group_kfold_elastic_net(spark: SparkSession, d: str) -> DataFrame:
     """M1/M3/M4: elastic net (alpha 0.05, l1 0.5) with median impute and scaling, grouped by region."""
@@ -1473,8 +1488,8 @@ def bisecting(spark: SparkSession, d: str) -> DataFrame:
     return M.bisecting(_embedding_vectors(spark, d), KMEANS_K).select("vec_id", "label", "cluster")
 
 
-SCENARIO_FEATURES = ["supply_f", "supply_o", "supply_p", "population", "median_price", "mean_earnings", "price_earnings_ratio",
-                     "fuel_share_a", "fuel_share_n", "fuel_share_r"]
+# Drivers of the scenario table and the way each moves in the high scenario (1: supply, -1: pressure).
+SCENARIO_DRIVERS = {"supply_f": 1, "supply_o": 1, "supply_p": 1, "population": 1, "median_price": 1, "mean_earnings": 1, "price_earnings_ratio": -1, "fuel_share_a": 1, "fuel_share_n": 1, "fuel_share_r": 1}
 
 
 @query
@@ -1488,7 +1503,7 @@ def scenario_table(spark: SparkSession, d: str) -> DataFrame:
         F.col("geography").alias("lad_code"), F.col("growth_pct").alias("hpi_growth")
     )
     base = snap.join(growth, "lad_code", "left")
-    out = M.scenario_table(base, "lad_code", SCENARIO_FEATURES, "hpi_growth")
+    out = M.scenario_table(base, "lad_code", SCENARIO_DRIVERS, "hpi_growth")
     r = lambda c: F.round(c, 6).alias(c)
     return out.select("lad_code", r("scenario_baseline"), r("scenario_low"), r("scenario_high"), "target_metric", "target_is_proxy")
 
@@ -1497,7 +1512,7 @@ def scenario_table(spark: SparkSession, d: str) -> DataFrame:
 def playbook_scoreboard(spark: SparkSession, d: str) -> DataFrame:
     """Scoreboard over targets and geographies."""
     lk = la_lookup(spark, d)
-    pts = _monthly_region_points(spark, d)
+    pts = tidy(Y.index_points(_series(spark, d).where(F.col("frequency") == "monthly")))
     hpi = PB.hpi_growth_target(pts)
     _, a, b, c, _, _ = _horizon_frames(spark, d)
     afford = PB.affordability_target(c, "lad_code", "year", "ratio")
@@ -1545,8 +1560,8 @@ def buy_vs_rent_spread(spark: SparkSession, d: str) -> DataFrame:
     spread = (F.col("h1") / F.col("h0") * 100.0 - 100.0) - (F.col("r1") / F.col("r0") * 100.0 - 100.0)
     x = g.select("geography", "m0", "m1", spread.alias("spread_pp"))
     caption = F.format_string(
-        "Buy vs rent (indexed): from first overlapping month to %s (%s), cumulative growth spread (HPI minus PRPI) = %+.1f percentage points (rebased series; not sterling levels).",
-        F.date_format("m1", "MMM yyyy"), F.col("geography"), F.round("spread_pp", 1),
+        "%s, up to %s: house prices have outgrown rents by %+.1f points since their first shared month (both start at 100).",
+        F.col("geography"), F.date_format("m1", "MMM yyyy"), F.round("spread_pp", 1),
     )
     return x.select(
         F.col("geography").alias("region_name"), ymd("m0").alias("first_month"), ymd("m1").alias("last_month"),
@@ -1607,8 +1622,8 @@ def briefing_sections(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def forward_forecasts(spark: SparkSession, d: str) -> DataFrame:
-    """12-month forward table over every monthly series (regions and authorities) x fitted models."""
-    s = _series(spark, d).where(F.col("frequency") == "monthly")
-    out = cut_lineage(FM.forward_table(Y.index_points(s), ["ets", "sarima", "ensemble"], season=12, horizon=12))
-    r = lambda c: F.round(c, 6).alias(c)
+    """Forward table, 12 months or 4 quarters ahead, over every series and model."""
+    out = T.union_all([Y.forward_table(pts, season, season) for season, pts in _points_by_season(spark, d)])
+    r = lambda c: F.round(c, 4).alias(c)
     return out.select("series_id", "model", "horizon", r("last_value"), r("end_level"), r("pct_change"), r("p10"), r("p90"), "error")
+

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions.coerce import norm_code, to_double_marked
@@ -63,10 +64,11 @@ def read_lookup(spark: SparkSession, path: str | None, fallback: DataFrame | Non
     if path:
         try:
             df = spark.read.option("header", "true").csv(path)
-            return df.select(norm_code(code_col).alias("lad_code"), F.trim(F.col(region_col)).alias("region_name")).dropDuplicates(["lad_code"])
-        except Exception:  # absent file: fall back
-            if fallback is None:
+        except AnalysisException as e:
+            if fallback is None or e.getCondition() != "PATH_NOT_FOUND":
                 raise
+        else:
+            return df.select(norm_code(code_col).alias("lad_code"), F.trim(F.col(region_col)).alias("region_name")).dropDuplicates(["lad_code"])
     if fallback is None:
         raise LayoutError("no lookup file and no fallback table")
     return fallback
@@ -113,10 +115,11 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 def geojson_bounds(features: DataFrame) -> DataFrame:
     """S10 bounds: min/max lon/lat over all features; the default box when there are none."""
-    pairs = F.regexp_extract_all("_c", F.lit(r"\[(-?[0-9.eE+-]+),(-?[0-9.eE+-]+)\]"), 0)
+    # a point is two numbers, or three with an altitude
+    pairs = F.regexp_extract_all("_c", F.lit(r"\[(-?[0-9.eE+-]+),(-?[0-9.eE+-]+)(?:,-?[0-9.eE+-]+)?\]"), 0)
     pts = features.select(F.explode(pairs).alias("p")).select(
         F.regexp_extract("p", r"\[(-?[0-9.eE+-]+),", 1).cast("double").alias("lon"),
-        F.regexp_extract("p", r",(-?[0-9.eE+-]+)\]", 1).cast("double").alias("lat"),
+        F.regexp_extract("p", r"^\[[^,]+,(-?[0-9.eE+-]+)", 1).cast("double").alias("lat"),
     )
     b = pts.agg(F.min("lon").alias("min_lon"), F.min("lat").alias("min_lat"), F.max("lon").alias("max_lon"), F.max("lat").alias("max_lat"))
     d = DEFAULT_BOUNDS

@@ -13,7 +13,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import CSV_EXPORT_DEFAULT, CSV_EXPORT_MAX, JSON_EXPORT_MAX, ReadError
+from .catalog import CSV_EXPORT_MAX, JSON_EXPORT_MAX, ReadError
 
 
 def write_tidy(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -33,18 +33,22 @@ def write_csv_copy(df: DataFrame, path: str) -> None:
 
 
 def bounded_export(df: DataFrame, order_by: list[str], limit: int | None, fmt: str = "csv", offset: int = 0) -> DataFrame:
-    """An ordered extract capped at the format's maximum (CSV 250 000, default 100 000; JSON 5 000)."""
-    if fmt == "csv":
-        n = CSV_EXPORT_DEFAULT if limit is None else int(limit)
-        cap = CSV_EXPORT_MAX
-    elif fmt == "json":
-        n = JSON_EXPORT_MAX if limit is None else int(limit)
-        cap = JSON_EXPORT_MAX
-    else:
+    """An ordered extract within the format's maximum (CSV 250 000, JSON 5 000 rows).
+
+    ``limit=None`` asks for all rows from ``offset`` on and raises when they are more than the maximum; nothing
+    is left out silently.
+    """
+    caps = {"csv": CSV_EXPORT_MAX, "json": JSON_EXPORT_MAX}
+    if fmt not in caps:
         raise ReadError(f"unknown export format {fmt!r}")
-    if n < 1 or n > cap:
+    cap = caps[fmt]
+    if limit is None:
+        if df.offset(offset).limit(cap + 1).count() > cap:
+            raise ReadError(f"more than {cap} rows: give a limit or read page by page")
+        return df.orderBy(*order_by).offset(offset)
+    if not 1 <= int(limit) <= cap:
         raise ReadError(f"{fmt} export limit must be within 1..{cap}")
-    return df.orderBy(*order_by).offset(offset).limit(n)
+    return df.orderBy(*order_by).offset(offset).limit(int(limit))
 
 
 def write_export(df: DataFrame, path: str, fmt: str = "csv") -> None:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tessera.functions import coerce as X
 from tessera.operators import aggregate as A
 from tessera.operators import forecast as Y
-from tessera.operators import forecast_models as FM
 from tessera.operators import models as M
 from tessera.operators import windows as W
 
@@ -43,10 +42,10 @@ def test_seasonal_naive_season_one_repeats_last(spark):
 
 def test_window_metrics_mae(spark):
     preds = spark.createDataFrame(
-        [("s", "m", 0, 1, 1.0, 1.5, 1.0, None, 0.0, 2.0, 1.5), ("s", "m", 0, 2, 2.0, 2.5, 1.0, None, 0.0, 3.0, 2.5)],
-        "series_id string, model string, o int, k int, y double, pred double, sigma double, naive double, p10 double, p90 double, p50 double",
+        [("s", 2, "m", 0, 1, 1.0, 1.5, 1.0, None, 0.0, 2.0, 1.5), ("s", 2, "m", 0, 2, 2.0, 2.5, 1.0, None, 0.0, 3.0, 2.5)],
+        "series_id string, horizon int, model string, o int, k int, y double, pred double, sigma double, naive double, p10 double, p90 double, p50 double",
     )
-    m = Y.window_metrics(preds, 2).first()
+    m = Y.window_metrics(preds).first()
     assert m["mae"] == pytest.approx(0.5) and m["coverage_p10_p90"] == 1.0
 
 
@@ -55,22 +54,27 @@ def test_backtest_origins_and_scale(spark):
     t = np.arange(60)
     y = 100 + 0.5 * t + 10 * np.sin(2 * np.pi * t / 12) + rng.normal(0, 2, 60)
     pts = _pts(spark, y)
-    w = Y.baseline_backtest(pts, horizon=3, season=12, min_train=36)
+    w = Y.baseline_backtest(pts, horizons=[3], season=12, min_train=36)
     assert w.where(F.col("model") == "seasonal_naive").count() == 60 - 3 - 36 + 1
     s = Y.summarise_backtest(w).collect()
     assert sum(r["is_best"] for r in s) == 1
 
 
-def test_numpy_forecasters_track_a_seasonal_series():
-    rng = np.random.default_rng(0)
-    t = np.arange(60)
-    y = 100 + 0.5 * t + 10 * np.sin(2 * np.pi * t / 12) + rng.normal(0, 2, 60)
-    truth = 100 + 0.5 * np.arange(60, 66) + 10 * np.sin(2 * np.pi * np.arange(60, 66) / 12)
-    for model in ("ets", "sarima", "ensemble"):
-        fc = FM.forecast_model(y, model, 12, 6)
-        assert fc is not None and np.mean(np.abs(fc - truth)) < 6.0, model
-    assert FM.forecast_model(y[:5], "ets", 12, 3) is None
-    assert np.array_equal(FM.holt_winters(y, 12, 6), FM.holt_winters(y, 12, 6))
+def test_smoothing_follows_a_trend_and_equals_a_plain_loop(spark):
+    y = [100 + 0.5 * t + (t * 7919 % 13) / 10 for t in range(60)]
+    got = {r["o"]: (r["level"], r["trend"]) for r in Y.smoothing_states(_pts(spark, y)).collect()}
+    assert set(got) == set(range(8, 61))
+    runs = {}
+    for a, b in Y.SMOOTHING_GRID:
+        level, trend, sse = y[1], y[1] - y[0], 0.0
+        for t in range(2, 60):
+            ahead = level + trend
+            sse += (y[t] - ahead) ** 2
+            new = a * y[t] + (1.0 - a) * ahead
+            level, trend = new, b * (new - level) + (1.0 - b) * trend
+        runs[sse, a, b] = (level, trend)
+    assert got[60] == pytest.approx(runs[min(runs)])
+    assert abs(got[60][0] + 6 * got[60][1] - (100 + 0.5 * 65 + 0.6)) < 3
 
 
 def test_grouped_folds_keep_groups_apart(spark):
