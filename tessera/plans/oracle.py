@@ -946,16 +946,23 @@ p3 AS (SELECT 'rate_per_share_point' AS panel, rt.name AS label, round(CASE WHEN
        FROM rt JOIN sh ON rt.name = sh.region_name)
 SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3"""
 
-SQL["briefing_sections"] = f"""
-WITH s AS (
-  SELECT 'horizon_deltas' AS section, count(*) AS n_rows FROM ({SQL['horizon_deltas']})
-  UNION ALL SELECT 'entry_pressure', count(*) FROM ({SQL['entry_pressure']})
-  UNION ALL SELECT 'region_change_top', count(*) FROM ({SQL['region_change_top']})
-  UNION ALL SELECT 'index_rebased', count(*) FROM ({SQL['index_rebased']})
-  UNION ALL SELECT 'national_ratio_endpoints', count(*) FROM ({SQL['national_ratio_endpoints']})
-  UNION ALL SELECT 'findings', count(*) FROM ({SQL['findings']})
-  UNION ALL SELECT 'missing_inputs', count(*) FROM ({SQL['missing_inputs']}))
-SELECT section, n_rows, n_rows > 0 AS ready FROM s"""
+# Section -> key columns, number columns, text column.
+_BRIEFING = {
+    "horizon_deltas": (["lad_code"], ["delta_median_price", "delta_earnings", "delta_ratio"], None),
+    "entry_pressure": (["region_name"], ["n_las", "n_entry_pressure", "median_delta_ratio"], None),
+    "region_change_top": (["measure", "region_name"], ["total0", "total1", "delta"], None),
+    "index_rebased": (["region_name", "month"], ["hpi_index_base", "hpi_index", "rent_index", "spread", "ratio"], None),
+    "national_ratio_endpoints": (["y_min", "y_max"], ["ratio_start", "ratio_end", "change"], None),
+    "findings": (["finding_id"], [], "text"),
+    "missing_inputs": (["lang"], ["n_docs", "n_unlabelled"], "missing_sources"),
+}
+_LONG = []
+for _name, (_keys, _numbers, _text) in _BRIEFING.items():
+    _item = " || '|' || ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in _keys)
+    _LONG += [f"SELECT '{_name}' AS section, {_item} AS item, '{c}' AS field, round(CAST({c} AS DOUBLE), 4) AS value, CAST(NULL AS VARCHAR) AS text FROM {_name}" for c in _numbers]
+    _LONG += [f"SELECT '{_name}', {_item}, '{_text}', CAST(NULL AS DOUBLE), CAST({_text} AS VARCHAR) FROM {_name}"] if _text else []
+SQL["briefing_sections"] = (
+    "WITH " + ", ".join(f"{n} AS MATERIALIZED ({SQL[n]})" for n in _BRIEFING) + " " + " UNION ALL ".join(_LONG))
 
 
 _FOLDS = f"""{LK},

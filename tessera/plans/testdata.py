@@ -1610,14 +1610,33 @@ def narrative_panels(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def briefing_sections(spark: SparkSession, d: str) -> DataFrame:
-    """The briefing payload as one index of its sections (rows per section), built from the products."""
-    parts = {
-        "horizon_deltas": horizon_deltas, "entry_pressure": entry_pressure, "region_change_top": region_change_top,
-        "index_rebased": index_rebased, "national_ratio_endpoints": national_ratio_endpoints, "findings": findings,
-        "missing_inputs": missing_inputs,
-    }
-    frames = [fn(spark, d).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("section"), "n_rows") for name, fn in parts.items()]
-    return T.union_all(frames).withColumn("ready", F.col("n_rows") > 0)
+    """The briefing payload in long form, (section, item, field, value, text), built from the products."""
+    frames = []
+    for name, (keys, numbers, text) in BRIEFING.items():
+        x = tidy(BRIEFING_QUERIES[name](spark, d))
+        item = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).alias("item")
+        if numbers:
+            wide = x.select(item, *[F.round(F.col(c).cast("double"), 4).alias(c) for c in numbers])
+            frames.append(wide.unpivot(["item"], numbers, "field", "value").select(F.lit(name).alias("section"), "item", "field", "value", F.lit(None).cast("string").alias("text")))
+        if text:
+            frames.append(x.select(F.lit(name).alias("section"), item, F.lit(text).alias("field"), F.lit(None).cast("double").alias("value"), F.col(text).alias("text")))
+    return T.union_all(frames)
+
+
+# Section -> key columns, number columns, text column.
+BRIEFING = {
+    "horizon_deltas": (["lad_code"], ["delta_median_price", "delta_earnings", "delta_ratio"], None),
+    "entry_pressure": (["region_name"], ["n_las", "n_entry_pressure", "median_delta_ratio"], None),
+    "region_change_top": (["measure", "region_name"], ["total0", "total1", "delta"], None),
+    "index_rebased": (["region_name", "month"], ["hpi_index_base", "hpi_index", "rent_index", "spread", "ratio"], None),
+    "national_ratio_endpoints": (["y_min", "y_max"], ["ratio_start", "ratio_end", "change"], None),
+    "findings": (["finding_id"], [], "text"),
+    "missing_inputs": (["lang"], ["n_docs", "n_unlabelled"], "missing_sources"),
+}
+BRIEFING_QUERIES = {
+    "horizon_deltas": horizon_deltas, "entry_pressure": entry_pressure, "region_change_top": region_change_top,
+    "index_rebased": index_rebased, "national_ratio_endpoints": national_ratio_endpoints, "findings": findings, "missing_inputs": missing_inputs,
+}
 
 
 @query

@@ -1,13 +1,12 @@
-"""Incremental loading of new releases with Structured Streaming.
-
-The reference skips a download when its SHA-256 matches the stored sidecar
-(S18).  Here a folder of releases is a file stream: the ``binaryFile``
-stream source remembers which files it has processed in its checkpoint, each
-micro-batch parses only new workbooks (S1), applies the family transform and
-appends to the tidy table partitioned by (edition, table_id).  The checkpoint
-lives under the cluster's shared ``spark.checkpoint.dir``, so a restarted
-job resumes where it stopped; ``trigger(availableNow=True)`` processes what
-is there and stops, which suits scheduled runs.
+"""Incremental loading of new and corrected releases.
+
+``load_new_releases`` is a file stream: the ``binaryFile`` source remembers in
+its checkpoint which files it has processed, and each micro-batch parses only
+new workbooks (S1), applies the family transform and replaces the (edition,
+table_id) partitions it has rows of, so a repeated batch writes nothing twice.
+``load_changed_releases`` compares SHA-256 digests with those of the last load
+(S18) and so also reloads a file that was corrected under its old name.  The
+stream checkpoint lives under the cluster's shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -15,10 +14,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from ..sources.manifest import new_or_changed
 from ..sources.workbook import CELLS_SCHEMA, parse_workbook
 
 
@@ -32,14 +33,50 @@ def release_stream(spark: SparkSession, folder: str, glob: str = "*.xlsx", max_f
         .load(folder)
     )
 
-    def parse(batches):
-        for b in batches:
-            out = []
-            for p, content in zip(b["path"], b["content"]):
-                out.extend(parse_workbook(p, bytes(content)))
-            yield pd.DataFrame(out, columns=["path", "sheet", "row", "col", "text"])
+    return files.select("path", "content").mapInPandas(_cells, CELLS_SCHEMA)
+
+
+def _cells(batches):
+    for b in batches:
+        out = []
+        for p, content in zip(b["path"], b["content"]):
+            out.extend(parse_workbook(p, bytes(content)))
+        yield pd.DataFrame(out, columns=["path", "sheet", "row", "col", "text"])
+
+
+def replace_partitions(tidy: DataFrame, out_path: str, batch: str) -> None:
+    """Write rows so that writing them again changes nothing: by partition, or into a folder of the batch's own."""
+    parts = [c for c in ("edition", "table_id") if c in tidy.columns]
+    w = tidy.write.mode("overwrite")
+    if parts:
+        w.option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(out_path)
+    else:
+        w.parquet(f"{out_path.rstrip('/')}/{batch}")
+
+
+def load_changed_releases(spark: SparkSession, folder: str, out_path: str, transform: Callable[[DataFrame], DataFrame],
+                          state_path: str, glob: str = "*.xlsx") -> int:
+    """Load the files whose digest differs from the last load's; returns how many there were.
 
-    return files.select("path", "content").mapInPandas(parse, CELLS_SCHEMA)
+    The digests are written after the rows, so a run that breaks off is repeated in full.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    now = files.select("path", F.sha2("content", 256).alias("sha256"))
+    try:
+        before = spark.read.schema("path string, sha256 string").parquet(state_path)
+        before.head(1)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        before = spark.createDataFrame([], "path string, sha256 string")
+    changed = new_or_changed(now, before).select("path").persist()
+    n = changed.count()
+    if n:
+        cells = files.join(changed, "path", "left_semi").select("path", "content").mapInPandas(_cells, CELLS_SCHEMA)
+        replace_partitions(transform(cells), out_path, "batch=all")
+        now.write.mode("overwrite").parquet(state_path)
+    changed.unpersist()
+    return n
 
 
 def load_new_releases(
@@ -50,18 +87,14 @@ def load_new_releases(
     name: str = "releases",
     glob: str = "*.xlsx",
 ):
-    """Process every release not seen before and append its tidy rows; returns the finished query."""
+    """Process every release not seen before and publish its tidy rows; returns the finished query."""
     ckpt = f"{checkpoint_dir(spark).rstrip('/')}/stream-{name}"
 
     def write_batch(cells: DataFrame, epoch: int) -> None:
         tidy = transform(cells)
         if tidy is None:
             return
-        parts = [c for c in ("edition", "table_id") if c in tidy.columns]
-        w = tidy.write.mode("append")
-        if parts:
-            w = w.partitionBy(*parts)
-        w.parquet(out_path)
+        replace_partitions(tidy, out_path, f"batch={epoch}")
 
     q = (
         release_stream(spark, folder, glob)

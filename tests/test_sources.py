@@ -157,6 +157,40 @@ def test_incremental_stream_processes_only_new_files(spark, tmpdir_path):
     assert {(r["edition"], r["count"]) for r in got} == {("e1", 2), ("e2", 2)}
 
 
+def test_changed_releases_are_reloaded_under_their_old_name(spark, tmpdir_path):
+    from tessera.streaming.incremental import edition_from_path, load_changed_releases
+
+    src, out, state = (os.path.join(tmpdir_path, x) for x in ("releases", "tidy", "state"))
+    os.makedirs(src)
+
+    def transform(cells):
+        return cells.where(F.col("row") > 1).groupBy("path", "row").pivot("col", [1, 2]).agg(F.first("text")).select(
+            edition_from_path().alias("edition"), F.lit("1a").alias("table_id"), F.col("1").alias("code"), F.col("2").cast("double").alias("value"))
+
+    def load():
+        n = load_changed_releases(spark, src, out, transform, state)
+        return n, sorted((r["edition"], r["value"]) for r in spark.read.parquet(out).collect())
+
+    write_xlsx(os.path.join(src, "fam_e1.xlsx"), {"1a": [["code", "value"], ["E1", 1], ["E2", 2]]})
+    assert load() == (1, [("e1", 1.0), ("e1", 2.0)])
+    assert load() == (0, [("e1", 1.0), ("e1", 2.0)])
+    write_xlsx(os.path.join(src, "fam_e1.xlsx"), {"1a": [["code", "value"], ["E1", 5]]})
+    write_xlsx(os.path.join(src, "fam_e2.xlsx"), {"1a": [["code", "value"], ["E1", 7]]})
+    assert load() == (2, [("e1", 5.0), ("e2", 7.0)])
+
+
+def test_geojson_points_with_altitude(spark):
+    f = spark.createDataFrame([("[[[1.5,50.25,10.0],[-2.5,51.0,3]]]",), ("[[[0.5,49.75]]]",)], "_c string")
+    b = S.geojson_bounds(f).first()
+    assert tuple(b) == (-2.5, 49.75, 1.5, 51.0)
+
+
+def test_export_of_all_rows_is_whole_or_refused(spark):
+    assert K.bounded_export(spark.range(20), ["id"], None, "csv").count() == 20
+    with pytest.raises(C.ReadError):
+        K.bounded_export(spark.range(6000), ["id"], None, "json")
+
+
 def test_workbook_family_stacks_sheets(spark, tmpdir_path):
     rows = [["title"], ["Country or region code", "Country or region name", "Band A"], ["E92000001", "England", 1.5]]
     write_xlsx(os.path.join(tmpdir_path, "fam.xlsx"), {"1a": rows, "1b": rows})
