@@ -36,6 +36,7 @@ CUT = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / COMPONENTS) ** 0.5  # fi
 BLOCK = 1024  # texts compared with each other in one task
 SALTS = 16
 PARTNERS = 2
+SLOTS = 1 << 25  # bits of the filter that picks the texts to verify
 
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15)
@@ -123,37 +124,50 @@ def shingles(words: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarr
 
 def bag_minhash(items: np.ndarray, counts: np.ndarray, m: int = COMPONENTS) -> np.ndarray:
     """Signature of a multiset: for each of ``m`` components its earliest arrival time, as 64-bit numbers."""
-    if not len(items):
-        return np.zeros(m, np.uint64)
-    seeds, rates, lows, tops = [mix(items)], [np.ones(len(items))], [np.zeros(len(items))], [counts.astype(float)]
+    return bag_minhashes([(items, counts)], m)[0]
+
+
+def bag_minhashes(bags: list[tuple[np.ndarray, np.ndarray]], m: int = COMPONENTS) -> np.ndarray:
+    """Signatures of several multisets, one a row; the processes of all of them advance together."""
+    out = np.zeros((len(bags), m), np.uint64)
+    sizes = np.array([len(x) for x, _ in bags])
+    if not sizes.sum():
+        return out
+    items, counts = np.concatenate([x for x, _ in bags]), np.concatenate([n for _, n in bags])
+    owner = np.repeat(np.arange(len(bags)), sizes)
+    seeds, owners, rates, lows, tops = [mix(items)], [owner], [np.ones(len(items))], [np.zeros(len(items))], [counts.astype(float)]
     many = np.flatnonzero(counts > 1)
     level, low = 1, 1
     while len(many):  # the weight axis doubles: interval [low, 2 low) has rate low
         seeds.append(mix(items[many] ^ U((level * int(MUL2)) & 0xFFFFFFFFFFFFFFFF)))
+        owners.append(owner[many])
         rates.append(np.full(len(many), float(low)))
         lows.append(np.full(len(many), float(low)))
         tops.append(counts[many].astype(float))
         level, low = level + 1, low * 2
         many = many[counts[many] > low]
-    seed, rate, low_of, top_of = (np.concatenate(x) for x in (seeds, rates, lows, tops))
-    best = np.full(m, np.inf)
-    limit = m * (np.log(m) + 2) / rate.sum()
-    time = np.zeros(len(seed))
-    draw = np.zeros(len(seed), np.uint64)
-    time, draw, point = arrivals(seed, rate, time, draw)
-    while True:
-        ready = np.flatnonzero(time <= limit)
+    seed, of, rate, low_of, top_of = (np.concatenate(x) for x in (seeds, owners, rates, lows, tops))
+    best = np.full(len(bags) * m, np.inf)
+    limit = m * (np.log(m) + 2) / np.maximum(np.bincount(of, rate, len(bags)), 1.0)
+    time, draw, point = arrivals(seed, rate, np.zeros(len(seed)), np.zeros(len(seed), np.uint64))
+    open_ = np.flatnonzero(sizes)
+    alive = np.arange(len(seed))
+    while len(open_):
+        ready = alive[time[alive] <= limit[of[alive]]]
         while len(ready):
             here = point[ready]
             component = (mix(here ^ MUL1) % U(m)).astype(np.int64)
             position = low_of[ready] + rate[ready] * unit(mix(here ^ MUL2))
             ok = position < top_of[ready]
-            np.minimum.at(best, component[ok], time[ready][ok])
+            np.minimum.at(best, of[ready][ok] * m + component[ok], time[ready][ok])
             time[ready], draw[ready], point[ready] = arrivals(seed[ready], rate[ready], time[ready], draw[ready])
-            ready = ready[time[ready] <= limit]
-        if best.max() <= limit:
-            return best.view(np.uint64)
-        limit *= 2
+            ready = ready[time[ready] <= limit[of[ready]]]
+        open_ = open_[best.reshape(-1, m)[open_].max(axis=1) > limit[open_]]
+        limit[open_] *= 2
+        alive = alive[np.isin(of[alive], open_)]
+    filled = sizes > 0
+    out[filled] = best.view(np.uint64).reshape(-1, m)[filled]
+    return out
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -184,6 +198,19 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return low / total if total else 1.0
 
 
+def together(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
+    """Consecutive texts in groups of about ``size`` characters."""
+    group, held = [], 0
+    for t in texts:
+        group.append(t)
+        held += len(t)
+        if held >= size:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
 # Steps in Spark
 
 
@@ -194,13 +221,13 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(it):
         for b, texts in batches(it, "_text"):
             keys, sizes, bands, sigs = [], [], [], []
-            for t in texts:
-                words = word_hashes(t)
-                signature = bag_minhash(*shingles(words))
-                keys.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
-                sizes.append(len(words))
-                bands.append(band_keys(signature) if len(words) else np.zeros(0, np.int64))
-                sigs.append((mix(signature) >> U(48)).astype("<u2").tobytes())
+            for group in together(texts):
+                hashes = [word_hashes(t) for t in group]
+                for words, signature in zip(hashes, bag_minhashes([shingles(w) for w in hashes])):
+                    keys.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
+                    sizes.append(len(words))
+                    bands.append(band_keys(signature) if len(words) else np.zeros(0, np.int64))
+                    sigs.append((mix(signature) >> U(48)).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [b.column("_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
                 names=["_id", "_key", "_n", "_bands", "_sig"],
@@ -294,18 +321,34 @@ def likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
 
 
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """One bit for each of SLOTS hash values, set if an id has it: 4 MB whatever the number of ids."""
+    slot = F.pmod(F.xxhash64("_id"), F.lit(SLOTS))
+    words = ids.select(F.shiftright(slot, 6).alias("w"), (slot % 64).cast("int").alias("b")).distinct()
+    one = F.when(F.col("b") < 63, F.expr("shiftleft(1L, b)")).otherwise(F.lit(-(2**63)))
+    table = words.groupBy("w").agg(F.bit_or(one).alias("bits")).toPandas()
+    out = np.zeros(SLOTS >> 6, np.uint64)
+    out[table["w"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """``a, b, similarity`` of the pairs that reach the similarity, from the full multisets of ``docs`` (``_id, _text``)."""
     pairs = written(pairs, "near-dedup-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    filter_of = docs.sparkSession.sparkContext.broadcast(id_filter(needed))
 
     def bags(it):
-        for b, texts in batches(it, "_text"):
-            found = [shingles(word_hashes(t)) for t in texts]
+        # the filter lets every needed text pass and few others; texts stay where they are, only bags move on
+        for b in it:
+            slot = b.column("_slot").to_numpy(zero_copy_only=False)
+            b = b.filter(pa.array((filter_of.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & U(1) == 1))
+            found = [shingles(word_hashes(t)) for t in b.column("_text").to_pylist()]
             columns = [b.column("_id"), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["_id", "_items", "_counts"])
 
-    made = docs.join(needed, "_id", "left_semi").select("_id", "_text").mapInArrow(bags, "_id long, _items binary, _counts binary")
+    slotted = docs.select("_id", "_text", F.pmod(F.xxhash64("_id"), F.lit(SLOTS)).alias("_slot"))
+    made = slotted.mapInArrow(bags, "_id long, _items binary, _counts binary").join(needed, "_id", "left_semi")
     made = written(made.dropDuplicates(["_id"]), "near-dedup-bags")
     bag = lambda end: made.select(F.col("_id").alias(end), F.struct("_items", "_counts").alias(f"_{end}"))
 
@@ -327,6 +370,7 @@ def components(links: DataFrame) -> DataFrame:
     changes (their number grows with the logarithm of the longest chain) and each is written, not cached.
     """
     edges = written(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "near-dedup-links")
+    before = fingerprint(edges)
     while True:
         around = edges.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(edges.select(F.col("u").alias("x"), F.col("v").alias("y")))
         lowest = around.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
@@ -334,10 +378,15 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = salted_join(large, low, "v", "u").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e"))
         after = written(small.select("e.*").filter("v <> u").distinct(), "near-dedup-links")
-        changed = edges.exceptAll(after).limit(1).count() + after.exceptAll(edges).limit(1).count()
-        edges = after
-        if not changed:
+        state, edges = fingerprint(after), after
+        if state == before:
             return edges.select(F.col("v").alias("_id"), F.col("u").alias("class_id"))
+        before = state
+
+
+def fingerprint(edges: DataFrame) -> tuple:
+    """Number of edges and two combined hashes of them; equal sets have equal fingerprints."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u")), F.bit_xor(F.xxhash64("u", "v", F.lit(1)))).first())
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -44,6 +44,14 @@ def test_signature_is_unbiased_for_weighted_jaccard():
         assert abs(hits / 512 / 60 - want / 60) < 0.012
 
 
+def test_signatures_do_not_depend_on_their_company():
+    rng = np.random.default_rng(2)
+    bags = [np.unique(rng.integers(0, 900, n).astype(np.uint64), return_counts=True) for n in (0, 1, 2, 40, 500, 5000, 0, 3)]
+    many = nd.bag_minhashes(bags)
+    assert all((many[i] == nd.bag_minhash(*b)).all() for i, b in enumerate(bags)) and not many[0].any()
+    assert [len(g) for g in nd.together(["a" * 5, "b" * 9, "c"], 10)] == [2, 1]
+
+
 def test_hashes_do_not_depend_on_place_or_segments():
     a = nd.word_hashes("the cat  sat\non É the mat " + "z" * 5000)
     b = nd.word_hashes("on é The")
