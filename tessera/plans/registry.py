@@ -98,6 +98,7 @@ LIBRARY_ONLY: dict[str, str] = {
     "S14": "sources.sinks.write_snapshot", "S15": "sources.sinks.write_backtest", "S16": "sources.manifest.file_manifest",
     "S17": "sources.manifest.registry_snapshot", "S18": "sources.manifest.new_or_changed",
     "S19": "sources.manifest.fingerprint", "S20": "sources.manifest.missing_inputs",
+    "T19": "plans.sheets.price_explorer", "B5": "plans.sheets.latest_median_price",
     "F10": "sources.catalog.read_page", "X12": "sources.sinks.json_rows",
     "T1": "operators.tidy.drop_empty", "T2": "operators.tidy.clean_wide_la", "T3": "operators.tidy.assert_headers",
     "T14": "operators.tidy.rename_positional", "T16": "operators.tidy.unique_slugs", "T22": "sources.files.rents_contract",
@@ -109,5 +110,5 @@ LIBRARY_ONLY: dict[str, str] = {
 NOT_BUILT: dict[str, str] = {
     "Y6": "seasonal ARIMA: a solver library of its own behind one task; smoothing and the baselines take its place",
     "Y7": "order search of the seasonal ARIMA",
-    "T19": "price explorer sheets", "B5": "latest median price by dwelling class needs sheets that are not built", "B32": "generic dataset explorer",
+    "B32": "generic dataset explorer",
 }
