@@ -67,7 +67,7 @@ class Recent:
         self.young: dict = {}
         self.old: dict = {}
 
-    def ready(self, keys: set) -> dict:
+    def ready(self, keys: Iterable) -> dict:
         """A mapping that holds every key of ``keys``."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
@@ -80,6 +80,7 @@ class Recent:
                 else:
                     fresh.append(k)
         if fresh:
+            fresh = list(dict.fromkeys(fresh))
             young.update(zip(fresh, self.make(fresh)))
         return young
 

@@ -44,7 +44,7 @@ class ChunkIds:
             spec = json.load(f)
         top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
         self.dtype = np.dtype("<u2" if top < 65536 else "<u4")
-        self.memory = Recent(self.make, 300_000)
+        self.memory = Recent(self.make, 600_000)
 
     def make(self, keys: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -104,6 +104,8 @@ def encoded(df: DataFrame, vocab_path: str, end_id: int, id_col: str, text_col:
 def cut_points(start: int, end: int, total: int, window: int) -> tuple[list[int], list[tuple[int, int]]]:
     """Edges of the pieces of a document at [start, end) of the stream, and (sequence, offset) of each piece."""
     full = total // window
+    if end <= min(full * window, (start // window + 1) * window):
+        return [0, end - start], [(start // window, start % window)]
     tail, rest = [full * window], total % window
     while rest:
         size = 1 << (rest.bit_length() - 1)
@@ -144,21 +146,22 @@ def pack(df: DataFrame, vocab_path: str, window: int = WINDOW, end_id: int = 2,
 
     def run(it):
         for b in it:
+            at, n, total, width, packed = (b.column(c).to_pylist() for c in ("_at", "_n", "_all", "_width", "_ids"))
+            rows, starts, sizes, ids, seqs, offsets = [], [], [], [], [], []
             for i in range(b.num_rows):
-                at, n, total, width = (b.column(c)[i].as_py() for c in ("_at", "_n", "_all", "_width"))
-                ids = np.frombuffer(b.column("_ids")[i].as_buffer(), "<u2" if width == 2 else "<u4").astype("<u4")
-                edges, places = cut_points(at, at + n, total, window)
-                k = len(places)
-                columns = [
-                    b.column("_id").take(pa.array([i] * k, pa.int64())),
-                    pa.array(edges[:-1], pa.int64()),
-                    pa.array([y - x for x, y in zip(edges, edges[1:])], pa.int64()),
-                    pa.array([ids[x:y].tobytes() for x, y in zip(edges, edges[1:])], pa.binary()),
-                    pa.array([n] * k, pa.int64()),
-                    pa.array([s for s, _ in places], pa.int64()),
-                    pa.array([o for _, o in places], pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+                wide = np.frombuffer(packed[i], "<u2" if width[i] == 2 else "<u4").astype("<u4").tobytes()
+                edges, places = cut_points(at[i], at[i] + n[i], total[i], window)
+                for x, y, (seq, offset) in zip(edges, edges[1:], places):
+                    rows.append(i)
+                    starts.append(x)
+                    sizes.append(y - x)
+                    ids.append(wide[4 * x : 4 * y])
+                    seqs.append(seq)
+                    offsets.append(offset)
+            take = pa.array(rows, pa.int64())
+            columns = [b.column("_id").take(take), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()),
+                       b.column("_n").take(take), pa.array(seqs, pa.int64()), pa.array(offsets, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     id_type = df.schema[id_col].dataType.simpleString()
     schema = f"_id {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
