@@ -212,8 +212,11 @@ def windows(streams: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray
     first CONTEXT places, so every id and the end count once.
     """
     sizes = np.array([len(s) + 1 for s in streams])
-    flat = np.concatenate([x for s in streams for x in ([-1], s, [end])]).astype(np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    flat = np.full(int((sizes + 1).sum()), end, np.int64)
+    flat[starts] = -1
+    for at, s in zip(starts, streams):
+        flat[at + 1 : at + 1 + len(s)] = s
     number = np.maximum(1, -(-(sizes - CONTEXT) // STRIDE))
     owner = np.repeat(np.arange(len(streams)), number)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
@@ -224,31 +227,52 @@ def windows(streams: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray
     return flat[index], flat[index + 1], counted, owner
 
 
-MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+LARGEST = np.float32(60)  # exponents are kept within this, so sums of exponentials need no shift
 
 
-def forward(model: Attention, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Log probability of the class of each target, and what the backward pass needs."""
+def hidden(model: Attention, inputs: np.ndarray) -> dict:
+    """The layer's hidden values of each place, with what led to them (``a``: attention before it is normalised)."""
     p = model.parameters
     bucket = np.where(inputs < 0, BUCKETS, bucket_of(np.maximum(inputs, 0)))
     x = p["embed"][bucket] + p["place"]
-    q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-    a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(WIDTH**-0.5)
-    a += MASK
-    a -= a.max(axis=2, keepdims=True)
+    each = x.reshape(-1, WIDTH)  # one large product instead of one per window
+    q, k, v = ((each @ p[n]).reshape(x.shape) for n in "qkv")
+    a = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
+    np.clip(a, -LARGEST, LARGEST, out=a)
     np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    mixed = a @ v
-    h = x + mixed @ p["o"]
-    logits = h @ p["out"]
+    a *= MASK
+    weight = a.sum(axis=2, keepdims=True)
+    mixed = (a @ v) / weight
+    h = x + (mixed.reshape(-1, WIDTH) @ p["o"]).reshape(x.shape)
+    return {"bucket": bucket, "x": x, "q": q, "k": k, "v": v, "a": a, "weight": weight, "mixed": mixed, "h": h}
+
+
+def class_logits(model: Attention, h: np.ndarray, inputs: np.ndarray) -> np.ndarray:
+    """Logits of the classes for rows of hidden values and the ids before them; they start from the counts."""
+    logits = h @ model.parameters["out"]
     logits += model.after[inputs]  # the last row is the beginning's
-    logits -= logits.max(axis=2, keepdims=True)
+    return np.clip(logits, -LARGEST, LARGEST, out=logits)
+
+
+def forward(model: Attention, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, dict]:
+    """Log probability of the class of each target, and what the backward pass needs."""
+    kept = hidden(model, inputs)
+    kept["a"] /= kept["weight"]
+    logits = class_logits(model, kept["h"].reshape(-1, WIDTH), inputs.ravel()).reshape(*inputs.shape, CLASSES)
     wanted = model.class_of[targets]
     own = np.take_along_axis(logits, wanted[:, :, None], 2)[:, :, 0]
-    e = np.exp(logits)
+    e = np.exp(logits, out=logits)
     total = e.sum(axis=2)
-    return own - np.log(total), {"bucket": bucket, "x": x, "q": q, "k": k, "v": v, "a": a, "mixed": mixed, "h": h, "soft": e / total[:, :, None], "wanted": wanted}
+    return own - np.log(total), kept | {"soft": e / total[:, :, None], "wanted": wanted}
+
+
+def counted_logs(model: Attention, inputs: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """Log probability of each counted target, class and place in the class together."""
+    h, last, wanted = hidden(model, inputs)["h"][counted], inputs[counted], targets[counted]
+    logits = class_logits(model, h, last)
+    own = logits[np.arange(len(last)), model.class_of[wanted]]
+    return own - np.log(np.exp(logits, out=logits).sum(axis=1)) + model.log_in_class(last, wanted)
 
 
 def gradients(model: Attention, kept: dict, counted: np.ndarray) -> dict[str, np.ndarray]:
@@ -259,15 +283,16 @@ def gradients(model: Attention, kept: dict, counted: np.ndarray) -> dict[str, np
     np.put_along_axis(d, kept["wanted"][:, :, None], np.take_along_axis(d, kept["wanted"][:, :, None], 2) - 1, 2)
     d *= (counted / max(1, counted.sum()))[:, :, None].astype(np.float32)
     g = {"out": flat(kept["h"]).T @ flat(d)}
-    dh = d @ p["out"].T
+    back = lambda t, name: (flat(t) @ p[name].T).reshape(*t.shape[:2], -1)
+    dh = back(d, "out")
     g["o"] = flat(kept["mixed"]).T @ flat(dh)
-    dm = dh @ p["o"].T
+    dm = back(dh, "o")
     da = dm @ kept["v"].transpose(0, 2, 1)
     ds = kept["a"] * (da - (da * kept["a"]).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
     dq, dk, dv = ds @ kept["k"], ds.transpose(0, 2, 1) @ kept["q"], kept["a"].transpose(0, 2, 1) @ dm
     x = flat(kept["x"])
     g["q"], g["k"], g["v"] = x.T @ flat(dq), x.T @ flat(dk), x.T @ flat(dv)
-    dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
+    dx = dh + back(dq, "q") + back(dk, "k") + back(dv, "v")
     g["place"] = dx.sum(axis=0)
     rows = kept["bucket"].ravel()
     g["embed"] = np.stack([np.bincount(rows, c, BUCKETS + 1) for c in flat(dx).T], axis=1).astype(np.float32)
@@ -302,10 +327,9 @@ def log_probabilities(model: Attention, streams: list[np.ndarray]) -> np.ndarray
         sums = np.zeros(len(group))
         for at in range(0, len(x), BATCH):
             part = slice(at, at + BATCH)
-            logs, _ = forward(model, x[part], y[part])
             mine = counted[part]
-            logs[mine] += model.log_in_class(x[part][mine], y[part][mine])
-            sums += np.bincount(owner[part], np.where(mine, logs, 0).sum(axis=1, dtype=np.float64), len(group))
+            logs = counted_logs(model, x[part], y[part], mine)
+            sums += np.bincount(np.repeat(owner[part], mine.sum(axis=1)), logs.astype(np.float64), len(group))
         out[group] = sums
     return out / np.log(10)
 
