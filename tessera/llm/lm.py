@@ -231,20 +231,23 @@ MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 LARGEST = np.float32(60)  # exponents are kept within this, so sums of exponentials need no shift
 
 
-def hidden(model: Attention, inputs: np.ndarray) -> dict:
-    """The layer's hidden values of each place, with what led to them (``a``: attention before it is normalised)."""
+def hidden(model: Attention, inputs: np.ndarray, first: int = 0) -> dict:
+    """The layer's hidden values of each place from ``first`` on, with what led to them (``a``: attention before it
+    is normalised)."""
     p = model.parameters
     bucket = np.where(inputs < 0, BUCKETS, bucket_of(np.maximum(inputs, 0)))
     x = p["embed"][bucket] + p["place"]
     each = x.reshape(-1, WIDTH)  # one large product instead of one per window
-    q, k, v = ((each @ p[n]).reshape(x.shape) for n in "qkv")
+    k, v = ((each @ p[n]).reshape(x.shape) for n in "kv")
+    own = x[:, first:]
+    q = (own.reshape(-1, WIDTH) @ p["q"]).reshape(own.shape)
     a = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
     np.clip(a, -LARGEST, LARGEST, out=a)
     np.exp(a, out=a)
-    a *= MASK
+    a *= MASK[first:]
     weight = a.sum(axis=2, keepdims=True)
     mixed = (a @ v) / weight
-    h = x + (mixed.reshape(-1, WIDTH) @ p["o"]).reshape(x.shape)
+    h = own + (mixed.reshape(-1, WIDTH) @ p["o"]).reshape(own.shape)
     return {"bucket": bucket, "x": x, "q": q, "k": k, "v": v, "a": a, "weight": weight, "mixed": mixed, "h": h}
 
 
@@ -267,9 +270,9 @@ def forward(model: Attention, inputs: np.ndarray, targets: np.ndarray) -> tuple[
     return own - np.log(total), kept | {"soft": e / total[:, :, None], "wanted": wanted}
 
 
-def counted_logs(model: Attention, inputs: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> np.ndarray:
-    """Log probability of each counted target, class and place in the class together."""
-    h, last, wanted = hidden(model, inputs)["h"][counted], inputs[counted], targets[counted]
+def counted_logs(model: Attention, inputs: np.ndarray, targets: np.ndarray, counted: np.ndarray, first: int = 0) -> np.ndarray:
+    """Log probability of each counted target, class and place in the class together; none before ``first`` counts."""
+    h, last, wanted = hidden(model, inputs, first)["h"][counted[:, first:]], inputs[counted], targets[counted]
     logits = class_logits(model, h, last)
     own = logits[np.arange(len(last)), model.class_of[wanted]]
     return own - np.log(np.exp(logits, out=logits).sum(axis=1)) + model.log_in_class(last, wanted)
@@ -325,11 +328,13 @@ def log_probabilities(model: Attention, streams: list[np.ndarray]) -> np.ndarray
     for group in groups_of(streams, BATCH * STRIDE * 2):
         x, y, counted, owner = windows([streams[i] for i in group], model.end)
         sums = np.zeros(len(group))
-        for at in range(0, len(x), BATCH):
-            part = slice(at, at + BATCH)
-            mine = counted[part]
-            logs = counted_logs(model, x[part], y[part], mine)
-            sums += np.bincount(np.repeat(owner[part], mine.sum(axis=1)), logs.astype(np.float64), len(group))
+        # the first window of a text counts from its beginning, later ones after their context
+        for of, first in ((np.flatnonzero(counted[:, 0]), 0), (np.flatnonzero(~counted[:, 0]), CONTEXT)):
+            for at in range(0, len(of), BATCH):
+                part = of[at : at + BATCH]
+                mine = counted[part]
+                logs = counted_logs(model, x[part], y[part], mine, first)
+                sums += np.bincount(np.repeat(owner[part], mine.sum(axis=1)), logs.astype(np.float64), len(group))
         out[group] = sums
     return out / np.log(10)
 
