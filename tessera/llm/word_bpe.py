@@ -6,7 +6,7 @@ between such cuts are encoded independently and their ids concatenated, with the
 whole.  Words (the pieces of the vocabulary's own split pattern) are cut the same way, for free.
 
 ``WordBpe`` reads the public file of a tokenizer: BPE over bytes with an end-of-word mark, NFC, lower case,
-white space dropped.  Ids of distinct fragments and of distinct chunks (runs without white space) are
+white space dropped.  Ids of distinct words and of distinct chunks (runs without white space) are
 remembered per worker, within a bound.
 """
 
@@ -52,8 +52,7 @@ class WordBpe:
         self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         pre = spec["pre_tokenizer"]["pretokenizers"]
         self.pieces = regex.compile(next(p["pattern"]["Regex"] for p in pre if p["type"] == "Split"))
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.merges = merge_table(spec)
         self.inner = [vocab[c] for c in letters]
         self.last = [vocab[c + END] for c in letters]
         inside = bytearray(65536)
@@ -63,7 +62,7 @@ class WordBpe:
             for a, b in zip(codes, codes[1:]):
                 inside[a << 8 | b] = 1
         self.inside = bytes(inside)
-        self.fragments = Recent(lambda keys: map(self._merge_fragment, keys), 200_000)
+        self.words = Recent(lambda keys: (self.encode_word(k.encode()) for k in keys), 300_000)
 
     def cuts(self, word: bytes) -> list[int]:
         """Certain cuts of a word: places between two bytes that are neighbours in no token."""
@@ -72,17 +71,12 @@ class WordBpe:
 
     def encode_word(self, word: bytes) -> list[int]:
         """Ids of one piece: its fragments between certain cuts, concatenated; only the last has the end mark."""
-        ends = [*self.cuts(word), len(word)]
-        keys = [(word[a:b], b == len(word)) for a, b in zip([0, *ends], ends)]
-        known = self.fragments.ready(set(keys))
-        return [i for k in keys for i in known[k]]
-
-    def _merge_fragment(self, key: tuple[bytes, bool]) -> list[int]:
-        fragment, is_end = key
-        ids = [self.inner[b] for b in fragment]
-        if is_end:
-            ids[-1] = self.last[fragment[-1]]
-        return merge(ids, self.merges)
+        out: list[int] = []
+        start, inner, merges = 0, self.inner, self.merges
+        for end in self.cuts(word):
+            out += merge([inner[b] for b in word[start:end]], merges)
+            start = end
+        return out + merge([*(inner[b] for b in word[start:-1]), self.last[word[-1]]], merges)
 
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of a text without white space, or of any text."""
@@ -91,8 +85,10 @@ class WordBpe:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                for piece in self.pieces.findall(normal(part)):
-                    out += self.encode_word(piece.encode())
+                pieces = self.pieces.findall(normal(part))
+                known = self.words.ready(pieces)
+                for piece in pieces:
+                    out += known[piece]
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -112,49 +108,59 @@ def chunks(text: str) -> list[str]:
     return CHUNK.findall(text) if CONTROL.search(text) else text.split()
 
 
-def merge(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+def merge_table(spec: dict) -> dict[tuple[int, int], int]:
+    """(left id, right id) -> rank and made id as one number, lower for lower ranks."""
+    vocab = spec["model"]["vocab"]
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
+    return {(vocab[a], vocab[b]): rank << ID_BITS | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
+
+
+ID_BITS = 24
+ID_MASK = (1 << ID_BITS) - 1
+NONE = 1 << 62
+
+
+def merge(ids: list[int], merges: dict[tuple[int, int], int]) -> list[int]:
     """Apply merges, lowest rank first and from the left, until none fits."""
-    if len(ids) <= 24:
-        while len(ids) > 1:
-            best = min((merges.get(p, NONE) for p in zip(ids, ids[1:])), default=NONE)
-            if best is NONE:
-                break
-            out, i, n, new = [], 0, len(ids), best[1]
-            while i < n:
-                if i + 1 < n and merges.get((ids[i], ids[i + 1])) == best:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
-    return _merge_long(ids, merges)
-
-
-NONE = (1 << 60, -1)
-
-
-def _merge_long(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    if len(ids) > 64:
+        return _merge_long(ids, merges)
+    ids = list(ids)
+    get = merges.get
+    found = [get(p, NONE) for p in zip(ids, ids[1:])]
+    while found:
+        best = min(found)
+        if best == NONE:
+            break
+        i = found.index(best)
+        ids[i] = best & ID_MASK
+        del ids[i + 1], found[i]
+        if i < len(found):
+            found[i] = get((ids[i], ids[i + 1]), NONE)
+        if i:
+            found[i - 1] = get((ids[i - 1], ids[i]), NONE)
+    return ids
+
+
+def _merge_long(ids: list[int], merges: dict[tuple[int, int], int]) -> list[int]:
     """The same with a heap over a linked list, for long fragments."""
     ids = list(ids)
     n = len(ids)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+    heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1]))) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, a, b, new = heapq.heappop(heap)
+        m, i, a, b = heapq.heappop(heap)
         j = after[i] if ids[i] == a else n
         if j >= n or ids[j] != b:
             continue
-        ids[i], ids[j] = new, -1
+        ids[i], ids[j] = m & ID_MASK, -1
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            if m := merges.get((new, ids[k])):
-                heapq.heappush(heap, (m[0], i, new, ids[k], m[1]))
-        if (h := before[i]) >= 0 and (m := merges.get((ids[h], new))):
-            heapq.heappush(heap, (m[0], h, ids[h], new, m[1]))
+            if (m := merges.get((ids[i], ids[k]))) is not None:
+                heapq.heappush(heap, (m, i, ids[i], ids[k]))
+        if (h := before[i]) >= 0 and (m := merges.get((ids[h], ids[i]))) is not None:
+            heapq.heappush(heap, (m, h, ids[h], ids[i]))
     return [x for x in ids if x >= 0]
 
 
@@ -202,14 +208,14 @@ def decode_ids(df: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col:
 
 
 def _ids_of(bpe: WordBpe, memory: Recent, texts: list[list[str]], known: dict) -> dict:
-    return {"ids": [[i for c in cs for i in known[c][0]] for cs in texts]}
+    return {"ids": [[int(i) for c in cs for i in known[c][1].split()] for cs in texts]}
 
 
 def _digests_of(bpe: WordBpe, memory: Recent, texts: list[list[str]], known: dict) -> dict:
     counts, ids, decoded = [], [], []
     for cs in texts:
         got = [v for c in cs if (v := known[c])[0]]
-        counts.append(sum(len(v[0]) for v in got))
+        counts.append(sum(v[0] for v in got))
         ids.append(hashlib.sha256(" ".join(v[1] for v in got).encode()).hexdigest())
         decoded.append(hashlib.sha256(" ".join(v[2] for v in got).encode()).hexdigest())
     return {"n_tokens": counts, "ids_sha256": ids, "decoded_sha256": decoded}
@@ -223,10 +229,10 @@ def _per_text(df: DataFrame, path: str, id_col: str, text_col: str, columns: str
 
         def make(keys: list[str]):
             for k in keys:
-                ids = tuple(bpe.encode_chunk(k))
-                yield ids, " ".join(map(str, ids)), bpe.decode(ids)
+                ids = bpe.encode_chunk(k)
+                yield len(ids), " ".join(map(str, ids)), bpe.decode(ids)
 
-        memory = Recent(make, 120_000)
+        memory = Recent(make, 350_000)
         for b, texts in batches(it, "_text"):
             for start in range(0, len(texts), 50):
                 cut = [chunks(t) for t in texts[start : start + 50]]
