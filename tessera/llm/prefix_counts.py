@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Recent, batches, small_batches, text_of, to_batch
-from .word_bpe import byte_letters, merge
+from .word_bpe import byte_letters, merge, merge_table
 
 # Runs of white space with what follows.  A piece never holds white space after another character, so a cut
 # before each run is certain.  The control characters are white space to Python only.
@@ -51,11 +51,11 @@ class PrefixCounter:
         self.id_of = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in special}
         self.bytes_of = {i: b for b, i in self.id_of.items()}
         self.longest = max(map(len, self.id_of))
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.merges = merge_table(spec)
         self.single = [vocab[c] for c in letters]
         self.stable = {i: merge([self.single[c] for c in b], self.merges) == [i] for i, b in self.bytes_of.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.pieces = Recent(lambda keys: map(self.piece, keys), 200_000)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the joined bytes of two tokens are encoded as just these two."""
@@ -86,9 +86,10 @@ class PrefixCounter:
         """Token counts of every non-empty character prefix of a chunk (no special strings)."""
         out = array("I")
         base = 0
-        for piece in PIECE.findall(text):
-            data = piece.encode()
-            counts = self.piece(data)
+        split = [(p, p.encode()) for p in PIECE.findall(text)]
+        known = self.pieces.ready([data for _, data in split])
+        for piece, data in split:
+            counts = known[data]
             if len(data) == len(piece):
                 out.extend(base + c for c in counts[1:])
             else:
@@ -170,7 +171,7 @@ def token_counts(df: DataFrame, vocab_path: str, limit: int = 512, id_col: str =
 
     def run(it):
         counter = loaded(vocab_path)
-        memory = Recent(lambda keys: map(counter.chunk, keys), 200_000)
+        memory = Recent(lambda keys: map(counter.chunk, keys), 400_000)
         for b, texts in batches(it, "_text"):
             for start in range(0, len(texts), 50):
                 some = texts[start : start + 50]
