@@ -10,9 +10,11 @@ with probability equal to their weighted Jaccard.  Points come in order of time,
 current limit are made, and the limit is raised until every component is settled.
 
 Documents with the same word sequence are one text from the start.  Texts that agree in a whole band meet; in a
-bucket of two that is the candidate, in larger ones (dealt into blocks) each text gives its two most similar
-partners and the edges of a spanning forest over estimated similarity, so candidates grow in proportion to
+bucket of two that is the candidate, in larger ones (dealt into blocks) each text first gives its two most similar
+partners and the edges of a spanning forest over estimated similarity, so these candidates grow in proportion to
 members.  Candidates are verified on the full multisets, and linked texts form classes by connected components.
+Then texts of one block that are in different classes give all pairs that the estimate doesn't rule out, the most
+similar first, until none is left: only pairs inside a class are spared.
 No step gathers a bucket, group or class whole in one task beyond one block.
 """
 
@@ -36,6 +38,7 @@ CUT = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / COMPONENTS) ** 0.5  # fi
 BLOCK = 1024  # texts compared with each other in one task
 SALTS = 16
 PARTNERS = 2
+SPAN, WIDEN = 8, 8  # partners of other classes that a text gives in the first round after that, and the growth per round
 SLOTS = 1 << 25  # bits of the filter that picks the texts to verify
 
 U = np.uint64
@@ -282,30 +285,116 @@ def groups_in_order(it: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[l
         yield rows
 
 
-def candidate_pairs(texts: DataFrame) -> DataFrame:
-    """``a, b`` (a < b): texts that meet in a band, in proportion to members; ``texts`` has ``_id, _bands, _sig``."""
+def in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``members`` (``_id, _band, _size``) with ``_block`` and ``_sig``: a bucket's texts are dealt into blocks."""
+    blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
+    dealt = members.withColumn("_block", F.pmod(F.xxhash64("_id", "_band"), blocks).cast("int"))
+    return dealt.join(texts.select("_id", "_sig"), "_id")
+
+
+def bucket_members(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs ``a, b`` of buckets of two, and ``_id, _band, _size`` of larger ones; ``texts`` has ``_id, _bands``."""
     bands = texts.select("_id", F.explode("_bands").alias("_band"))
     groups = bands.groupBy("_band").agg(F.count(F.lit(1)).alias("_size"), F.min("_id").alias("a"), F.max("_id").alias("b"))
     groups = written(groups.filter("_size > 1"), "near-dedup-buckets")
     twos = groups.filter("_size = 2").select("a", "b").distinct()
     members = salted_join(bands, groups.filter("_size > 2").select("_band", "_size"), "_band", "_id")
-    blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
-    members = members.select("_id", "_band", F.pmod(F.xxhash64("_id", "_band"), blocks).cast("int").alias("_block"))
-    members = members.join(texts.select("_id", "_sig"), "_id")
+    return twos, written(members.select("_id", "_band", "_size"), "near-dedup-members")
+
+
+def signature_rows(rows: list[dict]) -> np.ndarray:
+    return np.stack([np.frombuffer(r["_sig"], "<u2") for r in rows])
+
+
+def pair_batch(pairs: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([None if p[k] is None else int(p[k]) for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def candidate_pairs(twos: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b`` (a < b): the first candidates among texts that meet in a band, in proportion to members."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = members.repartition(parts, "_band", "_block").sortWithinPartitions("_band", "_block", "_id")
+    placed = in_blocks(members, texts).select("_id", "_band", "_block", "_sig")
+    ordered = placed.repartition(parts, "_band", "_block").sortWithinPartitions("_band", "_block", "_id")
 
     def run(it):
         for rows in groups_in_order(it, ["_band", "_block"]):
             if len(rows) > 1:
-                ids = np.array([r["_id"] for r in rows])
-                sigs = np.stack([np.frombuffer(r["_sig"], "<u2") for r in rows])
-                pairs = list(forest_pairs(ids, sigs, CUT))
-                yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                yield pair_batch(list(forest_pairs(np.array([r["_id"] for r in rows]), signature_rows(rows), CUT)))
 
     return twos.unionByName(ordered.mapInArrow(run, "a long, b long")).distinct()
 
 
+def labelled(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with the ``_class`` that their ``_id`` is in: its own if it is alone."""
+    return rows.join(classes, "_id", "left").withColumn("_class", F.coalesce("class_id", "_id")).drop("class_id")
+
+
+def mixed_buckets(members: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``_band, _major`` of the buckets with several classes (``_major``: the class of most members), and their members."""
+    each = labelled(members, classes).groupBy("_band", "_class").agg(F.count(F.lit(1)).alias("_n"))
+    buckets = each.groupBy("_band").agg(F.count(F.lit(1)).alias("_kinds"), F.max(F.struct("_n", "_class")).alias("_most"))
+    buckets = written(buckets.filter("_kinds > 1").select("_band", F.col("_most._class").alias("_major")), "near-dedup-mixed")
+    return buckets, written(salted_join(members, buckets.select("_band"), "_band", "_id"), "near-dedup-open")
+
+
+def partners(minor: list[dict], rows: list[dict], low: int, high: int) -> list[tuple]:
+    """Pairs of each of ``minor`` with those of ``rows`` that are its ``low``-th to ``high``-th most similar, in another
+    class and not ruled out by the estimate; also (None, None) if such pairs come after ``high``.
+
+    The order depends on signatures and ids alone, so windows that follow each other leave nothing out.
+    """
+    ids, of, sigs = np.array([r["_id"] for r in rows]), np.array([r["_class"] for r in rows]), signature_rows(rows)
+    out, more = set(), False
+    for r in minor:
+        alike = (sigs == np.frombuffer(r["_sig"], "<u2")).mean(axis=1)
+        near = np.flatnonzero((alike >= CUT) & (ids != r["_id"]))
+        if not (of[near] != r["_class"]).any():
+            continue
+        near = near[np.lexsort((ids[near], -alike[near]))]
+        near = np.where(of[near] != r["_class"], near, -1)
+        more |= bool((near[high:] >= 0).any())
+        out.update((min(r["_id"], j), max(r["_id"], j)) for j in ids[near[low:high][near[low:high] >= 0]].tolist())
+    return [*out, (None, None)] if more else list(out)
+
+
+def rest_pairs(buckets: DataFrame, members: DataFrame, texts: DataFrame, classes: DataFrame, low: int, high: int) -> DataFrame:
+    """``a, b`` of texts that meet in a block and are in different classes now, by ``partners``.
+
+    A text outside its bucket's major class meets all others.  Two texts of different classes have one such text; as
+    the bucket's major class only grows, that text has been one in all rounds before.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    major = labelled(buckets.select("_band", F.col("_major").alias("_id")), classes).select("_band", F.col("_class").alias("_main"))
+    rows = salted_join(labelled(members, classes), major, "_band", "_id")
+    rows = in_blocks(rows, texts).select("_id", "_band", "_block", "_class", (F.col("_class") != F.col("_main")).alias("_minor"), "_sig")
+    ordered = rows.repartition(parts, "_band", "_block").sortWithinPartitions("_band", "_block", "_id")
+
+    def run(it):
+        for rows in groups_in_order(it, ["_band", "_block"]):
+            yield pair_batch(partners([r for r in rows if r["_minor"]], rows, low, high))
+
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def linked_classes(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """``_id, class_id`` of the texts that are linked to others; rounds go on until no pair of different classes is left."""
+    twos, members = bucket_members(texts)
+    tried = written(likely(candidate_pairs(twos, members, texts), texts), "near-dedup-pairs")
+    classes = components(verified(tried, docs))
+    buckets, members = mixed_buckets(members, classes)
+    low, high = 0, SPAN
+    while True:
+        found = written(rest_pairs(buckets, members, texts, classes, low, high), "near-dedup-rest")
+        fresh = written(found.filter("a IS NOT NULL").join(tried, ["a", "b"], "left_anti"), "near-dedup-pairs")
+        if not fresh.isEmpty():
+            before = classes.select(F.col("_id").alias("a"), F.col("class_id").alias("b"))
+            classes = components(before.unionByName(verified(fresh, docs).select("a", "b")))
+            tried = tried.unionByName(fresh)
+        if found.filter("a IS NULL").isEmpty():
+            return classes
+        low, high = high, high * WIDEN
+
+
 def likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs whose signatures agree in the share that verified pairs reach (five standard errors of leeway)."""
     sig = lambda end: texts.select(F.col("_id").alias(end), F.col("_sig").alias(f"_{end}"))
@@ -334,7 +423,6 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """``a, b, similarity`` of the pairs that reach the similarity, from the full multisets of ``docs`` (``_id, _text``)."""
-    pairs = written(pairs, "near-dedup-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
     filter_of = docs.sparkSession.sparkContext.broadcast(id_filter(needed))
 
@@ -390,11 +478,10 @@ def fingerprint(edges: DataFrame) -> tuple:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id_col, class_id, n_links, n_equal``.
+    """One row per document: ``id_col, class_id, n_equal``.
 
-    ``class_id`` is the smallest id of the document's class (its own if it is alone), ``n_links`` the verified
-    links of its text to other texts that were found, ``n_equal`` the documents with the same words in the same
-    order.  Texts without a word (null, empty, white space) are equal to each other.  Ids are whole numbers; rows
+    ``class_id`` is the smallest id of the document's class (its own if it is alone), ``n_equal`` the documents
+    with the same words in the same order.  Texts without a word (null, empty, white space) are equal to each other.  Ids are whole numbers; rows
     without an id get null classes; repeated rows give repeated rows; an empty table gives no rows; other columns
     are not read.
     """
@@ -405,14 +492,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = parts.groupBy("_key").agg(F.min("_first").alias("_first"), F.sum("_count").alias("n_equal"))
     firsts = groups.filter("_first IS NOT NULL").select("_key", F.col("_first").alias("_id"))
     texts = written(made.join(firsts, ["_key", "_id"], "left_semi").filter("_n > 0").dropDuplicates(["_id"]).select("_id", "_bands", "_sig"), "near-dedup-texts")
-    links = written(verified(likely(candidate_pairs(texts), texts), docs.filter("_id IS NOT NULL")), "near-dedup-verified")
-    classes = components(links)
-    degrees = links.select(F.explode(F.array("a", "b")).alias("_first")).groupBy("_first").agg(F.count(F.lit(1)).alias("n_links"))
-    answer = groups.join(classes.withColumnRenamed("_id", "_first"), "_first", "left").join(degrees, "_first", "left")
-    answer = answer.select("_key", F.coalesce("class_id", "_first").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_equal")
+    classes = linked_classes(texts, docs.filter("_id IS NOT NULL"))
+    answer = groups.join(classes.withColumnRenamed("_id", "_first"), "_first", "left")
+    answer = answer.select("_key", F.coalesce("class_id", "_first").alias("class_id"), "n_equal")
     answer = parts.select("_key", "_salt").join(answer, "_key")
     out = keyed.join(answer, ["_key", "_salt"])
-    return out.select(F.col("_id").alias(id_col), F.when(F.col("_id").isNotNull(), F.col("class_id")).alias("class_id"), "n_links", "n_equal")
+    return out.select(F.col("_id").alias(id_col), F.when(F.col("_id").isNotNull(), F.col("class_id")).alias("class_id"), "n_equal")
 
 
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -112,6 +112,19 @@ def test_classes_equal_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept) == sorted(set(want))
 
 
+def family(rng, size):
+    """Texts around a similarity of 0.75 to each other; few pairs of them reach 0.8."""
+    base = words(rng, 350)
+    return [" ".join(edited(rng, base, 5)) for _ in range(size)]
+
+
+def test_links_among_many_near_misses_are_found(spark):
+    texts = family(random.Random(21), 120)
+    want = classes_by_brute_force(texts)
+    assert 10 < len(set(want)) < 110
+    assert {r.doc_id: r.class_id for r in nd.near_duplicates(docs(spark, texts)).collect()} == dict(enumerate(want))
+
+
 def test_edges_of_the_contract(spark):
     d = docs(spark, ["a b c d e f", "A b c  d e f", None, "", "x"], [3, 3, None, 8, 9])
     rows = sorted((r.doc_id or -1, r.class_id or -1, r.n_equal) for r in nd.near_duplicates(d).collect())
