@@ -13,9 +13,9 @@ Documents with the same word sequence are one text from the start.  Texts that a
 bucket of two that is the candidate, in larger ones (dealt into blocks) each text first gives its two most similar
 partners and the edges of a spanning forest over estimated similarity, so these candidates grow in proportion to
 members.  Candidates are verified on the full multisets, and linked texts form classes by connected components.
-Then texts of one block that are in different classes give all pairs that the estimate doesn't rule out, the most
-similar first, until none is left: only pairs inside a class are spared.
-No step gathers a bucket, group or class whole in one task beyond one block.
+Then all texts of a bucket that are in different classes are compared by their full multisets: each block of the
+texts outside the bucket's major class meets each block of the bucket in a task of its own, which returns links only.
+No step gathers a bucket, group or class whole in one task beyond two blocks.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ CUT = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / COMPONENTS) ** 0.5  # fi
 BLOCK = 1024  # texts compared with each other in one task
 SALTS = 16
 PARTNERS = 2
-SPAN, WIDEN = 8, 8  # partners of other classes that a text gives in the first round after that, and the growth per round
+BLOCK_WORDS = 1 << 19  # words of the texts whose multisets are held in one block
 SLOTS = 1 << 25  # bits of the filter that picks the texts to verify
 
 U = np.uint64
@@ -285,41 +285,31 @@ def groups_in_order(it: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[l
         yield rows
 
 
-def in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """``members`` (``_id, _band, _size``) with ``_block`` and ``_sig``: a bucket's texts are dealt into blocks."""
-    blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
-    dealt = members.withColumn("_block", F.pmod(F.xxhash64("_id", "_band"), blocks).cast("int"))
-    return dealt.join(texts.select("_id", "_sig"), "_id")
-
-
 def bucket_members(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pairs ``a, b`` of buckets of two, and ``_id, _band, _size`` of larger ones; ``texts`` has ``_id, _bands``."""
-    bands = texts.select("_id", F.explode("_bands").alias("_band"))
+    """The pairs ``a, b`` of buckets of two, and ``_id, _n, _band, _size`` of larger ones; ``texts`` has ``_id, _n, _bands``."""
+    bands = texts.select("_id", "_n", F.explode("_bands").alias("_band"))
     groups = bands.groupBy("_band").agg(F.count(F.lit(1)).alias("_size"), F.min("_id").alias("a"), F.max("_id").alias("b"))
     groups = written(groups.filter("_size > 1"), "near-dedup-buckets")
     twos = groups.filter("_size = 2").select("a", "b").distinct()
     members = salted_join(bands, groups.filter("_size > 2").select("_band", "_size"), "_band", "_id")
-    return twos, written(members.select("_id", "_band", "_size"), "near-dedup-members")
-
-
-def signature_rows(rows: list[dict]) -> np.ndarray:
-    return np.stack([np.frombuffer(r["_sig"], "<u2") for r in rows])
+    return twos, written(members.select("_id", "_n", "_band", "_size"), "near-dedup-members")
 
 
-def pair_batch(pairs: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([None if p[k] is None else int(p[k]) for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+def pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def candidate_pairs(twos: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b`` (a < b): the first candidates among texts that meet in a band, in proportion to members."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = in_blocks(members, texts).select("_id", "_band", "_block", "_sig")
+    blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
+    placed = members.select("_id", "_band", F.pmod(F.xxhash64("_id", "_band"), blocks).cast("int").alias("_block")).join(texts.select("_id", "_sig"), "_id")
     ordered = placed.repartition(parts, "_band", "_block").sortWithinPartitions("_band", "_block", "_id")
 
     def run(it):
         for rows in groups_in_order(it, ["_band", "_block"]):
             if len(rows) > 1:
-                yield pair_batch(list(forest_pairs(np.array([r["_id"] for r in rows]), signature_rows(rows), CUT)))
+                yield pair_batch(list(forest_pairs(np.array([r["_id"] for r in rows]), np.stack([np.frombuffer(r["_sig"], "<u2") for r in rows]), CUT)))
 
     return twos.unionByName(ordered.mapInArrow(run, "a long, b long")).distinct()
 
@@ -329,70 +319,81 @@ def labelled(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(classes, "_id", "left").withColumn("_class", F.coalesce("class_id", "_id")).drop("class_id")
 
 
-def mixed_buckets(members: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``_band, _major`` of the buckets with several classes (``_major``: the class of most members), and their members."""
-    each = labelled(members, classes).groupBy("_band", "_class").agg(F.count(F.lit(1)).alias("_n"))
-    buckets = each.groupBy("_band").agg(F.count(F.lit(1)).alias("_kinds"), F.max(F.struct("_n", "_class")).alias("_most"))
-    buckets = written(buckets.filter("_kinds > 1").select("_band", F.col("_most._class").alias("_major")), "near-dedup-mixed")
-    return buckets, written(salted_join(members, buckets.select("_band"), "_band", "_id"), "near-dedup-open")
-
+def mixed_members(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of the buckets with several classes: ``_id, _band, _class, _minor, _lines, _blocks``.
 
-def partners(minor: list[dict], rows: list[dict], low: int, high: int) -> list[tuple]:
-    """Pairs of each of ``minor`` with those of ``rows`` that are its ``low``-th to ``high``-th most similar, in another
-    class and not ruled out by the estimate; also (None, None) if such pairs come after ``high``.
-
-    The order depends on signatures and ids alone, so windows that follow each other leave nothing out.
+    ``_minor``: not in the class of most members; ``_lines, _blocks``: into how many blocks those, and all, are dealt.
     """
-    ids, of, sigs = np.array([r["_id"] for r in rows]), np.array([r["_class"] for r in rows]), signature_rows(rows)
-    out, more = set(), False
+    rows = labelled(members, classes)
+    each = rows.groupBy("_band", "_class").agg(F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_w"))
+    buckets = each.groupBy("_band").agg(F.sum("_k").alias("_k"), F.sum("_w").alias("_w"), F.max(F.struct("_k", "_w", "_class")).alias("_most"))
+    blocks = lambda k, w: F.ceil(F.greatest(k / BLOCK, w / BLOCK_WORDS)).cast("int")
+    k, w = F.col("_k"), F.col("_w")
+    buckets = buckets.filter("_k > _most._k").select(
+        "_band", F.col("_most._class").alias("_main"), blocks(k - F.col("_most._k"), w - F.col("_most._w")).alias("_lines"), blocks(k, w).alias("_blocks")
+    )
+    met = salted_join(rows, written(buckets, "near-dedup-mixed"), "_band", "_id")
+    return written(met.select("_id", "_band", "_class", (F.col("_class") != F.col("_main")).alias("_minor"), "_lines", "_blocks"), "near-dedup-open")
+
+
+def block_links(minor: list[dict], others: list[dict], band: int) -> set[tuple[int, int]]:
+    """Links of each of ``minor`` to ``others``, one for each other class.  Pairs that share an earlier band meet there."""
+    ids, of, bands = (np.array([r[c] for r in others]) for c in ("_id", "_class", "_bands"))
+    owner = np.repeat(np.arange(len(others)), [len(r["_items"]) // 8 for r in others])
+    items = np.frombuffer(b"".join(r["_items"] for r in others), np.uint64)
+    counts = np.frombuffer(b"".join(r["_counts"] for r in others), "<u4").astype(np.int64)
+    totals = np.bincount(owner, counts, len(others))
+    kinds, at = np.unique(items, return_inverse=True)
+    out = set()
     for r in minor:
-        alike = (sigs == np.frombuffer(r["_sig"], "<u2")).mean(axis=1)
-        near = np.flatnonzero((alike >= CUT) & (ids != r["_id"]))
-        if not (of[near] != r["_class"]).any():
+        mine = np.array(r["_bands"])
+        nth = int(np.flatnonzero(mine == band)[0])
+        wanted = (of != r["_class"]) & ~(bands[:, :nth] == mine[:nth]).any(axis=1)
+        if not wanted.any():
             continue
-        near = near[np.lexsort((ids[near], -alike[near]))]
-        near = np.where(of[near] != r["_class"], near, -1)
-        more |= bool((near[high:] >= 0).any())
-        out.update((min(r["_id"], j), max(r["_id"], j)) for j in ids[near[low:high][near[low:high] >= 0]].tolist())
-    return [*out, (None, None)] if more else list(out)
+        x, n = np.frombuffer(r["_items"], np.uint64), np.frombuffer(r["_counts"], "<u4").astype(np.int64)
+        place = np.minimum(np.searchsorted(kinds, x), len(kinds) - 1)
+        hit = kinds[place] == x
+        own = np.zeros(len(kinds), np.int64)
+        own[place[hit]] = n[hit]
+        low = np.bincount(owner, np.minimum(own[at], counts), len(others))
+        linked = np.flatnonzero(wanted & (low / (totals + n.sum() - low) >= SIMILARITY))
+        _, first = np.unique(of[linked], return_index=True)
+        out.update((min(r["_id"], j), max(r["_id"], j)) for j in ids[linked[first]].tolist())
+    return out
 
 
-def rest_pairs(buckets: DataFrame, members: DataFrame, texts: DataFrame, classes: DataFrame, low: int, high: int) -> DataFrame:
-    """``a, b`` of texts that meet in a block and are in different classes now, by ``partners``.
+def rest_links(members: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """``a, b``: links between the classes of every bucket, from the full multisets; ``members`` by ``mixed_members``.
 
-    A text outside its bucket's major class meets all others.  Two texts of different classes have one such text; as
-    the bucket's major class only grows, that text has been one in all rounds before.
+    Of two texts in different classes one at least is outside the bucket's major class; these meet all others.
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    major = labelled(buckets.select("_band", F.col("_major").alias("_id")), classes).select("_band", F.col("_class").alias("_main"))
-    rows = salted_join(labelled(members, classes), major, "_band", "_id")
-    rows = in_blocks(rows, texts).select("_id", "_band", "_block", "_class", (F.col("_class") != F.col("_main")).alias("_minor"), "_sig")
-    ordered = rows.repartition(parts, "_band", "_block").sortWithinPartitions("_band", "_block", "_id")
+    rows = members.join(texts.select("_id", "_bands"), "_id").join(bags_of(members.select("_id").distinct(), docs), "_id")
+    deal = lambda n, *seed: F.pmod(F.xxhash64("_id", "_band", *seed), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = ["_id", "_band", "_class", "_bands", "_items", "_counts"]
+    whole = rows.select(*own, each("_lines").alias("_line"), deal("_blocks").alias("_block"), F.lit(False).alias("_minor"))
+    minor = rows.filter("_minor").select(*own, deal("_lines", F.lit(1)).alias("_line"), each("_blocks").alias("_block"), F.lit(True).alias("_minor"))
+    place = ["_band", "_line", "_block"]
+    ordered = whole.unionByName(minor).repartition(parts, *place).sortWithinPartitions(*place, "_minor", "_id")
 
     def run(it):
-        for rows in groups_in_order(it, ["_band", "_block"]):
-            yield pair_batch(partners([r for r in rows if r["_minor"]], rows, low, high))
+        for rows in groups_in_order(it, place):
+            others = [r for r in rows if not r["_minor"]]
+            if 0 < len(others) < len(rows):
+                yield pair_batch(list(block_links(rows[len(others) :], others, rows[0]["_band"])))
 
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 def linked_classes(texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """``_id, class_id`` of the texts that are linked to others; rounds go on until no pair of different classes is left."""
+    """``_id, class_id`` of the texts that are linked to others."""
     twos, members = bucket_members(texts)
-    tried = written(likely(candidate_pairs(twos, members, texts), texts), "near-dedup-pairs")
-    classes = components(verified(tried, docs))
-    buckets, members = mixed_buckets(members, classes)
-    low, high = 0, SPAN
-    while True:
-        found = written(rest_pairs(buckets, members, texts, classes, low, high), "near-dedup-rest")
-        fresh = written(found.filter("a IS NOT NULL").join(tried, ["a", "b"], "left_anti"), "near-dedup-pairs")
-        if not fresh.isEmpty():
-            before = classes.select(F.col("_id").alias("a"), F.col("class_id").alias("b"))
-            classes = components(before.unionByName(verified(fresh, docs).select("a", "b")))
-            tried = tried.unionByName(fresh)
-        if found.filter("a IS NULL").isEmpty():
-            return classes
-        low, high = high, high * WIDEN
+    pairs = written(likely(candidate_pairs(twos, members, texts), texts), "near-dedup-pairs")
+    classes = components(verified(pairs, docs))
+    rest = written(rest_links(mixed_members(members, classes), texts, docs), "near-dedup-rest")
+    return components(classes.select(F.col("_id").alias("a"), F.col("class_id").alias("b")).unionByName(rest))
 
 
 def likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -421,9 +422,8 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """``a, b, similarity`` of the pairs that reach the similarity, from the full multisets of ``docs`` (``_id, _text``)."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+def bags_of(needed: DataFrame, docs: DataFrame) -> DataFrame:
+    """``_id, _items, _counts``: the full multisets of the texts of ``docs`` (``_id, _text``) with an id of ``needed``."""
     filter_of = docs.sparkSession.sparkContext.broadcast(id_filter(needed))
 
     def bags(it):
@@ -437,7 +437,12 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     slotted = docs.select("_id", "_text", F.pmod(F.xxhash64("_id"), F.lit(SLOTS)).alias("_slot"))
     made = slotted.mapInArrow(bags, "_id long, _items binary, _counts binary").join(needed, "_id", "left_semi")
-    made = written(made.dropDuplicates(["_id"]), "near-dedup-bags")
+    return written(made.dropDuplicates(["_id"]), "near-dedup-bags")
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """``a, b, similarity`` of the pairs that reach the similarity, from the full multisets of ``docs`` (``_id, _text``)."""
+    made = bags_of(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), docs)
     bag = lambda end: made.select(F.col("_id").alias(end), F.struct("_items", "_counts").alias(f"_{end}"))
 
     def run(it):
@@ -491,7 +496,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = keyed.groupBy("_key", "_salt").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_count"))
     groups = parts.groupBy("_key").agg(F.min("_first").alias("_first"), F.sum("_count").alias("n_equal"))
     firsts = groups.filter("_first IS NOT NULL").select("_key", F.col("_first").alias("_id"))
-    texts = written(made.join(firsts, ["_key", "_id"], "left_semi").filter("_n > 0").dropDuplicates(["_id"]).select("_id", "_bands", "_sig"), "near-dedup-texts")
+    texts = written(made.join(firsts, ["_key", "_id"], "left_semi").filter("_n > 0").dropDuplicates(["_id"]).select("_id", "_n", "_bands", "_sig"), "near-dedup-texts")
     classes = linked_classes(texts, docs.filter("_id IS NOT NULL"))
     answer = groups.join(classes.withColumnRenamed("_id", "_first"), "_first", "left")
     answer = answer.select("_key", F.coalesce("class_id", "_first").alias("class_id"), "n_equal")

@@ -125,6 +125,14 @@ def test_links_among_many_near_misses_are_found(spark):
     assert {r.doc_id: r.class_id for r in nd.near_duplicates(docs(spark, texts)).collect()} == dict(enumerate(want))
 
 
+def test_links_across_blocks_are_found(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 8)
+    texts = family(random.Random(22), 120)
+    want = classes_by_brute_force(texts)
+    assert 10 < len(set(want)) < 110
+    assert {r.doc_id: r.class_id for r in nd.near_duplicates(docs(spark, texts)).collect()} == dict(enumerate(want))
+
+
 def test_edges_of_the_contract(spark):
     d = docs(spark, ["a b c d e f", "A b c  d e f", None, "", "x"], [3, 3, None, 8, 9])
     rows = sorted((r.doc_id or -1, r.class_id or -1, r.n_equal) for r in nd.near_duplicates(d).collect())
