@@ -8,7 +8,8 @@ Attention model: one causal self-attention layer over subword ids, in numpy.  It
 id's class, starting from how often each class follows the last id; within its class the id has its share of the
 counts after the last id, smoothed by its share of the class.  Id counts cover all training documents.  Pair
 counts come from a fixed share of them, the layer is trained on another, so both grow with the corpus: tasks train
-on their own windows and their parameters are averaged.  Texts are scored in overlapping windows, many at once under a causal mask; a window's first ids are
+on their own windows and their parameters are averaged.  Classes and class counts are made from all pairs; pairs above one part
+in ``PAIRS`` are sent to the tasks, all others meet the texts' pairs in a shuffle join.  Texts are scored in overlapping windows, many at once under a causal mask; a window's first ids are
 context only, so each id is scored exactly once.
 """
 
@@ -30,7 +31,7 @@ HOT = 1_000_000
 WINDOW, CONTEXT, WIDTH, CLASSES = 32, 8, 16, 32
 BUCKETS = 4096  # rows of the input embedding; ids share them by a hash
 PROFILE = 16  # hashed neighbours that classes are found from
-PAIR_SHARE, PAIRS = 4, 1 << 20  # one training document in so many counts pairs; pairs above one part in PAIRS are kept
+PAIR_SHARE, PAIRS = 4, 1 << 20  # one training document in so many counts pairs; pairs above one part in PAIRS are sent to the tasks
 PAIR_SMOOTHING, CLASS_SMOOTHING = 5.0, 5.0
 ROUNDS, TRAIN_SHARE = 3, 16  # averaging rounds; one training document in so many trains in a round
 BATCH, RATE = 256, 1e-2
@@ -427,14 +428,52 @@ def pair_counts(train: DataFrame, size: int, dtype: np.dtype) -> DataFrame:
     return some.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
 
 
-def classes_of(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """Classes of ids with alike neighbours: k-means over the vocabulary; ids without any go to the last class."""
+def profile_of(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """How often each id has each hashed neighbour before it, then the same for neighbours after it, as one row of numbers."""
     last, following = keys // size, keys % size
     inner = last < size
-    profile = np.concatenate([
-        np.bincount(following[inner] * PROFILE + bucket_of(last[inner]) % PROFILE, counts[inner], size * PROFILE).reshape(size, PROFILE),
-        np.bincount(last[inner] * PROFILE + bucket_of(following[inner]) % PROFILE, counts[inner], size * PROFILE).reshape(size, PROFILE),
-    ], axis=1)
+    return np.concatenate([
+        np.bincount(following[inner] * PROFILE + bucket_of(last[inner]) % PROFILE, counts[inner], size * PROFILE),
+        np.bincount(last[inner] * PROFILE + bucket_of(following[inner]) % PROFILE, counts[inner], size * PROFILE),
+    ])
+
+
+def after_of(keys: np.ndarray, counts: np.ndarray, class_of: np.ndarray) -> np.ndarray:
+    """How often each class follows each id (or the beginning), as one row of numbers."""
+    size = len(class_of)
+    return np.bincount(keys // size * CLASSES + class_of[keys % size], counts, (size + 1) * CLASSES)
+
+
+def summed_over(pairs: DataFrame, what: str, width: int, of) -> np.ndarray:
+    """Sum of ``of(keys, counts)`` over the whole pair table; its width is bounded by the vocabulary."""
+
+    def run(it):
+        out = np.zeros(width)
+        for b in it:
+            if b.num_rows:
+                out += of(b.column("at").to_numpy(), b.column("n").to_numpy().astype(float))
+        yield from counted_rows({what: out.astype(np.int64)})
+
+    # every batch costs one pass over the whole array, so batches are made long
+    return gathered(pairs.select("at", "n").mapInArrow(lambda it: run(long_batches(it)), "what string, at long, n long"), {what: width})[what]
+
+
+def long_batches(it, rows: int = 1 << 19):
+    """Batches of about ``rows`` rows."""
+    held, count = [], 0
+    for b in it:
+        held.append(b)
+        count += b.num_rows
+        if count >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, count = [], 0
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def classes_of(profile: np.ndarray, size: int) -> np.ndarray:
+    """Classes of ids with alike neighbours: k-means over the vocabulary; ids without any go to the last class."""
+    profile = np.concatenate(profile.reshape(2, size, PROFILE), axis=1)
     mass = profile.sum(axis=1)
     used = np.flatnonzero(mass > 0)
     out = np.full(size, CLASSES - 1)
@@ -454,28 +493,31 @@ def classes_of(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def from_counts(ids: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Attention:
-    """The model before training, from id counts and the kept pair counts."""
+def from_counts(ids: np.ndarray, keys: np.ndarray, counts: np.ndarray, class_of: np.ndarray | None = None, after: np.ndarray | None = None) -> Attention:
+    """The model before training, from id counts and pair counts; ``class_of`` and ``after`` if those are of some pairs only."""
     size = len(ids)
-    class_of = classes_of(keys, counts, size)
+    if class_of is None:
+        class_of = classes_of(profile_of(keys, counts, size), size)
     smooth = ids + 0.05
     mass = np.bincount(class_of, smooth, CLASSES)
-    after = np.bincount(keys // size * CLASSES + class_of[keys % size], counts, (size + 1) * CLASSES).reshape(size + 1, CLASSES)
+    after = (after_of(keys, counts, class_of) if after is None else after).reshape(size + 1, CLASSES)
     overall = (mass + 1e-6) / (mass + 1e-6).sum()
     log_after = np.log((after + CLASS_SMOOTHING * overall) / (after.sum(axis=1, keepdims=True) + CLASS_SMOOTHING))
     return Attention(class_of, (smooth / mass[class_of]).astype(np.float32), after.astype(np.float32), log_after.astype(np.float32),
                      PairTable(keys, counts), first_parameters())
 
 
-def fit(train: DataFrame, vocabulary: int, dtype: np.dtype) -> Attention:
-    """Fit the attention model on ``_id, _ids`` rows."""
+def fit(train: DataFrame, vocabulary: int, dtype: np.dtype) -> tuple[Attention, DataFrame]:
+    """Fit the attention model on ``_id, _ids`` rows; also ``at, n`` of the pairs that it doesn't hold."""
     spark = train.sparkSession
     size = vocabulary + 1
     ids = id_counts(train, size, dtype)
     pairs = written(pair_counts(train, size, dtype), "lm-pairs")
     total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    class_of = classes_of(summed_over(pairs, "profile", 2 * size * PROFILE, lambda at, n: profile_of(at, n, size)), size)
+    after = summed_over(pairs, "after", (size + 1) * CLASSES, lambda at, n: after_of(at, n, class_of))
     table = pairs.filter(F.col("n") > total // PAIRS).orderBy("at").toPandas()  # fewer than PAIRS by its condition
-    model = from_counts(ids, table["at"].to_numpy(np.int64), table["n"].to_numpy(float))
+    model = from_counts(ids, table["at"].to_numpy(np.int64), table["n"].to_numpy(float), class_of, after)
     edges = np.cumsum([0, *(int(np.prod(s)) for s in SHAPES.values())])
 
     def run(it, shared):
@@ -494,7 +536,33 @@ def fit(train: DataFrame, vocabulary: int, dtype: np.dtype) -> Attention:
         if len(table):
             flat = table["value"].to_numpy(np.float32)
             model = replace(model, parameters={k: flat[a:b].reshape(s) for (k, s), a, b in zip(SHAPES.items(), edges, edges[1:])})
-    return model
+    return model, pairs.filter(F.col("n") <= total // PAIRS)
+
+
+def rare_gains(rare: DataFrame, share: np.ndarray) -> DataFrame:
+    """``at, gain``: log10 that the count of a pair adds to the score of a text each time it has the pair."""
+    shared = rare.sparkSession.sparkContext.broadcast(share)
+
+    def run(it):
+        for b in it:
+            at = b.column("at").to_numpy()
+            gain = np.log10(1 + b.column("n").to_numpy() / (PAIR_SMOOTHING * shared.value[at % len(shared.value)].astype(float)))
+            yield to_batch({"at": at, "gain": gain}, {"at": pa.int64(), "gain": pa.float64()})
+
+    return rare.select("at", "n").mapInArrow(run, "at long, gain double")
+
+
+def rare_pairs_of(model: Attention, streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stream, key and times of the pairs of each stream that the model doesn't hold."""
+    size = model.end + 1
+    row, key, times = [], [], []
+    for i, s in enumerate(streams):
+        at, n = np.unique(np.append(size, s) * size + np.append(s, model.end), return_counts=True)
+        rare = model.pairs.get(at) == 0
+        row.append(np.full(int(rare.sum()), i))
+        key.append(at[rare])
+        times.append(n[rare])
+    return np.concatenate(row), np.concatenate(key), np.concatenate(times)
 
 
 def score_texts(df: DataFrame, held_out, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -513,16 +581,26 @@ def score_texts(df: DataFrame, held_out, vocab_path: str, id_col: str = "doc_id"
     ids = written(encoded(docs, vocab_path), "lm-ids")
     source = loaded(vocab_path)
     vocabulary, dtype = source.tokenizer.get_vocab_size(with_added_tokens=True), source.dtype
-    model = docs.sparkSession.sparkContext.broadcast(fit(ids.filter(~F.col("_held")), vocabulary, dtype))
+    fitted, rare = fit(ids.filter(~F.col("_held")), vocabulary, dtype)
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def run(it):
         for b in it:
             if b.num_rows:
-                scores = log_probabilities(model.value, streams_in(b, dtype))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_id", "_key", "_held")), pa.array(scores)], names=["_id", "_key", "_held", "score"])
-
-    schema = ids.select("_id", "_key", "_held").schema.simpleString()[7:-1] + ",score:double"
-    scored = ids.mapInArrow(run, schema).groupBy("_id", "_key").agg(F.first("_held").alias("held_out"), F.first("score").alias("score"))
+                streams = streams_in(b, dtype)
+                row, key, times = rare_pairs_of(model.value, streams)
+                # the text's own row first, at a key that no pair has, then its rare pairs
+                own = np.arange(len(streams))
+                at = np.concatenate([-1 - b.column("_key").to_numpy().astype(np.int64), key])
+                n, s = np.concatenate([0 * own, times]), np.concatenate([log_probabilities(model.value, streams), np.zeros(len(row))])
+                rows = pa.array(np.concatenate([own, row]))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in ("_id", "_key", "_held")), pa.array(at), pa.array(n), pa.array(s)],
+                                                 names=["_id", "_key", "_held", "at", "n", "s"])
+
+    schema = ids.select("_id", "_key", "_held").schema.simpleString()[7:-1] + ",at:long,n:long,s:double"
+    met = ids.mapInArrow(run, schema).join(rare_gains(rare, fitted.share), "at", "left")
+    summed = F.sum(F.col("s") + F.col("n") * F.coalesce("gain", F.lit(0.0)))
+    scored = met.groupBy("_id", "_key").agg(F.first("_held").alias("held_out"), (summed / F.count_if(F.col("n") == 0)).alias("score"))
     same = scored["_id"].eqNullSafe(base["_id"]) & (scored["_key"] == base["_key"])
     out = scored.join(base, same)
     return out.select(scored["_id"].alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

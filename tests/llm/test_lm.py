@@ -74,6 +74,21 @@ def test_pair_table_finds_all_keys():
     assert lm.PairTable(keys[:0], np.zeros(0)).get(keys).sum() == 0
 
 
+def test_rare_pairs_count_as_much_as_held_ones(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["red", "blue", "cat", "dog", "runs", "sits"], 30)) + f" only{i % 9}" for i in range(60)]
+    held = F.col("doc_id") % 10 == 0
+
+    def scores():
+        return {r.doc_id: r.score for r in lm.score_texts(docs(spark, texts), held, queries.WORD_VOCAB).collect()}
+
+    whole = scores()
+    for pairs in (100, 1):  # the first holds few pairs in the tasks, the other none
+        monkeypatch.setattr(lm, "PAIRS", pairs)
+        some = scores()
+        assert some.keys() == whole.keys() and all(math.isclose(some[i], whole[i], rel_tol=1e-4) for i in whole)
+
+
 def test_windows_count_each_id_once_and_batches_agree():
     m = model()
     rng = np.random.default_rng(4)
