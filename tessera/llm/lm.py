@@ -6,9 +6,9 @@ others meet their counts in a shuffle join.
 
 Attention model: one causal self-attention layer over subword ids, in numpy.  It gives the distribution of the next
 id's class, starting from how often each class follows the last id; within its class the id has its share of the
-counts after the last id, smoothed by its share of the class.  Id counts cover all training documents.  Pair
-counts come from a fixed share of them, the layer is trained on another, so both grow with the corpus: tasks train
-on their own windows and their parameters are averaged.  Classes and class counts are made from all pairs; pairs above one part
+counts after the last id, smoothed by its share of the class.  Id and pair
+counts cover all training documents, and the averaging rounds together train the layer once on each of them: tasks
+train on their own windows and their parameters are averaged.  Classes and class counts are made from all pairs; pairs above one part
 in ``PAIRS`` are sent to the tasks, all others meet the texts' pairs in a shuffle join.  Texts are scored in overlapping windows, many at once under a causal mask; a window's first ids are
 context only, so each id is scored exactly once.
 """
@@ -19,7 +19,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, small_batches, text_of, to_batch, written
@@ -31,9 +31,9 @@ HOT = 1_000_000
 WINDOW, CONTEXT, WIDTH, CLASSES = 32, 8, 16, 32
 BUCKETS = 4096  # rows of the input embedding; ids share them by a hash
 PROFILE = 16  # hashed neighbours that classes are found from
-PAIR_SHARE, PAIRS = 4, 1 << 20  # one training document in so many counts pairs; pairs above one part in PAIRS are sent to the tasks
+PAIRS = 1 << 20  # pairs above one part in PAIRS are sent to the tasks
 PAIR_SMOOTHING, CLASS_SMOOTHING = 5.0, 5.0
-ROUNDS, TRAIN_SHARE = 3, 16  # averaging rounds; one training document in so many trains in a round
+ROUNDS = 3  # averaging rounds; every training document trains in one of them
 BATCH, RATE = 256, 1e-2
 STRIDE = WINDOW - CONTEXT
 
@@ -405,7 +405,7 @@ def id_counts(train: DataFrame, size: int, dtype: np.dtype) -> np.ndarray:
 
 
 def pair_counts(train: DataFrame, size: int, dtype: np.dtype) -> DataFrame:
-    """``at, n``: how often an id follows another (or the beginning) in a fixed share of the training texts."""
+    """``at, n``: how often an id follows another (or the beginning) in all training texts."""
 
     def run(it):
         parts, held = [], 0
@@ -424,8 +424,7 @@ def pair_counts(train: DataFrame, size: int, dtype: np.dtype) -> DataFrame:
             at, n = merged(parts)
             yield to_batch({"at": at, "n": n}, {"at": pa.int64(), "n": pa.int64()})
 
-    some = train.filter(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(PAIR_SHARE)) == 0).select("_ids")
-    return some.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    return train.select("_ids").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
 
 
 def profile_of(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
@@ -507,6 +506,11 @@ def from_counts(ids: np.ndarray, keys: np.ndarray, counts: np.ndarray, class_of:
                      PairTable(keys, counts), first_parameters())
 
 
+def in_round(r: int) -> Column:
+    """Whether a text trains in a round."""
+    return F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(ROUNDS)) == r
+
+
 def fit(train: DataFrame, vocabulary: int, dtype: np.dtype) -> tuple[Attention, DataFrame]:
     """Fit the attention model on ``_id, _ids`` rows; also ``at, n`` of the pairs that it doesn't hold."""
     spark = train.sparkSession
@@ -529,7 +533,7 @@ def fit(train: DataFrame, vocabulary: int, dtype: np.dtype) -> tuple[Attention,
 
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
-        some = train.filter(F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(TRAIN_SHARE)) == r).select("_ids")
+        some = train.filter(in_round(r)).select("_ids")
         rows = some.mapInArrow(lambda it, shared=shared: run(it, shared), "at long, value double, weight long")
         mean = F.sum(F.col("value") * F.col("weight")) / F.sum("weight")
         table = rows.groupBy("at").agg(mean.alias("value")).orderBy("at").toPandas()  # as many as parameters

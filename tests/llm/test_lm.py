@@ -89,6 +89,16 @@ def test_rare_pairs_count_as_much_as_held_ones(spark, monkeypatch):
         assert some.keys() == whole.keys() and all(math.isclose(some[i], whole[i], rel_tol=1e-4) for i in whole)
 
 
+def test_every_training_text_is_counted_and_trained_on_once(spark):
+    texts = [np.array([i, i + 1, 7], "<u2") for i in range(200)]
+    train = spark.createDataFrame([(i, t.tobytes()) for i, t in enumerate(texts)], "_id long, _ids binary")
+    counts = {r.at: r.n for r in lm.pair_counts(train, 301, np.dtype("<u2")).collect()}
+    want = Counter(int(a) * 301 + int(b) for t in texts for a, b in zip([301, *t], [*t, 300]))
+    assert counts == want
+    rounds = [train.filter(lm.in_round(r)).select("_id").collect() for r in range(lm.ROUNDS)]
+    assert sorted(x._id for some in rounds for x in some) == list(range(200)) and all(rounds)
+
+
 def test_windows_count_each_id_once_and_batches_agree():
     m = model()
     rng = np.random.default_rng(4)
