@@ -39,7 +39,7 @@ JWT = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*\.[A-Za-z
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----")
 PEM_END = "-----END "
 RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_RUN = re.compile(r"(?:[0-9a-fA-F]{2}){24,}")
+HEX_RUN = re.compile(r"[0-9a-fA-F]{48,}")
 KEY_START = re.compile(r"M[A-I][A-Za-z0-9+/_-]|b3BlbnNzaC1rZXktdjE")  # a short or long DER sequence; the OpenSSH magic
 MAGIC = b"openssh-key-v1\x00"
 SEQUENCE, INTEGER, OCTETS, OID = 0x30, 0x02, 0x04, 0x06
@@ -167,7 +167,12 @@ def structural_spans(text: str, nested: bool = True) -> list[tuple[int, int, int
     """(start, rank of kind, end) of candidates whose structure holds.  ``nested``: look inside decoded text too."""
     out = []
     if "." in text:
-        out += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
+        for m in JWT.finditer(text):
+            # what follows a token of three parts may read as two more
+            for token in dict.fromkeys((m[0], ".".join(m[0].split(".")[:3]))):
+                if is_signed_token(token):
+                    out.append((m.start(), 3, m.start() + len(token)))
+                    break
     for m in PEM.finditer(text):
         end = text.find(PEM_END, m.end())
         if end >= 0:
@@ -179,7 +184,7 @@ def structural_spans(text: str, nested: bool = True) -> list[tuple[int, int, int
     for m in RUN.finditer(text):
         out += judged(m.start(), m.end(), from_base64(m[0]), nested) or anchored(m.start(), m[0])
     for m in HEX_RUN.finditer(text):
-        out += judged(m.start(), m.end(), bytes.fromhex(m[0]), nested)
+        out += hex_spans(m.start(), m[0], nested)
     return out
 
 
@@ -191,6 +196,16 @@ def anchored(start: int, run: str) -> list[tuple[int, int, int]]:
     return []
 
 
+def hex_spans(start: int, run: str, nested: bool) -> list[tuple[int, int, int]]:
+    """What a hex run holds, read from its first digit or else from its second."""
+    for at in (0, 1):
+        size = (len(run) - at) // 2 * 2
+        found = judged(start + at, start + at + size, bytes.fromhex(run[at : at + size]), nested)
+        if found:
+            return found
+    return []
+
+
 def judged(start: int, end: int, data: bytes | None, nested: bool) -> list[tuple[int, int, int]]:
     if is_key(data):
         return [(start, 4, end)]

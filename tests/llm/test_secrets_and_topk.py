@@ -118,3 +118,13 @@ def test_top_k_brute_force(spark, monkeypatch):
     assert set(got) == set(range(0, 300, 50))
     assert topk.top_k(q.limit(0), F.lit(True)).count() == 0
     assert topk.top_k(q.filter("vec_id = 0"), F.lit(True)).count() == 0
+
+
+def test_tokens_and_hex_keys_with_company():
+    part = lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("=")
+    token = ".".join([part('{"alg":"HS256"}'), part('{"sub":"someone"}'), "c2lnbmF0dXJl"])
+    for after in ("", "...", "..", ".tar.gz"):
+        assert (2, 3, 2 + len(token)) in secrets.structural_spans("x " + token + after)
+    key = (b"\x30\x1a\x02\x01\x01\x04\x15" + b"k" * 21).hex()
+    for before, after in (("", ""), ("a", ""), ("", "b"), ("a", "b")):
+        assert (2 + len(before), 4, 2 + len(before + key)) in secrets.structural_spans("x " + before + key + after)
