@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,3 +91,24 @@ def batches(it: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.Reco
     for b in it:
         if b.num_rows:
             yield b, b.column(column).to_pylist()
+
+
+def tree_sum(df: DataFrame, column: str, width: int = 64) -> np.ndarray | None:
+    """Element-wise sum of a binary column of int64 arrays of one length; None if there are no rows.
+
+    Tasks add their own rows, ``width`` tasks add those sums, and at most ``width`` arrays reach the driver.  A task
+    holds two arrays at a time, however many rows it reads.
+    """
+
+    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in it:
+            for raw in b.column(0):
+                one = np.frombuffer(raw.as_buffer(), np.int64)
+                total = one.copy() if total is None else total + one
+        if total is not None:
+            yield pa.record_batch({"v": pa.array([total.tobytes()], pa.binary())})
+
+    own = df.select(F.col(column).alias("v")).mapInArrow(add, "v binary").withColumn("at", F.spark_partition_id())
+    few = own.repartition(width, "at").select("v").mapInArrow(add, "v binary").collect()
+    return sum(np.frombuffer(r.v, np.int64) for r in few) if few else None

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, lm, near_dedup, packing, prefix_counts, secrets, topk, toxicity, word_bpe
-from .common import crc_mod, read_table
+from . import codebooks, exact_dedup, langid, line_dedup, lm, near_dedup, packing, prefix_counts, resampling, secrets, topk, toxicity, word_bpe
+from .common import crc_mod, read_table, written
 
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,6 +77,29 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines of ``documents``: counts and the digest of what stays."""
+    kept = line_dedup.drop_lines(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the word statistics of ``benchmark``."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    drawn = resampling.resample(docs, read_table(spark, sf_dir, "benchmark", "text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of ``embeddings`` with their errors, and the digest of the codebooks."""
+    vectors = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    codes, books = codebooks.compress(vectors)
+    codes = written(codes, "codebooks-codes")
+    of_label = codes.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"))
+    rows = codes.join(of_label, F.col("label").eqNullSafe(F.col("_label")))
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(codebooks.books_digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
@@ -88,14 +111,46 @@ QUERIES = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_token_counts": op9_token_counts,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+
+
+def _codes_sql(parts: int = 8, size: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Every round of k-means on the parts of ``embeddings``, each as a table of its own."""
+    mean = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"  # floored, also below zero
+    steps = [
+        f"""v AS MATERIALIZED (SELECT vec_id, label, [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w
+                               FROM embeddings WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+        f"""p AS MATERIALIZED (SELECT vec_id, label, q AS part, list_slice(w, 1 + q * len(w) // {parts}, (q + 1) * len(w) // {parts}) AS x
+                               FROM v, range({parts}) AS t(q))""",
+        f"b0 AS MATERIALIZED (SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS INTEGER) AS entry, x AS c FROM p QUALIFY entry < {size})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, label, part, any_value(x) AS x, min(struct_pack(d := d, entry := entry)) AS near
+                     FROM (SELECT p.*, entry, CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(x, c)]) AS BIGINT) AS d
+                           FROM p JOIN b{r} USING (part)) GROUP BY vec_id, label, part)""")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.c, o.c) AS c FROM b{r} o LEFT JOIN (
+                         SELECT part, entry, list({mean} ORDER BY i) AS c FROM (
+                             SELECT part, near.entry AS entry, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, range(1, 1025) AS t(i)
+                             WHERE i <= len(x) GROUP BY ALL) GROUP BY part, entry) m USING (part, entry))""")
+    return f"""WITH {", ".join(steps)},
+        e AS (SELECT vec_id, label, string_agg(printf('%02x', near.entry), '' ORDER BY part) AS code, CAST(sum(near.d) AS BIGINT) AS error
+              FROM a{rounds} GROUP BY vec_id, label),
+        l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM e GROUP BY label),
+        h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+        SELECT vec_id, code, error, label_error, codebooks_sha256 FROM e JOIN l ON e.label IS NOT DISTINCT FROM l.label, h"""
+
+
 ORACLE_SQL = {
     "op5_exact_top_k": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+        WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w FROM embeddings
                    WHERE embedding IS NOT NULL
-                     AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-             s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), p -> p[1] * p[2])) AS BIGINT) AS score
+                     AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.w, c.w)]) AS BIGINT) AS score
                    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
              r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
@@ -107,4 +162,16 @@ ORACLE_SQL = {
         SELECT n.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, n.doc_id = g.keep_id AS kept, n.h AS text_sha256
         FROM n JOIN g ON n.h = g.h
     """,
+    "op11_line_dedup": """
+        WITH l AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+             x AS (SELECT doc_id, r, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM l),
+             k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM x),
+             f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key),
+             m AS (SELECT k.*, coalesce(k.doc_id <> f.first, false) AS lost FROM k LEFT JOIN f ON k.key = f.key)
+        SELECT any_value(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count_if(lost) AS BIGINT) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+        FROM m GROUP BY r
+    """,
+    "op13_vector_codes": _codes_sql(),
 }
