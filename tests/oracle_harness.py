@@ -7,12 +7,15 @@ order-insensitive multiset of rows with doubles rounded.
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
 import duckdb
 import pandas as pd
 
+SF_SMALL = "/root/testdata/sf0.001"
+SF_ORACLE = os.environ.get("TESSERA_TEST_SF", SF_SMALL)
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -7,8 +7,7 @@ Model-fitting queries (no SQL statement) are checked for rows and schema.
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_ORACLE
-from oracle_harness import compare, duck
+from oracle_harness import SF_ORACLE, compare, duck
 
 from tessera.plans import registry as R
 
