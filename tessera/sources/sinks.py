@@ -1,16 +1,21 @@
 """Sinks (S11-S15): partitioned Parquet, CSV copies, bounded exports, snapshot metadata.
 
-Atomic publication is Spark's output commit protocol: a job writes task
+Atomic publication of one table is Spark's output commit protocol: a job writes task
 output to a staging area and commits it at the end, so readers never see a
 half-written table; with dynamic partition overwrite only the partitions
 present in the new data are replaced (one edition, one table id).
+
+``publish`` does the same for several tables and their metadata: a version is written whole into a folder of its own,
+and one appended pointer row makes it the current one.  A writer that breaks off leaves the version before it current.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import CSV_EXPORT_MAX, JSON_EXPORT_MAX, ReadError
@@ -74,6 +79,64 @@ def write_backtest(windows: DataFrame, summary: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").parquet(f"{path}/backtest_summary")
 
 
+POINTER_SCHEMA = "seq long, version string"
+
+
+def current_version(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    """(number, folder name) of the version that readers see, or None before the first."""
+    try:
+        row = spark.read.schema(POINTER_SCHEMA).json(f"{path}/pointers").orderBy(F.desc("seq"), F.desc("version")).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return (row.seq, row.version) if row else None
+
+
+def publish(tables: dict[str, DataFrame], path: str, meta: dict, partition_by: dict[str, list[str]] | None = None) -> str:
+    """Write tables and metadata as one version and make it current; returns the version.
+
+    Everything is in place before the pointer row is appended, and appending one row is one committed file, so readers
+    see all of the version or none of it.  Of two writers at once the later pointer wins; both versions stay whole.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    before = current_version(spark, path)
+    seq = before[0] + 1 if before else 1
+    version = f"{seq:08d}-{uuid.uuid4().hex}"
+    folder = f"{path}/versions/{version}"
+    for name, df in tables.items():
+        w = df.write.partitionBy(*partition_by[name]) if partition_by and name in partition_by else df.write
+        w.parquet(f"{folder}/{name}")
+    doc = json.dumps(meta | {"tables": sorted(tables)}, sort_keys=True, default=str)
+    spark.createDataFrame([(doc,)], "value string").coalesce(1).write.text(f"{folder}/_meta.json")
+    spark.createDataFrame([(seq, version)], POINTER_SCHEMA).coalesce(1).write.mode("append").json(f"{path}/pointers")
+    return version
+
+
+def published(spark: SparkSession, path: str, version: str | None = None) -> tuple[dict[str, DataFrame], dict]:
+    """The tables and metadata of the current (or a named) version; all of them belong together."""
+    if version is None:
+        current = current_version(spark, path)
+        if current is None:
+            raise ReadError(f"nothing is published at {path}")
+        version = current[1]
+    folder = f"{path}/versions/{version}"
+    meta = json.loads(spark.read.text(f"{folder}/_meta.json", wholetext=True).first()[0])
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in meta["tables"]}, meta
+
+
+def publish_snapshot(df: DataFrame, path: str, meta: dict) -> str:
+    """The snapshot table with its metadata (editions, periods, caveats)."""
+    return publish({"data": df}, path, meta)
+
+
+def publish_backtest(windows: DataFrame, summary: DataFrame, path: str, predictions: DataFrame | None = None, metrics: DataFrame | None = None,
+                     calibration: DataFrame | None = None, meta: dict | None = None) -> str:
+    """Windows and per-model summary of a backtest, with predictions, metrics and calibration where given."""
+    tables = {"backtest_windows": windows, "backtest_summary": summary, "predictions": predictions, "metrics": metrics, "calibration": calibration}
+    return publish({k: v for k, v in tables.items() if v is not None}, path, meta or {})
+
+
 def json_rows(df: DataFrame) -> DataFrame:
     """One JSON document per row, NaN/Inf as null, dates ISO, NULLs kept."""
     from pyspark.sql.types import DateType, DoubleType, FloatType, TimestampType

@@ -1,10 +1,10 @@
 """Workbook reader (S1, S2): a folder of ``.xlsx`` files as a cells table.
 
-``read_cells`` lists files with the ``binaryFile`` source and parses each
-workbook inside a task (standard-library zip + XML, one file per row), so a
-folder of thousands of releases is read in parallel and no file passes
-through the driver.  The result is long: (path, sheet, row, col, text), all
-1-based.  ``sheet_frame`` promotes a header row and turns one sheet back
+``read_cells`` lists files with the ``binaryFile`` source, deals their sheets out (one row a sheet) and parses each
+inside a task (standard-library zip + XML), so a folder of thousands of releases, or one workbook of many large sheets,
+is read in parallel and no file passes through the driver.  A sheet is pulled through the parser event by event and its
+cells leave in Arrow batches, so memory does not grow with the number of cells.  The result is long: (path, sheet,
+row, col, text), all 1-based.  ``sheet_frame`` promotes a header row and turns one sheet back
 into a wide frame of text cells using DataFrame operations; value columns
 stay text until the family transform coerces them.
 """
@@ -17,7 +17,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +34,6 @@ def col_index(letters: str) -> int:
     return n
 
 
-def _shared_strings(z: zipfile.ZipFile) -> list[str]:
-    if "xl/sharedStrings.xml" not in z.namelist():
-        return []
-    root = ET.fromstring(z.read("xl/sharedStrings.xml"))
-    return ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in root.findall("m:si", _NS)]
-
-
 def _sheet_paths(z: zipfile.ZipFile) -> list[tuple[str, str]]:
     wb = ET.fromstring(z.read("xl/workbook.xml"))
     rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
@@ -53,43 +46,113 @@ def _sheet_paths(z: zipfile.ZipFile) -> list[tuple[str, str]]:
     return out
 
 
-def parse_workbook(path: str, content: bytes) -> list[tuple]:
-    """All non-empty cells of every sheet: (path, sheet, row, col, text)."""
-    rows: list[tuple] = []
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        strings = _shared_strings(z)
-        for name, sheet_path in _sheet_paths(z):
-            root = ET.fromstring(z.read(sheet_path))
-            for c in root.iter(f"{{{_NS['m']}}}c"):
-                m = _REF.match(c.get("r", ""))
+def _shared_string_events(stream) -> Iterator[str]:
+    """The shared strings in order; each element is dropped once read."""
+    si, t, rph = (f"{{{_NS['m']}}}{n}" for n in ("si", "t", "rPh"))
+    root, phonetic, parts = None, 0, []
+    for event, e in ET.iterparse(stream, events=("start", "end")):
+        if root is None:
+            root = e
+        if e.tag == rph:
+            phonetic += 1 if event == "start" else -1
+        if event == "end" and e.tag == t and not phonetic:
+            parts.append(e.text or "")
+        elif event == "end" and e.tag == si:
+            yield "".join(parts)
+            parts = []
+            root.clear()
+
+
+def sheet_cells(z: zipfile.ZipFile, sheet_path: str, strings: list[str]) -> Iterator[tuple[int, int, str]]:
+    """(row, col, text) of a sheet's non-empty cells, pulled from the parser; a row is dropped once read."""
+    c_tag, v_tag, t_tag, row_tag, data_tag = (f"{{{_NS['m']}}}{n}" for n in ("c", "v", "t", "row", "sheetData"))
+    data = None
+    with z.open(sheet_path) as stream:
+        for event, e in ET.iterparse(stream, events=("start", "end")):
+            if event == "start":
+                data = e if e.tag == data_tag else data
+                continue
+            if e.tag == c_tag:
+                m = _REF.match(e.get("r", ""))
                 if not m:
                     continue
-                t = c.get("t")
-                if t == "inlineStr":
-                    text = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
+                kind = e.get("t")
+                if kind == "inlineStr":
+                    text = "".join(x.text or "" for x in e.iter(t_tag))
                 else:
-                    v = c.find("m:v", _NS)
+                    v = e.find(v_tag)
                     if v is None or v.text is None:
                         continue
-                    text = strings[int(v.text)] if t == "s" else v.text
-                if text == "":
-                    continue
-                rows.append((path, name, int(m.group(2)), col_index(m.group(1)), text))
-    return rows
+                    text = strings[int(v.text)] if kind == "s" else v.text
+                if text != "":
+                    yield int(m.group(2)), col_index(m.group(1)), text
+            elif e.tag == row_tag and data is not None:
+                data.clear()
 
 
-def read_cells(spark: SparkSession, folder: str, glob: str = "*.xlsx") -> DataFrame:
-    """Cells of every workbook under ``folder`` (one task per file)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+CELL_BATCH = 20_000  # cells of an Arrow batch
+
+
+def _cell_batches(path: str, name: str, cells: Iterator[tuple[int, int, str]], size: int = CELL_BATCH) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[int, int, str]] = []
+
+    def batch() -> pa.RecordBatch:
+        row, col, text = zip(*held)
+        n = len(held)
+        return pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([name] * n, pa.string()), pa.array(row, pa.int32()),
+                                           pa.array(col, pa.int32()), pa.array(text, pa.string())], names=["path", "sheet", "row", "col", "text"])
+
+    for cell in cells:
+        held.append(cell)
+        if len(held) == size:
+            yield batch()
+            held.clear()
+    if held:
+        yield batch()
+
+
+def cells_of(files: DataFrame) -> DataFrame:
+    """Cells of workbooks given as (path, content); one row a sheet is dealt out, one task reads a sheet at a time.
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The dealt rows carry the sheet and only the parts of the workbook that it needs: its own XML and the shared strings,
+    both still compressed.
+    """
+
+    def sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for p, content in zip(b["path"], b["content"]):
-                out.extend(parse_workbook(p, bytes(content)))
-            yield pd.DataFrame(out, columns=["path", "sheet", "row", "col", "text"])
+            for path, content in zip(b.column("path"), b.column("content")):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    for name, at in _sheet_paths(z):
+                        yield pa.record_batch({"path": pa.array([path.as_py()], pa.string()), "sheet": pa.array([name], pa.string()),
+                                               "at": pa.array([at], pa.string()), "part": pa.array([_only(z, at)], pa.binary())})
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                path, name, at = (b.column(c)[i].as_py() for c in ("path", "sheet", "at"))
+                with zipfile.ZipFile(io.BytesIO(b.column("part")[i].as_py())) as z:
+                    strings = list(_shared_string_events(z.open("xl/sharedStrings.xml"))) if "xl/sharedStrings.xml" in z.namelist() else []
+                    yield from _cell_batches(path, name, sheet_cells(z, at, strings))
+
+    dealt = files.select("path", "content").mapInArrow(sheets, "path string, sheet string, at string, part binary")
+    return dealt.repartition("path", "sheet").mapInArrow(cells, CELLS_SCHEMA)
 
-    return files.select("path", "content").mapInPandas(parse, CELLS_SCHEMA)
+
+def _only(z: zipfile.ZipFile, at: str) -> bytes:
+    """A small workbook with one sheet and the shared strings."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as small:
+        for name in (at, "xl/sharedStrings.xml"):
+            if name in z.namelist():
+                with z.open(name) as source, small.open(name, "w") as target:
+                    while piece := source.read(1 << 20):
+                        target.write(piece)
+    return out.getvalue()
+
+
+def read_cells(spark: SparkSession, folder: str, glob: str = "*.xlsx") -> DataFrame:
+    """Cells of every workbook under ``folder`` (one task per sheet)."""
+    return cells_of(spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder))
 
 
 def header_names(cells: DataFrame, header_rows: list[int]) -> dict[int, str]:

@@ -18,7 +18,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +25,7 @@ from pyspark.sql.types import StructType
 
 from ..session import checkpoint_dir
 from ..sources.manifest import new_or_changed
-from ..sources.workbook import CELLS_SCHEMA, parse_workbook
+from ..sources.workbook import cells_of
 
 PARTITIONS = ("edition", "table_id")
 SOURCE = "source_file"
@@ -44,15 +43,7 @@ def release_stream(spark: SparkSession, folder: str, glob: str = "*.xlsx", max_f
         .load(folder)
     )
 
-    return files.select("path", "content").mapInPandas(_cells, CELLS_SCHEMA)
-
-
-def _cells(batches):
-    for b in batches:
-        out = []
-        for p, content in zip(b["path"], b["content"]):
-            out.extend(parse_workbook(p, bytes(content)))
-        yield pd.DataFrame(out, columns=["path", "sheet", "row", "col", "text"])
+    return cells_of(files)
 
 
 def _table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame | None:
@@ -195,7 +186,7 @@ def load_changed_releases(spark: SparkSession, folder: str, out_path: str, trans
     if not n:
         return 0
 
-    cells = lambda some: files.join(some, "path", "left_semi").select("path", "content").mapInPandas(_cells, CELLS_SCHEMA)
+    cells = lambda some: cells_of(files.join(some, "path", "left_semi"))
     tidy = _with_source(transform(cells(changed)))
     held = _table(spark, out_path)
     if SOURCE in tidy.columns and (held is None or SOURCE in held.columns):
