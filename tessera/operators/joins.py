@@ -70,3 +70,29 @@ def salted_join(big: DataFrame, other: DataFrame, key: str, salts: int = 16, how
     b = big.withColumn("_salt", (F.abs(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns])) % salts).cast("int"))
     o = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return b.join(o, [key, "_salt"], how).drop("_salt")
+
+
+def stack_left_join(spine: DataFrame, key: str, sources: dict[str, DataFrame | None]) -> DataFrame:
+    """The spine with the columns of every source, in one shuffle however many sources there are.
+
+    Spine and sources are stacked with their number and aggregated by key once, instead of one join after another.  The
+    spine and each source have at most one row a key, as snapshots have; a second row raises.  A source that is None (an
+    optional input that was not given) adds no columns; keys that only a source has are dropped, and null keys meet none.
+    """
+    given = {name: df for name, df in sources.items() if df is not None}
+    frames = [("", spine), *given.items()]
+    owner: dict[str, int] = {}
+    for i, (name, df) in enumerate(frames):
+        for c in df.columns:
+            if c != key and owner.setdefault(c, i) != i:
+                raise ValueError(f"column {c!r} of {name!r} is there already")
+    stacked = None
+    for i, (_, df) in enumerate(frames):
+        part = df.where(F.col(key).isNotNull() | F.lit(i == 0)).select(key, *[c for c in df.columns if c != key], F.lit(i).alias("_source"))
+        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
+    counts = [F.count_if(F.col("_source") == i) for i in range(len(frames))]
+    worst = F.greatest(*counts) if len(counts) > 1 else counts[0]
+    columns = [F.max(F.when(F.col("_source") == i, F.col(c))).alias(c) for c, i in owner.items()]
+    out = stacked.groupBy(key).agg(counts[0].alias("_spine"), worst.alias("_most"), *columns).where(F.col("_spine") > 0)
+    once = F.when(F.col("_most") > 1, F.raise_error(F.concat(F.lit("more than one row for key "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("int")).otherwise(1)
+    return out.where(once == 1).select(key, *owner)

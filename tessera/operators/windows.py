@@ -91,6 +91,29 @@ def pct_change_lag(df: DataFrame, series: list[str], order_col: str, value_col:
     return df.withColumn(out, (F.try_divide(F.col(value_col), F.when(prev != 0, prev)) - 1.0) * 100.0)
 
 
+def dense_months(df: DataFrame, series: list[str], month_col: str) -> DataFrame:
+    """Every month from a series' first to its last, with the rows it has; ``is_gap`` marks months without one."""
+    span = df.groupBy(*series).agg(F.min(month_col).alias("_lo"), F.max(month_col).alias("_hi"))
+    spine = span.select(*series, F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 MONTH"))).alias("_at")).select(*series, F.col("_at").cast("date").alias(month_col))
+    return spine.join(df.withColumn("_there", F.lit(True)), [*series, month_col], "left").withColumn("is_gap", F.col("_there").isNull()).drop("_there")
+
+
+def month_gaps(dense: DataFrame, series: list[str], month_col: str) -> DataFrame:
+    """Months, missing months and the first missing month of each series."""
+    return dense.groupBy(*series).agg(
+        F.count(F.lit(1)).alias("n_months"), F.count_if("is_gap").alias("n_missing"), F.min(F.when(F.col("is_gap"), F.col(month_col))).alias("first_missing"))
+
+
+def change_by_date(df: DataFrame, series: list[str], month_col: str, value_col: str, months: int, out: str) -> DataFrame:
+    """Percent change against the value of the month ``months`` earlier, found by its date (an equi-join).
+
+    A month without a value there has no change; other months are not shifted by it.
+    """
+    before = df.select(*series, F.add_months(month_col, months).alias(month_col), F.col(value_col).alias("_before"))
+    change = (F.try_divide(F.col(value_col), F.when(F.col("_before") != 0, F.col("_before"))) - 1.0) * 100.0
+    return df.join(before, [*series, month_col], "left").withColumn(out, change).drop("_before")
+
+
 def quantile_edges(df: DataFrame, value_col: str, n_bins: int = 5) -> DataFrame:
     """W12 edges: exact linear-interpolated quantiles at 0, 1/n, ..., 1 with duplicates dropped (one row)."""
     from .aggregate import exact_quantiles

@@ -98,8 +98,9 @@ def la_supply(spark: SparkSession, sf_dir: str, lookup: DataFrame | None = None)
         )
         .agg(F.sum("o_totalprice").alias("dwellings"))
     )
-    return tidy(agg.join(lookup, agg.c_nationkey == lookup.nationkey).select(
-        "lad_code", "lad_name", "financial_year", "fy_start", "measure", "dwellings"
+    # An authority that the lookup lacks keeps its rows and its code.
+    return tidy(agg.join(lookup, agg.c_nationkey == lookup.nationkey, "left").select(
+        F.coalesce("lad_code", gss(LA_PREFIX, "c_nationkey")).alias("lad_code"), "lad_name", "financial_year", "fy_start", "measure", "dwellings"
     ))
 
 
@@ -108,8 +109,8 @@ def population(spark: SparkSession, sf_dir: str, lookup: DataFrame | None = None
     lookup = lookup if lookup is not None else la_lookup(spark, sf_dir)
     c = read(spark, sf_dir, "customer", "c_nationkey")
     pop = c.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("population"))
-    return pop.join(lookup, pop.c_nationkey == lookup.nationkey).select(
-        "lad_code", "lad_name", "population", F.lit(2021).alias("year")
+    return pop.join(lookup, pop.c_nationkey == lookup.nationkey, "left").select(
+        F.coalesce("lad_code", gss(LA_PREFIX, "c_nationkey")).alias("lad_code"), "lad_name", "population", F.lit(2021).alias("year")
     )
 
 

@@ -685,11 +685,10 @@ WITH {LK}, {_fam_price(_Y)}, {_fam_earn()}, {FAM_RATIO},
 fams0 AS MATERIALIZED (SELECT 'price' AS family, lad_code, 'Year ending Sep ' || CAST(year AS VARCHAR) AS period_label, round(price, 4) AS value FROM fa
   UNION ALL SELECT 'earnings', lad_code, CAST(year AS VARCHAR), earnings FROM fb
   UNION ALL SELECT 'ratio', lad_code, CAST(year AS VARCHAR), ratio FROM fc),
-fams AS (SELECT *, {_PE_YEAR} AS pe_year FROM fams0),
-common AS (SELECT pe_year FROM fams WHERE family = 'price' INTERSECT SELECT pe_year FROM fams WHERE family = 'earnings'
-           INTERSECT SELECT pe_year FROM fams WHERE family = 'ratio')
-SELECT family, lad_code, period_label, pe_year, {_SORT_DATE} AS sort_date, value
-FROM fams WHERE pe_year IN (SELECT pe_year FROM common)"""
+labels AS MATERIALIZED (SELECT period_label, {_PE_YEAR} AS pe_year, {_SORT_DATE} AS sort_date FROM (SELECT DISTINCT period_label FROM fams0)),
+fams AS MATERIALIZED (SELECT fams0.*, pe_year, sort_date FROM fams0 JOIN labels USING (period_label)),
+common AS MATERIALIZED (SELECT pe_year FROM fams GROUP BY pe_year HAVING count(DISTINCT family) = 3)
+SELECT family, lad_code, period_label, pe_year, sort_date, value FROM fams JOIN common USING (pe_year)"""
 
 SQL["population_by_la"] = f"""
 WITH {LK}

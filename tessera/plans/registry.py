@@ -8,9 +8,10 @@ manifests) and are covered by the test suite instead of a registered query.
 
 from __future__ import annotations
 
-from . import testdata
+from . import extended, extended_sql, oracle, testdata
 
-QUERIES = dict(testdata.Q)
+QUERIES = dict(testdata.Q) | extended.Q
+SQL = dict(oracle.SQL) | extended_sql.SQL
 
 COVERAGE: dict[str, list[str]] = {
     "region_supply_by_fy": ["P1", "X4", "J8", "A1", "B2"],
@@ -87,7 +88,7 @@ COVERAGE: dict[str, list[str]] = {
     "bisecting": ["M6"],
     "scenario_table": ["M10", "A16"],
     "playbook_scoreboard": ["M11", "M12", "M13", "M14", "M15", "M16", "M17", "M18", "M19", "M20", "S9", "X14", "A15"],
-}
+} | extended.COVERAGE
 
 # Operators on files and inline frames, covered by tests/test_sources.py and tests/test_tidy_and_ops.py.
 LIBRARY_ONLY: dict[str, str] = {
@@ -95,8 +96,8 @@ LIBRARY_ONLY: dict[str, str] = {
     "S3": "sources.files.read_census_csv", "S4": "sources.files.read_rents_csv", "S7": "sources.files.read_lookup",
     "S8": "sources.files.read_reports", "S9": "sources.files.union_predictions", "S10": "sources.files.read_geojson / sources.files.geojson_bounds",
     "S11": "sources.sinks.write_tidy", "S12": "sources.sinks.write_csv_copy", "S13": "sources.sinks.bounded_export",
-    "S14": "sources.sinks.write_snapshot", "S15": "sources.sinks.write_backtest", "S16": "sources.manifest.file_manifest",
-    "S17": "sources.manifest.registry_snapshot", "S18": "sources.manifest.new_or_changed",
+    "S14": "sources.sinks.publish_snapshot", "S15": "sources.sinks.publish_backtest", "S16": "sources.manifest.file_manifest",
+    "S17": "sources.manifest.registry_snapshot", "S18": "streaming.incremental.load_changed_releases",
     "S19": "sources.manifest.fingerprint", "S20": "sources.manifest.missing_inputs",
     "T19": "plans.sheets.price_explorer", "B5": "plans.sheets.latest_median_price",
     "F10": "sources.catalog.read_page", "X12": "sources.sinks.json_rows",
@@ -110,5 +111,4 @@ LIBRARY_ONLY: dict[str, str] = {
 NOT_BUILT: dict[str, str] = {
     "Y6": "seasonal ARIMA: a solver library of its own behind one task; smoothing and the baselines take its place",
     "Y7": "order search of the seasonal ARIMA",
-    "B32": "generic dataset explorer",
 }
