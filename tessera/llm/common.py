@@ -58,31 +58,51 @@ def to_batch(columns: dict[str, Iterable], types: dict[str, pa.DataType]) -> pa.
 class Recent:
     """Bounded per-worker memory of key -> value, filled in bulk by ``make``.
 
-    Two generations of ``limit`` entries: when the young one is full it becomes the old one, and entries
-    used again move back.  Frequent keys stay; the memory never holds more than two generations plus the
-    keys of the batch at hand.  Values are pure functions of their keys, so eviction changes no result.
+    Two generations: when the young one holds ``limit`` entries of ordinary length, or fewer long ones of the same
+    weight, it becomes the old one, and entries used again move back.  Keys of more than ``LONGEST`` characters are made
+    anew each time and forgotten with the next call.  Frequent keys stay; the memory never holds more than two
+    generations plus the keys of the batch at hand, whatever the keys' lengths.  Values are pure functions of their
+    keys, so eviction changes no result.
     """
 
+    LONGEST = 2000
+    ORDINARY = 300  # weight of an ordinary entry: a fixed part and PER_CHARACTER for each character of the key
+    FIXED, PER_CHARACTER = 200, 8
+
     def __init__(self, make: Callable[[list], Iterable], limit: int = 400_000):
-        self.make, self.limit = make, limit
+        self.make, self.most = make, limit * self.ORDINARY
         self.young: dict = {}
         self.old: dict = {}
+        self.weight = 0
+        self.passing: list = []
+
+    def _remember(self, key, value) -> None:
+        self.young[key] = value
+        self.weight += self.FIXED + self.PER_CHARACTER * len(key)
 
     def ready(self, keys: Iterable) -> dict:
-        """A mapping that holds every key of ``keys``."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
+        """A mapping that holds every key of ``keys`` until the next call."""
+        for k in self.passing:
+            self.young.pop(k, None)
+        self.passing = []
+        if self.weight > self.most:
+            self.old, self.young, self.weight = self.young, {}, 0
         young, old = self.young, self.old
         fresh = []
         for k in keys:
             if k not in young:
                 if k in old:
-                    young[k] = old[k]
+                    self._remember(k, old[k])
                 else:
                     fresh.append(k)
         if fresh:
             fresh = list(dict.fromkeys(fresh))
-            young.update(zip(fresh, self.make(fresh)))
+            for k, v in zip(fresh, self.make(fresh)):
+                if len(k) > self.LONGEST:
+                    young[k] = v
+                    self.passing.append(k)
+                else:
+                    self._remember(k, v)
         return young
 
 

@@ -2,6 +2,7 @@
 
 For a prefix of a piece, the last token of its encoding is the one token that ends there and is compatible
 with the last token of what stands before it; its count is one more than the count of that shorter prefix.
+An automaton over the vocabulary walks a piece once and names, at each byte, just the tokens that end there.
 Two tokens are compatible when encoding their joined bytes gives just these two.  One pass over a piece so
 stores, for every prefix, its exact count, and truncation or budget questions are look-ups: nothing is encoded
 again.
@@ -17,6 +18,7 @@ import json
 import re
 from array import array
 
+import ahocorasick
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Recent, batches, small_batches, text_of, to_batch
-from .word_bpe import byte_letters, merge, merge_table
+from .word_bpe import ID_BITS, ID_MASK, NONE, byte_letters, merge, merge_table
 
 # Runs of white space with what follows.  A piece never holds white space after another character, so a cut
 # before each run is certain.  The control characters are white space to Python only.
@@ -50,60 +52,107 @@ class PrefixCounter:
         special = set(self.special)
         self.id_of = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in special}
         self.bytes_of = {i: b for b, i in self.id_of.items()}
-        self.longest = max(map(len, self.id_of))
         self.merges = merge_table(spec)
         self.single = [vocab[c] for c in letters]
+        # The two parts of each token and the rank of the merge that joins them; none for single bytes.
+        self.parts = {made & ID_MASK: (a, b, made >> ID_BITS) for (a, b), made in self.merges.items()}
+        self.one_way = len(self.parts) == len(self.merges)
+        self.right_edges: dict[int, list] = {}
+        self.left_edges: dict[int, list] = {}
         self.stable = {i: merge([self.single[c] for c in b], self.merges) == [i] for i, b in self.bytes_of.items()}
+        self.ending = ahocorasick.Automaton()
+        for b, i in self.id_of.items():
+            self.ending.add_word(b.decode("latin-1"), (i, len(b)))
+        self.ending.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces = Recent(lambda keys: map(self.piece, keys), 200_000)
+
+    def edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The tokens that stand at one edge while ``token`` is built, each with the rank that ends its time there."""
+        out, until = [], NONE
+        while True:
+            out.append((token, until))
+            if token not in self.parts:
+                return out[::-1]
+            until = self.parts[token][2]
+            token = self.parts[token][side]
+
+    def joins(self, a: int, b: int) -> bool:
+        """Whether, while two tokens are built side by side, some merge reaches across their border.
+
+        Both edges are walked up in time.  The pair at the border merges if its rank comes before the left token's edge
+        moves on (equal ranks: the left one goes first) and no later than the right one's.
+        """
+        left = self.right_edges.get(a) or self.right_edges.setdefault(a, self.edge(a, 1))
+        right = self.left_edges.get(b) or self.left_edges.setdefault(b, self.edge(b, 0))
+        get, i, j = self.merges.get, 0, 0
+        while True:
+            x, x_until = left[i]
+            y, y_until = right[j]
+            made = get((x, y))
+            if made is not None:
+                rank = made >> ID_BITS
+                if rank < x_until and rank <= y_until:
+                    return True
+            if x_until <= y_until:
+                if x_until == NONE:
+                    return False
+                i += 1
+            else:
+                j += 1
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the joined bytes of two tokens are encoded as just these two."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > 500_000:
-                self.pairs.clear()
-            joined = [self.single[c] for c in self.bytes_of[a] + self.bytes_of[b]]
-            known = self.pairs[a, b] = merge(joined, self.merges) == [a, b]
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        if self.one_way:
+            known = self.stable[a] and self.stable[b] and not self.joins(a, b)
+        else:  # a token that several merges make has no one history
+            known = merge([self.single[c] for c in self.bytes_of[a] + self.bytes_of[b]], self.merges) == [a, b]
+        self.pairs[a, b] = known
         return known
 
     def piece(self, data: bytes) -> list[int]:
-        """Token counts of every byte prefix of one piece; entry i is for the first i bytes."""
-        id_of, stable, compatible = self.id_of, self.stable, self.compatible
-        counts, last = [0], [-1]
-        for end in range(1, len(data) + 1):
-            for size in range(min(end, self.longest), 0, -1):
-                token = id_of.get(data[end - size : end])
-                if token is None:
-                    continue
-                if stable[token] if size == end else compatible(last[end - size], token):
-                    counts.append(counts[end - size] + 1)
-                    last.append(token)
-                    break
+        """Token counts of every non-empty byte prefix of one piece."""
+        pairs, stable, compatible = self.pairs, self.stable, self.compatible
+        counts, last, done = [0], [-1], -1
+        for end, (token, size) in self.ending.iter(data.decode("latin-1")):
+            if end == done:  # the one token of this prefix is found
+                continue
+            start = end + 1 - size
+            if start:
+                before = last[start]
+                fits = pairs.get((before, token))
+                if fits is None:
+                    fits = compatible(before, token)
+            else:
+                fits = stable[token]
+            if fits:
+                counts.append(counts[start] + 1)
+                last.append(token)
+                done = end
+        del counts[0]
         return counts
 
     def chunk(self, text: str) -> array:
         """Token counts of every non-empty character prefix of a chunk (no special strings)."""
         out = array("I")
         base = 0
-        split = [(p, p.encode()) for p in PIECE.findall(text)]
-        known = self.pieces.ready([data for _, data in split])
-        for piece, data in split:
-            counts = known[data]
+        for piece in PIECE.findall(text):
+            data = piece.encode()
+            counts = self.piece(data)
             if len(data) == len(piece):
-                out.extend(base + c for c in counts[1:])
+                out.extend([base + c for c in counts] if base else counts)
             else:
-                at = 0
+                at = -1
                 for ch in piece:
                     at += len(ch.encode())
                     out.append(base + counts[at])
             if piece in LONG_CONTRACTIONS:
                 out[-2] = base + 2
             base += counts[-1]
-        run = SPACE_RUN.match(text)
-        if run and run.end() > 1:
+        if text[0].isspace() and (run := SPACE_RUN.match(text)) and run.end() > 1:
             alone = self.piece(run[0].encode())
-            at = 0
+            at = -1
             for i, ch in enumerate(run[0]):
                 at += len(ch.encode())
                 if i + 1 < len(text):

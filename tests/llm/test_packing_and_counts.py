@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import packing, prefix_counts, queries
+from tessera.llm import packing, prefix_counts, queries, word_bpe
+from tessera.llm.common import Recent
 from test_exact_and_bpe import ODD, SMALL, docs
 
 
@@ -76,6 +77,39 @@ def test_every_prefix_equals_library():
         assert list(counter.prefixes(t)) == [len(tk.encode(t[: i + 1], add_special_tokens=False).ids) for i in range(len(t))], repr(t)
 
 
+def test_compatible_equals_merging_the_joined_bytes():
+    counter = prefix_counts.loaded(queries.BYTE_VOCAB)
+    assert counter.one_way
+    rng = random.Random(11)
+    ids = list(counter.bytes_of)
+    near = [(a, b) for t in rng.sample(ids, 3000) for n in range(1, len(counter.bytes_of[t])) if (a := counter.id_of.get(counter.bytes_of[t][:n])) is not None
+            and (b := counter.id_of.get(counter.bytes_of[t][n:])) is not None]
+    same = [(t, t) for t in rng.sample(ids, 500)] + [(counter.id_of[b"a" * i], counter.id_of[b"a" * j]) for i in (1, 2, 3, 4) for j in (1, 2, 3, 4) if b"a" * i in counter.id_of and b"a" * j in counter.id_of]
+    for a, b in near + same + [(rng.choice(ids), rng.choice(ids)) for _ in range(20_000)]:
+        joined = [counter.single[c] for c in counter.bytes_of[a] + counter.bytes_of[b]]
+        assert counter.compatible(a, b) == (word_bpe.merge(joined, counter.merges) == [a, b]), (counter.bytes_of[a], counter.bytes_of[b])
+
+
+def test_memory_is_bounded_by_weight():
+    memory = Recent(lambda keys: [len(k) for k in keys], 100)
+    long = ["x" * 5000 + str(i) for i in range(50)]
+    held = lambda: sum(memory.FIXED + memory.PER_CHARACTER * len(k) for g in (memory.young, memory.old) for k in g)
+    for i in range(300):
+        keys = [long[i % 50], *(f"{i}-{j}" + "y" * (j * 37 % 1500) for j in range(10)), "often"]
+        known = memory.ready(keys)
+        assert all(known[k] == len(k) for k in keys)
+        assert held() < 2 * memory.most + 2 * sum(memory.FIXED + memory.PER_CHARACTER * len(k) for k in keys)
+    memory.ready([])
+    assert not any(len(k) > memory.LONGEST for g in (memory.young, memory.old) for k in g)
+
+
+def test_many_long_texts_without_white_space(spark):
+    tk = Tokenizer.from_file(queries.BYTE_VOCAB)
+    texts = [("日本語テキスト" * 20_000)[i:] + str(i) for i in range(6)] + ["ab0" * 100_000]
+    got = {r.doc_id: r.n_tokens for r in prefix_counts.token_counts(docs(spark, texts), queries.BYTE_VOCAB).collect()}
+    assert got == {i: len(tk.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_prefix_tables_in_spark(spark):
     d = docs(spark, ["the cat's hat", "", None])
     got = {r.doc_id: r.counts for r in prefix_counts.prefix_token_counts(d, queries.BYTE_VOCAB).collect()}
