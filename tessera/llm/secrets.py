@@ -38,6 +38,7 @@ SPANS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), (
 JWT = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*(?:\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*)?")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----")
 PEM_END = "-----END "
+DEK_INFO = re.compile(r"^DEK-Info: [A-Z0-9-]+,((?:[0-9A-Fa-f]{16}){1,2})\s*$", re.MULTILINE)
 RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_RUN = re.compile(r"[0-9a-fA-F]{48,}")
 KEY_START = re.compile(r"M[A-I][A-Za-z0-9+/_-]|b3BlbnNzaC1rZXktdjE")  # a short or long DER sequence; the OpenSSH magic
@@ -179,7 +180,8 @@ def structural_spans(text: str, nested: bool = True) -> list[tuple[int, int, int
             body = text[m.end() : end].replace("\\n", "\n")
             lines = [x.strip() for x in body.splitlines() if ":" not in x]
             close = text.find("-----", end + len(PEM_END))
-            if is_key(from_base64("".join(lines))) or "Proc-Type: 4,ENCRYPTED" in body:
+            data = from_base64("".join(lines))
+            if is_key(data) or is_encrypted_body(body, data):
                 out.append((m.start(), 4, close + 5 if close >= 0 else end + len(PEM_END)))
     for m in RUN.finditer(text):
         out += judged(m.start(), m.end(), from_base64(m[0]), nested) or anchored(m.start(), m[0])
@@ -188,10 +190,29 @@ def structural_spans(text: str, nested: bool = True) -> list[tuple[int, int, int
     return out
 
 
+def is_encrypted_body(body: str, data: bytes | None) -> bool:
+    """An encrypted PEM body: a cipher and its initial vector are named, and the bytes are whole blocks of that size."""
+    named = DEK_INFO.search(body) if "Proc-Type: 4,ENCRYPTED" in body else None
+    return bool(named and data) and len(data) >= 32 and len(data) % (len(named[1]) // 2) == 0
+
+
+def may_fill(run: str, at: int) -> bool:
+    """Whether a key that starts at ``at`` can end with the run, told from its first bytes alone."""
+    head = from_base64(run[at : at + 48])
+    if not head or head[0] != SEQUENCE:
+        return bool(head)  # no DER: its fields are checked when it is decoded
+    count = head[1] & 0x7F if head[1] & 0x80 else 0
+    size = int.from_bytes(head[2 : 2 + count], "big") if count else head[1]
+    return 2 + count + size == (len(run) - at - run[-2:].count("=")) * 3 // 4
+
+
 def anchored(start: int, run: str) -> list[tuple[int, int, int]]:
-    """A key that begins inside a run, after other letters that run into it."""
+    """A key that begins inside a run, after other letters that run into it.
+
+    A start is decoded only if the length in its first bytes reaches just to the end of the run.
+    """
     for m in KEY_START.finditer(run, 1):
-        if is_key(from_base64(run[m.start() :])):
+        if may_fill(run, m.start()) and is_key(from_base64(run[m.start() :])):
             return [(start + m.start(), 4, start + len(run))]
     return []
 
