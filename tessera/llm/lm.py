@@ -93,6 +93,7 @@ def base_scores(docs: DataFrame, train: DataFrame) -> DataFrame:
         known, logs = shared.value
         for b, texts in batches(it, "_text"):
             ids, row, h, n, s, known_n, count = [], [], [], [], [], [], []
+            spread = b.column("_key").to_numpy().astype(np.uint64)
             for i, t in enumerate(texts):
                 words, times = np.unique(byte_word_hashes(lower_bytes(t)), return_counts=True)
                 at = np.searchsorted(known, words)
@@ -100,8 +101,8 @@ def base_scores(docs: DataFrame, train: DataFrame) -> DataFrame:
                 is_hot = known[at] == words if len(known) else np.zeros(len(words), bool)
                 rare = ~is_hot
                 row.append(np.full(int(rare.sum()) + 1, i))
-                # the text's own row first: hot words and the end; its hash only spreads it
-                h.append(np.concatenate([[np.uint64(0x9E37) * np.uint64(i + 1)], words[rare]]))
+                # the text's own row first: hot words and the end; its key only spreads it
+                h.append(np.concatenate([spread[i : i + 1], words[rare]]))
                 n.append(np.concatenate([[0], times[rare]]))
                 own = float(logs[at[is_hot]] @ times[is_hot]) + end_log if is_hot.any() else end_log
                 s.append(np.concatenate([[own], np.zeros(int(rare.sum()))]))
@@ -575,12 +576,13 @@ def score_texts(df: DataFrame, held_out, vocab_path: str, id_col: str = "doc_id"
     ``held_out`` is a boolean column; the models learn from the rows where it is false.  Words are runs without
     ASCII white space with A-Z lower-cased, and each text has one end.  ``score`` is the attention model's log10
     probability of the text's subword ids and end.  Null counts as empty.  Rows that repeat an id with an equal
-    text give one row.  Without training rows the counts are 0 and scores come from the smoothing alone; an empty
+    text give one row; unlike texts of one id, or of no id, give a row each.  Without training rows the counts are 0 and scores come from the smoothing alone; an empty
     table gives no rows.  Other columns are not read.
     """
     small_batches(df.sparkSession)
     picked = df.select(F.col(id_col).alias("_id"), F.coalesce(held_out, F.lit(False)).alias("_held"), text_of(text_col).alias("_text"))
-    docs = picked.withColumn("_key", F.pmod(F.xxhash64("_text"), F.lit(65536)).cast("int"))
+    # 63 bits of id and text: rows that share an id, or have none, stay apart by their texts, and so are spread
+    docs = picked.withColumn("_key", F.shiftrightunsigned(F.xxhash64("_id", "_text"), 1))
     base = base_scores(docs, docs.filter(~F.col("_held")))
     ids = written(encoded(docs, vocab_path), "lm-ids")
     source = loaded(vocab_path)

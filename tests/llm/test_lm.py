@@ -155,3 +155,9 @@ def test_training_lowers_the_loss():
     before = lm.log_probabilities(m, streams).sum()
     lm.trained(m, [streams] * 4)
     assert lm.log_probabilities(m, streams).sum() > before
+
+
+def test_unlike_texts_without_an_id_stay_apart(spark):
+    texts = [f"text number {i} of many {i * 7919 % 1009}" for i in range(1500)]
+    d = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    assert lm.score_texts(d, F.lit(False), queries.WORD_VOCAB).count() == 1500
