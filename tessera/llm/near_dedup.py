@@ -73,6 +73,11 @@ def word_hashes(text: str) -> np.ndarray:
     return byte_word_hashes(np.frombuffer(text.lower().encode(), np.uint8))
 
 
+def key_of(words: np.ndarray) -> bytes:
+    """Digest of a sequence of word hashes."""
+    return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
+
+
 def byte_word_hashes(data: np.ndarray) -> np.ndarray:
     """64-bit hash of each run of bytes without ASCII white space."""
     out = [segment_hashes(data[start:end]) for start, end in segments(data)]
@@ -227,7 +232,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for group in together(texts):
                 hashes = [word_hashes(t) for t in group]
                 for words, signature in zip(hashes, bag_minhashes([shingles(w) for w in hashes])):
-                    keys.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
+                    keys.append(key_of(words))
                     sizes.append(len(words))
                     bands.append(band_keys(signature) if len(words) else np.zeros(0, np.int64))
                     sigs.append((mix(signature) >> U(48)).astype("<u2").tobytes())
@@ -369,7 +374,7 @@ def rest_links(members: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFra
     Of two texts in different classes one at least is outside the bucket's major class; these meet all others.
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = members.join(texts.select("_id", "_bands"), "_id").join(bags_of(members.select("_id").distinct(), docs), "_id")
+    rows = members.join(texts.select("_id", "_bands"), "_id").join(bags_of(members.select("_id").distinct(), docs, texts), "_id")
     deal = lambda n, *seed: F.pmod(F.xxhash64("_id", "_band", *seed), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = ["_id", "_band", "_class", "_bands", "_items", "_counts"]
@@ -391,7 +396,7 @@ def linked_classes(texts: DataFrame, docs: DataFrame) -> DataFrame:
     """``_id, class_id`` of the texts that are linked to others."""
     twos, members = bucket_members(texts)
     pairs = written(likely(candidate_pairs(twos, members, texts), texts), "near-dedup-pairs")
-    classes = components(verified(pairs, docs))
+    classes = components(verified(pairs, docs, texts))
     rest = written(rest_links(mixed_members(members, classes), texts, docs), "near-dedup-rest")
     return components(classes.select(F.col("_id").alias("a"), F.col("class_id").alias("b")).unionByName(rest))
 
@@ -422,8 +427,11 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def bags_of(needed: DataFrame, docs: DataFrame) -> DataFrame:
-    """``_id, _items, _counts``: the full multisets of the texts of ``docs`` (``_id, _text``) with an id of ``needed``."""
+def bags_of(needed: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``_id, _items, _counts``: the full multisets of the texts of ``docs`` (``_id, _text``) with an id of ``needed``.
+
+    ``texts`` has the key of the text that stands for each id.
+    """
     filter_of = docs.sparkSession.sparkContext.broadcast(id_filter(needed))
 
     def bags(it):
@@ -431,18 +439,20 @@ def bags_of(needed: DataFrame, docs: DataFrame) -> DataFrame:
         for b in it:
             slot = b.column("_slot").to_numpy(zero_copy_only=False)
             b = b.filter(pa.array((filter_of.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & U(1) == 1))
-            found = [shingles(word_hashes(t)) for t in b.column("_text").to_pylist()]
-            columns = [b.column("_id"), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_items", "_counts"])
+            words = [word_hashes(t) for t in b.column("_text").to_pylist()]
+            found = [shingles(w) for w in words]
+            columns = [b.column("_id"), pa.array(list(map(key_of, words)), pa.binary()), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_key", "_items", "_counts"])
 
     slotted = docs.select("_id", "_text", F.pmod(F.xxhash64("_id"), F.lit(SLOTS)).alias("_slot"))
-    made = slotted.mapInArrow(bags, "_id long, _items binary, _counts binary").join(needed, "_id", "left_semi")
-    return written(made.dropDuplicates(["_id"]), "near-dedup-bags")
+    own = needed.join(texts.select("_id", "_key"), "_id")
+    made = slotted.mapInArrow(bags, "_id long, _key binary, _items binary, _counts binary").join(own, ["_id", "_key"], "left_semi")
+    return written(made.dropDuplicates(["_id"]).drop("_key"), "near-dedup-bags")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b, similarity`` of the pairs that reach the similarity, from the full multisets of ``docs`` (``_id, _text``)."""
-    made = bags_of(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), docs)
+    made = bags_of(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), docs, texts)
     bag = lambda end: made.select(F.col("_id").alias(end), F.struct("_items", "_counts").alias(f"_{end}"))
 
     def run(it):
@@ -488,7 +498,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``class_id`` is the smallest id of the document's class (its own if it is alone), ``n_equal`` the documents
     with the same words in the same order.  Texts without a word (null, empty, white space) are equal to each other.  Ids are whole numbers; rows
     without an id get null classes; repeated rows give repeated rows; an empty table gives no rows; other columns
-    are not read.
+    are not read.  Where unlike texts share an id, one of them (always the same) is compared with other texts for it, and
+    all texts that have this id as their smallest are in its class.
     """
     docs = df.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
     made = written(signatures(docs, "_id", "_text"), "near-dedup-signatures")
@@ -496,7 +507,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = keyed.groupBy("_key", "_salt").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_count"))
     groups = parts.groupBy("_key").agg(F.min("_first").alias("_first"), F.sum("_count").alias("n_equal"))
     firsts = groups.filter("_first IS NOT NULL").select("_key", F.col("_first").alias("_id"))
-    texts = written(made.join(firsts, ["_key", "_id"], "left_semi").filter("_n > 0").dropDuplicates(["_id"]).select("_id", "_n", "_bands", "_sig"), "near-dedup-texts")
+    # of unlike texts that share an id, the one with the smallest key stands for it: in signatures and multisets alike
+    chosen = made.join(firsts, ["_key", "_id"], "left_semi").filter("_n > 0").groupBy("_id").agg(
+        F.min_by(F.struct("_key", "_n", "_bands", "_sig"), "_key").alias("_one"))
+    texts = written(chosen.select("_id", "_one.*"), "near-dedup-texts")
     classes = linked_classes(texts, docs.filter("_id IS NOT NULL"))
     answer = groups.join(classes.withColumnRenamed("_id", "_first"), "_first", "left")
     answer = answer.select("_key", F.coalesce("class_id", "_first").alias("class_id"), "n_equal")
@@ -505,9 +519,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("_id").alias(id_col), F.when(F.col("_id").isNotNull(), F.col("class_id")).alias("class_id"), "n_equal")
 
 
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The names, lengthened where ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all columns: one document of each class (its smallest id), and rows without id."""
-    mark = F.col(id_col).cast("long")
-    stay = near_duplicates(df, id_col, text_col).select(F.col(id_col).cast("long").alias("_mark"), "class_id").filter("_mark = class_id").select("_mark").distinct()
-    named = df.filter(F.col(id_col).isNotNull()).withColumn("_mark", mark).join(stay, "_mark", "left_semi").dropDuplicates(["_mark"]).select(*df.columns)
+    """The rows of ``df`` that stay, with all columns: one document of each class (its smallest id), and rows without id.
+
+    Rows that repeat an id with the same words give one row.  Where rows share the smallest id of a class but have unlike
+    texts, each of these texts stays: an id alone doesn't make two texts copies.  An empty table gives no rows; clashing
+    names of other columns do no harm.
+    """
+    mark, words = fresh_names(df, "_mark", "_words")
+    stay = near_duplicates(df, id_col, text_col).select(F.col(id_col).cast("long").alias(mark), "class_id").filter(F.col(mark) == F.col("class_id")).select(mark).distinct()
+    same = F.sha2(F.trim(F.regexp_replace(F.lower(text_of(text_col)), "[ \\t\\n\\x0B\\f\\r]+", " ")), 256)
+    named = df.filter(F.col(id_col).isNotNull()).withColumn(mark, F.col(id_col).cast("long")).join(stay, mark, "left_semi")
+    named = named.withColumn(words, same).dropDuplicates([mark, words]).select(*df.columns)
     return named.unionByName(df.filter(F.col(id_col).isNull()))

@@ -140,3 +140,15 @@ def test_edges_of_the_contract(spark):
     kept = nd.keep_representatives(d)
     assert kept.columns == d.columns and kept.count() == 4
     assert nd.near_duplicates(d.limit(0)).count() == 0
+
+
+def test_unlike_texts_of_one_id_all_stay(spark):
+    from tessera.llm import near_dedup
+
+    text = lambda seed: " ".join(f"w{seed}x{i}" for i in range(30))
+    rows = [(1, text(1), 0, 0), (1, text(2), 0, 0), (2, text(3), 0, 0), (2, "  " + text(3).upper() + "\n", 0, 0), (3, text(3), 0, 0), (None, text(1), 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _mark int, _words int")
+    kept = near_dedup.keep_representatives(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text.split()[0].lower()) for r in kept.collect()) == [(0, "w1x0"), (1, "w1x0"), (1, "w2x0"), (2, "w3x0")]
+    assert near_dedup.keep_representatives(df.limit(0)).count() == 0
