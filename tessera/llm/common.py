@@ -76,10 +76,6 @@ class Recent:
         self.weight = 0
         self.passing: list = []
 
-    def _remember(self, key, value) -> None:
-        self.young[key] = value
-        self.weight += self.FIXED + self.PER_CHARACTER * len(key)
-
     def ready(self, keys: Iterable) -> dict:
         """A mapping that holds every key of ``keys`` until the next call."""
         for k in self.passing:
@@ -88,21 +84,20 @@ class Recent:
         if self.weight > self.most:
             self.old, self.young, self.weight = self.young, {}, 0
         young, old = self.young, self.old
-        fresh = []
+        fresh, back = [], []
         for k in keys:
             if k not in young:
                 if k in old:
-                    self._remember(k, old[k])
+                    young[k] = old[k]
+                    back.append(k)
                 else:
                     fresh.append(k)
         if fresh:
             fresh = list(dict.fromkeys(fresh))
-            for k, v in zip(fresh, self.make(fresh)):
-                if len(k) > self.LONGEST:
-                    young[k] = v
-                    self.passing.append(k)
-                else:
-                    self._remember(k, v)
+            young.update(zip(fresh, self.make(fresh)))
+            self.passing = [k for k in fresh if len(k) > self.LONGEST]
+        self.weight += self.FIXED * (len(fresh) + len(back)) + self.PER_CHARACTER * (sum(map(len, fresh)) + sum(map(len, back)))
+        self.weight -= sum(self.FIXED + self.PER_CHARACTER * len(k) for k in self.passing)
         return young
 
 
