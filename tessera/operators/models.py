@@ -13,7 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregate import exact_median, row_mean
+from .aggregate import exact_median, row_mean, top_and_bottom
 
 
 def binary_metrics(df: DataFrame, keys: list[str], score: str, label: str, threshold: float = 0.5) -> DataFrame:
@@ -259,33 +259,50 @@ def driver_score(df: DataFrame, directions: dict[str, int], min_rows: int = 3) -
     return row_mean(scores) if scores else None
 
 
-def shocked(df: DataFrame, directions: dict[str, int], shock: float) -> DataFrame:
+def shocked(df: DataFrame, directions: dict[str, int], shock: float | Column) -> DataFrame:
     """Every driver moved by ``shock`` in its direction (1: more is better supply, -1: more is more pressure)."""
     return df.withColumns({c: F.col(c) * (1.0 + shock * direction) for c, direction in directions.items()})
 
 
-def scenario_table(df: DataFrame, id_col: str, directions: dict[str, int], target: str | None, min_target_rows: int = 3) -> DataFrame:
+def scenario_table(df: DataFrame, id_col: str, directions: dict[str, int], targets: str | list[str] | None, min_target_rows: int = 3) -> DataFrame:
     """Boosted trees (depth 4) of the target on its drivers, scored on the drivers as they are, moved down and moved up.
 
-    ``directions`` names the drivers and which way each moves in the high scenario.  With too few target values
-    the target is the drivers' own score.  The target is never a driver of itself (H2).
+    ``directions`` names the drivers and which way each moves in the high scenario.  The target is the first of
+    ``targets`` with enough values, or the drivers' own score if none has.  It is never a driver of itself (H2).
+    ``df`` has one row per id; the three scenarios are scored in one pass.
     """
-    drivers = {c: v for c, v in directions.items() if c != target}
-    known = df.agg(F.count(target)).first()[0] if target else 0
-    proxy = known < min_target_rows
-    if proxy:
+    targets = [targets] if isinstance(targets, str) else list(targets or [])
+    counts = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in {*targets, *directions}]).first()
+    target = next((t for t in targets if counts[t] >= min_target_rows), None)
+    drivers = {c: v for c, v in directions.items() if c != target and counts[c]}
+    if target is None:
         score = driver_score(df, drivers, min_target_rows)
         y = F.coalesce(score, F.lit(0.0)) if score is not None else F.lit(0.0)
     else:
         middle = exact_median(df, [], target).first()[0]
         y = F.coalesce(F.col(target).cast("double"), F.lit(middle))
-    counts = df.agg(*[F.count(c).alias(c) for c in drivers]).first()
-    drivers = {c: v for c, v in drivers.items() if counts[c]}
     data = df.withColumn("_y", y)
     trees = GBTRegressor(featuresCol="features", labelCol="_y", maxDepth=4, seed=SEED)
     fitted = Pipeline(stages=[*_prep_stages(list(drivers)), trees]).fit(data)
-    out = data.select(id_col)
-    for name, shock in (("baseline", 0.0), ("low", -SHOCK), ("high", SHOCK)):
-        scored = fitted.transform(shocked(data, drivers, shock)).select(id_col, F.col("prediction").alias(f"scenario_{name}"))
-        out = out.join(scored, id_col)
-    return out.withColumns({"target_metric": F.lit("proxy_driver_score" if proxy else target), "target_is_proxy": F.lit(proxy)})
+    shocks = {"baseline": 0.0, "low": -SHOCK, "high": SHOCK}
+    moves = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("shock")) for n, v in shocks.items()]))
+    rows = shocked(data.select(id_col, *drivers, moves.alias("_move")), drivers, F.col("_move.shock"))
+    out = fitted.transform(rows).groupBy(id_col).agg(
+        *[F.max(F.when(F.col("_move.name") == n, F.col("prediction"))).alias(f"scenario_{n}") for n in shocks])
+    return out.withColumns({"target_metric": F.lit(target or "proxy_driver_score"), "target_is_proxy": F.lit(target is None)})
+
+
+def mean_fold_scores(folds: DataFrame) -> DataFrame:
+    """Mean over the folds of every fold metric, each fold counting once."""
+    names = [c for c in folds.columns if c not in ("fold", "n", "top_feature")]
+    return folds.agg(F.count(F.lit(1)).alias("n_folds"), *[F.avg(c).alias(f"mean_{c}") for c in names])
+
+
+def extreme_residuals(scored: DataFrame, id_col: str, k: int = 15) -> DataFrame:
+    """The ``k`` highest and ``k`` lowest residuals with their place (1 is the most extreme), ties to the smaller id.
+
+    Rows without a residual take no part; a table of fewer than ``2 k`` rows has rows on both sides.
+    """
+    both = top_and_bottom(scored, "residual", k, [id_col])
+    sign = F.when(F.col("side") == "top", -1).otherwise(1)
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("side").orderBy(sign * F.col("residual"), id_col)).cast("int"))

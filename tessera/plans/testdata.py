@@ -8,6 +8,8 @@ Doubles are rounded at the end so the two engines hash alike.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -1422,7 +1424,7 @@ def scenario_shocks(spark: SparkSession, d: str) -> DataFrame:
     """Drivers of the scenario table and their values in the low and high scenario, with the drivers' own score."""
     from ..operators import models as M
 
-    snap = market_snapshot_la(spark, d).select("lad_code", *SCENARIO_DRIVERS)
+    snap = tidy(market_snapshot_la(spark, d).select("lad_code", *SCENARIO_DRIVERS))
     out = snap.withColumn("driver_score", M.driver_score(snap, SCENARIO_DRIVERS))
     for name, shock in (("low", -M.SHOCK), ("high", M.SHOCK)):
         moved = M.shocked(snap, SCENARIO_DRIVERS, shock)
@@ -1502,42 +1504,52 @@ def scenario_table(spark: SparkSession, d: str) -> DataFrame:
     growth = W.first_last_growth(price_series(spark, d, lk, grain="la"), ["geography"], "month", "value").select(
         F.col("geography").alias("lad_code"), F.col("growth_pct").alias("hpi_growth")
     )
-    base = snap.join(growth, "lad_code", "left")
-    out = M.scenario_table(base, "lad_code", SCENARIO_DRIVERS, "hpi_growth")
+    base = tidy(snap.join(growth, "lad_code", "left"))
+    out = M.scenario_table(base, "lad_code", SCENARIO_DRIVERS, ["hpi_growth", "price_earnings_ratio"])
     r = lambda c: F.round(c, 6).alias(c)
     return out.select("lad_code", r("scenario_baseline"), r("scenario_low"), r("scenario_high"), "target_metric", "target_is_proxy")
 
 
 @query
 def playbook_scoreboard(spark: SparkSession, d: str) -> DataFrame:
-    """Scoreboard over targets and geographies."""
+    """Scoreboard over targets and geographies.
+
+    The panels are small aggregates, written once; the targets are independent fits and are submitted together.
+    """
     lk = la_lookup(spark, d)
     pts = tidy(Y.index_points(_series(spark, d).where(F.col("frequency") == "monthly")))
-    hpi = PB.hpi_growth_target(pts)
+    states = tidy(Y.smoothing_states(pts))
     _, a, b, c, _, _ = _horizon_frames(spark, d)
-    afford = PB.affordability_target(c, "lad_code", "year", "ratio")
-    spread = spread_12m(spark, d).withColumn("month", F.to_date("month"))
-    div = PB.divergence_target(spread, "region_name", "month", "spread")
-    trend = PB.trend_target(_region_year_totals(spark, d, lk), "region_name", "year", "total", "supply_trend")
+    c = tidy(c)
+    spread = tidy(spread_12m(spark, d).withColumn("month", F.to_date("month")))
     # Vacancy pressure: change of the open-order share between the last two financial years per LA.
-    la = la_supply(spark, d, lk)
+    la = tidy(la_supply(spark, d, lk))
     fy_last = la.agg(F.max(F.struct(P.period_sort_key("financial_year").alias("k"), F.col("financial_year").alias("p")))).scalar().getField("p")
     share = la.groupBy("lad_code", "financial_year", "fy_start").agg(
         (F.sum(F.when(F.col("measure") == "O", F.col("dwellings"))) / F.sum("dwellings")).alias("open_share")
     )
     w = Window.partitionBy("lad_code").orderBy("fy_start")
     share = share.withColumn("delta", (F.col("open_share") - F.lag("open_share").over(w)) * 100.0).where(F.col("financial_year") == fy_last)
-    vac = market_snapshot_la(spark, d).join(share.select("lad_code", "delta"), "lad_code")
-    vacancy = PB.vacancy_class_target(vac, "lad_code", ["population", "median_price", "mean_earnings", "fuel_share_a"], "delta")
-    band = PB.price_band_target(c, "lad_code", "year", "ratio")
+    vac = tidy(market_snapshot_la(spark, d).join(share.select("lad_code", "delta"), "lad_code"))
     # Supply shortfall: completions (status F) below starts (status O) in an authority's financial year.
-    sc = la.groupBy("lad_code", "fy_start").agg(
+    sc = tidy(la.groupBy("lad_code", "fy_start").agg(
         F.sum(F.when(F.col("measure") == "O", F.col("dwellings"))).alias("starts"),
         F.sum(F.when(F.col("measure") == "F", F.col("dwellings"))).alias("completions"),
         F.sum(F.when(F.col("measure") == "P", F.col("dwellings"))).alias("pending"),
-    ).withColumn("short", (F.col("completions") < F.col("starts")).cast("int")).withColumn("key", F.concat_ws("-", "lad_code", "fy_start"))
-    shortfall = PB.shortfall_target(sc, "key", ["starts", "pending", "fy_start"], "short")
-    board = PB.scoreboard([hpi, afford, band, div, trend, vacancy, shortfall])
+    ).withColumn("short", (F.col("completions") < F.col("starts")).cast("int")).withColumn("key", F.concat_ws("-", "lad_code", "fy_start")))
+    open_share = sc.withColumn("open_share", F.col("starts") / (F.coalesce("starts", F.lit(0.0)) + F.coalesce("completions", F.lit(0.0)) + F.coalesce("pending", F.lit(0.0))))
+    targets = [
+        *[lambda h=h: PB.hpi_growth_target(pts, holdout=h, states=states) for h in (12, 24)],
+        *[lambda h=h: PB.affordability_target(c, "lad_code", "year", "ratio", h) for h in (1, 2, 3)],
+        lambda: PB.price_band_target(c, "lad_code", "year", "ratio"),
+        lambda: PB.divergence_target(spread, "region_name", "month", "spread"),
+        lambda: PB.trend_target(_region_year_totals(spark, d, lk), "region_name", "year", "total", "supply_trend"),
+        lambda: PB.adoption_target(open_share, "lad_code", "fy_start", "open_share", ["completions", "pending"]),
+        lambda: PB.vacancy_class_target(vac, "lad_code", ["population", "median_price", "mean_earnings", "fuel_share_a"], "delta"),
+        lambda: PB.shortfall_target(sc, "key", ["starts", "pending", "fy_start"], "short"),
+    ]
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        board = PB.scoreboard(list(pool.map(lambda target: target(), targets)))
     r = lambda col: F.round(col, 6).alias(col)
     return board.select("target", "geography", "model", "metric", r("value"), r("baseline_value"), r("delta_vs_baseline"),
                         r("estimate"), r("estimate_p10"), r("estimate_p90"), "note")

@@ -42,7 +42,7 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_an_oracle_or_is_a_model():
     models = {"lagged_gbt", "lagged_gbt_backtest", "group_kfold_elastic_net", "group_kfold_gbt", "kmeans_embeddings", "pca_2d", "bisecting", "scenario_table",
-              "playbook_scoreboard"}
+              "playbook_scoreboard", "price_quantile_bands"}
     assert set(QUERIES) - set(SQL) == models
 
 
