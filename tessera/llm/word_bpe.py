@@ -17,7 +17,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -63,6 +63,7 @@ class WordBpe:
                 inside[a << 8 | b] = 1
         self.inside = bytes(inside)
         self.words = Recent(lambda keys: (self.encode_word(k.encode()) for k in keys), 300_000)
+        self.spelt = Recent(lambda keys: (self.spelling(self.encode_word(k.encode())) for k in keys), 300_000)
 
     def cuts(self, word: bytes) -> list[int]:
         """Certain cuts of a word: places between two bytes that are neighbours in no token."""
@@ -91,6 +92,26 @@ class WordBpe:
                     out += known[piece]
         return out
 
+    def spelling(self, ids: list[int]) -> tuple[int, str, str]:
+        """Number of ids, the ids as decimal text and the decoded text, both joined by one space."""
+        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+
+    def spell_chunks(self, chunks: list[str]) -> Iterator[tuple[int, str, str]]:
+        """``spelling`` of every chunk, put together from the spellings of its pieces; all pieces are looked up at once."""
+        find, marked = self.pieces.findall, bool(self.special_split)
+        pieces = [None if marked and "<" in c else find(normal(c)) for c in chunks]
+        known = self.spelt.ready([p for ps in pieces if ps for p in ps])
+        for chunk, ps in zip(chunks, pieces):
+            if ps is None:
+                yield self.spelling(self.encode_chunk(chunk))
+            elif len(ps) == 1:
+                yield known[ps[0]]
+            elif ps:
+                got = [known[p] for p in ps]
+                yield sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
+            else:
+                yield 0, "", ""
+
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder: tokens are joined by one space, end marks and byte letters as they are."""
         return " ".join(map(self.tokens.__getitem__, ids))
@@ -227,12 +248,7 @@ def _per_text(df: DataFrame, path: str, id_col: str, text_col: str, columns: str
     def run(it):
         bpe = loaded(path)
 
-        def make(keys: list[str]):
-            for k in keys:
-                ids = bpe.encode_chunk(k)
-                yield len(ids), " ".join(map(str, ids)), bpe.decode(ids)
-
-        memory = Recent(make, 350_000)
+        memory = Recent(bpe.spell_chunks, 350_000)
         for b, texts in batches(it, "_text"):
             for start in range(0, len(texts), 50):
                 cut = [chunks(t) for t in texts[start : start + 50]]
