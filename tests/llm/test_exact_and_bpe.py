@@ -21,7 +21,7 @@ def lower(t):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
 
 
-@pytest.mark.parametrize("runs,fan_in", [(256, 16), (27, 3), (8, 2)])
+@pytest.mark.parametrize("runs,fan_in", [(256, 16), (27, 3), (8, 2), (64, 4)])
 def test_exact_dedup_brute_force(spark, runs, fan_in):
     rng = random.Random(1)
     texts = ODD + [rng.choice(["Hot copy", "hot COPY", "ÀB", "àb", "Éa", "Ⅷ", "ⅷ", None, ""]) for _ in range(300)]
@@ -52,6 +52,31 @@ def test_exact_dedup_is_native(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_runs_meet_in_binomial_rounds(spark):
+    runs = spark.range(64).select(F.col("id").cast("int").alias("r"))
+    for step, fan_in in ((1, 2), (2, 2), (8, 2), (1, 4), (16, 4)):
+        got = {x.r: x.t for x in runs.select("r", exact_dedup.receiver(F.col("r"), step, fan_in).alias("t")).collect()}
+        assert all(got[r + j * step] == r for r in range(0, 64, step * fan_in) for j in range(fan_in))
+    assert [exact_dedup.run_count(n) for n in (1, 16, 17, 211, 4096)] == [16, 16, 64, 256, 4096]
+
+
+@pytest.mark.parametrize("keep,want", [("max", 9), ("min", 2)])
+def test_merge_sorts_and_keeps_the_best_id(spark, keep, want):
+    rows = [(0, b"k", 1, 7, i, 2) for i in (5, 9, None, 2)] + [(0, b"l", 1, 7, None, 1), (4, b"k", 1, 7, 1, 1)]
+    merged = exact_dedup.merge_runs(spark.createDataFrame(rows, "_run int, _sha binary, _bytes int, _check long, _best long, _n long"), keep)
+    assert {(r._run, bytes(r._sha)): (r._best, r._n) for r in merged.collect()} == {(0, b"k"): (want, 8), (0, b"l"): (None, 1), (4, b"k"): (1, 1)}
+    plan = merged._jdf.queryExecution().toString()
+    assert "SortAggregate" in plan and "HashAggregate" not in plan
+
+
+def test_keep_first_with_clashing_names(spark):
+    rows = [(1, "a", "x", "y", 0, 0), (2, "A", "x", "y", 0, 0), (None, "b", None, None, 1, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _mark_id string, _mark_sha string, _run int, _best int")
+    for keep, first in (("max", 2), ("min", 1)):
+        kept = exact_dedup.keep_first(d, keep=keep)
+        assert kept.columns == d.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, first]
+
+
 def test_bpe_equals_library(spark):
     tk = Tokenizer.from_file(queries.WORD_VOCAB)
     texts = ODD + [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
