@@ -8,10 +8,10 @@ manifests) and are covered by the test suite instead of a registered query.
 
 from __future__ import annotations
 
-from . import extended, extended_sql, oracle, targets, testdata
+from . import briefing, briefing_sql, extended, extended_sql, oracle, targets, testdata
 
-QUERIES = dict(testdata.Q) | extended.Q | targets.Q
-SQL = dict(oracle.SQL) | extended_sql.SQL | targets.SQL
+QUERIES = dict(testdata.Q) | extended.Q | targets.Q | briefing.Q
+SQL = dict(oracle.SQL) | extended_sql.SQL | targets.SQL | briefing_sql.SQL
 
 COVERAGE: dict[str, list[str]] = {
     "region_supply_by_fy": ["P1", "X4", "J8", "A1", "B2"],
@@ -88,7 +88,7 @@ COVERAGE: dict[str, list[str]] = {
     "bisecting": ["M6"],
     "scenario_table": ["M10", "A16"],
     "playbook_scoreboard": ["M11", "M12", "M13", "M14", "M15", "M16", "M17", "M18", "M19", "M20", "S9", "X14", "A15"],
-} | extended.COVERAGE | targets.COVERAGE
+} | extended.COVERAGE | targets.COVERAGE | briefing.COVERAGE
 
 # Operators on files and inline frames, covered by tests/test_sources.py and tests/test_tidy_and_ops.py.
 LIBRARY_ONLY: dict[str, str] = {
