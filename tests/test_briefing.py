@@ -13,7 +13,7 @@ def table(name, *cols):
 def test_labels_of_every_style(spark):
     d = spark.createDataFrame([(1234567.4,), (-0.04,), (None,)], "v double")
     shown = {s: [r[0] for r in d.select(B.metric_label(s, d.v)).collect()] for s in ("count", "share", "decimal", "pound", "signed")}
-    assert shown["count"] == ["1,234,567", "-0", "—"] and shown["share"][0] == "1,234,567.4" and shown["decimal"][0] == "1,234,567.40"
+    assert shown["count"] == ["1,234,567", "0", "—"] and shown["share"][0] == "1,234,567.4" and shown["decimal"][0] == "1,234,567.40"
     assert shown["pound"][0] == "£1,234,567" and shown["signed"][0] == "+1,234,567.4"
     assert {v[2] for v in shown.values()} == {"—"}
 
