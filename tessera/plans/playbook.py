@@ -25,6 +25,7 @@ from ..operators.quantile_boosting import band_loss_columns
 
 SCORE_COLUMNS = ["target", "geography", "model", "metric", "value", "baseline_value", "estimate", "estimate_p10", "estimate_p90", "note"]
 MIN_ROWS = 8
+PART_ROWS = 20_000  # rows of a panel's partition
 SEED = 42
 
 
@@ -70,6 +71,16 @@ def hpi_growth_target(pts: DataFrame, season: int = 12, holdout: int = 12, state
     return out.unionByName(short, allowMissingColumns=True)
 
 
+def small(panel: DataFrame) -> DataFrame:
+    """A panel kept for its fits in as many partitions as its rows need.
+
+    Its rows are areas times periods, but it comes in the partitions of the large shuffles that it was summed up in, and
+    every one of the many jobs of a fit has a task for each of them.
+    """
+    kept = panel.persist()
+    return kept.coalesce(-(-kept.count() // PART_ROWS) or 1).persist()
+
+
 def _assembled(df: DataFrame, features: list[str]) -> list:
     """Median imputation and assembly of the features of which ``df`` knows any value (deep lags of a short panel may have none)."""
     known = df.agg(*[F.count(c).alias(c) for c in features]).first()
@@ -97,7 +108,7 @@ def affordability_target(panel: DataFrame, geo: str, year: str, value: str, hori
     +-1.64 sigma band from test residuals, median-change baseline."""
     spark = panel.sparkSession
     target = f"affordability_change_{horizon}y"
-    x = change_panel(panel, geo, year, value, horizon).persist()
+    x = small(change_panel(panel, geo, year, value, horizon))
     if x.limit(MIN_ROWS).count() < MIN_ROWS:
         return _no_rows(spark, target, "too few panel rows")
     cut = known_cut(x)
@@ -131,7 +142,7 @@ def divergence_target(spread: DataFrame, geo: str, t: str, value: str) -> DataFr
     x = x.withColumn("size", F.lead(value, 1).over(w) - F.col(value)).withColumn("label", (F.col("size") > 0).cast("double")).na.drop(subset=["label", "lag_3"])
     if x.limit(MIN_ROWS).count() < MIN_ROWS:
         return _no_rows(spark, "divergence_sign", "too few rows")
-    x = x.withColumn("_train", F.row_number().over(w) <= F.floor(F.count(F.lit(1)).over(Window.partitionBy(geo)) * 0.7)).persist()
+    x = small(x.withColumn("_train", F.row_number().over(w) <= F.floor(F.count(F.lit(1)).over(Window.partitionBy(geo)) * 0.7)))
     train, test = x.where("_train"), x.where(~F.col("_train"))
     feats = [value, "lag_1", "lag_2", "lag_3"]
     from pyspark.ml.functions import vector_to_array
@@ -180,7 +191,7 @@ def adoption_target(panel: DataFrame, geo: str, year: str, value: str, drivers:
 
     spark = panel.sparkSession
     w = Window.partitionBy(geo).orderBy(year)
-    x = panel.select(geo, F.col(year).cast("double").alias("_t"), *drivers, (F.col(value) - F.lag(value).over(w)).alias("delta")).where(F.col("delta").isNotNull()).persist()
+    x = small(panel.select(geo, F.col(year).cast("double").alias("_t"), *drivers, (F.col(value) - F.lag(value).over(w)).alias("delta")).where(F.col("delta").isNotNull()))
     years = [r[0] for r in x.select("_t").distinct().orderBy("_t").collect()]
     if len(years) < 2 or x.limit(MIN_ROWS).count() < MIN_ROWS:
         return _no_rows(spark, "adoption_change_1y", "too few panel rows")
@@ -275,7 +286,7 @@ def price_band_target(panel: DataFrame, geo: str, year: str, value: str) -> Data
     P10-P90 coverage on the test years, against a last-value baseline.
     """
     spark = panel.sparkSession
-    x = price_panel(panel, geo, year, value).where(F.col("target").isNotNull()).persist()
+    x = small(price_panel(panel, geo, year, value).where(F.col("target").isNotNull()))
     cuts = year_cuts(x, year, 0.6, 0.8)
     if cuts is None:
         return _no_rows(spark, "price_band", "too few panel rows")
@@ -310,7 +321,7 @@ def shortfall_target(df: DataFrame, id_col: str, features: list[str], label_col:
     n_cls = x.select("label").distinct().count()
     if n_cls < 2 or x.limit(MIN_ROWS).count() < MIN_ROWS:
         return _no_rows(spark, "supply_shortfall", "one class only or too few rows")
-    x = x.withColumn("fold", (F.abs(F.xxhash64(id_col)) % folds).cast("int"))
+    x = small(x.withColumn("fold", (F.abs(F.xxhash64(id_col)) % folds).cast("int")))
     oof = None
     for f in range(folds):
         tr, te = x.where(F.col("fold") != f), x.where(F.col("fold") == f)
@@ -323,7 +334,7 @@ def shortfall_target(df: DataFrame, id_col: str, features: list[str], label_col:
         return _no_rows(spark, "supply_shortfall", "no usable folds")
     # Sigmoid calibration: a one-feature logistic on the out-of-fold margins of the other folds, so every row is
     # scored by a calibrator that has not seen it.
-    oof, scored = oof.persist(), None
+    oof, scored = small(oof), None
     for f in range(folds):
         others, own = oof.where(F.col("fold") != f), oof.where(F.col("fold") == f)
         if others.select("label").distinct().count() < 2 or own.limit(1).count() == 0:

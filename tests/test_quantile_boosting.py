@@ -117,3 +117,24 @@ def test_playbook_targets_by_horizon(spark):
     assert few.note is None and few.value is not None
     short = PB.adoption_target(panel.limit(2), "g", "y", "v", ["d"]).first()
     assert short.note == "too few panel rows" and short.value is None
+
+
+def test_playbook_fits_run_over_as_many_partitions_as_rows_need(spark, monkeypatch):
+    class Reached(Exception):
+        pass
+
+    def fit(self, df):
+        seen.append(df.rdd.getNumPartitions())
+        raise Reached
+
+    seen = []
+    monkeypatch.setattr(PB.Pipeline, "fit", fit)
+    panel = spark.range(400).selectExpr("concat('a', id % 20) as g", "cast(2000 + id div 20 as int) as y", "cast(id * 37 % 101 as double) as v")
+    wide = panel.repartition(40, "g").persist()  # as it comes out of a large shuffle
+    with pytest.raises(Reached):
+        PB.affordability_target(wide, "g", "y", "v", 1)
+    assert seen == [1]
+    monkeypatch.setattr(PB, "PART_ROWS", 100)
+    kept = PB.small(wide)
+    assert kept.rdd.getNumPartitions() == 4 and sorted(kept.collect()) == sorted(panel.collect())
+    assert PB.small(panel.limit(0)).count() == 0
