@@ -13,6 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .aggregate import exact_median, row_mean, top_and_bottom
 
 
@@ -151,9 +152,12 @@ def grouped_cv(
             imp = None
         elif model == "gbt":
             est = GBTRegressor(featuresCol="features", labelCol="_y", seed=SEED, **GBT_PARAMS)
-            fitted = Pipeline(stages=[*_prep_stages(features), est]).fit(train)
-            p = fitted.transform(test)
-            imp = fitted.stages[-1].featureImportances.toArray().tolist()
+            prep = Pipeline(stages=_prep_stages(features)).fit(train)
+            # a fit runs a job per tree and level, and every task of them carries the plan behind the training rows
+            rows = cut_lineage(prep.transform(train).select("features", "_y"))
+            fitted = est.fit(rows)
+            p = fitted.transform(prep.transform(test))
+            imp = fitted.featureImportances.toArray().tolist()
         else:
             raise ValueError(f"unknown model {model!r}")
         cols = p.select(id_col, group_col, "fold", F.col("_y").alias("actual"), F.col("prediction").alias("predicted"))

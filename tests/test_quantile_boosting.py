@@ -138,3 +138,26 @@ def test_playbook_fits_run_over_as_many_partitions_as_rows_need(spark, monkeypat
     kept = PB.small(wide)
     assert kept.rdd.getNumPartitions() == 4 and sorted(kept.collect()) == sorted(panel.collect())
     assert PB.small(panel.limit(0)).count() == 0
+
+
+def test_fold_trees_start_from_written_rows(spark, monkeypatch):
+    class Trees(M.GBTRegressor):
+        def fit(self, df):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().fit(df)
+
+    plans = []
+    monkeypatch.setattr(M, "GBT_PARAMS", {"maxIter": 3, "stepSize": 0.05, "maxDepth": 2})
+    rows = [(i, f"r{i % 4}", float(i % 17), None if i % 9 == 0 else float(i % 5), float(i * 37 % 101)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, g string, a double, b double, v double").coalesce(1)
+    monkeypatch.setattr(M, "GBTRegressor", Trees)
+    preds, _ = M.grouped_cv(df, "id", ["a", "b"], "v", "g", k=2, model="gbt")
+    assert len(plans) == 2 and not any("InMemory" in p or "Join" in p for p in plans)
+    got = {r.id: r.predicted for r in preds.collect()}
+    data = df.withColumn("_y", F.col("v")).join(M.fold_table(df, "g", 2), "g")
+    for f in (0, 1):
+        est = M.GBTRegressor(featuresCol="features", labelCol="_y", seed=M.SEED, **M.GBT_PARAMS)
+        whole = M.Pipeline(stages=[*M._prep_stages(["a", "b"]), est]).fit(data.where(F.col("fold") != f))
+        for r in whole.transform(data.where(F.col("fold") == f)).collect():
+            assert got[r.id] == pytest.approx(r.prediction)
+    assert len(got) == 120
