@@ -230,46 +230,51 @@ def windows(streams: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray
 
 
 MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+SCALE = np.float32(WIDTH**-0.5)
 LARGEST = np.float32(60)  # exponents are kept within this, so sums of exponentials need no shift
 
 
 def hidden(model: Attention, inputs: np.ndarray, first: int = 0) -> dict:
     """The layer's hidden values of each place from ``first`` on, with what led to them (``a``: attention before it
-    is normalised)."""
+    is normalised; ``q`` is scaled)."""
     p = model.parameters
     bucket = np.where(inputs < 0, BUCKETS, bucket_of(np.maximum(inputs, 0)))
-    x = p["embed"][bucket] + p["place"]
+    x = p["embed"].take(bucket, axis=0)
+    x += p["place"]
     each = x.reshape(-1, WIDTH)  # one large product instead of one per window
-    k, v = ((each @ p[n]).reshape(x.shape) for n in "kv")
+    kv = (each @ np.concatenate([p["k"], p["v"]], axis=1)).reshape(*x.shape[:2], 2 * WIDTH)
+    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
     own = x[:, first:]
-    q = (own.reshape(-1, WIDTH) @ p["q"]).reshape(own.shape)
-    a = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
+    q = (own.reshape(-1, WIDTH) @ (p["q"] * SCALE)).reshape(own.shape)
+    a = q @ k.transpose(0, 2, 1)
     np.clip(a, -LARGEST, LARGEST, out=a)
     np.exp(a, out=a)
     a *= MASK[first:]
-    weight = a.sum(axis=2, keepdims=True)
-    mixed = (a @ v) / weight
+    weight = a @ np.ones((WINDOW, 1), a.dtype)  # sums along short rows are much faster as products
+    mixed = a @ v
+    mixed /= weight
     h = own + (mixed.reshape(-1, WIDTH) @ p["o"]).reshape(own.shape)
-    return {"bucket": bucket, "x": x, "q": q, "k": k, "v": v, "a": a, "weight": weight, "mixed": mixed, "h": h}
+    return {"first": first, "bucket": bucket, "x": x, "q": q, "k": k, "v": v, "a": a, "weight": weight, "mixed": mixed, "h": h}
 
 
 def class_logits(model: Attention, h: np.ndarray, inputs: np.ndarray) -> np.ndarray:
     """Logits of the classes for rows of hidden values and the ids before them; they start from the counts."""
     logits = h @ model.parameters["out"]
-    logits += model.after[inputs]  # the last row is the beginning's
+    logits += model.after.take(inputs, axis=0)  # the last row is the beginning's
     return np.clip(logits, -LARGEST, LARGEST, out=logits)
 
 
-def forward(model: Attention, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Log probability of the class of each target, and what the backward pass needs."""
-    kept = hidden(model, inputs)
+def forward(model: Attention, inputs: np.ndarray, targets: np.ndarray, first: int = 0) -> tuple[np.ndarray, dict]:
+    """Log probability of the class of each target from place ``first`` on, and what the backward pass needs."""
+    kept = hidden(model, inputs, first)
     kept["a"] /= kept["weight"]
-    logits = class_logits(model, kept["h"].reshape(-1, WIDTH), inputs.ravel()).reshape(*inputs.shape, CLASSES)
-    wanted = model.class_of[targets]
-    own = np.take_along_axis(logits, wanted[:, :, None], 2)[:, :, 0]
+    logits = class_logits(model, kept["h"].reshape(-1, WIDTH), inputs[:, first:].ravel())
+    wanted = model.class_of[targets[:, first:]].ravel()
+    own = logits[np.arange(len(wanted)), wanted]
     e = np.exp(logits, out=logits)
-    total = e.sum(axis=2)
-    return own - np.log(total), kept | {"soft": e / total[:, :, None], "wanted": wanted}
+    total = e @ np.ones(CLASSES, e.dtype)
+    e *= (1 / total)[:, None]
+    return (own - np.log(total)).reshape(kept["h"].shape[:2]), kept | {"soft": e, "wanted": wanted}
 
 
 def counted_logs(model: Attention, inputs: np.ndarray, targets: np.ndarray, counted: np.ndarray, first: int = 0) -> np.ndarray:
@@ -277,33 +282,56 @@ def counted_logs(model: Attention, inputs: np.ndarray, targets: np.ndarray, coun
     h, last, wanted = hidden(model, inputs, first)["h"][counted[:, first:]], inputs[counted], targets[counted]
     logits = class_logits(model, h, last)
     own = logits[np.arange(len(last)), model.class_of[wanted]]
-    return own - np.log(np.exp(logits, out=logits).sum(axis=1)) + model.log_in_class(last, wanted)
+    return own - np.log(np.exp(logits, out=logits) @ np.ones(CLASSES, logits.dtype)) + model.log_in_class(last, wanted)
 
 
-def gradients(model: Attention, kept: dict, counted: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean negative log probability over the counted targets."""
-    p = model.parameters
+def gradients(model: Attention, kept: dict, counted: np.ndarray, of: int | None = None) -> dict[str, np.ndarray]:
+    """Of the mean negative log probability over the counted targets, or of their sum divided by ``of``.
+
+    Uses up ``kept["soft"]``.
+    """
+    p, first = model.parameters, kept["first"]
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    d = kept["soft"].copy()
-    np.put_along_axis(d, kept["wanted"][:, :, None], np.take_along_axis(d, kept["wanted"][:, :, None], 2) - 1, 2)
-    d *= (counted / max(1, counted.sum()))[:, :, None].astype(np.float32)
-    g = {"out": flat(kept["h"]).T @ flat(d)}
-    back = lambda t, name: (flat(t) @ p[name].T).reshape(*t.shape[:2], -1)
-    dh = back(d, "out")
-    g["o"] = flat(kept["mixed"]).T @ flat(dh)
-    dm = back(dh, "o")
-    da = dm @ kept["v"].transpose(0, 2, 1)
-    ds = kept["a"] * (da - (da * kept["a"]).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk, dv = ds @ kept["k"], ds.transpose(0, 2, 1) @ kept["q"], kept["a"].transpose(0, 2, 1) @ dm
-    x = flat(kept["x"])
-    g["q"], g["k"], g["v"] = x.T @ flat(dq), x.T @ flat(dk), x.T @ flat(dv)
-    dx = dh + back(dq, "q") + back(dk, "k") + back(dv, "v")
+    mine = counted[:, first:].ravel()
+    d = kept["soft"]
+    d[np.arange(len(d)), kept["wanted"]] -= 1
+    d *= (mine / max(1, int(mine.sum()) if of is None else of)).astype(np.float32)[:, None]
+    mixed, x = flat(kept["mixed"]), flat(kept["x"])
+    g = {"out": flat(kept["h"]).T @ d}
+    dh = d @ p["out"].T
+    g["o"] = mixed.T @ dh
+    dm = dh @ p["o"].T
+    # over a place's weights, the sum of weight x its gradient is that of the mixed value x its gradient
+    through = np.einsum("ij,ij->i", dm, mixed).reshape(*kept["q"].shape[:2], 1)
+    dm = dm.reshape(kept["q"].shape)
+    ds = dm @ kept["v"].transpose(0, 2, 1)
+    ds -= through
+    ds *= kept["a"]
+    dq = flat(ds @ kept["k"]) * SCALE
+    dkv = np.empty((*kept["x"].shape[:2], 2 * WIDTH), dm.dtype)
+    np.matmul(ds.transpose(0, 2, 1), kept["q"], out=dkv[:, :, :WIDTH])
+    np.matmul(kept["a"].transpose(0, 2, 1), dm, out=dkv[:, :, WIDTH:])
+    dkv = flat(dkv)
+    kv = x.T @ dkv
+    g["q"], g["k"], g["v"] = flat(kept["x"][:, first:]).T @ dq, kv[:, :WIDTH], kv[:, WIDTH:]
+    dx = (dkv @ np.concatenate([p["k"], p["v"]], axis=1).T).reshape(kept["x"].shape)
+    dx[:, first:] += (dh + dq @ p["q"].T).reshape(kept["q"].shape)
     g["place"] = dx.sum(axis=0)
-    rows = kept["bucket"].ravel()
-    g["embed"] = np.stack([np.bincount(rows, c, BUCKETS + 1) for c in flat(dx).T], axis=1).astype(np.float32)
+    cell = kept["bucket"].reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    g["embed"] = np.bincount(cell.ravel(), dx.ravel(), (BUCKETS + 1) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
     return g
 
 
+def batch_gradients(model: Attention, x: np.ndarray, y: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of a batch; windows of which only places after their context count are computed from there on."""
+    total = {}
+    for some, first in ((~counted[:, :CONTEXT].any(axis=1), CONTEXT), (counted[:, :CONTEXT].any(axis=1), 0)):
+        if some.any():
+            g = gradients(model, forward(model, x[some], y[some], first)[1], counted[some], int(counted.sum()))
+            total = {k: total[k] + v for k, v in g.items()} if total else g
+    return total
+
+
 def trained(model: Attention, streams_of) -> int:
     """Adam steps over the windows of the streams, in place; the number of ids seen."""
     first = {k: np.zeros_like(v) for k, v in model.parameters.items()}
@@ -314,13 +342,15 @@ def trained(model: Attention, streams_of) -> int:
         order = np.random.default_rng(step).permutation(len(x))
         for at in range(0, len(x), BATCH):
             some = order[at : at + BATCH]
-            _, kept = forward(model, x[some], y[some])
             step += 1
             seen += int(counted[some].sum())
-            for name, g in gradients(model, kept, counted[some]).items():
-                first[name] += 0.1 * (g - first[name])
-                second[name] += 0.01 * (g * g - second[name])
-                model.parameters[name] -= RATE * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
+            for name, g in batch_gradients(model, x[some], y[some], counted[some]).items():
+                m, s = first[name], second[name]
+                m += np.float32(0.1) * (g - m)
+                s += np.float32(0.01) * (g * g - s)
+                by = np.sqrt(s * np.float32(1 / (1 - 0.99**step)))
+                by += np.float32(1e-8)
+                model.parameters[name] -= np.float32(RATE / (1 - 0.9**step)) * m / by
     return seen
 
 

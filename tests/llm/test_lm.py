@@ -148,6 +148,19 @@ def test_gradients_are_right():
             assert abs((up - down) / 2e-5 - g[name][at]) < 2e-5, name
 
 
+def test_batch_gradients_leave_out_only_places_that_do_not_count():
+    m = model()
+    x, y, counted, _ = lm.windows([np.arange(200) % 50, np.arange(5), np.arange(40) % 7], m.end)
+    later = ~counted[:, : lm.CONTEXT].any(axis=1)
+    assert later.any() and not later.all()
+    assert lm.forward(m, x[later], y[later], lm.CONTEXT)[1]["a"].shape[1] == lm.STRIDE
+    for some in (slice(None), later, ~later):
+        want = lm.gradients(m, lm.forward(m, x[some], y[some])[1], counted[some])
+        got = lm.batch_gradients(m, x[some], y[some], counted[some])
+        assert got.keys() == want.keys() == m.parameters.keys()
+        assert all(np.allclose(got[k], want[k], rtol=1e-3, atol=1e-6) for k in want)
+
+
 def test_training_lowers_the_loss():
     m = model()
     rng = np.random.default_rng(0)
