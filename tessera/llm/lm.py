@@ -1,21 +1,21 @@
 """Scores of texts under language models of the training documents.
 
-Base model: words with add-0.1 smoothing.  Counts cover all training documents; the words that make up more than
-one part in ``HOT`` of all tokens (so fewer than ``HOT`` words, whatever the corpus) are sent to the tasks, all
-others meet their counts in a shuffle join.
+Base model: words with add-0.1 smoothing.  Counts cover all training documents; the most frequent words (at most
+``HOT``, whatever the corpus) are sent to the tasks, all others meet their counts in a shuffle join.
 
 Attention model: one causal self-attention layer over subword ids, in numpy.  It gives the distribution of the next
 id's class, starting from how often each class follows the last id; within its class the id has its share of the
 counts after the last id, smoothed by its share of the class.  Id and pair
 counts cover all training documents, and the averaging rounds together train the layer once on each of them: tasks
-train on their own windows and their parameters are averaged.  Classes and class counts are made from all pairs; pairs above one part
-in ``PAIRS`` are sent to the tasks, all others meet the texts' pairs in a shuffle join.  Texts are scored in overlapping windows, many at once under a causal mask; a window's first ids are
+train on their own windows and their parameters are averaged.  Classes and class counts are made from all pairs; the most frequent
+pairs (at most ``PAIRS``) are sent to the tasks, all others meet the texts' pairs in a shuffle join.  Texts are scored in overlapping windows, many at once under a causal mask; a window's first ids are
 context only, so each id is scored exactly once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,55 +23,112 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, small_batches, text_of, to_batch, written
-from .near_dedup import byte_word_hashes
+from .near_dedup import SPACE, byte_word_hashes
 from .packing import loaded
 from .word_bpe import chunks
 
-HOT = 1_000_000
+HOT = 1 << 19  # as many words at most are sent to the tasks
 WINDOW, CONTEXT, WIDTH, CLASSES = 32, 8, 16, 32
 BUCKETS = 4096  # rows of the input embedding; ids share them by a hash
 PROFILE = 16  # hashed neighbours that classes are found from
-PAIRS = 1 << 20  # pairs above one part in PAIRS are sent to the tasks
+PAIRS = 1 << 19  # as many pairs at most are sent to the tasks
 PAIR_SMOOTHING, CLASS_SMOOTHING = 5.0, 5.0
 ROUNDS = 3  # averaging rounds; every training document trains in one of them
 BATCH, RATE = 256, 1e-2
+AT_ONCE = 128  # windows computed together: their arrays stay in the cache
 STRIDE = WINDOW - CONTEXT
 
 
 # The base model
 
 
-def lower_bytes(text: str) -> np.ndarray:
+def lower_bytes(text: str | bytes) -> np.ndarray:
     """UTF-8 bytes with A-Z lower-cased."""
-    data = np.frombuffer(text.encode(), np.uint8)
+    data = np.frombuffer(text.encode() if isinstance(text, str) else text, np.uint8)
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
+def joined_words(texts: list[str]):
+    """Word hashes of some texts at a time, and the number of the text that each word is of."""
+    for some in groups_of(texts, 1 << 16):
+        raw = [texts[i].encode() for i in some]
+        data = lower_bytes(b"\n".join(raw))
+        solid = np.concatenate([[False], ~SPACE[data]])
+        starts = np.flatnonzero(solid[1:] > solid[:-1])
+        edges = np.cumsum([len(r) + 1 for r in raw])
+        yield byte_word_hashes(data), some[0] + np.searchsorted(edges, starts, side="right")
+
+
+def tallied(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row and key once, with their times."""
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    edge = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])[: len(row)])
+    return row[edge], key[edge], np.diff(np.append(edge, len(row)))
+
+
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sum counts of equal keys."""
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+    keys, counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def key_counts(arrays):
+    """Keys and counts of the keys of all arrays, in parts of which each has its keys once."""
+    parts, distinct, keys, held = [], 0, [], 0
+    for a in arrays:
+        keys.append(a)
+        held += len(a)
+        if held > 2_000_000:
+            parts.append(np.unique(np.concatenate(keys), return_counts=True))
+            distinct += len(parts[-1][0])
+            keys, held = [], 0
+            if distinct > 2_000_000:
+                parts = [merged(parts)]
+                distinct = len(parts[0][0])
+                if distinct > 1_000_000:
+                    yield parts[0]
+                    parts, distinct = [], 0
+    if keys:
+        parts.append(np.unique(np.concatenate(keys), return_counts=True))
+    if parts:
+        yield merged(parts) if len(parts) > 1 else parts[0]
+
+
+def least_held(counts: DataFrame, column: str, most: int) -> int:
+    """A count above which there are at most ``most`` rows, the smallest but for counts beyond 65536."""
+    cap = 1 << 16
+    table = counts.groupBy(F.least(F.col(column), F.lit(cap)).alias("n")).agg(F.count(F.lit(1)).alias("rows"), F.sum(column).alias("total")).toPandas()
+    above = 0
+    for n, rows in table.sort_values("n", ascending=False)[["n", "rows"]].itertuples(index=False):
+        if above + rows > most:
+            return int(n) if n < cap else int(table["total"].sum()) // most
+        above += rows
+    return 0
+
+
+def held(counts: DataFrame, key: str, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and counts of a bounded table; each task packs its own, so that few rows reach the driver."""
+
+    def run(it):
+        table = pa.Table.from_batches(it, pa.schema([("k", pa.int64()), ("n", pa.int64())]))
+        yield pa.record_batch({c: pa.array([table.column(c).to_numpy().tobytes()], pa.binary()) for c in ("k", "n")})
+
+    rows = counts.select(F.col(key).alias("k"), F.col(column).alias("n")).mapInArrow(run, "k binary, n binary").collect()
+    keys, n = (np.frombuffer(b"".join(r[c] for r in rows), np.int64) for c in ("k", "n"))
+    order = np.argsort(keys)
+    return keys[order], n[order]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """``h, c``: hash and count of every word of ``_text``; a task adds up its own before the shuffle."""
 
     def run(it):
-        parts, held = [], 0
-        for _, texts in batches(it, "_text"):
-            for t in texts:
-                k, n = np.unique(byte_word_hashes(lower_bytes(t)), return_counts=True)
-                parts.append((k, n))
-                held += len(k)
-                if held > 2_000_000:
-                    parts = [merged(parts)]
-                    held = len(parts[0][0])
-                    if held > 1_000_000:
-                        yield to_batch({"h": parts[0][0].view(np.int64), "c": parts[0][1]}, {"h": pa.int64(), "c": pa.int64()})
-                        parts, held = [], 0
-        if parts:
-            k, n = merged(parts)
-            yield to_batch({"h": k.view(np.int64), "c": n}, {"h": pa.int64(), "c": pa.int64()})
+        for h, c in key_counts(words for _, texts in batches(it, "_text") for words, _ in joined_words(texts)):
+            yield to_batch({"h": h.view(np.int64), "c": c}, {"h": pa.int64(), "c": pa.int64()})
 
     return docs.select("_text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -82,35 +139,37 @@ def base_scores(docs: DataFrame, train: DataFrame) -> DataFrame:
     ends = train.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, kinds = total["n"] + ends, total["v"] + bool(ends)
-    least = tokens // HOT
-    hot = counts.filter(F.col("c") > least).toPandas()  # fewer than HOT words by its condition
-    keys = hot["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    shared = docs.sparkSession.sparkContext.broadcast((keys[order], np.log10(hot["c"].to_numpy(float)[order] + 0.1)))
+    least = least_held(counts, "c", HOT)
+    hot, times = held(counts.filter(F.col("c") > least), "h", "c")  # at most HOT words
+    hot = hot.view(np.uint64)
+    order = np.argsort(hot)
+    shared = docs.sparkSession.sparkContext.broadcast((hot[order], np.log10(times[order] + 0.1)))
     end_log = float(np.log10(ends + 0.1))
 
     def run(it):
         known, logs = shared.value
         for b, texts in batches(it, "_text"):
-            ids, row, h, n, s, known_n, count = [], [], [], [], [], [], []
-            spread = b.column("_key").to_numpy().astype(np.uint64)
-            for i, t in enumerate(texts):
-                words, times = np.unique(byte_word_hashes(lower_bytes(t)), return_counts=True)
+            size = len(texts)
+            own, hot_n, all_n, rare = np.full(size, end_log), np.zeros(size, np.int64), np.zeros(size, np.int64), []
+            for words, owner in joined_words(texts):
+                order = np.argsort(words)  # words in order are found much faster
+                words, owner = words[order], owner[order]
                 at = np.searchsorted(known, words)
                 at[at == len(known)] = 0
                 is_hot = known[at] == words if len(known) else np.zeros(len(words), bool)
-                rare = ~is_hot
-                row.append(np.full(int(rare.sum()) + 1, i))
-                # the text's own row first: hot words and the end; its key only spreads it
-                h.append(np.concatenate([spread[i : i + 1], words[rare]]))
-                n.append(np.concatenate([[0], times[rare]]))
-                own = float(logs[at[is_hot]] @ times[is_hot]) + end_log if is_hot.any() else end_log
-                s.append(np.concatenate([[own], np.zeros(int(rare.sum()))]))
-                known_n.append(np.concatenate([[int(times[is_hot].sum()) + bool(ends)], np.zeros(int(rare.sum()), np.int64)]))
-                count.append(np.concatenate([[int(times.sum()) + 1], np.zeros(int(rare.sum()), np.int64)]))
-            rows = pa.array(np.concatenate(row))
+                own += np.bincount(owner[is_hot], logs[at[is_hot]], size)
+                hot_n += np.bincount(owner[is_hot], minlength=size)
+                all_n += np.bincount(owner, minlength=size)
+                rare.append((owner[~is_hot], words[~is_hot]))
+            row, key, times = tallied(*(np.concatenate(x) for x in zip(*rare)))
+            empty = np.zeros(len(row), np.int64)
+            # the texts' own rows first: hot words and the end; their keys only spread them
+            h = np.concatenate([b.column("_key").to_numpy().astype(np.uint64), key])
+            n, s = np.concatenate([0 * hot_n, times]), np.concatenate([own, empty.astype(float)])
+            known_n, count = np.concatenate([hot_n + bool(ends), empty]), np.concatenate([all_n + 1, empty])
+            rows = pa.array(np.concatenate([np.arange(size), row]))
             yield pa.RecordBatch.from_arrays(
-                [b.column("_id").take(rows), b.column("_key").take(rows), pa.array(np.concatenate(h).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (n, s, known_n, count))],
+                [b.column("_id").take(rows), b.column("_key").take(rows), pa.array(h.view(np.int64)), *map(pa.array, (n, s, known_n, count))],
                 names=["_id", "_key", "h", "n", "s", "k", "t"],
             )
 
@@ -138,7 +197,7 @@ class PairTable:
     """Count of an id after another by open addressing; keys are last * ids + next."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        size = 1 << max(4, int(4 * len(keys)).bit_length())
+        size = 1 << max(4, int(2 * len(keys)).bit_length())
         self.shift = np.uint64(64 - (size.bit_length() - 1))
         self.keys, self.counts = np.full(size, -1, np.int64), np.zeros(size, np.float32)
         self.probes, left = 0, np.arange(len(keys))
@@ -151,6 +210,10 @@ class PairTable:
             left = left[~won]
             self.probes += 1
 
+    def __reduce__(self):
+        used = self.keys >= 0
+        return PairTable, (self.keys[used], self.counts[used])  # tasks get the pairs and make their own table
+
     def slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
         first = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
         return (first.astype(np.int64) + probe) & (len(self.keys) - 1)
@@ -187,7 +250,10 @@ class Attention:
     def log_in_class(self, last: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Log probability of each target in its class after the last id (or -1)."""
         before = np.where(last < 0, len(self.class_of), last)
-        together = self.pairs.get(before * (self.end + 1) + targets)
+        return self.log_of_counts(before, targets, self.pairs.get(before * (self.end + 1) + targets))
+
+    def log_of_counts(self, before: np.ndarray, targets: np.ndarray, together: np.ndarray) -> np.ndarray:
+        """The same from how often each target follows ``before`` (the beginning: the number of ids)."""
         of_class = self.after_count[before, self.class_of[targets]]
         return np.log((together + PAIR_SMOOTHING * self.share[targets]) / (of_class + PAIR_SMOOTHING))
 
@@ -207,6 +273,12 @@ def bucket_of(ids: np.ndarray) -> np.ndarray:
     return ((ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
 
 
+@lru_cache(maxsize=4)
+def buckets(size: int) -> np.ndarray:
+    """Bucket of each id; the last, and so that of -1, is the beginning's."""
+    return np.append(bucket_of(np.arange(size)), BUCKETS)
+
+
 def windows(streams: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, targets (windows x WINDOW), which of them count, and the stream each window is of.
 
@@ -234,102 +306,112 @@ SCALE = np.float32(WIDTH**-0.5)
 LARGEST = np.float32(60)  # exponents are kept within this, so sums of exponentials need no shift
 
 
+CELLS = np.arange((BUCKETS + 1) * WIDTH).reshape(-1, WIDTH)
+
+
 def hidden(model: Attention, inputs: np.ndarray, first: int = 0) -> dict:
-    """The layer's hidden values of each place from ``first`` on, with what led to them (``a``: attention before it
-    is normalised; ``q`` is scaled)."""
+    """The layer's hidden values of each place from ``first`` on, with what led to them.
+
+    Queries meet keys, and values the output, in the products of their matrices: ``q`` is of the inputs themselves,
+    ``mixed`` are mixed inputs.  ``a`` is the attention before it is normalised, ``by`` what normalises it.
+    """
     p = model.parameters
-    bucket = np.where(inputs < 0, BUCKETS, bucket_of(np.maximum(inputs, 0)))
+    bucket = buckets(model.end + 1).take(inputs)
     x = p["embed"].take(bucket, axis=0)
     x += p["place"]
-    each = x.reshape(-1, WIDTH)  # one large product instead of one per window
-    kv = (each @ np.concatenate([p["k"], p["v"]], axis=1)).reshape(*x.shape[:2], 2 * WIDTH)
-    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
     own = x[:, first:]
-    q = (own.reshape(-1, WIDTH) @ (p["q"] * SCALE)).reshape(own.shape)
-    a = q @ k.transpose(0, 2, 1)
+    q = own @ (p["q"] @ p["k"].T * SCALE)
+    a = q @ x.transpose(0, 2, 1)
     np.clip(a, -LARGEST, LARGEST, out=a)
     np.exp(a, out=a)
     a *= MASK[first:]
-    weight = a @ np.ones((WINDOW, 1), a.dtype)  # sums along short rows are much faster as products
-    mixed = a @ v
-    mixed /= weight
-    h = own + (mixed.reshape(-1, WIDTH) @ p["o"]).reshape(own.shape)
-    return {"first": first, "bucket": bucket, "x": x, "q": q, "k": k, "v": v, "a": a, "weight": weight, "mixed": mixed, "h": h}
+    by = 1 / (a @ np.ones((WINDOW, 1), a.dtype))  # sums along short rows are much faster as products
+    mixed = a @ x
+    mixed *= by
+    return {"first": first, "bucket": bucket, "x": x, "q": q, "a": a, "by": by, "mixed": mixed}
 
 
-def class_logits(model: Attention, h: np.ndarray, inputs: np.ndarray) -> np.ndarray:
-    """Logits of the classes for rows of hidden values and the ids before them; they start from the counts."""
-    logits = h @ model.parameters["out"]
-    logits += model.after.take(inputs, axis=0)  # the last row is the beginning's
+def class_logits(start: np.ndarray, out: np.ndarray, values: np.ndarray, inputs: np.ndarray) -> np.ndarray:
+    """Logits of the classes for rows of values and the ids before them; they start from ``start`` of the id."""
+    logits = values @ out
+    logits += start.take(inputs, axis=0)  # the last row is the beginning's
     return np.clip(logits, -LARGEST, LARGEST, out=logits)
 
 
 def forward(model: Attention, inputs: np.ndarray, targets: np.ndarray, first: int = 0) -> tuple[np.ndarray, dict]:
     """Log probability of the class of each target from place ``first`` on, and what the backward pass needs."""
-    kept = hidden(model, inputs, first)
-    kept["a"] /= kept["weight"]
-    logits = class_logits(model, kept["h"].reshape(-1, WIDTH), inputs[:, first:].ravel())
-    wanted = model.class_of[targets[:, first:]].ravel()
-    own = logits[np.arange(len(wanted)), wanted]
+    kept, p = hidden(model, inputs, first), model.parameters
+    h = kept["mixed"].reshape(-1, WIDTH) @ (p["v"] @ p["o"])
+    h += kept["x"][:, first:].reshape(-1, WIDTH)
+    logits = class_logits(model.after, p["out"], h, inputs[:, first:].ravel())
+    cell = model.class_of.take(targets[:, first:].ravel())
+    cell += np.arange(0, logits.size, CLASSES)
+    own = logits.ravel().take(cell)
     e = np.exp(logits, out=logits)
     total = e @ np.ones(CLASSES, e.dtype)
-    e *= (1 / total)[:, None]
-    return (own - np.log(total)).reshape(kept["h"].shape[:2]), kept | {"soft": e, "wanted": wanted}
+    return (own - np.log(total)).reshape(kept["q"].shape[:2]), kept | {"h": h, "e": e, "total": total, "cell": cell}
 
 
-def counted_logs(model: Attention, inputs: np.ndarray, targets: np.ndarray, counted: np.ndarray, first: int = 0) -> np.ndarray:
-    """Log probability of each counted target, class and place in the class together; none before ``first`` counts."""
-    h, last, wanted = hidden(model, inputs, first)["h"][counted[:, first:]], inputs[counted], targets[counted]
-    logits = class_logits(model, h, last)
-    own = logits[np.arange(len(last)), model.class_of[wanted]]
-    return own - np.log(np.exp(logits, out=logits) @ np.ones(CLASSES, logits.dtype)) + model.log_in_class(last, wanted)
-
-
-def gradients(model: Attention, kept: dict, counted: np.ndarray, of: int | None = None) -> dict[str, np.ndarray]:
+def gradients(model: Attention, kept: dict, counted: np.ndarray, of: int | None = None, dx_out: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Of the mean negative log probability over the counted targets, or of their sum divided by ``of``.
 
-    Uses up ``kept["soft"]``.
+    Uses up ``kept["e"]``.  With ``dx_out`` the gradients of the inputs go there and those of ``embed`` are left to the caller.
     """
-    p, first = model.parameters, kept["first"]
+    p, first, x, q = model.parameters, kept["first"], kept["x"], kept["q"]
     flat = lambda t: t.reshape(-1, t.shape[-1])
     mine = counted[:, first:].ravel()
-    d = kept["soft"]
-    d[np.arange(len(d)), kept["wanted"]] -= 1
-    d *= (mine / max(1, int(mine.sum()) if of is None else of)).astype(np.float32)[:, None]
-    mixed, x = flat(kept["mixed"]), flat(kept["x"])
-    g = {"out": flat(kept["h"]).T @ d}
+    share = mine.astype(kept["total"].dtype)
+    share /= max(1, int(mine.sum()) if of is None else of)
+    d = kept["e"]
+    d *= (share / kept["total"])[:, None]
+    d.reshape(-1)[kept["cell"]] -= share
+    own, mixed = flat(x[:, first:]), flat(kept["mixed"])
+    g = {"out": kept["h"].T @ d}
     dh = d @ p["out"].T
-    g["o"] = mixed.T @ dh
-    dm = dh @ p["o"].T
+    vo = mixed.T @ dh
+    g["v"], g["o"] = vo @ p["o"].T, p["v"].T @ vo
+    dm = dh @ (p["v"] @ p["o"]).T
     # over a place's weights, the sum of weight x its gradient is that of the mixed value x its gradient
-    through = np.einsum("ij,ij->i", dm, mixed).reshape(*kept["q"].shape[:2], 1)
-    dm = dm.reshape(kept["q"].shape)
-    ds = dm @ kept["v"].transpose(0, 2, 1)
+    through = np.einsum("ij,ij->i", dm, mixed).reshape(*q.shape[:2], 1)
+    dm = dm.reshape(q.shape)
+    dm *= kept["by"]
+    through *= kept["by"]
+    ds = dm @ x.transpose(0, 2, 1)
     ds -= through
     ds *= kept["a"]
-    dq = flat(ds @ kept["k"]) * SCALE
-    dkv = np.empty((*kept["x"].shape[:2], 2 * WIDTH), dm.dtype)
-    np.matmul(ds.transpose(0, 2, 1), kept["q"], out=dkv[:, :, :WIDTH])
-    np.matmul(kept["a"].transpose(0, 2, 1), dm, out=dkv[:, :, WIDTH:])
-    dkv = flat(dkv)
-    kv = x.T @ dkv
-    g["q"], g["k"], g["v"] = flat(kept["x"][:, first:]).T @ dq, kv[:, :WIDTH], kv[:, WIDTH:]
-    dx = (dkv @ np.concatenate([p["k"], p["v"]], axis=1).T).reshape(kept["x"].shape)
-    dx[:, first:] += (dh + dq @ p["q"].T).reshape(kept["q"].shape)
+    dq = flat(ds @ x)
+    qk = own.T @ dq
+    qk *= SCALE
+    g["q"], g["k"] = qk @ p["k"], qk.T @ p["q"]
+    dx = np.matmul(ds.transpose(0, 2, 1), q, out=dx_out)
+    dx += kept["a"].transpose(0, 2, 1) @ dm
+    dh += dq @ (p["q"] @ p["k"].T * SCALE).T
+    dx[:, first:] += dh.reshape(q.shape)
     g["place"] = dx.sum(axis=0)
-    cell = kept["bucket"].reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-    g["embed"] = np.bincount(cell.ravel(), dx.ravel(), (BUCKETS + 1) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
+    if dx_out is None:
+        g["embed"] = embed_gradients(kept["bucket"], dx)
     return g
 
 
+def embed_gradients(bucket: np.ndarray, dx: np.ndarray) -> np.ndarray:
+    return np.bincount(CELLS.take(bucket.ravel(), axis=0).ravel(), dx.ravel(), CELLS.size).reshape(CELLS.shape).astype(dx.dtype)
+
+
 def batch_gradients(model: Attention, x: np.ndarray, y: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of a batch; windows of which only places after their context count are computed from there on."""
-    total = {}
-    for some, first in ((~counted[:, :CONTEXT].any(axis=1), CONTEXT), (counted[:, :CONTEXT].any(axis=1), 0)):
-        if some.any():
-            g = gradients(model, forward(model, x[some], y[some], first)[1], counted[some], int(counted.sum()))
-            total = {k: total[k] + v for k, v in g.items()} if total else g
-    return total
+    total, of = {}, int(counted.sum())
+    dx, buckets_of = np.empty((*x.shape, WIDTH), model.parameters["embed"].dtype), []
+    starts, done = counted[:, :CONTEXT].any(axis=1), 0
+    for some, first in ((np.flatnonzero(~starts), CONTEXT), (np.flatnonzero(starts), 0)):
+        for at in range(0, len(some), AT_ONCE):
+            part = some[at : at + AT_ONCE]
+            kept = forward(model, x[part], y[part], first)[1]
+            buckets_of.append(kept["bucket"])
+            g = gradients(model, kept, counted[part], of, dx[done : done + len(part)])
+            done += len(part)
+            for k in g:
+                total[k] = total[k] + g[k] if k in total else g[k]
+    return total | {"embed": embed_gradients(np.concatenate(buckets_of), dx)}
 
 
 def trained(model: Attention, streams_of) -> int:
@@ -346,33 +428,71 @@ def trained(model: Attention, streams_of) -> int:
             seen += int(counted[some].sum())
             for name, g in batch_gradients(model, x[some], y[some], counted[some]).items():
                 m, s = first[name], second[name]
-                m += np.float32(0.1) * (g - m)
-                s += np.float32(0.01) * (g * g - s)
-                by = np.sqrt(s * np.float32(1 / (1 - 0.99**step)))
+                m *= np.float32(0.9)
+                m += np.float32(0.1) * g
+                s *= np.float32(0.99)
+                g *= g
+                g *= np.float32(0.01)
+                s += g
+                by = np.sqrt(s, out=g)
+                by *= np.float32((1 - 0.99**step) ** -0.5)
                 by += np.float32(1e-8)
-                model.parameters[name] -= np.float32(RATE / (1 - 0.9**step)) * m / by
+                by = np.divide(m, by, out=by)
+                by *= np.float32(RATE / (1 - 0.9**step))
+                model.parameters[name] -= by
     return seen
 
 
-def log_probabilities(model: Attention, streams: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each stream of ids, its end included."""
-    out = np.zeros(len(streams))
+def class_logs(model: Attention, start: np.ndarray, out: np.ndarray, inputs: np.ndarray, targets: np.ndarray, counted: np.ndarray, first: int) -> np.ndarray:
+    """Log probability of the class of each counted target; none before ``first`` counts.
+
+    ``start`` holds the logits that come of the id before, ``out`` makes those that come of the mixed inputs.
+    """
+    kept, p = hidden(model, inputs, first), model.parameters
+    mine = counted[:, first:].ravel()
+    logits = (p["place"] @ p["out"])[first:] + (kept["mixed"].reshape(-1, WIDTH) @ out).reshape(len(inputs), -1, CLASSES)
+    logits = logits.reshape(-1, CLASSES)
+    logits += start.take(inputs[:, first:].ravel(), axis=0)
+    np.clip(logits, -LARGEST, LARGEST, out=logits)
+    own = logits.ravel().take(np.arange(0, logits.size, CLASSES) + model.class_of.take(targets[:, first:].ravel()))
+    return (own - np.log(np.exp(logits, out=logits) @ np.ones(CLASSES, logits.dtype)))[mine]
+
+
+def stream_scores(model: Attention, streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """log10 probability of each stream of ids, its end included; stream, key and times of the pairs that the model doesn't hold."""
+    p, size = model.parameters, model.end + 1
+    start, out = model.after + (p["embed"] @ p["out"]).take(buckets(size), axis=0), p["v"] @ p["o"] @ p["out"]
+    sums, rows, keys = np.zeros(len(streams)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for group in groups_of(streams, BATCH * STRIDE * 2):
-        x, y, counted, owner = windows([streams[i] for i in group], model.end)
-        sums = np.zeros(len(group))
+        some = [streams[i] for i in group]
+        own = np.repeat(np.arange(len(group)), [len(s) + 1 for s in some])
+        targets = np.concatenate([part for s in some for part in (s, [model.end])])
+        before = np.concatenate([part for s in some for part in ([size], s)])
+        key = before * size + targets
+        together = model.pairs.get(key)
+        total = np.bincount(own, model.log_of_counts(before, targets, together), len(group))
+        rare = together == 0
+        rows.append(group[0] + own[rare])
+        keys.append(key[rare])
+        x, y, counted, owner = windows(some, model.end)
         # the first window of a text counts from its beginning, later ones after their context
         for of, first in ((np.flatnonzero(counted[:, 0]), 0), (np.flatnonzero(~counted[:, 0]), CONTEXT)):
-            for at in range(0, len(of), BATCH):
-                part = of[at : at + BATCH]
+            for at in range(0, len(of), AT_ONCE):
+                part = of[at : at + AT_ONCE]
                 mine = counted[part]
-                logs = counted_logs(model, x[part], y[part], mine, first)
-                sums += np.bincount(np.repeat(owner[part], mine.sum(axis=1)), logs.astype(np.float64), len(group))
-        out[group] = sums
-    return out / np.log(10)
+                logs = class_logs(model, start, out, x[part], y[part], mine, first)
+                total += np.bincount(np.repeat(owner[part], mine.sum(axis=1)), logs, len(group))
+        sums[group] = total
+    return sums / np.log(10), *tallied(np.concatenate(rows), np.concatenate(keys))
 
 
-def groups_of(streams: list[np.ndarray], size: int) -> list[list[int]]:
-    """Consecutive streams in groups of about ``size`` ids."""
+def log_probabilities(model: Attention, streams: list[np.ndarray]) -> np.ndarray:
+    """log10 probability of each stream of ids, its end included."""
+    return stream_scores(model, streams)[0]
+
+
+def groups_of(streams: list, size: int) -> list[list[int]]:
+    """Consecutive streams (or texts) in groups of about ``size`` ids (characters)."""
     out, now, held = [], [], 0
     for i, s in enumerate(streams):
         now.append(i)
@@ -391,8 +511,8 @@ def encoded(docs: DataFrame, vocab_path: str) -> DataFrame:
     def run(it):
         source = loaded(vocab_path)
         for b, texts in batches(it, "_text"):
-            for start in range(0, len(texts), 50):
-                cut = [chunks(t) for t in texts[start : start + 50]]
+            for some in groups_of(texts, 1 << 20):
+                start, cut = some[0], [chunks(texts[i]) for i in some]
                 known = source.memory.ready(set().union(*cut))
                 ids = pa.array([b"".join(map(known.__getitem__, cs)) for cs in cut], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(start, len(cut)) for c in ("_id", "_key", "_held")), ids], names=["_id", "_key", "_held", "_ids"])
@@ -439,20 +559,8 @@ def pair_counts(train: DataFrame, size: int, dtype: np.dtype) -> DataFrame:
     """``at, n``: how often an id follows another (or the beginning) in all training texts."""
 
     def run(it):
-        parts, held = [], 0
-        for b in it:
-            for s in streams_in(b, dtype):
-                last, following = np.concatenate([[size], s]), np.concatenate([s, [size - 1]])
-                parts.append((last * size + following, np.ones(len(last), np.int64)))
-                held += len(last)
-                if held > 2_000_000:
-                    parts = [merged(parts)]
-                    held = len(parts[0][0])
-                    if held > 1_000_000:
-                        yield to_batch({"at": parts[0][0], "n": parts[0][1]}, {"at": pa.int64(), "n": pa.int64()})
-                        parts, held = [], 0
-        if parts:
-            at, n = merged(parts)
+        pairs = (np.append(size, x) * size + np.append(x, size - 1) for b in it for x in streams_in(b, dtype))
+        for at, n in key_counts(pairs):
             yield to_batch({"at": at, "n": n}, {"at": pa.int64(), "n": pa.int64()})
 
     return train.select("_ids").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
@@ -548,11 +656,11 @@ def fit(train: DataFrame, vocabulary: int, dtype: np.dtype) -> tuple[Attention,
     size = vocabulary + 1
     ids = id_counts(train, size, dtype)
     pairs = written(pair_counts(train, size, dtype), "lm-pairs")
-    total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = least_held(pairs, "n", PAIRS)
     class_of = classes_of(summed_over(pairs, "profile", 2 * size * PROFILE, lambda at, n: profile_of(at, n, size)), size)
     after = summed_over(pairs, "after", (size + 1) * CLASSES, lambda at, n: after_of(at, n, class_of))
-    table = pairs.filter(F.col("n") > total // PAIRS).orderBy("at").toPandas()  # fewer than PAIRS by its condition
-    model = from_counts(ids, table["at"].to_numpy(np.int64), table["n"].to_numpy(float), class_of, after)
+    at, times = held(pairs.filter(F.col("n") > least), "at", "n")  # at most PAIRS
+    model = from_counts(ids, at, times.astype(float), class_of, after)
     edges = np.cumsum([0, *(int(np.prod(s)) for s in SHAPES.values())])
 
     def run(it, shared):
@@ -563,7 +671,7 @@ def fit(train: DataFrame, vocabulary: int, dtype: np.dtype) -> tuple[Attention,
             yield to_batch({"at": np.arange(len(flat)), "value": flat, "weight": np.full(len(flat), seen)}, {"at": pa.int64(), "value": pa.float64(), "weight": pa.int64()})
 
     for r in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast(replace(model, pairs=PairTable(np.zeros(0, np.int64), np.zeros(0))))  # training needs no pairs
         some = train.filter(in_round(r)).select("_ids")
         rows = some.mapInArrow(lambda it, shared=shared: run(it, shared), "at long, value double, weight long")
         mean = F.sum(F.col("value") * F.col("weight")) / F.sum("weight")
@@ -571,7 +679,7 @@ def fit(train: DataFrame, vocabulary: int, dtype: np.dtype) -> tuple[Attention,
         if len(table):
             flat = table["value"].to_numpy(np.float32)
             model = replace(model, parameters={k: flat[a:b].reshape(s) for (k, s), a, b in zip(SHAPES.items(), edges, edges[1:])})
-    return model, pairs.filter(F.col("n") <= total // PAIRS)
+    return model, pairs.filter(F.col("n") <= least)
 
 
 def rare_gains(rare: DataFrame, share: np.ndarray) -> DataFrame:
@@ -587,19 +695,6 @@ def rare_gains(rare: DataFrame, share: np.ndarray) -> DataFrame:
     return rare.select("at", "n").mapInArrow(run, "at long, gain double")
 
 
-def rare_pairs_of(model: Attention, streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stream, key and times of the pairs of each stream that the model doesn't hold."""
-    size = model.end + 1
-    row, key, times = [], [], []
-    for i, s in enumerate(streams):
-        at, n = np.unique(np.append(size, s) * size + np.append(s, model.end), return_counts=True)
-        rare = model.pairs.get(at) == 0
-        row.append(np.full(int(rare.sum()), i))
-        key.append(at[rare])
-        times.append(n[rare])
-    return np.concatenate(row), np.concatenate(key), np.concatenate(times)
-
-
 def score_texts(df: DataFrame, held_out, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` of whole texts.
 
@@ -624,11 +719,11 @@ def score_texts(df: DataFrame, held_out, vocab_path: str, id_col: str = "doc_id"
         for b in it:
             if b.num_rows:
                 streams = streams_in(b, dtype)
-                row, key, times = rare_pairs_of(model.value, streams)
+                own_score, row, key, times = stream_scores(model.value, streams)
                 # the text's own row first, at a key that no pair has, then its rare pairs
                 own = np.arange(len(streams))
                 at = np.concatenate([-1 - b.column("_key").to_numpy().astype(np.int64), key])
-                n, s = np.concatenate([0 * own, times]), np.concatenate([log_probabilities(model.value, streams), np.zeros(len(row))])
+                n, s = np.concatenate([0 * own, times]), np.concatenate([own_score, np.zeros(len(row))])
                 rows = pa.array(np.concatenate([own, row]))
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in ("_id", "_key", "_held")), pa.array(at), pa.array(n), pa.array(s)],
                                                  names=["_id", "_key", "_held", "at", "n", "s"])

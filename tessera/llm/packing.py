@@ -13,6 +13,7 @@ padding.
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_right
 
 import numpy as np
@@ -22,16 +23,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Recent, batches, small_batches, text_of, written
-from .word_bpe import chunks
+from .word_bpe import END, chunks
 
 WINDOW = 4096
+# the split pattern of the vocabulary, and what it comes to in lower-case ASCII without white space
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class ChunkIds:
     """Ids of chunks without white space from a tokenizer file of the tokenizers library, as packed bytes.
 
     The vocabulary drops white space, so chunks are encoded independently of each other.  New chunks go to the
-    library many at once, joined by spaces; the offsets in its answer tell their ids apart.
+    library many at once, joined by spaces.  Where the ids of plain ASCII chunks end is told by their numbers of
+    pieces, as the last id of each piece has the end mark; for others by the offsets in the library's answer.
     """
 
     def __init__(self, path: str):
@@ -44,6 +49,10 @@ class ChunkIds:
             spec = json.load(f)
         top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
         self.dtype = np.dtype("<u2" if top < 65536 else "<u4")
+        self.ends = np.zeros(top + 1, bool)
+        self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(END)]] = True
+        pre = spec["pre_tokenizer"]["pretokenizers"]
+        self.pieces = ASCII_PIECES if next((p["pattern"].get("Regex") for p in pre if p["type"] == "Split"), None) == PIECES else None
         self.memory = Recent(self.make, 600_000)
 
     def make(self, keys: list[str]) -> list[bytes]:
@@ -51,13 +60,27 @@ class ChunkIds:
         for start in range(0, len(keys), 256):
             some = keys[start : start + 256]
             plain = [k for k in some if "<" not in k]
-            found = dict(zip(plain, self.joined(plain)))
+            easy = [k for k in plain if k.isascii() and k.isprintable()] if self.pieces else []
+            found = dict(zip(easy, self.by_pieces(easy)))
+            plain = [k for k in plain if k not in found]
+            found |= zip(plain, self.joined(plain))
             rest = [k for k in some if k not in found]
             for k, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
                 found[k] = np.array(e.ids, self.dtype).tobytes()
             out += [found[k] for k in some]
         return out
 
+    def by_pieces(self, keys: list[str]) -> list[bytes]:
+        """For printable ASCII chunks."""
+        e = self.tokenizer.encode_batch_fast([" ".join(keys)], add_special_tokens=False)[0]
+        ids = np.array(e.ids, self.dtype)
+        find = self.pieces.findall
+        cut = np.cumsum([1 if k.isalpha() else len(find(k.lower())) for k in keys], dtype=np.int64)
+        edges = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])[cut]
+        packed, width = ids.tobytes(), self.dtype.itemsize
+        edges = [0, *(edges * width).tolist()]
+        return [packed[a:b] for a, b in zip(edges, edges[1:])]
+
     def joined(self, keys: list[str]) -> list[bytes]:
         """Offsets count characters of the joined text, so they tell where each chunk's ids begin."""
         e = self.tokenizer.encode(" ".join(keys), add_special_tokens=False)

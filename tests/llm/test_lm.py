@@ -74,6 +74,40 @@ def test_pair_table_finds_all_keys():
     assert lm.PairTable(keys[:0], np.zeros(0)).get(keys).sum() == 0
 
 
+def test_tasks_hold_as_many_of_the_frequent_as_they_may(spark):
+    counts = spark.createDataFrame([(i - 5, n) for i, n in enumerate([1] * 40 + [2] * 30 + [3] * 20 + [100_000] * 4)], "at long, n long")
+    assert [lm.least_held(counts, "n", most) for most in (100, 94, 93, 54, 53, 24, 23, 4)] == [0, 0, 1, 1, 2, 2, 3, 3]
+    assert counts.filter(F.col("n") > lm.least_held(counts, "n", 3)).count() <= 3  # beyond the counts told apart
+    at, n = lm.held(counts.filter("n > 2"), "at", "n")
+    assert at.tolist() == list(range(65, 89)) and n.tolist() == [3] * 20 + [100_000] * 4
+    assert len(lm.held(counts.limit(0), "at", "n")[0]) == 0 and lm.least_held(counts.limit(0), "n", 3) == 0
+
+
+def test_words_of_joined_texts_are_those_of_each():
+    texts = ["", "One two\tone", " ", "é ONE\x0bx", "a" * 70_000, "", "b c " * 20_000, "two"]
+    got = [(i, h) for words, owner in lm.joined_words(texts) for h, i in zip(words.tolist(), owner.tolist())]
+    assert got == [(i, h) for i, t in enumerate(texts) for h in lm.byte_word_hashes(lm.lower_bytes(t)).tolist()]
+
+
+def test_key_counts_and_pairs_of_streams_are_whole():
+    rng = np.random.default_rng(6)
+    arrays = [rng.integers(0, 3000, 700_000) for _ in range(7)] + [np.zeros(0, np.int64)]
+    got = Counter()
+    for keys, n in lm.key_counts(arrays):
+        assert (np.diff(keys) > 0).all()
+        got.update(dict(zip(keys.tolist(), n.tolist())))
+    assert got == Counter(np.concatenate(arrays).tolist()) and list(lm.key_counts([])) == []
+    m, size = model(), 51
+    streams = [np.array(s, np.int64) for s in ([], [7, 7, 7, 7], [3, 4])]
+    m.pairs = lm.PairTable(np.array([7 * size + 7]), np.ones(1))
+    _, row, key, times = lm.stream_scores(m, streams)
+    assert list(zip(row.tolist(), key.tolist(), times.tolist())) == [
+        (0, size * size + 50, 1), (1, 7 * size + 50, 1), (1, size * size + 7, 1), (2, 3 * size + 4, 1), (2, 4 * size + 50, 1), (2, size * size + 3, 1)]
+    m.pairs = lm.PairTable(np.zeros(0, np.int64), np.zeros(0))
+    _, row, key, times = lm.stream_scores(m, streams)
+    assert (1, 7 * size + 7, 3) in list(zip(row.tolist(), key.tolist(), times.tolist())) and int(times.sum()) == 9
+
+
 def test_rare_pairs_count_as_much_as_held_ones(spark, monkeypatch):
     rng = np.random.default_rng(8)
     texts = [" ".join(rng.choice(["red", "blue", "cat", "dog", "runs", "sits"], 30)) + f" only{i % 9}" for i in range(60)]
