@@ -101,6 +101,18 @@ class Recent:
         return young
 
 
+def values_of(memory: Recent, lists: list[list]) -> list[list]:
+    """The values (never None) of the keys of every list; keys that are remembered are looked up just once."""
+    get = memory.young.get
+    found = [list(map(get, keys)) for keys in lists]
+    missing = [[i for i, v in enumerate(values) if v is None] for values in found]
+    known = memory.ready(dict.fromkeys(keys[i] for keys, at in zip(lists, missing) for i in at))
+    for keys, values, at in zip(lists, found, missing):
+        for i in at:
+            values[i] = known[keys[i]]
+    return found
+
+
 def batches(it: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Arrow batches with one column as Python strings."""
     for b in it:

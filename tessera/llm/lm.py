@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, small_batches, text_of, to_batch, written
+from .common import batches, small_batches, text_of, to_batch, values_of, written
 from .near_dedup import SPACE, byte_word_hashes
 from .packing import loaded
 from .word_bpe import chunks
@@ -513,8 +513,7 @@ def encoded(docs: DataFrame, vocab_path: str) -> DataFrame:
         for b, texts in batches(it, "_text"):
             for some in groups_of(texts, 1 << 20):
                 start, cut = some[0], [chunks(texts[i]) for i in some]
-                known = source.memory.ready(set().union(*cut))
-                ids = pa.array([b"".join(map(known.__getitem__, cs)) for cs in cut], pa.binary())
+                ids = pa.array(list(map(b"".join, values_of(source.memory, cut))), pa.binary())
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(start, len(cut)) for c in ("_id", "_key", "_held")), ids], names=["_id", "_key", "_held", "_ids"])
 
     schema = docs.select("_id", "_key", "_held").schema.simpleString()[7:-1] + ",_ids:binary"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import packing, prefix_counts, queries, word_bpe
-from tessera.llm.common import Recent
+from tessera.llm.common import Recent, values_of
 from test_exact_and_bpe import ODD, SMALL, docs
 
 
@@ -121,3 +121,16 @@ def test_chunks_are_told_apart_by_their_pieces():
     keys = ["word", "It's", "'s", "x'LL", "'", "''s", "1984", "a1b2", "end.", "(a)", "...", "don't've", "C++", "~", "aa" * 300, "q'", "é's", "ﬁn", "İx", "a\x1cb", "a\x00b", "<|endoftext|>", "<b>"]
     want = [np.array(source.tokenizer.encode(k, add_special_tokens=False).ids, source.dtype).tobytes() for k in keys]
     assert source.make(keys) == want and source.by_pieces(keys[:16]) == want[:16] and source.by_pieces([]) == []
+
+
+def test_values_of_lists_equal_those_of_each_key():
+    made = []
+    memory = Recent(lambda keys: made.extend(keys) or [k.encode() * 2 for k in keys], 50)
+    rng = random.Random(7)
+    for _ in range(60):
+        lists = [[str(rng.randrange(200)) * rng.choice([1, 1, 1, 900]) for _ in range(rng.randrange(40))] for _ in range(5)] + [[]]
+        assert values_of(memory, lists) == [[k.encode() * 2 for k in keys] for keys in lists]
+    made.clear()
+    values_of(memory, [["a", "b", "a"], ["b"]])
+    values_of(memory, [["b", "a"]])
+    assert made == ["a", "b"]
