@@ -3,7 +3,8 @@
 Metrics are plain aggregates so they distribute and can be checked in SQL.
 Model fits use the distributed ``pyspark.ml`` estimators (trees, linear and
 logistic regression, k-means, PCA); folds are a column, so cross-validation
-is a filter per fold over one cached feature table.
+is a filter per fold over one cached feature table.  The boosted trees of a
+fold with few rows are grown in one task (``boosting``).
 """
 
 from __future__ import annotations
@@ -58,14 +59,16 @@ def binary_metrics(df: DataFrame, keys: list[str], score: str, label: str, thres
 # Feature preparation and grouped cross-validation (M1-M4)
 # ---------------------------------------------------------------------------
 
-from pyspark.ml import Pipeline  # noqa: E402
+from pyspark.ml import Pipeline, regression  # noqa: E402
 from pyspark.ml.clustering import BisectingKMeans, KMeans  # noqa: E402
 from pyspark.ml.evaluation import ClusteringEvaluator  # noqa: E402
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler  # noqa: E402
 from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
-from pyspark.ml.regression import GBTRegressor, LinearRegression  # noqa: E402
+from pyspark.ml.regression import LinearRegression  # noqa: E402
 from pyspark.sql.types import NumericType  # noqa: E402
 
+from .boosting import GBTRegressor  # noqa: E402
+
 # The reference's model settings.
 ELASTIC_ALPHA = 0.05
 ELASTIC_L1_RATIO = 0.5
@@ -153,7 +156,7 @@ def grouped_cv(
         elif model == "gbt":
             est = GBTRegressor(featuresCol="features", labelCol="_y", seed=SEED, **GBT_PARAMS)
             prep = Pipeline(stages=_prep_stages(features)).fit(train)
-            # a fit runs a job per tree and level, and every task of them carries the plan behind the training rows
+            # few rows are fitted in one task; else a fit runs a job per tree and level, and every task of them carries the plan behind its rows
             rows = cut_lineage(prep.transform(train).select("features", "_y"))
             fitted = est.fit(rows)
             p = fitted.transform(prep.transform(test))
@@ -286,7 +289,7 @@ def scenario_table(df: DataFrame, id_col: str, directions: dict[str, int], targe
         middle = exact_median(df, [], target).first()[0]
         y = F.coalesce(F.col(target).cast("double"), F.lit(middle))
     data = df.withColumn("_y", y)
-    trees = GBTRegressor(featuresCol="features", labelCol="_y", maxDepth=4, seed=SEED)
+    trees = regression.GBTRegressor(featuresCol="features", labelCol="_y", maxDepth=4, seed=SEED)
     fitted = Pipeline(stages=[*_prep_stages(list(drivers)), trees]).fit(data)
     shocks = {"baseline": 0.0, "low": -SHOCK, "high": SHOCK}
     moves = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("shock")) for n, v in shocks.items()]))
