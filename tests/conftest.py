@@ -18,6 +18,8 @@ def spark():
         .appName("tessera-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "4g"))  # the default of 1 GB ends the session
+        .config("spark.sql.ui.retainedExecutions", "5")  # plans of finished queries fill the heap
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tessera-test-ckpt-"))
     )
     for k, v in CORE_CONF.items():
@@ -28,6 +30,14 @@ def spark():
     s.stop()
 
 
+@pytest.fixture(autouse=True)
+def nothing_kept(request):
+    """What a query persisted goes with its test; over a whole run it fills the heap."""
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").catalog.clearCache()
+
+
 @pytest.fixture()
 def tmpdir_path():
     return tempfile.mkdtemp(prefix="tessera-test-")
